@@ -1,8 +1,10 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import quality
+from . import pieces, quality, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_simhash": simhash.op3_simhash,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
