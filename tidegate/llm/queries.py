@@ -1,9 +1,10 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import pieces, quality, simhash
+from . import pieces, pitman_yor, quality, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op9_pitman_yor": pitman_yor.op9_pitman_yor,
     "op3_simhash": simhash.op3_simhash,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
