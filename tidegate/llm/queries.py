@@ -1,11 +1,13 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import pieces, pitman_yor, quality, simhash
+from . import language, pieces, pitman_yor, quality, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
-    "op9_pitman_yor": pitman_yor.op9_pitman_yor,
     "op3_simhash": simhash.op3_simhash,
+    "op4_language": language.op4_language,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_pitman_yor": pitman_yor.op9_pitman_yor,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
