@@ -1,13 +1,16 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import language, pieces, pitman_yor, quality, simhash, toxicity
+from . import decontaminate, language, pieces, pitman_yor, quality, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_simhash": simhash.op3_simhash,
     "op4_language": language.op4_language,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_pitman_yor": pitman_yor.op9_pitman_yor,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontaminate": decontaminate.ORACLE,
+}
