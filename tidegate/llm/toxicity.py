@@ -17,7 +17,6 @@ learned from. Repeated rows give repeated rows. Extra columns of the input are i
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, read
+from .common import Vocabulary, bucket_of, drop, materialize, read
 from .language import sample
 
 POSITIVES, UNLABELLED = 3000, 12000
 LEAST, ERRORS = 12, 5.0
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.5, 1e-4
-CUT, PRECISE = 0.7, 0.9
+CUT = 0.7
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -49,37 +48,28 @@ def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.int64), *rows]), np.cumsum([0, *map(len, rows)])
 
 
-def calibrated(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float) -> tuple[dict[bytes, float], float]:
-    """fit() on three quarters of the rows; the bias is then moved so that CUT is the lowest cut at which, on the last
-    quarter, the estimated precision p P(score of P above) / P(score of U above) is PRECISE."""
-    weights, bias = fit([x for i, x in enumerate(positive) if i % 4], [x for i, x in enumerate(unlabelled) if i % 4], prior)
-    known = weights.keys()
-    z = [np.sort([bias + sum(map(weights.__getitem__, sorted(x & known))) for x in rows[::4]]) for rows in (positive, unlabelled)]
+def calibrated(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[bytes], prior: float) -> tuple[dict[bytes, float], float]:
+    """fit() on three quarters of the rows; the bias is then moved so that the cut which serves the last quarter
+    best becomes CUT. Rows: word numbers."""
+    w, bias = fit([x for i, x in enumerate(positive) if i % 4], [x for i, x in enumerate(unlabelled) if i % 4], len(names), prior)
+    z = [np.sort([bias + w[x].sum() for x in rows[::4]]) for rows in (positive, unlabelled)]
     above = [1 - np.searchsorted(x, z[0], "left") / len(x) for x in z]
-    precision = prior * above[0] / np.maximum(above[1], 0.5 / len(z[1]))
-    steady = np.flatnonzero(above[0] >= 0.2)  # too few rows lie above the cuts beyond
-    worse = steady[precision[steady] < PRECISE]
-    at = worse[-1] + 1 if len(worse) else 0
-    cut = z[0][at] if at <= steady[-1] else np.log(CUT / (1 - CUT))
-    return weights, bias - min(cut, np.log(CUT / (1 - CUT))) + np.log(CUT / (1 - CUT))
-
-
-def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float, seed: int = 7) -> tuple[dict[bytes, float], float]:
-    """Weights of words, and the bias."""
-    in_p, in_u = Counter(), Counter()
-    for seen, rows in ((in_p, positive), (in_u, unlabelled)):
-        for row in rows:
-            seen.update(row)
-    vocabulary: dict[bytes, int] = {}
-    for x in sorted(in_p.keys() | in_u.keys()):
-        k, m = in_p[x], in_u[x]
-        if k + m >= LEAST:
-            a, b, q = k / len(positive), m / len(unlabelled), (k + m + 1) / (len(positive) + len(unlabelled) + 2)
-            if abs(a - b) > ERRORS * np.sqrt(q * (1 - q) * (1 / len(positive) + 1 / len(unlabelled))):
-                vocabulary[x] = len(vocabulary)
-    index = lambda row: np.array(sorted(vocabulary[w] for w in row if w in vocabulary), np.int64)
-    sets = [[index(r) for r in positive], [index(r) for r in unlabelled]]
-    n = len(vocabulary)
+    # F with precision weighted twice, from the shares of P and U above each cut; no clean texts are needed
+    cut = z[0][np.argmax(1.25 * prior * above[0] / (0.25 * prior + above[1]))]
+    weights = {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-4)}
+    return weights, float(bias - cut + np.log(CUT / (1 - CUT)))
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights of the `size` words, and the bias. Rows: numbers of the words present."""
+    in_p, in_u = (np.bincount(np.concatenate([np.empty(0, np.int64), *rows]), minlength=size) for rows in (positive, unlabelled))
+    share = (in_p + in_u + 1) / (len(positive) + len(unlabelled) + 2)
+    error = np.sqrt(share * (1 - share) * (1 / len(positive) + 1 / len(unlabelled)))
+    chosen = np.flatnonzero((in_p + in_u >= LEAST) & (np.abs(in_p / len(positive) - in_u / len(unlabelled)) > ERRORS * error))
+    n = len(chosen)
+    number = np.full(size, -1)
+    number[chosen] = np.arange(n)
+    sets = [[x[x >= 0] for x in (number[r] for r in rows)] for rows in (positive, unlabelled)]
     w, v = np.zeros(n + 1), np.zeros(n + 1)
     w[n] = np.log(prior / (1 - prior))
     rng = np.random.default_rng(seed)
@@ -105,8 +95,9 @@ def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float,
             v = 0.9 * v + g
             w -= RATE * (1 - step / total) * v
             step += 1
-    names = list(vocabulary)
-    return {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w[:n]) > 1e-4)}, float(w[n])
+    out = np.zeros(size)
+    out[chosen] = w[:n]
+    return out, float(w[n])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[bytes, float], float] | None:
@@ -126,11 +117,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[bytes
             rows = [b" ".join(sorted(words_of(t.as_py()))) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("bad"), b.column("doc_id"), pa.array(rows, pa.binary())], ["bad", "doc_id", "words"])
 
-    rows = toxic.union(other).mapInArrow(run, "bad boolean, doc_id long, words binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.words))
-    sets = [[set(bytes(r.words).split()) for r in rows if r.bad == kind] for kind in (True, False)]
-    del rows
-    return calibrated(*sets, prior) if all(sets) else None
+    rows, path = materialize(toxic.union(other).mapInArrow(run, "bad boolean, doc_id long, words binary"), "toxicity-sample")
+    words = Vocabulary()
+    sets: dict[bool, list] = {True: [], False: []}
+    # one partition at a time, each row at once turned into numbers
+    for r in rows.orderBy("doc_id", "bad", "words").toLocalIterator():
+        sets[r.bad].append(words.encode(bytes(r.words).split()).astype(np.int32))
+    drop(docs.sparkSession, path)
+    return calibrated(sets[True], sets[False], words.words, prior) if all(sets.values()) else None
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
