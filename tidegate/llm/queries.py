@@ -1,9 +1,10 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import decontaminate, language, pieces, pitman_yor, quality, simhash, toxicity
+from . import decontaminate, language, pieces, pitman_yor, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_warc": warc.op2_warc,
     "op3_simhash": simhash.op3_simhash,
     "op4_language": language.op4_language,
     "op7_decontaminate": decontaminate.op7_decontaminate,
@@ -12,5 +13,6 @@ QUERIES = {
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {
+    "op2_warc": warc.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
 }
