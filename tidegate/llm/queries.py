@@ -1,12 +1,14 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import decontaminate, language, pieces, pitman_yor, quality, simhash, toxicity, warc
+from . import chat, decontaminate, language, lines, pieces, pitman_yor, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_warc": warc.op2_warc,
     "op3_simhash": simhash.op3_simhash,
     "op4_language": language.op4_language,
+    "op5_line_dedup": lines.op5_line_dedup,
+    "op6_perspectives": chat.op6_perspectives,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_pitman_yor": pitman_yor.op9_pitman_yor,
@@ -14,5 +16,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_warc": warc.ORACLE,
+    "op6_perspectives": chat.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
 }

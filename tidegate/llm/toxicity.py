@@ -29,7 +29,7 @@ from .language import sample
 
 POSITIVES, UNLABELLED = 3000, 12000
 LEAST, ERRORS = 12, 5.0
-EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.5, 1e-4
+EPOCHS, STEPS, BATCH, RATE, DECAY = 30, 600, 256, 0.5, 1e-4
 CUT = 0.7
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -56,6 +56,8 @@ def calibrated(positive: list[np.ndarray], unlabelled: list[np.ndarray], names:
     above = [1 - np.searchsorted(x, z[0], "left") / len(x) for x in z]
     # F with precision weighted twice, from the shares of P and U above each cut; no clean texts are needed
     cut = z[0][np.argmax(1.25 * prior * above[0] / (0.25 * prior + above[1]))]
+    below = [x[x < cut - 1e-9].max() for x in z if (x < cut - 1e-9).any()]
+    cut = (cut + max(below)) / 2 if below else cut - 1e-6
     weights = {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-4)}
     return weights, float(bias - cut + np.log(CUT / (1 - CUT)))
 
@@ -74,9 +76,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, pri
     w[n] = np.log(prior / (1 - prior))
     rng = np.random.default_rng(seed)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    total = EPOCHS * -(-len(sets[1]) // BATCH)
+    rounds = max(EPOCHS, -(-STEPS * BATCH // len(sets[1])))
+    total = rounds * -(-len(sets[1]) // BATCH)
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(rounds):
         order = rng.permutation(len(sets[1]))
         for at in range(0, len(order), BATCH):
             picked = [[sets[0][i] for i in rng.integers(len(sets[0]), size=BATCH)], [sets[1][i] for i in order[at : at + BATCH]]]
