@@ -1,4 +1,354 @@
 """Named queries over the driver's tables and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import payload
+from ..operators import extraction as ex
+from ..operators import queue as q
+from ..operators import runs as r
+from ..operators import verification as v
+from .tables import table, with_tables
+
+QUERIES: dict[str, Callable[..., DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def relational(name: str, op: Callable[..., DataFrame], **tables: str) -> None:
+    """A query of an operator that is SQL itself: the same text over the same derived tables is its oracle."""
+    QUERIES[name] = lambda spark, d: op(**{k: table(spark, d, t) for k, t in tables.items()})
+    names = list(dict.fromkeys(tables.values()))
+    ORACLES[name] = with_tables(f"SELECT * FROM ({op.sql.strip().format(**tables)}) result", *names)
+
+
+def query(name: str, oracle: str | None = None, *names: str):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = with_tables(oracle, *names)
+        return f
+
+    return add
+
+
+# --- extraction ---------------------------------------------------------------------------------------------------
+EVENTS = ex.Entity("events", "events", ("event_id",), ("user_id", "value"), updated_at="ts")
+ORDERS = ex.Entity("orders", "orders", ("o_orderkey",), ("o_custkey",), updated_at="o_orderdate", filter="o_orderstatus = 'F' or o_totalprice > 100000")
+LINES = ex.Entity("lines", "lineitem", ("l_orderkey", "l_linenumber", "l_returnflag"), ("l_quantity",))
+COMMITTED, UPPER = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20)
+
+
+@query("delta_window", "SELECT event_id, ts, user_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-09 23:50:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'")
+def delta_window(spark, d):
+    return ex.scan(table(spark, d, "events"), EVENTS, COMMITTED, UPPER)
+
+
+@query("full_window", "SELECT event_id, ts, user_id, value FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00'")
+def full_window(spark, d):
+    return ex.scan(table(spark, d, "events"), EVENTS, COMMITTED, UPPER, full=True)
+
+
+@query("static_filter", "SELECT o_custkey, o_orderdate, o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 100000) AND o_orderdate >= TIMESTAMP '1996-12-31 23:50:00' AND o_orderdate <= TIMESTAMP '1998-01-01 00:00:00'")
+def static_filter(spark, d):
+    return ex.scan(table(spark, d, "orders"), ORDERS, dt.datetime(1997, 1, 1), dt.datetime(1998, 1, 1))
+
+
+@query("key_scan", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 100000")
+def key_scan(spark, d):
+    return ex.key_scan(table(spark, d, "orders"), ORDERS)
+
+
+@query("count_scan", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 100000")
+def count_scan(spark, d):
+    return ex.count_scan(table(spark, d, "orders"), ORDERS)
+
+
+@query("envelope_rows", "SELECT CAST(event_id AS VARCHAR) AS source_id, ts AS source_updated_at, event_type = 'error' AS deleted, user_id, value FROM events")
+def envelope_rows(spark, d):
+    entity = ex.Entity("events", "events", ("event_id",), ("user_id", "value"), updated_at="ts", deleted="gone")
+    out = ex.envelope(table(spark, d, "events").withColumn("gone", F.col("event_type") == "error"), entity)
+    return out.select(F.col("sourceId").alias("source_id"), F.col("sourceUpdatedAt").alias("source_updated_at"), "deleted", "data.user_id", "data.value")
+
+
+@query("composite_source_id", """SELECT l_partkey, l_suppkey, '[' || l_orderkey || ',' || l_linenumber || ',"' || l_returnflag || '"]' AS source_id FROM lineitem""")
+def composite_source_id(spark, d):
+    df = table(spark, d, "lineitem")
+    return df.select("l_partkey", "l_suppkey", ex.source_id(df, LINES.keys).alias("source_id"))
+
+
+@query("final_cursor_by_entity", "SELECT o_orderpriority, arg_max(o_orderdate, (o_orderdate, o_orderkey)) AS cursor_at, CAST(arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS VARCHAR) AS cursor_id FROM orders GROUP BY 1")
+def final_cursor_by_entity(spark, d):
+    return ex.final_cursor(table(spark, d, "orders"), ORDERS, "o_orderpriority")
+
+
+@query(
+    "greedy_batches",
+    """WITH RECURSIVE n AS (SELECT event_id, event_type, length(props) + 128 AS size, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+    g AS (SELECT event_id, event_type, i, size, CAST(1 AS BIGINT) AS batch, size AS filled FROM n WHERE i = 1
+          UNION ALL SELECT n.event_id, n.event_type, n.i, n.size, g.batch + CASE WHEN g.filled >= 5000 THEN 1 ELSE 0 END, CASE WHEN g.filled >= 5000 THEN n.size ELSE g.filled + n.size END
+          FROM g JOIN n ON n.event_type = g.event_type AND n.i = g.i + 1)
+    SELECT event_type, event_id, batch FROM g""",
+)
+def greedy_batches(spark, d):
+    df = table(spark, d, "events").select("event_type", "event_id", "ts", (F.length("props") + 128).alias("size"))
+    return ex.greedy_batches(df, "size", ["ts", "event_id"], "event_type", 5000).select("event_type", "event_id", "batch")
+
+
+relational("schedulable", ex.schedulable, entities="definitions", cursors="cursors")
+relational("unschedulable", ex.unschedulable, entities="definitions", cursors="cursors")
+relational("balance", ex.balance, lines="lineitem")
+relational("row_cursor", ex.row_cursor, stamps="stamps")
+relational("failure_code", ex.failure_code, failures="failures")
+relational("outcome_class", ex.outcome_class, failures="failures")
+relational("mode_gate", ex.mode_gate, failures="failures")
+
+
+@query("oversized_rows", "SELECT event_id, octet_length(encode(props)) > 9 AS too_long FROM events")
+def oversized_rows(spark, d):
+    return ex.oversized(events=table(spark, d, "events"))
+
+
+@query("file_names", "SELECT p_partkey, coalesce(nullif(trim(regexp_replace(p_name, '[^A-Za-z0-9._-]', '_', 'g')), ''), 'entity') AS file_name FROM part")
+def file_names(spark, d):
+    safe = F.regexp_replace("p_name", "[^A-Za-z0-9._-]", "_")
+    return table(spark, d, "part").select("p_partkey", F.coalesce(F.nullif(F.trim(safe), F.lit("")), F.lit("entity")).alias("file_name"))
+
+
+# --- verification -------------------------------------------------------------------------------------------------
+DIGEST_SQL = """SELECT {by}{limb3} AS digest, n FROM (
+  SELECT {by}n, s3 % 4294967296 AS d3, (s2 + s3 // 4294967296) % 4294967296 AS d2, (s1 + (s2 + s3 // 4294967296) // 4294967296) % 4294967296 AS d1,
+         (s0 + (s1 + (s2 + s3 // 4294967296) // 4294967296) // 4294967296) % 4294967296 AS d0
+  FROM (SELECT {by}count(*) AS n, {sums} FROM (SELECT {by}sha256({key}) AS h FROM {source}) GROUP BY ALL))"""
+
+
+def digest_sql(key: str, source: str, by: str = "") -> str:
+    sums = ", ".join(f"coalesce(sum(CAST('0x' || h[{1 + 8 * i}:{8 + 8 * i}] AS BIGINT)), 0)::HUGEINT AS s{i}" for i in range(4))
+    limbs = " || ".join(f"upper(lpad(to_hex(d{i}::BIGINT), 8, '0'))" for i in range(4))
+    return DIGEST_SQL.format(by=by, limb3=limbs, sums=sums, key=key, source=source)
+
+
+@query("key_digest", digest_sql("l_orderkey || chr(31) || l_linenumber || chr(31)", "lineitem", "l_returnflag, "))
+def key_digest(spark, d):
+    df = table(spark, d, "lineitem")
+    return v.key_digest(df, [ex.raw("l_orderkey", "bigint"), ex.raw("l_linenumber", "int")], ["l_returnflag"])
+
+
+def completeness(spark, d: str, name: str, key: str, date: str, upper: dt.datetime) -> DataFrame:
+    """One row: a full read of a table up to a bound, checked against counts and a key pass."""
+    df = table(spark, d, name)
+    entity = ex.Entity(name, name, (key,), (key,), updated_at=date)
+    rows = v.key_digest(ex.scan(df, entity, None, upper, full=True), [ex.raw(key, "bigint")]).select(F.col("digest").alias("row_digest"), F.col("n").alias("rows"))
+    keys = v.key_digest(ex.key_scan(df, entity), [ex.raw(key, "bigint")]).select(F.col("digest").alias("key_digest"), F.col("n").alias("keys"))
+    count = ex.count_scan(df, entity).select(F.col("n").alias("count_before"), F.col("n").alias("count_after"))
+    null = F.lit(None).cast("string")
+    one = rows.crossJoin(keys).crossJoin(count)  # one row each
+    return one.select(F.lit(name).alias("entity"), "rows", "row_digest", v.verdict(null, null, F.col("count_before"), F.col("count_after"), F.col("rows"), F.col("keys"), F.col("row_digest"), F.col("key_digest")).alias("verdict"))
+
+
+COMPLETENESS = "SELECT '{name}' AS entity, a.n AS rows, a.digest AS row_digest, CASE WHEN a.n <> c.n THEN 'ROWS_NOT_EQUAL_COUNT' WHEN b.n <> c.n THEN 'KEY_PASS_COUNT_MISMATCH' WHEN a.digest <> b.digest THEN 'KEY_SET_MISMATCH' ELSE 'verified' END AS verdict FROM ({rows}) a, ({keys}) b, (SELECT count(*) AS n FROM {name}) c"
+
+
+@query(
+    "completeness_verdict",
+    " UNION ALL ".join(
+        COMPLETENESS.format(name=name, rows=digest_sql(f"{key} || chr(31)", f"{name} WHERE {date} <= TIMESTAMP '{upper}'"), keys=digest_sql(f"{key} || chr(31)", name))
+        for name, key, date, upper in (("events", "event_id", "ts", "2024-01-20"), ("orders", "o_orderkey", "o_orderdate", "2030-01-01"))
+    ),
+)
+def completeness_verdict(spark, d):
+    return completeness(spark, d, "events", "event_id", "ts", UPPER).union(completeness(spark, d, "orders", "o_orderkey", "o_orderdate", dt.datetime(2030, 1, 1)))
+
+
+relational("batch_aggregate", v.batch_aggregate, batches="batches")
+relational("read_scope", v.read_scope, entities="entities")
+relational("seal_check", v.seal, entities="entities", batches="batches")
+relational("run_totals", v.run_totals, entities="entities")
+relational("claim_readiness", v.readiness, runs="runs", entities="entities", batches="batches")
+relational("latest_run_per_entity", v.latest_failed, runs="runs")
+relational("completion_items", v.completion, entities="entities", runs="runs")
+relational("source_unchanged", v.source_unchanged, before="before", after="after")
+
+# --- queue --------------------------------------------------------------------------------------------------------
+NOW, NOT_BEFORE = dt.datetime(2024, 1, 25), dt.datetime(2024, 1, 24)
+READY_SQL = """FROM commands c WHERE status IN ('queued', 'retry_waiting', 'unknown_result')
+  AND (not_before IS NULL OR not_before <= TIMESTAMP '2024-01-24' OR status = 'unknown_result' OR attempt_count > 0 OR post_attempt_count > 0 OR first_sent_at IS NOT NULL)
+  AND (next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '2024-01-25')
+  AND (ordering_key IS NULL OR NOT EXISTS (SELECT 1 FROM commands p WHERE p.ordering_key = c.ordering_key AND (p.received_at < c.received_at OR (p.received_at = c.received_at AND p.queue_sequence < c.queue_sequence))
+       AND p.status NOT IN ('completed', 'cancelled', 'expired', 'dead_letter')))"""
+
+
+def _times():
+    return F.lit(NOW).cast("timestamp_ntz"), F.lit(NOT_BEFORE).cast("timestamp_ntz")
+
+
+@query("ready_head_of_line", f"SELECT command_id, ordering_key, priority, status {READY_SQL}", "commands")
+def ready_head_of_line(spark, d):
+    return q.ready(table(spark, d, "commands"), *_times()).select("command_id", "ordering_key", "priority", "status")
+
+
+@query("ready_top", f"SELECT command_id, priority {READY_SQL} ORDER BY priority DESC, received_at, queue_sequence LIMIT 20", "commands")
+def ready_top(spark, d):
+    return q.take_ready(table(spark, d, "commands"), *_times(), 20).select("command_id", "priority")
+
+
+@query("ready_count", f"SELECT count(*) AS ready {READY_SQL} AND exec_claim_owner_id IS NULL", "commands")
+def ready_count(spark, d):
+    return q.ready_count(table(spark, d, "commands"), *_times())
+
+
+@query(
+    "head_of_line_blockers",
+    "SELECT command_id, CAST(coalesce(sum(CASE WHEN status NOT IN ('completed', 'cancelled', 'expired', 'dead_letter') THEN 1 ELSE 0 END) OVER (PARTITION BY ordering_key ORDER BY received_at, queue_sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_before FROM commands WHERE ordering_key IS NOT NULL",
+    "commands",
+)
+def head_of_line_blockers(spark, d):
+    return q.blockers(table(spark, d, "commands"))
+
+
+@query("retry_schedule", "SELECT event_id, [1, 2, 5, 10, 30, 60, 300][least(greatest(event_id % 12, 1), 7)] AS seconds, least(500 * (1 << CAST(least(greatest(event_id % 24, 1) - 1, 16) AS BIGINT)), 60000) AS millis FROM events")
+def retry_schedule(spark, d):
+    return table(spark, d, "events").select("event_id", q.retry_seconds(F.col("event_id") % 12).alias("seconds"), q.backoff_millis(F.col("event_id") % 24, 500, 60000).alias("millis"))
+
+
+STEPS = "SELECT command_id, coalesce(lag(status) OVER (PARTITION BY ordering_key ORDER BY received_at, command_id), 'received') AS from_status, status AS to_status FROM {commands} WHERE ordering_key IS NOT NULL"
+
+
+@query(
+    "state_transition_violations",
+    f"SELECT * FROM ({STEPS.format(commands='commands')}) s WHERE (from_status, to_status) NOT IN ({', '.join(repr((a, b)) for a, bs in q.TRANSITIONS.items() for b in bs)})",
+    "commands",
+)
+def state_transition_violations(spark, d):
+    return q.transition_violations(spark.sql(STEPS, commands=table(spark, d, "commands"))).select("command_id", "from_status", "to_status")
+
+
+relational("queue_metrics", q.metrics, commands="commands", results="results", batches="batches", runs="runs")
+relational("intake_resolution", q.intake, incoming="incoming", commands="commands")
+relational("admission", q.admission, commands="commands")
+relational("dedupe_conflict", q.conflicts, commands="commands")
+relational("sequence_backfill", q.sequence_backfill, commands="commands")
+relational("sequence_allocation", q.sequence_allocation, commands="commands")
+relational("first_sent_backfill", q.first_sent_backfill, commands="commands", attempts="command_attempts")
+relational("retention_delete_set", q.retention, commands="commands", results="results", jobs="command_jobs")
+relational("queue_recovery", q.queue_recovery, commands="commands")
+relational("claim_commands", q.claim, commands="commands")
+relational("release_claims", q.release_claim, commands="commands")
+relational("reschedule", q.reschedule, commands="commands")
+relational("finish_commands", q.finish, commands="commands")
+relational("outbox_due", q.outbox_due, results="results", commands="commands")
+relational("outbox_merge", q.outbox_merge, results="results", commands="commands")
+relational("insert_if_absent", q.insert_if_absent, results="results", commands="commands")
+relational("outbox_transitions", q.outbox_transitions, results="results", commands="commands")
+relational("close_attempts", q.close_attempt, attempts="command_attempts")
+relational("last_outcome", q.last_outcome, commands="commands", attempts="command_attempts")
+
+
+# --- runs ---------------------------------------------------------------------------------------------------------
+PENDING = "SELECT o_custkey AS run_id, min(o_orderdate) AS created_at, {collect} AS entities FROM {orders} WHERE o_orderstatus = 'O' GROUP BY o_custkey"
+
+
+@query(
+    "overlap_dispatch",
+    f"SELECT run_id FROM ({PENDING.format(collect='list(DISTINCT CAST(o_orderkey % 997 AS BIGINT))', orders='orders')}) r WHERE NOT EXISTS (SELECT 1 FROM ({PENDING.format(collect='list(DISTINCT CAST(o_orderkey % 997 AS BIGINT))', orders='orders')}) p "
+    "WHERE (p.created_at < r.created_at OR (p.created_at = r.created_at AND p.run_id < r.run_id)) AND list_has_any(p.entities, r.entities))",
+)
+def overlap_dispatch(spark, d):
+    pending = table(spark, d, "orders").filter("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("run_id")).agg(F.min("o_orderdate").alias("created_at"), F.collect_set(F.col("o_orderkey") % 997).alias("entities"))
+    return r.overlapping(pending)
+
+
+@query(
+    "manifest_set_equality",
+    """WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 1)
+    SELECT user_id, bool_and(a.event_type IS NOT NULL AND b.event_type IS NOT NULL) AS same FROM a FULL OUTER JOIN b USING (user_id, event_type) GROUP BY user_id""",
+)
+def manifest_set_equality(spark, d):
+    df = table(spark, d, "events")
+    return r.same_sets(df.filter("event_id % 2 = 0"), df.filter("event_id % 2 = 1"), "user_id", "event_type")
+
+
+CAS = """, j AS (SELECT b.entity_name, c.cursor_at IS NOT DISTINCT FROM b.base_at AND coalesce(c.generation, 0) = coalesce(b.base_generation, 0) AS ok, coalesce(c.generation, 0) + 1 AS g, b.next_at FROM {captured} b LEFT JOIN cursors c USING (entity_name)),
+w AS (SELECT bool_and(ok) AS all_ok FROM j)
+SELECT entity_name, CASE WHEN NOT ok THEN 'conflict' WHEN all_ok THEN 'committed' ELSE 'held' END AS outcome, CASE WHEN all_ok THEN g END AS generation, CASE WHEN all_ok THEN next_at END AS cursor_at FROM j, w"""
+
+
+def _cas(name: str, captured: str) -> None:
+    QUERIES[name] = lambda spark, d: r.publish_cursors(table(spark, d, "cursors"), table(spark, d, captured))
+    ORACLES[name] = with_tables("", "cursors", captured).strip() + CAS.format(captured=captured)
+
+
+_cas("cursor_cas_conflict", "captured")
+_cas("cursor_cas_commit", "captured_clean")
+
+relational("job_dispatch", r.dispatch, jobs="jobs", runs="runs")
+relational("busy_entities", r.busy, runs="runs", owners="owners")
+relational("elder_runs", r.elder, runs="runs", jobs="jobs")
+relational("sensitive_files", r.sensitive_files, batches="batches", entities="entities")
+relational("sensitive_entities", r.sensitive_entities, entities="entities")
+relational("ownership_join", r.owned_batches, owners="owned", bindings="bindings")
+relational("last_run_of_cursor", r.last_run, cursors="cursors", runs="runs")
+relational("attempt_blockers", r.attempt_blockers, attempts="batch_attempts", batches="batches")
+relational("due_uploads", r.due_uploads, batches="batches", runs="runs")
+relational("due_completions", r.due_completions, runs="runs")
+relational("active_config", r.active_config, configs="configs")
+relational("latest_version", r.latest_version, entities="priorities", configs="configs")
+relational("config_supersede", r.supersede, configs="configs")
+relational("cursor_upsert", r.upsert, cursors="cursors", fresh="fresh")
+relational("begin_entity", r.begin_entity, definitions="definitions", cursors="cursors")
+relational("ownership_acquire", r.acquire, definitions="priorities", owners="owners")
+relational("domain_reset", r.domain_reset, cursors="cursors", definitions="definitions")
+relational("cursors_after_reset", r.cursors_left, cursors="cursors", definitions="definitions")
+relational("terminate_cascade", r.terminate, runs="runs", jobs="jobs", batches="batches")
+relational("startup_recovery", r.startup_recovery, batches="batches", attempts="batch_attempts")
+relational("auto_recovery", r.auto_recovery, runs="runs")
+relational("manual_resolution", r.resolution, runs="runs", batches="batches", jobs="jobs")
+relational("batch_retention", r.batch_retention, batches="batches", runs="runs")
+relational("dead_letter_files", r.dead_letter_files, batches="batches", runs="runs", entities="entities")
+relational("missing_files", r.missing_files, batches="batches", files="files")
+relational("orphan_files", r.orphan_files, files="files", batches="batches")
+relational("spool_size", r.spool_size, files="files")
+relational("keep_newest", r.keep_newest, configs="configs")
+relational("ack_first_observation", r.ack, attempts="batch_attempts")
+relational("ack_validation", r.ack_valid, batches="batches", attempts="batch_attempts")
+relational("send_outcome", r.send_outcome, attempts="batch_attempts")
+relational("complete_entity", r.complete_entity, entities="entities", batches="batches")
+relational("completion_retry", r.completion_retry, runs="runs")
+relational("revoked_entities", r.revoked, runs="runs", entities="entities", definitions="flags")
+relational("fence_legacy", r.fence_legacy, runs="runs", bindings="bindings")
+relational("create_scheduled", r.create_scheduled, definitions="priorities", runs="runs")
+relational("closing_notices", r.notices, entities="entities", runs="runs")
+relational("notice_queue", r.notice_queue, runs="runs")
+relational("inert_runs", r.inert, runs="runs", batches="batches", jobs="jobs")
+relational("duplicate_claims", r.duplicate_claims, runs="runs")
+relational("constraint_report", r.constraints, runs="runs")
+relational("snapshot_clock", r.snapshot_clock, configs="configs")
+relational("health_state", r.health, runs="runs")
+relational("certificate_bucket", r.certificate, failures="failures")
+
+
+@query("fail_entity", "SELECT run_id, entity_name, 'failed' AS status, expected_batches AS frozen_batches, substring(trim(regexp_replace(coalesce(failure_code, 'READ'), '[^A-Z_]', '', 'g')), 1, 8) AS message FROM entities WHERE failure_code IS NOT NULL", "entities")
+def fail_entity(spark, d):
+    message = F.substring(F.trim(F.regexp_replace(F.coalesce("failure_code", F.lit("READ")), "[^A-Z_]", "")), 1, 8)
+    return table(spark, d, "entities").filter("failure_code is not null").select("run_id", "entity_name", F.lit("failed").alias("status"), F.col("expected_batches").alias("frozen_batches"), message.alias("message"))
+
+
+# --- payloads: no SQL has these, tests hold them against plain Python ---------------------------------------------
+@query("canonical_json_hash")
+def canonical_json_hash(spark, d):
+    return table(spark, d, "events").select("event_id", payload.payload_hash(spark)("props").alias("payload_hash"))
+
+
+@query("payload_policy")
+def payload_policy(spark, d):
+    return table(spark, d, "events").select("event_id", payload.policy(spark)("props").alias("code"))
+
+
+@query("raw_token_digest")
+def raw_token_digest(spark, d):
+    df = table(spark, d, "events").withColumn("token", payload.raw_token(spark, "k")("props"))
+    return v.key_digest(df, [F.col("token")], ["event_type"])
