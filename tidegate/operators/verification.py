@@ -14,13 +14,14 @@ MARK = "\x1f"  # closes every raw key
 def key_digest(df: DataFrame, keys: list[Column], by: list[str] | None = None) -> DataFrame:
     """digest (32 upper-case hex digits) and n: the sum, mod 2^128, of the first 128 bits of SHA-256 of each row's keys.
 
-    Four sums of 32-bit limbs are combined on the map side; carries are propagated once, at the end. No row order and no
-    Python is involved. A limb's sum stays below 2^63 up to 2^31 rows of a task's share; the sums themselves are decimals.
+    Each 32-bit limb is summed as two halves, as whole numbers, combined on the map side: exact up to 2^47 rows. Carries
+    are propagated once, at the end. No row order and no Python is involved.
     """
     sha = F.sha2(F.concat(*[x for k in keys for x in (k, F.lit(MARK))]), 256)
-    limbs = [F.conv(F.substring(sha, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(LIMBS)]
-    sums = [F.coalesce(F.sum(x), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i, x in enumerate(limbs)]
-    got = (df.groupBy(*by) if by else df.groupBy()).agg(*sums, F.count("*").alias("n"))
+    hashed = df.select(*(by or []), *[F.conv(F.substring(sha, 1 + 8 * i, 8), 16, 10).cast("long").alias(f"x{i}") for i in range(LIMBS)])
+    sums = [F.coalesce(F.sum(half), F.lit(0)).alias(f"{n}{i}") for i in range(LIMBS) for n, half in (("h", F.shiftright(f"x{i}", 16)), ("l", F.col(f"x{i}").bitwiseAND(0xFFFF)))]
+    got = (hashed.groupBy(*by) if by else hashed.groupBy()).agg(*sums, F.count("*").alias("n"))
+    got = got.select(*(by or []), "n", *[(F.col(f"h{i}").cast("decimal(38,0)") * 65536 + F.col(f"l{i}")).cast("decimal(38,0)").alias(f"s{i}") for i in range(LIMBS)])
     carry, out = F.lit(0).cast("decimal(38,0)"), []
     base = F.lit(1 << 32).cast("decimal(38,0)")
     for i in reversed(range(LIMBS)):
