@@ -1,25 +1,25 @@
 """Line dedup: an exact set-similarity join of lines, in which later matches go.
 
-A line (of a text split at \\n) is the set of its words, lower-cased A-Z. Two lines match if the Jaccard similarity of
+A line (of a text split at \\n) is the set of its tokens, which are shingles of five words, lower-cased A-Z (a line of
+fewer words is one token). Two lines match if their words are the same in the same order, or the Jaccard similarity of
 their sets is at least 0.8. A line is removed if any line before it matches, before meaning: in a row of smaller doc_id,
 or earlier in the same text. So of equal lines the first stays, whatever their number. Lines without words stay.
 
-1. Rarity: tokens are ordered by a sketch of how many lines have them (2^SKETCH counters, by the token's hash; ties by
-   the hash). The order is one and the same for all lines, which is all that exactness needs. Its size is fixed.
-2. Prefixes: of n tokens, the n - ceil(0.8 n) + 1 rarest are emitted with the line's hash, size, position of the token,
-   and a 64-bit signature. A task emits one row for equal lines, their first.
-3. A bucket holds the distinct lines with a token in their prefixes. Length, positional and signature filters leave
-   candidates; each line keeps only its best candidate among those before it in the bucket, and whether there are more.
-4. Verification fetches the token sets of candidate lines by hash (a fixed-size filter spares the others the shuffle)
-   and computes the similarity. Lines whose best candidates fail get all the candidates that remain, and these are
-   verified too. A group of n similar lines thus makes about n candidates for each token, not n squared.
+1. Rarity: tokens are ordered by a sketch of how many lines have them (2^SKETCH counters of fixed size), ties by hash.
+   The order is one and the same for all lines, which is all that exactness needs.
+2. Prefixes: of n tokens, the n - ceil(0.8 n) + 1 rarest. They are written once, packed, with each line's place.
+3. Tokens that two lines share are found first, by a shuffle of bare tokens; a filter of fixed size then spares all
+   others. What is left is dealt into buckets by token, with place, size, position and a parity sketch of the line's set.
+4. Length, positional and parity filters leave candidates; each line keeps only its best candidate among those before
+   it, so a bucket of n lines makes n candidates at most. Verification computes the similarity of the sets. Lines whose
+   best candidate fails get all the candidates that remain, and these are verified too.
 5. The decision for each line hash: the first place where the line occurs, and whether even that goes.
 
-Buckets are worked through in tiles, so memory stays bounded at any size.
+Buckets are worked through in tiles, so memory stays bounded at any size. Lines are known by 64-bit hashes.
 
 Defined results: null text stays null; empty text stays empty. Null doc_id sorts before all others. Rows that repeat
-an id are ordered by their text's hash; equal rows count as one another's copies: one of them keeps its lines, and
-where even their texts are the same, all of them count as one row and stay alike. Extra columns pass through.
+an id are ordered by their text's hash; where even their texts are the same, all of them count as one row and stay
+alike. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, drop, materialize, partitions, ranges, read
+from .common import Vocabulary, drop, materialize, pack, partitions, ranges, read, unpack
 
-LEVEL = 0.8
+SHINGLE = 5
 SKETCH = 18
-FILTER = 22
+FILTER = 24
 TILE = 2048
 NO_ID = -(1 << 63)
 
@@ -52,49 +52,74 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """Token sets of the lines of some texts: token hashes of line i are tokens[start[i]:start[i + 1]], sorted."""
+    """Lines with words of some texts: row, number in the row's text, and hash of each."""
 
-    def __init__(self, texts: list[str | None], vocabulary: Vocabulary, hashes: list[int]):
+    def __init__(self, texts: list[str | None], wanted=None):
         from xxhash import xxh64_intdigest
 
-        row, number, words, size = [], [], [], []
+        row, number, line, self.words = [], [], [], []
         for r, t in enumerate(texts):
-            for k, line in enumerate((t or "").encode("utf-8", "replace").lower().split(b"\n")):
-                w = line.split()
+            for k, x in enumerate((t or "").encode("utf-8", "replace").lower().split(b"\n")):
+                w = x.split()
                 if w:
                     row.append(r)
                     number.append(k)
-                    size.append(len(w))
-                    words += w
-        local = vocabulary.encode(words)
-        hashes += [xxh64_intdigest(w, 42) for w in vocabulary.words[len(hashes) :]]
-        table = np.array(hashes, np.uint64)
-        self.row, self.number = np.array(row, np.int64), np.array(number, np.int64)
-        of = np.repeat(np.arange(len(size)), size)
-        token = table[local] if len(local) else np.empty(0, np.uint64)
-        order = np.lexsort((token, of))
-        of, token = of[order], token[order]
-        first = np.ones(len(of), bool)
-        first[1:] = (of[1:] != of[:-1]) | (token[1:] != token[:-1])
-        self.of, self.tokens = of[first], token[first]
-        self.size = np.bincount(self.of, minlength=len(size))
-        self.start = np.concatenate([[0], np.cumsum(self.size)])
-        # lines with equal sets have equal hashes: sums do not depend on the order
-        if len(size):
-            m = mix(self.tokens)
-            self.hash = mix(np.add.reduceat(m, self.start[:-1]) ^ (self.size.astype(np.uint64) << np.uint64(40))).view(np.int64)
-        else:
-            self.hash = np.empty(0, np.int64)
+                    line.append(xxh64_intdigest(b" ".join(w), 42))
+                    self.words.append(w)
+        self.row, self.number, self.hash = np.array(row, np.int64), np.array(number, np.int64), np.array(line, np.uint64).view(np.int64)
+
+    def pick(self, index: np.ndarray) -> None:
+        self.words = [self.words[i] for i in index.tolist()]
+        self.row, self.number, self.hash = self.row[index], self.number[index], self.hash[index]
+
+    def tokens(self, encode) -> tuple[np.ndarray, np.ndarray]:
+        """(line, token) of every shingle, with repeats; lines in order. encode: words to hashes."""
+        size = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        word = encode([w for ws in self.words for w in ws])
+        many = np.maximum(size - SHINGLE + 1, 1)
+        start = np.cumsum(size) - size
+        at = ranges(start, many)
+        last = np.repeat(start + size, many)
+        token = np.zeros(len(at), np.uint64)
+        for j in range(SHINGLE):
+            there = at + j < last
+            token = mix(token * np.uint64(0x9E3779B97F4A7C15) + np.where(there, word[np.minimum(at + j, len(word) - 1)] | np.uint64(1), np.uint64(0)))
+        return np.repeat(np.arange(len(size)), many), token
+
+
+class Hasher:
+    """Words to 64-bit hashes, each word once; emptied when it has grown too large."""
+
+    def __init__(self):
+        self.vocabulary, self.table, self.n = Vocabulary(), np.empty(1 << 16, np.uint64), 0
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        from xxhash import xxh64_intdigest
+
+        if self.n > 500_000:
+            self.__init__()
+        local = self.vocabulary.encode(words)
+        new = self.vocabulary.words[self.n :]
+        if self.n + len(new) > len(self.table):
+            self.table = np.concatenate([self.table[: self.n], np.empty(self.n + 2 * len(new), np.uint64)])
+        self.table[self.n : self.n + len(new)] = [xxh64_intdigest(w, 42) for w in new]
+        self.n += len(new)
+        return self.table[local]
 
 
 def _lines(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, Lines]]:
-    vocabulary, hashes = Vocabulary(), []
     for b in batches:
-        for k in range(0, b.num_rows, 1000):
-            part = b.slice(k, 1000)
-            if len(hashes) > 500_000:  # bounded, whatever the corpus
-                vocabulary, hashes = Vocabulary(), []
-            yield part, Lines(part.column(at).to_pylist(), vocabulary, hashes)
+        for k in range(0, b.num_rows, 500):
+            part = b.slice(k, 500)
+            yield part, Lines(part.column(at).to_pylist())
+
+
+def _fresh(x: Lines, sent: set) -> None:
+    """Keep lines that the task has not met before; which one of equal lines is of no matter to their tokens."""
+    new = [i for i, h in enumerate(x.hash.tolist()) if h not in sent and not sent.add(h)]
+    x.pick(np.array(new, np.int64))
+    if len(sent) > 500_000:
+        sent.clear()
 
 
 def bucketed_sum(df: DataFrame, count, bits: int) -> np.ndarray:
@@ -121,33 +146,41 @@ def bucketed_sum(df: DataFrame, count, bits: int) -> np.ndarray:
 
 def rarity(docs: DataFrame) -> np.ndarray:
     def count(batches):
-        total = np.zeros(1 << SKETCH, np.int64)
+        total, hashed, sent = np.zeros(1 << SKETCH, np.int64), Hasher(), set()
         for _, x in _lines(batches, 0):
-            total += np.bincount((x.tokens & np.uint64((1 << SKETCH) - 1)).astype(np.int64), minlength=1 << SKETCH)
+            _fresh(x, sent)
+            if len(x.hash):
+                total += np.bincount((x.tokens(hashed)[1] & np.uint64((1 << SKETCH) - 1)).astype(np.int64), minlength=1 << SKETCH)
         return total
 
     return bucketed_sum(docs.select("text"), count, SKETCH)
 
 
-PREFIX = "token long, line long, doc long, tie long, number int, size int, place int, sign long"
+STORE = "tokens binary, many binary, size binary, line binary, sign binary, doc binary, tie binary, number binary"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+
+
+def _places(b: pa.RecordBatch, x: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """doc and tie of each line."""
+    return tuple(b.column(k).to_numpy(zero_copy_only=False)[x.row] if len(x.row) else np.empty(0, np.int64) for k in (0, 2))
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """STORE: packed prefixes of the distinct lines of some texts at a time."""
     sketch = docs.sparkSession.sparkContext.broadcast(counts)  # 2^SKETCH numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = sketch.value
-        sent: dict[int, tuple] = {}
+        seen = np.minimum(sketch.value, (1 << 12) - 1).astype(np.uint64)
+        hashed, sent = Hasher(), {}
         for b, x in _lines(batches, 1):
-            if not len(x.size):
-                continue
-            ids = np.array([NO_ID if i is None else i for i in b.column(0).to_pylist()], np.int64)[x.row]
-            ties = b.column(2).to_numpy(zero_copy_only=False)[x.row]
+            doc, tie = _places(b, x)
             # the first of equal lines of these texts, unless the task has sent an earlier one
-            order = np.lexsort((x.number, ties, ids, x.hash))
-            lead = order[np.concatenate([[True], x.hash[order][1:] != x.hash[order][:-1]])]
+            order = np.lexsort((x.number, tie, doc, x.hash))
             new = []
-            for i, h, at in zip(lead.tolist(), x.hash[lead].tolist(), zip(ids[lead].tolist(), ties[lead].tolist(), x.number[lead].tolist(), strict=True), strict=True):
+            for i, h, at in zip(order.tolist(), x.hash[order].tolist(), zip(doc[order].tolist(), tie[order].tolist(), x.number[order].tolist(), strict=True), strict=True):
                 if h not in sent or at < sent[h]:
                     sent[h] = at
                     new.append(i)
@@ -156,30 +189,114 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             if not new:
                 continue
             new = np.array(new)
-            n = x.size[new]
-            flat = ranges(x.start[new], n)
-            token, of = x.tokens[flat], np.repeat(np.arange(len(new)), n)
-            order = np.lexsort((token, seen[(token & np.uint64((1 << SKETCH) - 1)).astype(np.int64)], of))
-            bit = np.uint64(1) << (token >> np.uint64(58))
+            x.pick(new)
+            doc, tie = doc[new], tie[new]
+            of, token = x.tokens(hashed)
+            # one sort by line, rarity, token; equal tokens of a line fall together
+            key = (of.astype(np.uint64) << np.uint64(44)) | (seen[(token & np.uint64((1 << SKETCH) - 1)).astype(np.int64)] << np.uint64(32)) | (token >> np.uint64(32))
+            order = np.argsort(key)
+            of, token = of[order], token[order]
+            first = np.ones(len(of), bool)
+            first[1:] = (of[1:] != of[:-1]) | (token[1:] != token[:-1])
+            of, token = of[first], token[first]
+            n = np.bincount(of, minlength=len(x.hash))
             start = np.cumsum(n) - n
-            sign = np.bitwise_or.reduceat(bit, start)
-            token = token[order]
-            many = n - needed(n, n) + 1
-            many = np.maximum(many, n - -(-4 * n // 5) + 1)  # any match of n has at least ceil(0.8 n) of its tokens
+            sign = np.bitwise_xor.reduceat(np.uint64(1) << (token >> np.uint64(58)), start)
+            many = n - -(-4 * n // 5) + 1  # a match of n has at least ceil(0.8 n) of its tokens
             pick = ranges(start, many)
-            line = np.repeat(np.arange(len(new)), many)
-            src = new[line]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in ((token[pick].view(np.int64), pa.int64()), (x.hash[src], pa.int64()), (ids[src], pa.int64()), (ties[src], pa.int64()), (x.number[src].astype(np.int32), pa.int32()), (n[line].astype(np.int32), pa.int32()), ((pick - start[line]).astype(np.int32), pa.int32()), (sign[line].view(np.int64), pa.int64()))],
-                [c.split()[0] for c in PREFIX.split(", ")],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([pack(v)], pa.binary()) for v in (token[pick], many.astype(np.int32), n.astype(np.int32), x.hash, sign, doc, tie, x.number)], [c.split()[0] for c in STORE.split(", ")])
+
+    return keyed(docs).mapInArrow(run, STORE)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        for row in b.to_pylist():
+            yield unpack(row["tokens"], np.uint64), row
+
+
+def _spot(x: np.ndarray) -> np.ndarray:
+    return (mix(x.view(np.uint64)) >> np.uint64(64 - FILTER)).astype(np.int64)
+
+
+def spots(df: DataFrame) -> np.ndarray:
+    """Bits of a filter of 2^FILTER places, set for every number in df's columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER, bool)
+        for b in batches:
+            for c in b.columns:
+                bits[_spot(c.to_numpy(zero_copy_only=False))] = True
+        packed, block = np.packbits(bits), 1 << 12
+        for k in range(0, len(packed), block):
+            if packed[k : k + block].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // block], pa.int32()), pa.array([packed[k : k + block].tobytes()], pa.binary())], ["k", "v"])
+
+    def either(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "v": [np.bitwise_or.reduce([np.frombuffer(v, np.uint8) for v in pdf["v"]]).tobytes()]})
+
+    out = np.zeros((1 << FILTER) // 8, np.uint8)
+    for r in df.mapInArrow(run, "k int, v binary").groupBy("k").applyInPandas(either, "k int, v binary").collect():
+        out[r.k << 12 : (r.k + 1) << 12] = np.frombuffer(r.v, np.uint8)
+    return out
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, PREFIX)
+
+def _set(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = _spot(x)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def shared_tokens(store: DataFrame) -> DataFrame:
+    """token: those that prefixes of two lines have. A task sends each token once, and says if it had it twice."""
+    parts = partitions(store.sparkSession)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x[0] for x in _unpacked(batches)]
+        if not got:
+            return
+        token, n = np.unique(np.concatenate(got), return_counts=True)
+        del got
+        to = mix(token) % np.uint64(parts)
+        for p in range(parts):
+            here = to == p
+            if here.any():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pack(token[here])], pa.binary()), pa.array([pack(np.minimum(n[here], 2).astype(np.uint8))], pa.binary())], ["part", "tokens", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(unpack(r["tokens"], np.uint64), unpack(r["n"], np.uint8)) for b in batches for r in b.to_pylist()]
+        if rows:
+            token, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+            token, at = np.unique(token, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token[np.bincount(at, n) > 1].view(np.int64))], ["token"])
+
+    return store.select("tokens").mapInArrow(send, "part int, tokens binary, n binary").repartition(parts, "part").mapInArrow(add, "token long")
+
+
+BUCKET = "token long, line long, doc long, tie long, number int, size int, place int, sign long"
+
+
+def buckets(store: DataFrame, bits: np.ndarray) -> DataFrame:
+    wanted = store.sparkSession.sparkContext.broadcast(bits)  # 2^FILTER bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, row in _unpacked(batches):
+            keep = np.flatnonzero(_set(wanted.value, token))
+            if len(keep):
+                many = unpack(row["many"], np.int32).astype(np.int64)
+                of = np.repeat(np.arange(len(many)), many)[keep]
+                place = keep - (np.cumsum(many) - many)[of]
+                each = [unpack(row[k], t)[of] for k, t in (("line", np.int64), ("doc", np.int64), ("tie", np.int64), ("number", np.int64), ("size", np.int32))]
+                columns = [token[keep].view(np.int64), *each, place, unpack(row["sign"], np.uint64)[of].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in (4, 5, 6) else pa.int64()) for k, v in enumerate(columns)], [c.split()[0] for c in BUCKET.split(", ")])
+
+    return store.mapInArrow(run, BUCKET)
 
 
 def overlap_bound(a, b, sa, sb):
-    """Most tokens that sets of sizes a, b and signatures sa, sb can share: a bit that one lacks costs the other a token."""
-    return np.minimum(a - np.bitwise_count(sa & ~sb), b - np.bitwise_count(sb & ~sa))
+    """Most tokens that sets of sizes a, b and parity sketches sa, sb can share: bits that differ are tokens that do."""
+    return (a + b - np.bitwise_count(sa ^ sb)) // 2
 
 
 def _candidates(everything: bool):
@@ -258,31 +375,26 @@ def _candidates(everything: bool):
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (line, other) those that match: (line)."""
-    spark = docs.sparkSession
-
-    def count(batches):
-        total = np.zeros(1 << FILTER, np.int64)
-        for b in batches:
-            for k in (0, 1):
-                total[mix(b.column(k).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - FILTER)] = 1
-        return total
-
-    wanted = spark.sparkContext.broadcast(np.packbits(bucketed_sum(pairs.select("line", "other"), count, FILTER) > 0))
+    wanted = docs.sparkSession.sparkContext.broadcast(spots(pairs.select("line", "other")))  # 2^FILTER bits
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask, sent = wanted.value, set()
+        hashed, sent = Hasher(), set()
         for _, x in _lines(batches, 0):
-            at = (mix(x.hash.view(np.uint64)) >> np.uint64(64 - FILTER)).astype(np.int64)
-            keep = np.flatnonzero(ask[at >> 3] >> (7 - (at & 7)) & 1)
-            rows = [(h, x.tokens[x.start[i] : x.start[i + 1]].view(np.int64)) for i, h in zip(keep.tolist(), x.hash[keep].tolist(), strict=True) if h not in sent and not sent.add(h)]
-            if len(sent) > 500_000:
-                sent.clear()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["h", "tokens"])
-
-    needed_lines = pairs.select(F.col("line").alias("h")).union(pairs.select(F.col("other").alias("h"))).distinct()
-    # equal hashes are equal sets: any of a hash's rows will do, and min() picks one on the map side
-    table = docs.select("text").mapInArrow(sets, "h long, tokens array<long>").join(needed_lines, "h", "left_semi").groupBy("h").agg(F.min("tokens").alias("tokens"))
+            if len(x.hash):
+                x.pick(np.flatnonzero(_set(wanted.value, x.hash)))
+                _fresh(x, sent)
+            if len(x.hash):
+                of, token = x.tokens(hashed)
+                order = np.lexsort((token, of))
+                of, token = of[order], token[order]
+                first = np.ones(len(of), bool)
+                first[1:] = (of[1:] != of[:-1]) | (token[1:] != token[:-1])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=len(x.hash)))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x.hash), pa.ListArray.from_arrays(pa.array(ends), pa.array(token[first].view(np.int64)))], ["h", "tokens"])
+
+    lines = pairs.select(F.col("line").alias("h")).union(pairs.select(F.col("other").alias("h"))).distinct()
+    # equal hashes are equal lines: any of a hash's rows will do
+    table = docs.select("text").mapInArrow(sets, "h long, tokens array<long>").join(lines, "h", "left_semi").dropDuplicates(["h"])
     both = pairs.join(table.select(F.col("h").alias("line"), F.col("tokens").alias("a")), "line").join(table.select(F.col("h").alias("other"), F.col("tokens").alias("b")), "other")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter(5 * shared >= 4 * (F.size("a") + F.size("b") - shared)).select("line").distinct()
@@ -291,20 +403,22 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def similar(docs: DataFrame) -> DataFrame:
     """line (hash): distinct lines that match another line whose first occurrence is before theirs."""
     spark = docs.sparkSession
-    rows, rows_path = materialize(prefixes(docs, rarity(docs)).repartition(partitions(spark), "token"), "prefixes")
-    # written in buckets, but files may be cut anew when read: they are dealt again
-    best, best_path = materialize(rows.repartition(partitions(spark), "token").mapInArrow(_candidates(False), "line long, other long, rank long"), "candidates")
+    n = partitions(spark)
+    store, store_path = materialize(prefixes(docs, rarity(docs)), "prefixes")
+    rows = buckets(store, spots(shared_tokens(store)))
+    best, best_path = materialize(rows.repartition(n, "token").mapInArrow(_candidates(False), "line long, other long, rank long"), "candidates")
     top = best.groupBy("line").agg(F.max_by("other", F.struct("rank", "other")).alias("other"))
-    hit, hit_path = materialize(verify(top, docs), "similar")
-    open_lines, open_path = materialize(best.select("line").distinct().join(hit, "line", "left_anti"), "open")
-    if open_lines.isEmpty():
+    hit, _ = materialize(verify(top, docs), "similar")
+    rest, rest_path = materialize(best.select("line").distinct().join(hit, "line", "left_anti"), "open")
+    if rest.isEmpty():
+        drop(spark, store_path, best_path, rest_path)
         return hit
     # buckets of the lines still open: their rows, and the rows they may match
-    near = rows.join(rows.join(open_lines, "line", "left_semi").select("token").distinct(), "token", "left_semi")
-    more = near.repartition(partitions(spark), "token").mapInArrow(_candidates(True), "line long, other long, rank long").join(open_lines, "line", "left_semi").select("line", "other").distinct()
+    near = rows.join(rows.join(rest, "line", "left_semi").select("token").distinct(), "token", "left_semi")
+    more = near.repartition(n, "token").mapInArrow(_candidates(True), "line long, other long, rank long").join(rest, "line", "left_semi").select("line", "other").distinct()
     more, more_path = materialize(more, "more")
     late, _ = materialize(verify(more, docs), "similar-late")
-    drop(spark, rows_path, best_path, open_path, more_path)
+    drop(spark, store_path, best_path, rest_path, more_path)
     return hit.union(late)
 
 
@@ -316,11 +430,10 @@ def removals(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, x in _lines(batches, 1):
-            ids = np.array([NO_ID if i is None else i for i in b.column(0).to_pylist()], np.int64)[x.row]
-            ties = b.column(2).to_numpy(zero_copy_only=False)[x.row] if len(x.row) else ids
-            yield pa.RecordBatch.from_arrays([pa.array(x.hash, pa.int64()), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(x.number.astype(np.int32), pa.int32())], ["line", "doc", "tie", "number"])
+            doc, tie = _places(b, x)
+            yield pa.RecordBatch.from_arrays([pa.array(x.hash, pa.int64()), pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(x.number.astype(np.int32), pa.int32())], ["line", "doc", "tie", "number"])
 
-    places, _ = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, DECIDED), "places")
+    places, _ = materialize(keyed(docs).mapInArrow(run, DECIDED), "places")
     # only lines that occur twice or have a match can lose anything
     first = places.groupBy("line").agg(F.min(F.struct("doc", "tie", "number")).alias("first"), F.count("*").alias("n"))
     late = similar(docs).withColumn("late", F.lit(True))
