@@ -178,3 +178,7 @@ def policy(spark):
 
 def raw_token(spark, name: str):
     return _udf(spark, lambda t: token_of(t, name))
+
+
+def error_codes(spark):
+    return _udf(spark, error_code)

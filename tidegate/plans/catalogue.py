@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import payload
+from ..operators import agent
 from ..operators import extraction as ex
 from ..operators import queue as q
 from ..operators import runs as r
@@ -337,6 +338,38 @@ def fail_entity(spark, d):
     return table(spark, d, "entities").filter("failure_code is not null").select("run_id", "entity_name", F.lit("failed").alias("status"), F.col("expected_batches").alias("frozen_batches"), message.alias("message"))
 
 
+# --- around a transfer --------------------------------------------------------------------------------------------
+relational("source_identity", agent.identity, probes="probes")
+relational("clock_model", agent.clock, probes="probes")
+relational("cursor_validity", agent.cursor_valid, probes="probes")
+relational("heartbeat", agent.heartbeat, commands="commands", runs="runs")
+
+
+@query(
+    "quarantine_names",
+    f"SELECT name, nullif(regexp_extract(name, '{agent.SET_ASIDE}', 1), '') AS entity, coalesce(CAST(nullif(regexp_extract(name, '{agent.SET_ASIDE}', 7), '') AS BIGINT), written_ms) AS since_ms FROM quarantined",
+    "quarantined",
+)
+def quarantine_names(spark, d):
+    return agent.set_aside(table(spark, d, "quarantined"))
+
+
+@query("error_codes", """SELECT event_id, nullif(regexp_extract(substring(body, 1, 4096), '"code"\\s*:\\s*"([A-Z0-9_]{1,64})"', 1), '') AS code FROM error_bodies""", "error_bodies")
+def error_codes(spark, d):
+    return table(spark, d, "error_bodies").select("event_id", payload.error_codes(spark)("body").alias("code"))
+
+
+@query(
+    "completion_document",
+    f"""SELECT run_id, CAST(to_json(list({{'entity': entity_name, 'code': code, 'rows': row_count::BIGINT, 'batches': batch_count::BIGINT, 'readScope': read_scope}} ORDER BY entity_name)) AS VARCHAR) AS document
+    FROM ({v.completion.sql.strip().format(entities="entities", runs="runs")}) GROUP BY run_id""",
+    "entities",
+    "runs",
+)
+def completion_document(spark, d):
+    return agent.completion_documents(v.completion(entities=table(spark, d, "entities"), runs=table(spark, d, "runs")))
+
+
 # --- payloads: no SQL has these, tests hold them against plain Python ---------------------------------------------
 @query("canonical_json_hash")
 def canonical_json_hash(spark, d):

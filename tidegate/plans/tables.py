@@ -40,6 +40,29 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "days_left": "CAST(event_id % 45 AS INT) - 2",
     }),
     "stamps": ("events", None, {"event_id": "event_id", "stamp": "CASE WHEN event_id % 10 = 0 THEN 'no date' ELSE CAST(ts AS STRING) END"}),
+    "probes": ("events", None, {
+        "event_id": "event_id",
+        "bound": "CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 31 = 1 THEN '' ELSE 'db' END",
+        "endpoint": "CASE WHEN event_id % 13 = 0 THEN 'https://h/a' ELSE 'https://h/o' END",
+        "bound_endpoint": "'https://h/o'",
+        "fetched": "CASE WHEN event_id % 10 = 0 THEN 'unavailable' WHEN event_id % 10 = 1 THEN 'not_ready' WHEN event_id % 10 = 2 THEN 'malformed' ELSE 'ok' END",
+        "scope": "CASE WHEN event_id % 9 = 0 THEN 'area' ELSE 'whole-infobase' END",
+        "database_id": "CASE WHEN event_id % 8 = 0 THEN 'other' ELSE 'db' END",
+        "epoch": "CASE WHEN event_id % 7 = 0 THEN 2 ELSE 3 END",
+        "environment": "CASE WHEN event_id % 5 = 0 THEN 'test' ELSE 'prod' END",
+        "sent_ms": "CAST(1000000 + user_id AS DOUBLE)",
+        "received_ms": "CAST(1000000 + user_id + event_id % 400 AS DOUBLE)",
+        "remote_ms": "CAST(1000000 + event_id * 7 AS DOUBLE)",
+        "expires_ms": "CAST(1000000 + event_id * 6 + 500 AS DOUBLE)",
+        "not_before_ms": "CAST(1000000 + event_id * 8 - 500 AS DOUBLE)",
+        "stamp": "CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 6 = 1 THEN 'never' ELSE '2024-01-05 06:07:08' END",
+        "cursor_id": "CASE WHEN event_id % 8 = 4 THEN NULL WHEN event_id % 9 = 1 THEN ' ' ELSE CAST(event_id AS STRING) END",
+    }),
+    "quarantined": ("events", None, {
+        "name": "CASE WHEN event_id % 5 = 0 THEN 'other.bin' ELSE event_type || '-x-0000000a-000b-000c-000d-00000000000e-0000000a-000b-000c-000d-00000000000f.ndjson.gz' || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '.tmp.' || CAST(1700000000000 + event_id AS STRING) WHEN 2 THEN '.orphan' ELSE '.tmp.orphan.' || CAST(event_id AS STRING) END END",
+        "written_ms": "event_id * 1000",
+    }),
+    "error_bodies": ("events", None, {"event_id": "event_id", "body": "CASE event_id % 4 WHEN 0 THEN '{\"code\":\"ITEM_' || CAST(event_id AS STRING) || '\",\"x' WHEN 1 THEN '{\"error\":{\"code\": \"LOCKED\"}}' WHEN 2 THEN '{\"code\":\"lower\"}' ELSE 'gone' END"}),
     "runs": ("orders", None, {
         "run_id": "o_orderkey",
         "entity_name": "o_orderpriority",
