@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, drop, materialize, pack, partitions, ranges, read, unpack
+from .common import drop, materialize, pack, partitions, ranges, read, unpack
 
 SHINGLE = 5
 SKETCH = 18
@@ -51,67 +52,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # bases of the rolling hashes, odd: they have inverses mod 2^64
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... mod 2^64, at least n of them."""
+    if len(_powers.get(base, ())) < n:
+        x = np.full(max(n, 1 << 20), base, np.uint64)
+        x[0] = 1
+        _powers[base] = np.multiply.accumulate(x)
+    return _powers[base]
+
+
+def spans(values: np.ndarray, base: int):
+    """A function of arrays (start, end) that gives a hash of each span of values, from sums of values times powers."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(base, len(values))[: len(values)], out=total[1:])
+    inverse = pow(base, -1, 1 << 64)
+    return lambda start, end: mix((total[end] - total[start]) * powers(inverse, len(values) + 1)[start] + (end - start).astype(np.uint64))
+
+
 class Lines:
-    """Lines with words of some texts: row, number in the row's text, and hash of each."""
-
-    def __init__(self, texts: list[str | None], wanted=None):
-        from xxhash import xxh64_intdigest
-
-        row, number, line, self.words = [], [], [], []
-        for r, t in enumerate(texts):
-            for k, x in enumerate((t or "").encode("utf-8", "replace").lower().split(b"\n")):
-                w = x.split()
-                if w:
-                    row.append(r)
-                    number.append(k)
-                    line.append(xxh64_intdigest(b" ".join(w), 42))
-                    self.words.append(w)
-        self.row, self.number, self.hash = np.array(row, np.int64), np.array(number, np.int64), np.array(line, np.uint64).view(np.int64)
+    """Lines with words of some texts: row, number in the row's text, and hash of each. All by array operations."""
+
+    def __init__(self, texts: list[str | None]):
+        data = [(t or "").encode("utf-8", "replace").lower() for t in texts]
+        n_lines = np.fromiter((d.count(b"\n") + 1 for d in data), np.int64, len(data))
+        raw = np.frombuffer(b"\n".join(data), np.uint8)
+        blank = np.ones(len(raw) + 2, bool)
+        blank[1:-1] = _SPACE[raw]
+        edge = np.flatnonzero(blank[1:] != blank[:-1])
+        start, end = edge[::2], edge[1::2]
+        word = spans(raw.astype(np.uint64) + np.uint64(1), _ODD[0])(start, end)
+        line = np.searchsorted(np.flatnonzero(raw == 10), start)  # line ends before the word
+        first = np.flatnonzero(np.diff(line, prepend=-1))
+        self.start, self.size = first, np.diff(np.append(first, len(word)))
+        self.span = spans(word, _ODD[1])
+        before = np.cumsum(n_lines) - n_lines
+        self.row = np.repeat(np.arange(len(data)), n_lines)[line[first]] if len(first) else np.empty(0, np.int64)
+        self.number = line[first] - before[self.row]
+        self.hash = self.span(self.start, self.start + self.size).view(np.int64)
 
     def pick(self, index: np.ndarray) -> None:
-        self.words = [self.words[i] for i in index.tolist()]
-        self.row, self.number, self.hash = self.row[index], self.number[index], self.hash[index]
-
-    def tokens(self, encode) -> tuple[np.ndarray, np.ndarray]:
-        """(line, token) of every shingle, with repeats; lines in order. encode: words to hashes."""
-        size = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        word = encode([w for ws in self.words for w in ws])
-        many = np.maximum(size - SHINGLE + 1, 1)
-        start = np.cumsum(size) - size
-        at = ranges(start, many)
-        last = np.repeat(start + size, many)
-        token = np.zeros(len(at), np.uint64)
-        for j in range(SHINGLE):
-            there = at + j < last
-            token = mix(token * np.uint64(0x9E3779B97F4A7C15) + np.where(there, word[np.minimum(at + j, len(word) - 1)] | np.uint64(1), np.uint64(0)))
-        return np.repeat(np.arange(len(size)), many), token
-
-
-class Hasher:
-    """Words to 64-bit hashes, each word once; emptied when it has grown too large."""
-
-    def __init__(self):
-        self.vocabulary, self.table, self.n = Vocabulary(), np.empty(1 << 16, np.uint64), 0
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        from xxhash import xxh64_intdigest
-
-        if self.n > 500_000:
-            self.__init__()
-        local = self.vocabulary.encode(words)
-        new = self.vocabulary.words[self.n :]
-        if self.n + len(new) > len(self.table):
-            self.table = np.concatenate([self.table[: self.n], np.empty(self.n + 2 * len(new), np.uint64)])
-        self.table[self.n : self.n + len(new)] = [xxh64_intdigest(w, 42) for w in new]
-        self.n += len(new)
-        return self.table[local]
-
-
-def _lines(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+        self.start, self.size, self.row, self.number, self.hash = (x[index] for x in (self.start, self.size, self.row, self.number, self.hash))
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, token) of every shingle, with repeats; lines in order."""
+        many = np.maximum(self.size - SHINGLE + 1, 1)
+        at = ranges(self.start, many)
+        return np.repeat(np.arange(len(many)), many), self.span(at, np.minimum(at + SHINGLE, np.repeat(self.start + self.size, many)))
+
+
+def _lines(batches: Iterator[pa.RecordBatch], at: int, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+    """Some rows at a time: of some `most` bytes, or one."""
     for b in batches:
-        for k in range(0, b.num_rows, 500):
-            part = b.slice(k, 500)
+        size = np.append(pa.compute.fill_null(pa.compute.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64), most)
+        k = 0
+        while k < b.num_rows:
+            n = max(1, int(np.searchsorted(np.cumsum(size[k:]), most)))
+            part = b.slice(k, min(n, b.num_rows - k))
             yield part, Lines(part.column(at).to_pylist())
+            k += part.num_rows
 
 
 def _fresh(x: Lines, sent: set) -> None:
@@ -146,11 +150,11 @@ def bucketed_sum(df: DataFrame, count, bits: int) -> np.ndarray:
 
 def rarity(docs: DataFrame) -> np.ndarray:
     def count(batches):
-        total, hashed, sent = np.zeros(1 << SKETCH, np.int64), Hasher(), set()
+        total, sent = np.zeros(1 << SKETCH, np.int64), set()
         for _, x in _lines(batches, 0):
             _fresh(x, sent)
             if len(x.hash):
-                total += np.bincount((x.tokens(hashed)[1] & np.uint64((1 << SKETCH) - 1)).astype(np.int64), minlength=1 << SKETCH)
+                total += np.bincount((x.tokens()[1] & np.uint64((1 << SKETCH) - 1)).astype(np.int64), minlength=1 << SKETCH)
         return total
 
     return bucketed_sum(docs.select("text"), count, SKETCH)
@@ -174,7 +178,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.minimum(sketch.value, (1 << 12) - 1).astype(np.uint64)
-        hashed, sent = Hasher(), {}
+        sent = {}
         for b, x in _lines(batches, 1):
             doc, tie = _places(b, x)
             # the first of equal lines of these texts, unless the task has sent an earlier one
@@ -191,7 +195,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             new = np.array(new)
             x.pick(new)
             doc, tie = doc[new], tie[new]
-            of, token = x.tokens(hashed)
+            of, token = x.tokens()
             # one sort by line, rarity, token; equal tokens of a line fall together
             key = (of.astype(np.uint64) << np.uint64(44)) | (seen[(token & np.uint64((1 << SKETCH) - 1)).astype(np.int64)] << np.uint64(32)) | (token >> np.uint64(32))
             order = np.argsort(key)
@@ -378,13 +382,13 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(spots(pairs.select("line", "other")))  # 2^FILTER bits
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, sent = Hasher(), set()
+        sent = set()
         for _, x in _lines(batches, 0):
             if len(x.hash):
                 x.pick(np.flatnonzero(_set(wanted.value, x.hash)))
                 _fresh(x, sent)
             if len(x.hash):
-                of, token = x.tokens(hashed)
+                of, token = x.tokens()
                 order = np.lexsort((token, of))
                 of, token = of[order], token[order]
                 first = np.ones(len(of), bool)
