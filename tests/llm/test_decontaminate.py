@@ -56,6 +56,7 @@ def test_empty_tables_and_clean(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert dc.contamination(d.limit(0), b).count() == 0
     assert {r.n_hit for r in dc.contamination(d, b.limit(0)).collect()} == {0}
+    d = d.selectExpr("*", "1 as whole", "2 as h")
     kept = dc.clean(d, b)
     bad = [r for r in slow(docs, items) if r[2]]
     assert kept.count() == len(docs) - len(bad) and kept.columns == d.columns

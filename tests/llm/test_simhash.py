@@ -2,6 +2,7 @@ import itertools
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from tidegate.llm import simhash
 
@@ -68,5 +69,6 @@ def test_dense_cluster_is_one_component(spark):
 
 def test_keep_first(spark):
     t = " ".join(f"w{i}" for i in range(80))
-    docs = spark.createDataFrame([(3, t, "a"), (1, t, "b"), (1, t, "b"), (2, "other text of its own kind", "c"), (None, t, "d")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(3, t, "a"), (1, t, "b"), (1, t, "b"), (2, "other text of its own kind", "c"), (None, t, "d")], "doc_id long, text string, lang string").withColumn("_fp", F.lit(1))
+    assert simhash.keep_first(docs).columns == docs.columns
     assert sorted((r.doc_id or 0, r.lang) for r in simhash.keep_first(docs).collect()) == [(0, "d"), (1, "b"), (2, "c")]

@@ -135,16 +135,17 @@ def summary(hits: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, most: float = 0.0) -> DataFrame:
     """The rows of docs, with their columns, of which a share of at most `most` of the words is hit."""
-    key = [F.col("doc_id"), F.xxhash64("text").alias("_h"), F.length("text").alias("_l")]
-    named = docs.select("text", F.struct(*[F.col("doc_id"), F.xxhash64("text").alias("h"), F.length("text").alias("l")]).alias("row"))
-    hits, _ = materialize(find(named, items), "hits")
+    row = F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("h"), F.length(docs["text"]).alias("l"))
+    hits, _ = materialize(find(docs.select("text", row.alias("row")), items), "hits")
     per = summary(hits)
     if most > 0:
-        size = docs.select(F.struct(F.col("doc_id"), key[1].alias("h"), key[2].alias("l")).alias("row"), F.size(words(F.col("text"))).alias("n_words"))
-        per = per.join(size.distinct(), F.col("hit_row").eqNullSafe(F.col("row"))).filter(F.col("n_hit") > most * F.col("n_words"))
-    bad = per.select(F.col("hit_row.doc_id").alias("_d"), F.col("hit_row.h").alias("_bh"), F.col("hit_row.l").alias("_bl")).distinct()
-    marked = docs.select(*[docs[c] for c in docs.columns], *key[1:])
-    return marked.join(bad, marked["doc_id"].eqNullSafe(bad["_d"]) & (marked["_h"] == bad["_bh"]) & (marked["_l"].eqNullSafe(bad["_bl"])), "left_anti").drop("_h", "_l")
+        size = docs.select(row.alias("row"), F.size(words(docs["text"])).alias("n_words")).distinct()
+        per = per.join(size, F.col("hit_row").eqNullSafe(F.col("row"))).filter(F.col("n_hit") > most * F.col("n_words"))
+    bad = per.select(F.col("hit_row.doc_id").alias("d"), F.col("hit_row.h").alias("h"), F.col("hit_row.l").alias("l")).distinct().alias("bad")
+    # the row travels as one column, so that names of the input's columns are of no matter
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), row.alias("row")).alias("m")
+    found = F.col("m.row.doc_id").eqNullSafe(F.col("bad.d")) & (F.col("m.row.h") == F.col("bad.h")) & F.col("m.row.l").eqNullSafe(F.col("bad.l"))
+    return marked.join(bad, found, "left_anti").select("whole.*")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -54,16 +54,16 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(np.packbits(2 * ones > len(raw), bitorder="little").view(np.int64)[0])
 
 
-def with_fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+def with_fingerprints(docs: DataFrame, size: int = 3, name: str = "_fp") -> DataFrame:
     """docs and a column _fp (long); the columns pass through."""
     names = docs.columns
-    schema = docs.select("*", F.lit(0).cast("long").alias("_fp")).schema
+    schema = docs.select("*", F.lit(0).cast("long").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = names.index("text")
             got = pa.array([fingerprint(t.as_py(), size) for t in batch.column(at)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -155,11 +155,14 @@ def keep_first(docs: DataFrame, size: int = 5) -> DataFrame:
     keep, _ = materialize(named.join(found, "_fp").filter("doc_id = component_id").groupBy("component_id").agg(F.min("_fp").alias("_fp"), F.count("*").alias("rows")).select(F.col("component_id").alias("doc_id"), "_fp", "rows"), "simhash-keep")
     again = not keep.filter("rows > 1").isEmpty()
     drop(spark, path)
-    rows = with_fingerprints(docs, size)
-    kept = rows.join(keep.select("doc_id", "_fp"), ["doc_id", "_fp"], "left_semi").select(rows.columns)
+    mark = "_fp"
+    while mark.lower() in map(str.lower, docs.columns):  # a column of the input may have any name
+        mark += "_"
+    rows = with_fingerprints(docs, size, mark)
+    kept = rows.join(keep.select("doc_id", F.col("_fp").alias(mark)), ["doc_id", mark], "left_semi").select(rows.columns)
     if again:
-        kept = kept.dropDuplicates(["doc_id", "_fp"])
-    return kept.union(rows.filter("doc_id is null")).drop("_fp")
+        kept = kept.dropDuplicates(["doc_id", mark])
+    return kept.union(rows.filter("doc_id is null")).drop(mark)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
