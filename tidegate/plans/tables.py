@@ -22,7 +22,7 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "attempt_count": "CAST(event_id % 3 AS INT)",
         "post_attempt_count": "CAST(event_id % 2 AS INT)",
         "exec_claim_owner_id": "CASE WHEN event_id % 17 = 0 THEN 'w1' END",
-        "erp_acknowledged_at": "CASE WHEN event_type = 'view' THEN ts + INTERVAL '1' DAY END",
+        "acknowledged_at": "CASE WHEN event_type = 'view' THEN ts + INTERVAL '1' DAY END",
         "result_status": "CASE WHEN event_id % 9 = 0 THEN 'dead_letter' WHEN event_id % 9 = 1 THEN NULL ELSE 'success' END",
         "payload": "CASE WHEN event_id % 97 = 0 THEN NULL ELSE props END",
         "payload_hash": "props",
