@@ -38,6 +38,7 @@ SHINGLE = 5
 SKETCH = 18
 FILTER = 24
 TILE = 2048
+SENT = 150_000  # lines that a task remembers having sent
 NO_ID = -(1 << 63)
 
 
@@ -61,7 +62,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """1, base, base^2, ... mod 2^64, at least n of them."""
     if len(_powers.get(base, ())) < n:
-        x = np.full(max(n, 1 << 20), base, np.uint64)
+        x = np.full(max(n, 1 << 19), base, np.uint64)
         x[0] = 1
         _powers[base] = np.multiply.accumulate(x)
     return _powers[base]
@@ -106,7 +107,7 @@ class Lines:
         return np.repeat(np.arange(len(many)), many), self.span(at, np.minimum(at + SHINGLE, np.repeat(self.start + self.size, many)))
 
 
-def _lines(batches: Iterator[pa.RecordBatch], at: int, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+def _lines(batches: Iterator[pa.RecordBatch], at: int, most: int = 384 << 10) -> Iterator[tuple[pa.RecordBatch, Lines]]:
     """Some rows at a time: of some `most` bytes, or one."""
     for b in batches:
         size = np.append(pa.compute.fill_null(pa.compute.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64), most)
@@ -122,7 +123,7 @@ def _fresh(x: Lines, sent: set) -> None:
     """Keep lines that the task has not met before; which one of equal lines is of no matter to their tokens."""
     new = [i for i, h in enumerate(x.hash.tolist()) if h not in sent and not sent.add(h)]
     x.pick(np.array(new, np.int64))
-    if len(sent) > 500_000:
+    if len(sent) > SENT:
         sent.clear()
 
 
@@ -188,7 +189,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 if h not in sent or at < sent[h]:
                     sent[h] = at
                     new.append(i)
-            if len(sent) > 500_000:
+            if len(sent) > SENT:
                 sent.clear()
             if not new:
                 continue
