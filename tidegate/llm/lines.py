@@ -37,7 +37,7 @@ from .common import drop, materialize, pack, partitions, ranges, read, unpack
 SHINGLE = 5
 SKETCH = 18
 FILTER = 24
-TILE = 2048
+TILE = 1024
 SENT = 150_000  # lines that a task remembers having sent
 NO_ID = -(1 << 63)
 
@@ -206,7 +206,9 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             of, token = of[first], token[first]
             n = np.bincount(of, minlength=len(x.hash))
             start = np.cumsum(n) - n
-            sign = np.bitwise_xor.reduceat(np.uint64(1) << (token >> np.uint64(58)), start)
+            spot = token >> np.uint64(56)
+            bit = np.uint64(1) << (spot & np.uint64(63))
+            sign = np.concatenate([np.bitwise_xor.reduceat(np.where(spot >> np.uint64(6) == k, bit, np.uint64(0)), start) for k in range(4)])
             many = n - -(-4 * n // 5) + 1  # a match of n has at least ceil(0.8 n) of its tokens
             pick = ranges(start, many)
             yield pa.RecordBatch.from_arrays([pa.array([pack(v)], pa.binary()) for v in (token[pick], many.astype(np.int32), n.astype(np.int32), x.hash, sign, doc, tie, x.number)], [c.split()[0] for c in STORE.split(", ")])
@@ -279,7 +281,7 @@ def shared_tokens(store: DataFrame) -> DataFrame:
     return store.select("tokens").mapInArrow(send, "part int, tokens binary, n binary").repartition(parts, "part").mapInArrow(add, "token long")
 
 
-BUCKET = "token long, line long, doc long, tie long, number int, size int, place int, sign long"
+BUCKET = "token long, line long, doc long, tie long, number int, size int, place int, s0 long, s1 long, s2 long, s3 long"
 
 
 def buckets(store: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -293,15 +295,15 @@ def buckets(store: DataFrame, bits: np.ndarray) -> DataFrame:
                 of = np.repeat(np.arange(len(many)), many)[keep]
                 place = keep - (np.cumsum(many) - many)[of]
                 each = [unpack(row[k], t)[of] for k, t in (("line", np.int64), ("doc", np.int64), ("tie", np.int64), ("number", np.int64), ("size", np.int32))]
-                columns = [token[keep].view(np.int64), *each, place, unpack(row["sign"], np.uint64)[of].view(np.int64)]
+                columns = [token[keep].view(np.int64), *each, place, *unpack(row["sign"], np.int64).reshape(4, -1)[:, of]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in (4, 5, 6) else pa.int64()) for k, v in enumerate(columns)], [c.split()[0] for c in BUCKET.split(", ")])
 
     return store.mapInArrow(run, BUCKET)
 
 
 def overlap_bound(a, b, sa, sb):
-    """Most tokens that sets of sizes a, b and parity sketches sa, sb can share: bits that differ are tokens that do."""
-    return (a + b - np.bitwise_count(sa ^ sb)) // 2
+    """Most tokens that sets of sizes a, b and parity sketches (256 bits) sa, sb can share: bits that differ are tokens that do."""
+    return (a + b - sum(np.bitwise_count(x ^ y).astype(np.int64) for x, y in zip(sa, sb, strict=True))) // 2
 
 
 def _candidates(everything: bool):
@@ -317,22 +319,22 @@ def _candidates(everything: bool):
                 least = needed(a, b)
                 ok = (i[:, None] > j[None, :]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
                 ok &= 1 + np.minimum(a - place[i, None], b - place[None, j]) - 1 >= least - np.minimum(place[i, None], place[None, j])
-                bound = overlap_bound(a, b, sign[i, None], sign[None, j])
+                bound = overlap_bound(a, b, [x[i, None] for x in sign], [x[None, j] for x in sign])
                 ok &= bound >= least
                 x, y = np.nonzero(ok)
                 yield i[x], j[y], (1000 * bound[x, y]) // (a[x, 0] + b[0, y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(8)] for b in batches]
+        parts = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(11)] for b in batches]
         if not parts:
             return
-        token, line, doc, tie, number, size, place, sign = (np.concatenate(x) for x in zip(*parts, strict=True))
+        token, line, doc, tie, number, size, place, *sign = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         # equal lines of several tasks: only the first is the line's place
         order = np.lexsort((number, tie, doc, line, token))
         order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (line[order][1:] != line[order][:-1])])]
         order = order[np.lexsort((number[order], tie[order], doc[order], token[order]))]
-        token, line, size, place, sign, doc, tie, number = (v[order] for v in (token, line, size.astype(np.int64), place.astype(np.int64), sign.view(np.uint64), doc, tie, number))
+        token, line, size, place, doc, tie, number, *sign = (v[order] for v in (token, line, size.astype(np.int64), place.astype(np.int64), doc, tie, number, *(x.view(np.uint64) for x in sign)))
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff(np.append(first, len(token)))
         best: dict[int, tuple] = {}
@@ -360,12 +362,12 @@ def _candidates(everything: bool):
             least = needed(a, b)
             ok = (line[x] != line[y]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (np.minimum(a - place[x], b - place[y]) + np.minimum(place[x], place[y]) >= least)
             x, y = x[ok], y[ok]
-            bound = overlap_bound(size[x], size[y], sign[x], sign[y])
+            bound = overlap_bound(size[x], size[y], [v[x] for v in sign], [v[y] for v in sign])
             ok = bound >= least[ok]
             x, y = x[ok], y[ok]
             note(x, y, (1000 * bound[ok]) // (size[x] + size[y]))
         for s, n in zip(first[count > 64].tolist(), count[count > 64].tolist(), strict=True):
-            for x, y, r in pairs(n, size[s : s + n], place[s : s + n], sign[s : s + n]):
+            for x, y, r in pairs(n, size[s : s + n], place[s : s + n], [v[s : s + n] for v in sign]):
                 keep = line[s + x] != line[s + y]
                 note(s + x[keep], s + y[keep], r[keep])
         if not everything:
@@ -419,7 +421,7 @@ def similar(docs: DataFrame) -> DataFrame:
         drop(spark, store_path, best_path, rest_path)
         return hit
     # buckets of the lines still open: their rows, and the rows they may match
-    near = rows.join(rows.join(rest, "line", "left_semi").select("token").distinct(), "token", "left_semi")
+    near = buckets(store, spots(rows.join(rest, "line", "left_semi").select("token")))
     more = near.repartition(n, "token").mapInArrow(_candidates(True), "line long, other long, rank long").join(rest, "line", "left_semi").select("line", "other").distinct()
     more, more_path = materialize(more, "more")
     late, _ = materialize(verify(more, docs), "similar-late")
