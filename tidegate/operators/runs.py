@@ -43,10 +43,21 @@ def publish_cursors(current: DataFrame, captured: DataFrame) -> DataFrame:
     )
 
 
-dispatch = operator("""
-SELECT j.job_id, r.run_id FROM {jobs} j JOIN {runs} r ON r.run_id = j.run_id
-WHERE j.status = 'waiting' AND r.status = 'pending' ORDER BY coalesce(r.started_at, r.created_at), r.run_id LIMIT 100
-""")
+def dispatch(jobs: DataFrame, runs: DataFrame, owners: DataFrame, manifests: DataFrame, job_manifests: DataFrame) -> DataFrame:
+    """job_id, run_id of the first 100 waiting jobs that may start, by their runs' age.
+
+    A job's mode, version and entities must be its run's (manifests: run_id, entity_name); no older pending run may share
+    an entity, and no entity may be owned. All of it is decided before the limit, so that a busy head hides no eligible job.
+    """
+    pending = runs.filter("status = 'pending'").select("run_id", "created_at", "mode", "version")
+    entities = pending.join(manifests, "run_id").groupBy("run_id", "created_at").agg(F.collect_set("entity_name").alias("entities"))
+    owned = manifests.join(owners.filter("released_at IS NULL"), "entity_name", "left_semi").select("run_id")
+    same = same_sets(manifests, job_manifests, "run_id", "entity_name").filter("same")
+    eligible = pending.join(overlapping(entities), "run_id", "left_semi").join(owned, "run_id", "left_anti").join(same, "run_id", "left_semi")
+    own = jobs.filter("status = 'waiting'").join(eligible, ["run_id", "mode", "version"])
+    return own.orderBy("created_at", "run_id", "job_id").limit(100).select("job_id", "run_id")
+
+
 busy = operator("SELECT r.run_id FROM {runs} r ANTI JOIN (SELECT entity_name FROM {owners} WHERE released_at IS NULL) o ON o.entity_name = r.entity_name WHERE r.status = 'pending'")
 elder = operator("SELECT r.run_id, j.job_id FROM {runs} r LEFT JOIN {jobs} j ON j.run_id = r.run_id WHERE r.status IN ('pending', 'blocked')")
 sensitive_files = operator("SELECT b.batch_id FROM {batches} b JOIN {entities} e ON e.run_id = b.run_id AND e.entity_name = b.entity_name WHERE e.sensitive AND b.status <> 'acknowledged'")
@@ -59,6 +70,8 @@ last_run = operator("SELECT c.entity_name, c.cursor_at, r.status FROM {cursors}
 attempt_blockers = operator("SELECT b.run_id, count(*) AS attempts FROM {attempts} a JOIN {batches} b ON b.batch_id = a.batch_id WHERE a.outcome NOT IN ('precheck') GROUP BY b.run_id")
 due_uploads = operator("""
 SELECT b.batch_id FROM {batches} b SEMI JOIN (SELECT run_id FROM {runs} WHERE status IN ('pending', 'failed')) r ON r.run_id = b.run_id
+SEMI JOIN (SELECT entity_name, owner_run_id FROM {owners} WHERE released_at IS NULL) o ON o.owner_run_id = b.run_id AND o.entity_name = b.entity_name
+ANTI JOIN (SELECT batch_id FROM {attempts} WHERE outcome <> 'precheck') a ON a.batch_id = b.batch_id
 WHERE b.status = 'ready' ORDER BY b.created_at, b.batch_id LIMIT 200
 """)
 due_completions = operator("SELECT run_id FROM {runs} WHERE status = 'succeeded' ORDER BY coalesce(started_at, created_at), run_id LIMIT 50")

@@ -286,7 +286,45 @@ def _cas(name: str, captured: str) -> None:
 _cas("cursor_cas_conflict", "captured")
 _cas("cursor_cas_commit", "captured_clean")
 
-relational("job_dispatch", r.dispatch, jobs="jobs", runs="runs")
+
+# The reference's predicates, row by row (SqliteAgentStore.EtlOwnership.cs:157-177, EtlSendAttempts.cs:77-84).
+@query(
+    "job_dispatch",
+    """SELECT j.job_id, r.run_id FROM jobs j JOIN runs r ON r.run_id = j.run_id
+    WHERE j.status = 'waiting' AND r.status = 'pending' AND j.mode = r.mode AND j.version IS NOT NULL AND j.version = r.version
+      AND EXISTS (SELECT 1 FROM manifests m WHERE m.run_id = r.run_id)
+      AND r.run_id NOT IN (SELECT run_id FROM (SELECT run_id, entity_name FROM manifests EXCEPT SELECT run_id, entity_name FROM job_manifests) x)
+      AND r.run_id NOT IN (SELECT run_id FROM (SELECT run_id, entity_name FROM job_manifests EXCEPT SELECT run_id, entity_name FROM manifests) x)
+      AND NOT EXISTS (SELECT 1 FROM runs p JOIN manifests e2 ON e2.run_id = p.run_id JOIN manifests e1 ON e1.entity_name = e2.entity_name
+                      WHERE e1.run_id = r.run_id AND p.status = 'pending' AND p.run_id <> r.run_id AND (p.created_at < r.created_at OR (p.created_at = r.created_at AND p.run_id < r.run_id)))
+      AND NOT EXISTS (SELECT 1 FROM manifests e JOIN manifest_owners o ON o.entity_name = e.entity_name AND o.released_at IS NULL WHERE e.run_id = r.run_id)
+    ORDER BY r.created_at, r.run_id, j.job_id LIMIT 100""",
+    "jobs",
+    "runs",
+    "manifests",
+    "job_manifests",
+    "manifest_owners",
+)
+def job_dispatch(spark, d):
+    return r.dispatch(*[table(spark, d, t) for t in ("jobs", "runs", "manifest_owners", "manifests", "job_manifests")])
+
+
+@query(
+    "due_uploads",
+    """SELECT b.batch_id FROM batches b
+    WHERE b.status = 'ready' AND EXISTS (SELECT 1 FROM runs r WHERE r.run_id = b.run_id AND r.status IN ('pending', 'failed'))
+      AND EXISTS (SELECT 1 FROM batch_owners o WHERE o.entity_name = b.entity_name AND o.owner_run_id = b.run_id AND o.released_at IS NULL)
+      AND NOT EXISTS (SELECT 1 FROM batch_attempts x WHERE x.batch_id = b.batch_id AND x.outcome <> 'precheck')
+    ORDER BY b.created_at, b.batch_id LIMIT 200""",
+    "batches",
+    "runs",
+    "batch_owners",
+    "batch_attempts",
+)
+def due_uploads(spark, d):
+    return r.due_uploads(batches=table(spark, d, "batches"), runs=table(spark, d, "runs"), owners=table(spark, d, "batch_owners"), attempts=table(spark, d, "batch_attempts"))
+
+
 relational("busy_entities", r.busy, runs="runs", owners="owners")
 relational("elder_runs", r.elder, runs="runs", jobs="jobs")
 relational("sensitive_files", r.sensitive_files, batches="batches", entities="entities")
@@ -294,7 +332,6 @@ relational("sensitive_entities", r.sensitive_entities, entities="entities")
 relational("ownership_join", r.owned_batches, owners="owned", bindings="bindings")
 relational("last_run_of_cursor", r.last_run, cursors="cursors", runs="runs")
 relational("attempt_blockers", r.attempt_blockers, attempts="batch_attempts", batches="batches")
-relational("due_uploads", r.due_uploads, batches="batches", runs="runs")
 relational("due_completions", r.due_completions, runs="runs")
 relational("active_config", r.active_config, configs="configs")
 relational("latest_version", r.latest_version, entities="priorities", configs="configs")

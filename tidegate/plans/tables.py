@@ -73,11 +73,17 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "failure_code": "CASE WHEN o_orderstatus = 'O' AND o_orderkey % 6 = 0 THEN 'READ_FAILED' END",
         "owner": "o_custkey % 4",
         "chain": "o_custkey % 5",
+        "mode": "CASE WHEN o_orderkey % 7 = 0 THEN 'bootstrap_full' ELSE 'incremental' END",
+        "version": "o_custkey % 6",
     }),
-    "jobs": ("orders", "o_orderkey % 2 = 0", {"job_id": "o_orderkey + 1000000", "run_id": "o_orderkey", "status": "CASE WHEN o_custkey % 3 = 0 THEN 'waiting' ELSE 'finished' END"}),
+    "jobs": ("orders", "o_orderkey % 2 = 0", {"job_id": "o_orderkey + 1000000", "run_id": "o_orderkey", "status": "CASE WHEN o_custkey % 3 = 0 THEN 'waiting' ELSE 'finished' END", "mode": "CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 38 <> 0 THEN 'bootstrap_full' ELSE 'incremental' END", "version": "CASE WHEN o_orderkey % 58 = 0 THEN NULL WHEN o_orderkey % 62 = 0 THEN o_custkey % 6 + 1 ELSE o_custkey % 6 END"}),
     "bindings": ("orders", "o_orderkey % 4 <> 1", {"run_id": "o_orderkey", "entity_name": "o_orderpriority", "expected_epoch": "o_custkey % 3"}),
     "owners": ("nation", "n_nationkey < 4", {"entity_name": "CASE n_nationkey WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' ELSE '9-OTHER' END", "owner_run_id": "CAST(n_nationkey * 4 AS BIGINT)", "epoch": "CAST(n_nationkey % 3 AS BIGINT)", "released_at": "CASE WHEN n_nationkey = 1 THEN 1 END"}),
     "owned": ("orders", "o_orderkey % 10 = 0", {"entity_name": "o_orderpriority", "owner_run_id": "o_orderkey", "epoch": "o_custkey % 2", "released_at": "CASE WHEN o_orderkey % 100 = 0 THEN 1 END"}),
+    "manifests": ("lineitem", None, {"run_id": "l_orderkey", "entity_name": "CAST(l_partkey AS STRING)"}),
+    "job_manifests": ("lineitem", None, {"run_id": "l_orderkey", "entity_name": "CASE WHEN l_orderkey % 46 = 0 AND l_linenumber = 1 THEN 'other' ELSE CAST(l_partkey AS STRING) END"}),
+    "manifest_owners": ("part", None, {"entity_name": "CAST(p_partkey AS STRING)", "owner_run_id": "p_partkey", "released_at": "CASE WHEN p_partkey % 12 <> 0 THEN 1 END"}),
+    "batch_owners": ("lineitem", None, {"entity_name": "l_returnflag", "owner_run_id": "l_orderkey", "epoch": "l_orderkey % 3 + 1", "released_at": "CASE WHEN l_orderkey % 20 = 1 THEN 1 END"}),
     "batches": ("lineitem", None, {
         "batch_id": "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)",
         "run_id": "l_orderkey",
