@@ -1,4 +1,5 @@
 from tidegate.operators import runs as r
+from tidegate.operators import verification as v
 
 
 def test_dispatch_decides_before_the_limit(spark):
@@ -20,3 +21,27 @@ def test_due_uploads_needs_owner_and_clean_attempts(spark):
     owners = spark.createDataFrame([(i, "x", 1 if i == 3 else None) for i in range(7) if i != 2], "owner_run_id long, entity_name string, released_at int")
     attempts = spark.createDataFrame([("b1", "precheck"), ("b4", "precheck"), ("b4", "unknown"), ("b5", "refused")], "batch_id string, outcome string")
     assert [x.batch_id for x in r.due_uploads(batches=batches, runs=runs, owners=owners, attempts=attempts).collect()] == ["b0", "b1"]
+
+
+def test_inert_runs_have_no_trace(spark):
+    columns = "run_id long, status string, started_at int, finished_at int, failure_code string, chain int"
+    plain = {i: ["pending", None, None, None, 0] for i in range(12)}
+    for i, (at, value) in {2: (1, 5), 3: (2, 5), 4: (3, "X"), 5: (4, 1), 6: (0, "blocked")}.items():
+        plain[i][at] = value
+    runs = spark.createDataFrame([(i, *x) for i, x in plain.items()], columns)
+    one = lambda i, name="run_id": spark.createDataFrame([(i,)], f"{name} long")
+    jobs = spark.createDataFrame([(1, "waiting"), (7, "finished")], "run_id long, status string")
+    got = r.inert(runs=runs, batches=one(8), entities=one(9), bindings=one(10), owners=one(11, "owner_run_id"), jobs=jobs)
+    assert sorted(x.run_id for x in got.collect()) == [0, 1]
+
+
+def test_readiness(spark):
+    runs = spark.createDataFrame([(i,) for i in range(13)], "run_id long")
+    state = {3: "dead_letter", 4: "ready"}
+    batches = spark.createDataFrame([(i, "a", 5, state.get(i, "acknowledged")) for i in range(1, 13)] + [(11, "b", 5, "acknowledged")], "run_id long, entity_name string, row_count long, status string")
+    entities = spark.createDataFrame([(i, "a", 2 if i == 5 else 1, 6 if i == 2 else 5, "X" if i == 10 else None) for i in range(1, 13)], "run_id long, entity_name string, expected_batches long, expected_rows long, failure_code string")
+    bindings = spark.createDataFrame([(i, "a", 0 if i == 7 else 2) for i in range(1, 13) if i != 6] + [(12, "b", 2)], "run_id long, entity_name string, expected_epoch long")
+    owners = spark.createDataFrame([("a", i, 0 if i == 7 else 3 if i == 8 else 2, 1 if i == 9 else None) for i in range(1, 13)], "entity_name string, owner_run_id long, epoch long, released_at int")
+    got = {x.run_id: x.readiness for x in v.readiness(runs=runs, entities=entities, batches=batches, owners=owners, bindings=bindings).collect()}
+    want = "legacy ready violated violated transient violated ownership ownership ownership ownership violated violated ownership"
+    assert [got[i] for i in range(13)] == want.split()

@@ -148,8 +148,10 @@ create_scheduled = operator("SELECT DISTINCT d.entity_name FROM {definitions} d
 notices = operator("SELECT e.run_id, e.entity_name, coalesce(e.failure_code, 'INTERRUPTED') AS code, sum(e.expected_rows) OVER (PARTITION BY e.run_id) AS rows_total FROM {entities} e JOIN {runs} r ON r.run_id = e.run_id WHERE r.status IN ('failed', 'blocked')")
 notice_queue = operator("SELECT run_id FROM {runs} WHERE status IN ('failed', 'blocked') ORDER BY created_at, run_id LIMIT 100")
 inert = operator("""
-SELECT r.run_id FROM {runs} r ANTI JOIN {batches} b ON b.run_id = r.run_id ANTI JOIN {jobs} j ON j.run_id = r.run_id
-WHERE r.status = 'pending' AND r.failure_code IS NULL AND r.chain = 0
+SELECT r.run_id FROM {runs} r ANTI JOIN {batches} b ON b.run_id = r.run_id ANTI JOIN {entities} e ON e.run_id = r.run_id
+ANTI JOIN {bindings} g ON g.run_id = r.run_id ANTI JOIN {owners} o ON o.owner_run_id = r.run_id
+ANTI JOIN (SELECT run_id FROM {jobs} WHERE status <> 'waiting') j ON j.run_id = r.run_id
+WHERE r.status = 'pending' AND r.started_at IS NULL AND r.finished_at IS NULL AND r.failure_code IS NULL AND r.chain = 0
 """)
 duplicate_claims = operator("SELECT entity_name, count(*) AS n FROM {runs} WHERE status = 'pending' GROUP BY entity_name HAVING count(*) > 1")
 constraints = operator("""

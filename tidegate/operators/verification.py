@@ -64,13 +64,26 @@ SELECT run_id, sum(expected_rows) AS rows_total, sum(expected_batches) AS batche
 FROM {entities} GROUP BY run_id
 """)
 
+# Owned: planned, bound and actively owned entities are the same, at the same positive epochs.
 readiness = operator("""
 SELECT r.run_id,
-       CASE WHEN e.n IS NULL THEN 'legacy' WHEN e.n <> coalesce(b.entities, 0) OR e.batches <> coalesce(b.batches, 0) THEN 'violated'
-            WHEN r.owner = 0 THEN 'ownership' WHEN b.open > 0 THEN 'transient' ELSE 'ready' END AS readiness
+       CASE WHEN e.n IS NULL THEN 'legacy' WHEN e.wrong > 0 OR e.failed >= e.n THEN 'violated' WHEN NOT o.holds THEN 'ownership'
+            WHEN b.dead > 0 THEN 'violated' WHEN b.open > 0 THEN 'transient' WHEN coalesce(b.n, 0) <> e.batches THEN 'violated' ELSE 'ready' END AS readiness
 FROM {runs} r
-LEFT JOIN (SELECT run_id, count(*) AS n, sum(expected_batches) AS batches FROM {entities} GROUP BY run_id) e ON e.run_id = r.run_id
-LEFT JOIN (SELECT run_id, count(DISTINCT entity_name) AS entities, count(*) AS batches, count_if(status <> 'acknowledged') AS open FROM {batches} GROUP BY run_id) b ON b.run_id = r.run_id
+LEFT JOIN (
+  SELECT p.run_id, count(*) AS n, sum(p.expected_batches) AS batches, count_if(p.failure_code IS NOT NULL) AS failed,
+         count_if(p.expected_batches IS NULL OR p.expected_batches < CASE WHEN p.failure_code IS NULL THEN 1 ELSE 0 END OR p.expected_batches <> coalesce(a.n, 0) OR p.expected_rows IS DISTINCT FROM coalesce(a.t, 0)) AS wrong
+  FROM {entities} p LEFT JOIN (SELECT run_id, entity_name, count(*) AS n, sum(row_count) AS t FROM {batches} GROUP BY run_id, entity_name) a ON a.run_id = p.run_id AND a.entity_name = p.entity_name
+  GROUP BY p.run_id) e ON e.run_id = r.run_id
+LEFT JOIN (
+  SELECT run_id, bool_and(m = 1 AND coalesce(bound > 0 AND bound = owned, FALSE)) AS holds FROM (
+    SELECT run_id, entity_name, max(m) AS m, max(bound) AS bound, max(owned) AS owned FROM (
+      SELECT run_id, entity_name, 1 AS m, CAST(NULL AS BIGINT) AS bound, CAST(NULL AS BIGINT) AS owned FROM {entities}
+      UNION ALL SELECT run_id, entity_name, 0, expected_epoch, NULL FROM {bindings}
+      UNION ALL SELECT owner_run_id, entity_name, 0, NULL, epoch FROM {owners} WHERE released_at IS NULL) x
+    GROUP BY run_id, entity_name) y
+  GROUP BY run_id) o ON o.run_id = r.run_id
+LEFT JOIN (SELECT run_id, count(*) AS n, count_if(status IN ('dead_letter', 'deleted')) AS dead, count_if(status <> 'acknowledged') AS open FROM {batches} GROUP BY run_id) b ON b.run_id = r.run_id
 """)
 
 latest_failed = operator("""

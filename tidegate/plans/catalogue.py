@@ -169,7 +169,32 @@ relational("batch_aggregate", v.batch_aggregate, batches="batches")
 relational("read_scope", v.read_scope, entities="entities")
 relational("seal_check", v.seal, entities="entities", batches="batches")
 relational("run_totals", v.run_totals, entities="entities")
-relational("claim_readiness", v.readiness, runs="runs", entities="entities", batches="batches")
+
+
+# The reference's checks in their order (SqliteAgentStore.EtlFinalize.cs:1279-1345, EtlOwnership.cs:367-390).
+@query(
+    "claim_readiness",
+    """SELECT r.run_id, CASE WHEN r.run_id NOT IN (SELECT run_id FROM entities) THEN 'legacy'
+      WHEN r.run_id IN (SELECT e.run_id FROM entities e LEFT JOIN batches b ON b.run_id = e.run_id AND b.entity_name = e.entity_name GROUP BY e.run_id, e.entity_name, e.expected_batches, e.expected_rows, e.failure_code
+                        HAVING e.expected_batches IS NULL OR (e.failure_code IS NULL AND e.expected_batches < 1) OR e.expected_batches <> count(b.batch_id) OR e.expected_rows IS DISTINCT FROM coalesce(sum(b.row_count), 0)) THEN 'violated'
+      WHEN r.run_id NOT IN (SELECT run_id FROM entities WHERE failure_code IS NULL) THEN 'violated'
+      WHEN r.run_id IN (SELECT e.run_id FROM entities e WHERE NOT EXISTS (SELECT 1 FROM batch_bindings g JOIN batch_owners o ON o.entity_name = g.entity_name AND o.owner_run_id = g.run_id AND o.epoch = g.expected_epoch
+                        WHERE g.run_id = e.run_id AND g.entity_name = e.entity_name AND g.expected_epoch > 0 AND o.released_at IS NULL)) THEN 'ownership'
+      WHEN r.run_id IN (SELECT g.run_id FROM batch_bindings g WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.run_id = g.run_id AND e.entity_name = g.entity_name)) THEN 'ownership'
+      WHEN r.run_id IN (SELECT o.owner_run_id FROM batch_owners o WHERE o.released_at IS NULL AND NOT EXISTS (SELECT 1 FROM entities e WHERE e.run_id = o.owner_run_id AND e.entity_name = o.entity_name)) THEN 'ownership'
+      WHEN r.run_id IN (SELECT run_id FROM batches WHERE status IN ('dead_letter', 'deleted')) THEN 'violated'
+      WHEN r.run_id IN (SELECT run_id FROM batches WHERE status <> 'acknowledged') THEN 'transient'
+      WHEN r.run_id IN (SELECT b.run_id FROM batches b WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.run_id = b.run_id AND e.entity_name = b.entity_name)) THEN 'violated' ELSE 'ready' END AS readiness FROM runs r""",
+    "runs",
+    "entities",
+    "batches",
+    "batch_owners",
+    "batch_bindings",
+)
+def claim_readiness(spark, d):
+    return v.readiness(runs=table(spark, d, "runs"), entities=table(spark, d, "entities"), batches=table(spark, d, "batches"), owners=table(spark, d, "batch_owners"), bindings=table(spark, d, "batch_bindings"))
+
+
 relational("latest_run_per_entity", v.latest_failed, runs="runs")
 relational("completion_items", v.completion, entities="entities", runs="runs")
 relational("source_unchanged", v.source_unchanged, before="before", after="after")
@@ -361,7 +386,26 @@ relational("fence_legacy", r.fence_legacy, runs="runs", bindings="bindings")
 relational("create_scheduled", r.create_scheduled, definitions="priorities", runs="runs")
 relational("closing_notices", r.notices, entities="entities", runs="runs")
 relational("notice_queue", r.notice_queue, runs="runs")
-relational("inert_runs", r.inert, runs="runs", batches="batches", jobs="jobs")
+
+
+# The reference's predicate (SqliteAgentStore.EtlOwnership.cs:593-614), as far as the tables have its columns.
+@query(
+    "inert_runs",
+    """SELECT r.run_id FROM runs r WHERE r.status = 'pending' AND r.started_at IS NULL AND r.finished_at IS NULL AND r.failure_code IS NULL AND r.chain = 0
+      AND NOT EXISTS (SELECT 1 FROM batches b WHERE b.run_id = r.run_id) AND NOT EXISTS (SELECT 1 FROM entities e WHERE e.run_id = r.run_id)
+      AND NOT EXISTS (SELECT 1 FROM bindings g WHERE g.run_id = r.run_id) AND NOT EXISTS (SELECT 1 FROM owned o WHERE o.owner_run_id = r.run_id)
+      AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.run_id = r.run_id AND j.status <> 'waiting')""",
+    "runs",
+    "batches",
+    "entities",
+    "bindings",
+    "owned",
+    "jobs",
+)
+def inert_runs(spark, d):
+    return r.inert(runs=table(spark, d, "runs"), batches=table(spark, d, "batches"), entities=table(spark, d, "entities"), bindings=table(spark, d, "bindings"), owners=table(spark, d, "owned"), jobs=table(spark, d, "jobs"))
+
+
 relational("duplicate_claims", r.duplicate_claims, runs="runs")
 relational("constraint_report", r.constraints, runs="runs")
 relational("snapshot_clock", r.snapshot_clock, configs="configs")

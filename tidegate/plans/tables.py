@@ -84,6 +84,7 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
     "job_manifests": ("lineitem", None, {"run_id": "l_orderkey", "entity_name": "CASE WHEN l_orderkey % 46 = 0 AND l_linenumber = 1 THEN 'other' ELSE CAST(l_partkey AS STRING) END"}),
     "manifest_owners": ("part", None, {"entity_name": "CAST(p_partkey AS STRING)", "owner_run_id": "p_partkey", "released_at": "CASE WHEN p_partkey % 12 <> 0 THEN 1 END"}),
     "batch_owners": ("lineitem", None, {"entity_name": "l_returnflag", "owner_run_id": "l_orderkey", "epoch": "l_orderkey % 3 + 1", "released_at": "CASE WHEN l_orderkey % 20 = 1 THEN 1 END"}),
+    "batch_bindings": ("lineitem", None, {"run_id": "l_orderkey", "entity_name": "CASE WHEN l_orderkey % 34 = 0 THEN 'X' ELSE l_returnflag END", "expected_epoch": "CASE WHEN l_orderkey % 26 = 0 THEN 0 WHEN l_orderkey % 22 = 0 THEN l_orderkey % 3 + 2 ELSE l_orderkey % 3 + 1 END"}),
     "batches": ("lineitem", None, {
         "batch_id": "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)",
         "run_id": "l_orderkey",
