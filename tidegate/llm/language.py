@@ -8,8 +8,8 @@ n-grams times the presence matrix of the landmarks, times the coefficients: two
 Letters are lower-cased; anything that is no letter is one separator. Letters beyond the ALPHABET most frequent of the
 training texts count as one and the same letter.
 
-The classifier is fitted on a bounded sample, at most SAMPLE training rows (those of the smallest id hashes); every
-text is scored whole.
+The classifier is fitted on a bounded sample, at most SAMPLE training rows: LEAST of each language, the rest by its
+share, those of the smallest id hashes. Every text is scored whole.
 
 Defined results: null text, or one without a letter: lang_pred 'und', score 0. Null lang: the row is not learned from.
 Without training rows every text is 'und'. Repeated rows give repeated rows. Extra columns of the input are ignored.
@@ -23,12 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_of, read
 
 SAMPLE = 2400
+LEAST = 40  # rows of a rare language in the sample
 LANDMARKS = 160
 ALPHABET = 90
 RIDGE = 1e-3
@@ -149,8 +150,33 @@ def sample(docs: DataFrame, learn: Column, bound: int) -> DataFrame:
     return docs.filter(learn & (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 32)) < cut))
 
 
+def quotas(counts: dict[str, int], bound: int) -> dict[str, int]:
+    """Rows of each language, `bound` at most in all: LEAST of it (fewer if there are many languages), then by its share."""
+    least = {n: min(c, LEAST, max(1, bound // (2 * len(counts)))) for n, c in counts.items()}
+    rest, left = sum(counts.values()) - sum(least.values()), bound - sum(least.values())
+    return {n: least[n] + (min(c - least[n], left * (c - least[n]) // rest) if rest else 0) for n, c in counts.items()}
+
+
+def by_language(docs: DataFrame, learn: Column, bound: int) -> DataFrame:
+    """At most `bound` rows for which learn holds, some of each lang, the same ones at any partitioning: those of small id hashes.
+
+    Beyond `bound` languages those of most rows count.
+    """
+    spark = docs.sparkSession
+    counts = docs.filter(learn).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(bound).collect()
+    if not counts:
+        return docs.filter(F.lit(False))
+    counts = {r.lang: r["count"] for r in counts}
+    # a cut that leaves few more rows than the quota, so that little is sorted
+    cuts = [(n, q, int(min(1.0, (q + 6 * q**0.5 + 12) / counts[n]) * (1 << 32))) for n, q in quotas(counts, bound).items()]
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 32))
+    rows = docs.filter(learn).withColumn("_place", place).join(F.broadcast(spark.createDataFrame(cuts, "lang string, _quota int, _cut long")), "lang").filter("_place < _cut")  # `bound` rows at most
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id", "text")))
+    return ranked.filter("_rank <= _quota").select(docs.columns)
+
+
 def train(docs: DataFrame, learn: Column) -> Model | None:
-    rows = sample(docs.filter("text is not null and lang is not null"), learn, SAMPLE).select("doc_id", "text", "lang").limit(2 * SAMPLE).collect()
+    rows = by_language(docs.filter("text is not null and lang is not null").select("doc_id", "text", "lang", learn.alias("_learn")), F.col("_learn"), SAMPLE).select("doc_id", "text", "lang").collect()
     rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.text))
     return fit([r.text for r in rows], [r.lang for r in rows])
 
