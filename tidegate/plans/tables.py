@@ -27,9 +27,9 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "payload": "CASE WHEN event_id % 97 = 0 THEN NULL ELSE props END",
         "payload_hash": "props",
     }),
-    "incoming": ("events", "event_id % 4 = 0", {"command_id": "CASE WHEN event_id % 8 = 0 THEN event_id ELSE event_id + 10000000 END", "payload": "CASE WHEN event_id % 12 = 0 THEN NULL ELSE props END", "payload_hash": "CASE WHEN event_id % 16 = 0 THEN props ELSE 'other' END"}),
+    "incoming": ("events", None, {"command_id": "CASE WHEN event_id % 8 = 0 THEN event_id ELSE event_id + 10000000 END", "payload": "CASE WHEN event_id % 12 = 0 THEN NULL ELSE props END", "payload_hash": "CASE WHEN event_id % 16 = 0 THEN props ELSE 'other' END"}),
     "results": ("events", "event_type IN ('view', 'signup')", {"result_id": "event_id", "command_id": "event_id", "status": "CASE WHEN event_id % 8 = 0 THEN 'pending' ELSE 'acknowledged' END", "created_at": "ts"}),
-    "command_jobs": ("events", "event_id % 7 = 0", {"job_id": "event_id", "command_id": "event_id", "status": "CASE WHEN event_id % 3 = 0 THEN 'running' WHEN event_id % 3 = 1 THEN 'finished' ELSE 'cancelled' END"}),
+    "command_jobs": ("events", None, {"job_id": "event_id", "command_id": "CASE WHEN event_id % 7 = 0 THEN event_id ELSE -event_id END", "status": "CASE WHEN event_id % 3 = 0 THEN 'running' WHEN event_id % 3 = 1 THEN 'finished' ELSE 'cancelled' END"}),
     "command_attempts": ("events", "event_id % 3 = 0", {"command_id": "event_id % 5000", "attempt_no": "event_id", "started_at": "ts", "outcome": "CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END"}),
     "failures": ("events", None, {
         "event_id": "event_id",
@@ -76,10 +76,10 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "mode": "CASE WHEN o_orderkey % 7 = 0 THEN 'bootstrap_full' ELSE 'incremental' END",
         "version": "o_custkey % 6",
     }),
-    "jobs": ("orders", "o_orderkey % 2 = 0", {"job_id": "o_orderkey + 1000000", "run_id": "o_orderkey", "status": "CASE WHEN o_custkey % 3 = 0 THEN 'waiting' ELSE 'finished' END", "mode": "CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 38 <> 0 THEN 'bootstrap_full' ELSE 'incremental' END", "version": "CASE WHEN o_orderkey % 58 = 0 THEN NULL WHEN o_orderkey % 62 = 0 THEN o_custkey % 6 + 1 ELSE o_custkey % 6 END"}),
-    "bindings": ("orders", "o_orderkey % 4 <> 1", {"run_id": "o_orderkey", "entity_name": "o_orderpriority", "expected_epoch": "o_custkey % 3"}),
+    "jobs": ("orders", None, {"job_id": "o_orderkey + 1000000", "run_id": "CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE -o_orderkey END", "status": "CASE WHEN o_custkey % 3 = 0 THEN 'waiting' ELSE 'finished' END", "mode": "CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 38 <> 0 THEN 'bootstrap_full' ELSE 'incremental' END", "version": "CASE WHEN o_orderkey % 58 = 0 THEN NULL WHEN o_orderkey % 62 = 0 THEN o_custkey % 6 + 1 ELSE o_custkey % 6 END"}),
+    "bindings": ("orders", None, {"run_id": "CASE WHEN o_orderkey % 4 <> 1 THEN o_orderkey ELSE -o_orderkey END", "entity_name": "o_orderpriority", "expected_epoch": "o_custkey % 3"}),
     "owners": ("nation", "n_nationkey < 4", {"entity_name": "CASE n_nationkey WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' ELSE '9-OTHER' END", "owner_run_id": "CAST(n_nationkey * 4 AS BIGINT)", "epoch": "CAST(n_nationkey % 3 AS BIGINT)", "released_at": "CASE WHEN n_nationkey = 1 THEN 1 END"}),
-    "owned": ("orders", "o_orderkey % 10 = 0", {"entity_name": "o_orderpriority", "owner_run_id": "o_orderkey", "epoch": "o_custkey % 2", "released_at": "CASE WHEN o_orderkey % 100 = 0 THEN 1 END"}),
+    "owned": ("orders", None, {"entity_name": "o_orderpriority", "owner_run_id": "CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey ELSE -o_orderkey END", "epoch": "o_custkey % 2", "released_at": "CASE WHEN o_orderkey % 100 = 1 THEN 1 END"}),
     "manifests": ("lineitem", None, {"run_id": "l_orderkey", "entity_name": "CAST(l_partkey AS STRING)"}),
     "job_manifests": ("lineitem", None, {"run_id": "l_orderkey", "entity_name": "CASE WHEN l_orderkey % 46 = 0 AND l_linenumber = 1 THEN 'other' ELSE CAST(l_partkey AS STRING) END"}),
     "manifest_owners": ("part", None, {"entity_name": "CAST(p_partkey AS STRING)", "owner_run_id": "p_partkey", "released_at": "CASE WHEN p_partkey % 12 <> 0 THEN 1 END"}),
@@ -101,21 +101,21 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "hash": "CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE l_returnflag || CAST(l_suppkey AS STRING) END",
         "rows_accepted": "CASE WHEN l_partkey % 30 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END",
     }),
-    "files": ("lineitem", "l_partkey % 10 <> 0", {
-        "batch_id": "CASE WHEN l_partkey % 33 = 0 THEN 'lost-' || CAST(l_orderkey AS STRING) ELSE CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) END",
+    "files": ("lineitem", None, {
+        "batch_id": "CASE WHEN l_partkey % 33 = 0 THEN 'lost-' || CAST(l_orderkey AS STRING) WHEN l_partkey % 10 = 0 THEN 'gone-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) ELSE CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) END",
         "bytes": "CAST(floor(l_extendedprice) AS BIGINT)",
         "quarantined": "l_linenumber = 7",
     }),
-    "configs": ("orders", "o_orderkey % 8 < 5", {"run_id": "o_orderkey", "entity_name": "o_orderpriority", "version": "o_custkey * 20000 + o_orderkey % 20000", "status": "CASE WHEN o_orderkey % 8 = 0 THEN 'rejected' WHEN o_orderkey % 8 = 1 THEN 'active' ELSE 'superseded' END"}),
-    "cursors": ("customer", "c_custkey % 3 <> 0", {"entity_name": "c_name", "cursor_at": "c_custkey * 10", "generation": "c_custkey % 4", "fingerprint": "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END", "last_run_id": "c_custkey"}),
-    "captured": ("customer", "c_custkey % 3 = 1", {"entity_name": "c_name", "base_at": "CASE WHEN c_custkey % 100 = 1 THEN c_custkey ELSE c_custkey * 10 END", "base_generation": "c_custkey % 4", "next_at": "c_custkey * 10 + 7"}),
-    "captured_clean": ("customer", "c_custkey % 3 = 2", {"entity_name": "c_name", "base_at": "c_custkey * 10", "base_generation": "c_custkey % 4", "next_at": "c_custkey * 10 + 7"}),
-    "fresh": ("customer", "c_custkey % 2 = 0", {"entity_name": "c_name", "cursor_at": "c_custkey * 10 + 5"}),
-    "definitions": ("customer", "c_custkey % 7 <> 0", {"entity_name": "c_name", "enabled": "c_nationkey <> 3", "sync_mode": "CASE WHEN c_nationkey = 5 THEN 'Manual_Only' ELSE 'incremental' END", "mode": "CASE WHEN c_custkey % 2 = 0 THEN 'incremental' ELSE 'bootstrap_full' END", "fingerprint": "CASE WHEN c_custkey % 11 = 0 THEN 'X' ELSE c_mktsegment END", "generation": "c_custkey % 8"}),
+    "configs": ("orders", None, {"run_id": "o_orderkey", "entity_name": "o_orderpriority", "version": "o_custkey * 20000 + o_orderkey % 20000", "status": "CASE WHEN o_orderkey % 8 = 0 THEN 'rejected' WHEN o_orderkey % 8 = 1 THEN 'active' ELSE 'superseded' END"}),
+    "cursors": ("customer", None, {"entity_name": "CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE 'old ' || c_name END", "cursor_at": "c_custkey * 10", "generation": "c_custkey % 4", "fingerprint": "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END", "last_run_id": "c_custkey"}),
+    "captured": ("customer", None, {"entity_name": "c_name", "base_at": "CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 100 = 1 THEN c_custkey ELSE c_custkey * 10 END", "base_generation": "CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 4 END", "next_at": "c_custkey * 10 + 7"}),
+    "captured_clean": ("customer", None, {"entity_name": "c_name", "base_at": "CASE WHEN c_custkey % 3 <> 0 THEN c_custkey * 10 END", "base_generation": "CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 4 END", "next_at": "c_custkey * 10 + 7"}),
+    "fresh": ("customer", None, {"entity_name": "CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'new ' || c_name END", "cursor_at": "c_custkey * 10 + 5"}),
+    "definitions": ("customer", None, {"entity_name": "CASE WHEN c_custkey % 7 <> 0 THEN c_name ELSE 'new ' || c_name END", "enabled": "c_nationkey <> 3", "sync_mode": "CASE WHEN c_nationkey = 5 THEN 'Manual_Only' ELSE 'incremental' END", "mode": "CASE WHEN c_custkey % 2 = 0 THEN 'incremental' ELSE 'bootstrap_full' END", "fingerprint": "CASE WHEN c_custkey % 11 = 0 THEN 'X' ELSE c_mktsegment END", "generation": "c_custkey % 8"}),
     "flags": ("region", None, {"entity_name": "CASE r_regionkey WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'X' || CAST(r_regionkey AS STRING) END"}),
     "priorities": ("region", None, {"entity_name": "CASE r_regionkey WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '5-LOW' ELSE '7-NEW' END"}),
     "before": ("supplier", None, {"entity_name": "s_name", "base_id": "CAST(s_nationkey AS BIGINT)", "version": "s_suppkey"}),
-    "after": ("supplier", "s_suppkey % 9 <> 0", {"entity_name": "s_name", "base_id": "CASE WHEN s_suppkey % 10 = 0 THEN CAST(99 AS BIGINT) ELSE CAST(s_nationkey AS BIGINT) END", "version": "CASE WHEN s_suppkey % 14 = 0 THEN s_suppkey + 1 ELSE s_suppkey END"}),
+    "after": ("supplier", None, {"entity_name": "CASE WHEN s_suppkey % 9 <> 0 THEN s_name ELSE 'new ' || s_name END", "base_id": "CASE WHEN s_suppkey % 10 = 0 THEN CAST(99 AS BIGINT) ELSE CAST(s_nationkey AS BIGINT) END", "version": "CASE WHEN s_suppkey % 14 = 0 THEN s_suppkey + 1 ELSE s_suppkey END"}),
 }
 
 # Planned entities of a run: what its batches come to, bent for some runs so that checks have something to find.
