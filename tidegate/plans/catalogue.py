@@ -171,7 +171,7 @@ relational("seal_check", v.seal, entities="entities", batches="batches")
 relational("run_totals", v.run_totals, entities="entities")
 
 
-# The reference's checks in their order (SqliteAgentStore.EtlFinalize.cs:1279-1345, EtlOwnership.cs:367-390).
+# The checks in their order, each as a set of runs.
 @query(
     "claim_readiness",
     """SELECT r.run_id, CASE WHEN r.run_id NOT IN (SELECT run_id FROM entities) THEN 'legacy'
@@ -312,7 +312,7 @@ _cas("cursor_cas_conflict", "captured")
 _cas("cursor_cas_commit", "captured_clean")
 
 
-# The reference's predicates, row by row (SqliteAgentStore.EtlOwnership.cs:157-177, EtlSendAttempts.cs:77-84).
+# The predicates, row by row.
 @query(
     "job_dispatch",
     """SELECT j.job_id, r.run_id FROM jobs j JOIN runs r ON r.run_id = j.run_id
@@ -388,7 +388,7 @@ relational("closing_notices", r.notices, entities="entities", runs="runs")
 relational("notice_queue", r.notice_queue, runs="runs")
 
 
-# The reference's predicate (SqliteAgentStore.EtlOwnership.cs:593-614), as far as the tables have its columns.
+# The predicate row by row, as far as the tables have its columns.
 @query(
     "inert_runs",
     """SELECT r.run_id FROM runs r WHERE r.status = 'pending' AND r.started_at IS NULL AND r.finished_at IS NULL AND r.failure_code IS NULL AND r.chain = 0
