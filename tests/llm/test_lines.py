@@ -56,3 +56,25 @@ def test_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b\nc"), (1, "a b\nc"), (2, "c\na b\nd")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text, r.n_removed) for r in lines.dedup(docs).collect()) == [(1, "a b\nc", 0), (1, "a b\nc", 0), (2, "d", 2)]
     assert lines.dedup(docs.limit(0)).count() == 0
+
+
+def test_hot_tokens_and_rounds(spark, monkeypatch):
+    """Blocks of a few rows and one candidate a round: lines stay open, and are held against all blocks."""
+    monkeypatch.setattr(lines, "HOT", 12)
+    monkeypatch.setattr(lines, "SLICES", 1)
+    monkeypatch.setattr(lines, "KEEP", 1)
+    rows = cases(3)
+    # a hot group in which most pairs fail: all share a rare prefix, few match
+    rng = random.Random(5)
+    rows += [(600 + i, " ".join([f"p{k}" for k in range(6)] + [f"q{rng.randrange(3)}{k}" for k in range(14)] + [f"z{rng.randrange(40)}"])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup(docs).collect()} == dict(slow(rows))
+
+
+def test_a_text_of_more_than_a_million_lines(spark):
+    words = [f"c{i}" for i in range(60)]
+    near = words[:59] + ["other"]
+    long = "\n".join(map(str, range(1_150_000))) + "\n" + " ".join(near)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, long), (3, "17\n" + " ".join(words))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, len(r.text)) for r in lines.dedup(docs).collect()}
+    assert got == {1: (0, len(docs.first().text)), 2: (1, len(long) - len(" ".join(near)) - 1), 3: (2, 0)}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +24,75 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new local one where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a new local one if Spark itself is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidegate-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    What no drop() deletes, since a lazy result still reads it, goes when the driver's JVM ends, or with its scratch().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
+    where, fs = _path(spark, path)
+    fs.deleteOnExit(where)
+    for held in _scratch:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is materialized within: for a result that has been written elsewhere by the end."""
+    held: list[str] = []
+    _scratch.append(held)
+    try:
+        yield
+    finally:
+        _scratch.remove(held)
+        drop(spark, *held)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow, after which the worker gives its memory back: workers outlive tasks, and their parts of an executor add up."""
+
+    def tidy(batches):
+        yield from run(batches)
+        release()
+
+    ship(df.sparkSession)
+    return df.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete intermediates that no later step reads."""
     for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        where, fs = _path(spark, path)
+        fs.delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

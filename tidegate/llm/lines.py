@@ -28,17 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, pack, partitions, ranges, read, unpack
+from .common import drop, map_arrow, materialize, pack, partitions, ranges, read, unpack
 
 SHINGLE = 5
 SKETCH = 18
-FILTER = 24
+FILTER = (24, 29)  # sizes of filters, as powers of two: from 2 MB to 32 MB
 TILE = 1024
-SENT = 150_000  # lines that a task remembers having sent
+KEEP = 8  # candidates of a line verified in the first round, the best of them first
+SLICES = 8  # for each partition of a shuffle
+HOT = 20_000  # rows of a token that are one block
+DEALT = 16 << 20  # bytes that a task holds before it sends them
+SENT = 100_000  # lines that a task remembers having sent
 NO_ID = -(1 << 63)
 
 
@@ -60,63 +63,100 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base^2, ... mod 2^64, at least n of them."""
-    if len(_powers.get(base, ())) < n:
-        x = np.full(max(n, 1 << 19), base, np.uint64)
-        x[0] = 1
-        _powers[base] = np.multiply.accumulate(x)
-    return _powers[base]
+    """1, base, base^2, ... mod 2^64, at least n of them. Up to 2^19 are kept; longer texts make their own."""
+    if len(_powers.get(base, ())) >= n:
+        return _powers[base]
+    x = np.full(max(n, 1 << 19), base, np.uint64)
+    x[0] = 1
+    x = np.multiply.accumulate(x)
+    if n <= 1 << 19:
+        _powers[base] = x
+    return x
 
 
 def spans(values: np.ndarray, base: int):
     """A function of arrays (start, end) that gives a hash of each span of values, from sums of values times powers."""
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * powers(base, len(values))[: len(values)], out=total[1:])
-    inverse = pow(base, -1, 1 << 64)
-    return lambda start, end: mix((total[end] - total[start]) * powers(inverse, len(values) + 1)[start] + (end - start).astype(np.uint64))
+    inverse = powers(pow(base, -1, 1 << 64), len(values) + 1)
+    return lambda start, end: mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
 class Lines:
     """Lines with words of some texts: row, number in the row's text, and hash of each. All by array operations."""
 
-    def __init__(self, texts: list[str | None]):
-        data = [(t or "").encode("utf-8", "replace").lower() for t in texts]
-        n_lines = np.fromiter((d.count(b"\n") + 1 for d in data), np.int64, len(data))
-        raw = np.frombuffer(b"\n".join(data), np.uint8)
+    def __init__(self, texts: list, base: int = 0):
+        """texts: UTF-8. Lines of the texts are numbered from base."""
+        joined = b"\n".join(texts).lower()
+        raw = np.frombuffer(joined, np.uint8)
         blank = np.ones(len(raw) + 2, bool)
         blank[1:-1] = _SPACE[raw]
         edge = np.flatnonzero(blank[1:] != blank[:-1])
         start, end = edge[::2], edge[1::2]
         word = spans(raw.astype(np.uint64) + np.uint64(1), _ODD[0])(start, end)
-        line = np.searchsorted(np.flatnonzero(raw == 10), start)  # line ends before the word
-        first = np.flatnonzero(np.diff(line, prepend=-1))
-        self.start, self.size = first, np.diff(np.append(first, len(word)))
+        breaks = np.flatnonzero(raw == 10)
+        bound = np.concatenate([[0], np.searchsorted(start, breaks), [len(start)]])  # words before each line
+        line = np.flatnonzero(bound[1:] > bound[:-1])
+        self.start, self.size = bound[line], (bound[1:] - bound[:-1])[line]
         self.span = spans(word, _ODD[1])
-        before = np.cumsum(n_lines) - n_lines
-        self.row = np.repeat(np.arange(len(data)), n_lines)[line[first]] if len(first) else np.empty(0, np.int64)
-        self.number = line[first] - before[self.row]
+        length = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        first = np.searchsorted(breaks, np.cumsum(length) - length)  # line in which each text begins
+        self.row = np.searchsorted(first, line, side="right") - 1
+        self.number = line - first[self.row] + base
         self.hash = self.span(self.start, self.start + self.size).view(np.int64)
 
     def pick(self, index: np.ndarray) -> None:
         self.start, self.size, self.row, self.number, self.hash = (x[index] for x in (self.start, self.size, self.row, self.number, self.hash))
 
-    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line, token) of every shingle, with repeats; lines in order."""
-        many = np.maximum(self.size - SHINGLE + 1, 1)
-        at = ranges(self.start, many)
-        return np.repeat(np.arange(len(many)), many), self.span(at, np.minimum(at + SHINGLE, np.repeat(self.start + self.size, many)))
-
-
-def _lines(batches: Iterator[pa.RecordBatch], at: int, most: int = 384 << 10) -> Iterator[tuple[pa.RecordBatch, Lines]]:
-    """Some rows at a time: of some `most` bytes, or one."""
+    def tokens(self, at: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """(line, token) of every shingle of the lines at `at`, with repeats; lines in order, from 0."""
+        start, size = self.start[at], self.size[at]
+        many = np.maximum(size - SHINGLE + 1, 1)
+        here = ranges(start, many)
+        return np.repeat(np.arange(len(many)), many), self.span(here, np.minimum(here + SHINGLE, np.repeat(start + size, many)))
+
+    def pieces(self, most: int = 1 << 17) -> Iterator[slice]:
+        """Lines in runs of some `most` words, or one: bounds what tokens() gives at once."""
+        total, k = np.cumsum(self.size), 0
+        while k < len(total):
+            n = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + most)))
+            yield slice(k, n)
+            k = n
+
+
+def _texts(column: pa.Array) -> list:
+    """UTF-8 of each text, without a copy; null is empty."""
+    if not len(column):
+        return []
+    at = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = memoryview(column.buffers()[2] or b"")
+    empty = column.is_null().to_pylist() if column.null_count else [False] * len(column)
+    return [b"" if e else data[s:t] for s, t, e in zip(at[:-1], at[1:], empty, strict=True)]
+
+
+def _lines(batches: Iterator[pa.RecordBatch], at: int, most: int = 192 << 10) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+    """Some rows at a time: of some `most` bytes, or one, and of a longer text some lines at a time."""
     for b in batches:
-        size = np.append(pa.compute.fill_null(pa.compute.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64), most)
+        texts = _texts(b.column(at))
         k = 0
-        while k < b.num_rows:
-            n = max(1, int(np.searchsorted(np.cumsum(size[k:]), most)))
-            part = b.slice(k, min(n, b.num_rows - k))
-            yield part, Lines(part.column(at).to_pylist())
-            k += part.num_rows
+        while k < len(texts):
+            n, size = k + 1, len(texts[k])
+            while n < len(texts) and size + len(texts[n]) <= most:
+                size += len(texts[n])
+                n += 1
+            part = b.slice(k, n - k)
+            if size <= most:
+                yield part, Lines(texts[k:n])
+            else:
+                data, s, number = bytes(texts[k]), 0, 0
+                while s < len(data):
+                    e = len(data) if s + most >= len(data) else data.rfind(b"\n", s, s + most)
+                    e = e if e >= 0 else data.find(b"\n", s + most)
+                    e = e if e >= 0 else len(data)
+                    yield part, Lines([data[s:e]], number)
+                    number += data.count(b"\n", s, e) + 1
+                    s = e + 1
+            k = n
 
 
 def _fresh(x: Lines, sent: set) -> None:
@@ -127,40 +167,50 @@ def _fresh(x: Lines, sent: set) -> None:
         sent.clear()
 
 
-def bucketed_sum(df: DataFrame, count, bits: int) -> np.ndarray:
-    """Sum over tasks of count(batches), an array of 2^bits numbers; tasks send it in blocks, Spark adds the blocks."""
-    block = 1 << min(bits, 12)
+def bits_for(n: int) -> int | None:
+    """Size, as a power of two, of a filter for n numbers: 8 places a number or more; none where that is too much to broadcast."""
+    return next((b for b in range(*FILTER) if 1 << b >= 8 * n), None)
+
+
+def _spot(x: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(x.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def spots(df: DataFrame) -> np.ndarray | None:
+    """Bits of a filter that holds every number in df's columns; None (everything may be in it) where they are too many."""
+    bits = bits_for(df.count() * len(df.columns))
+    if bits is None:
+        return None
+    block = 1 << 12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = count(batches)
-        at = np.flatnonzero(total.reshape(-1, block).any(axis=1))
-        for k in at.tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k * block : (k + 1) * block].astype("<i8").tobytes()], pa.binary())], ["k", "v"])
+        found = np.zeros(1 << bits, bool)
+        for b in batches:
+            for c in b.columns:
+                found[_spot(c.to_numpy(zero_copy_only=False), bits)] = True
+        packed = np.packbits(found)
+        for k in np.flatnonzero(packed.reshape(-1, block).any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed[k * block : (k + 1) * block].tobytes()], pa.binary())], ["k", "v"])
 
-    def add(pdf):
+    def either(pdf):
         import pandas as pd
 
-        total = sum(np.frombuffer(v, "<i8") for v in pdf["v"])
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "v": [np.minimum(total, (1 << 31) - 1).astype("<i4").tobytes()]})
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "v": [np.bitwise_or.reduce([np.frombuffer(v, np.uint8) for v in pdf["v"]]).tobytes()]})
 
-    out = np.zeros(1 << bits, np.int32)
-    for r in df.mapInArrow(run, "k int, v binary").groupBy("k").applyInPandas(add, "k int, v binary").collect():
-        out[r.k * block : (r.k + 1) * block] = np.frombuffer(r.v, "<i4")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in df.mapInArrow(run, "k int, v binary").groupBy("k").applyInPandas(either, "k int, v binary").collect():
+        out[r.k * block : (r.k + 1) * block] = np.frombuffer(r.v, np.uint8)
     return out
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    def count(batches):
-        total, sent = np.zeros(1 << SKETCH, np.int64), set()
-        for _, x in _lines(batches, 0):
-            _fresh(x, sent)
-            if len(x.hash):
-                total += np.bincount((x.tokens()[1] & np.uint64((1 << SKETCH) - 1)).astype(np.int64), minlength=1 << SKETCH)
-        return total
-
-    return bucketed_sum(docs.select("text"), count, SKETCH)
+def _set(bits: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+    if bits is None:
+        return np.ones(len(x), bool)
+    at = _spot(x, len(bits).bit_length() + 2)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+PLACES = "line long, doc long, tie long, number int, k int, v binary"
 STORE = "tokens binary, many binary, size binary, line binary, sign binary, doc binary, tie binary, number binary"
 
 
@@ -173,13 +223,58 @@ def _places(b: pa.RecordBatch, x: Lines) -> tuple[np.ndarray, np.ndarray]:
     return tuple(b.column(k).to_numpy(zero_copy_only=False)[x.row] if len(x.row) else np.empty(0, np.int64) for k in (0, 2))
 
 
+def at_row(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """A hash of a row's key."""
+    return mix(mix(doc.view(np.uint64)) + tie.view(np.uint64)).view(np.int64)
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """PLACES: a row for each line (k null); and what each task counted of tokens, in blocks k of a sketch v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in PLACES.split(", ")]
+        total, sent, block = np.zeros(1 << SKETCH, np.int64), set(), 1 << 12
+        for b, x in _lines(batches, 1):
+            doc, tie = _places(b, x)
+            yield pa.RecordBatch.from_arrays([pa.array(x.hash, pa.int64()), pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(x.number.astype(np.int32), pa.int32()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.binary())], names)
+            _fresh(x, sent)
+            for at in x.pieces():
+                total += np.bincount((x.tokens(at)[1] & np.uint64((1 << SKETCH) - 1)).astype(np.int64), minlength=1 << SKETCH)
+        for k in np.flatnonzero(total.reshape(-1, block).any(axis=1)).tolist():
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([k], pa.int32()), pa.array([total[k * block : (k + 1) * block].astype("<i8").tobytes()], pa.binary())], names)
+
+    return map_arrow(keyed(docs), run, PLACES)
+
+
+def rarity(blocks: DataFrame) -> np.ndarray:
+    """Sum of the sketches (k, v); a block has the same few bytes whatever the corpus."""
+
+    def add(pdf):
+        import pandas as pd
+
+        total = sum(np.frombuffer(v, "<i8") for v in pdf["v"])
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "v": [total.astype("<i8").tobytes()]})
+
+    out, block = np.zeros(1 << SKETCH, np.int64), 1 << 12
+    for r in blocks.groupBy("k").applyInPandas(add, "k int, v binary").collect():
+        out[r.k * block : (r.k + 1) * block] = np.frombuffer(r.v, "<i8")
+    return out
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """STORE: packed prefixes of the distinct lines of some texts at a time."""
-    sketch = docs.sparkSession.sparkContext.broadcast(counts)  # 2^SKETCH numbers
+    # rarity in 255 steps of a logarithm: it comes first in the order of tokens
+    steps = docs.sparkSession.sparkContext.broadcast(np.minimum(255, 8 * np.log2(counts + 1.0)).astype(np.uint8))  # 2^SKETCH bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.minimum(sketch.value, (1 << 12) - 1).astype(np.uint64)
-        sent = {}
+        seen, sent, ready = steps.value, {}, []
+
+        def flush():
+            columns = [np.concatenate(v, axis=-1) for v in zip(*ready, strict=True)]
+            ready.clear()
+            return pa.RecordBatch.from_arrays([pa.array([pack(v.reshape(-1))], pa.binary()) for v in columns], [c.split()[0] for c in STORE.split(", ")])
+
         for b, x in _lines(batches, 1):
             doc, tie = _places(b, x)
             # the first of equal lines of these texts, unless the task has sent an earlier one
@@ -196,24 +291,29 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             new = np.array(new)
             x.pick(new)
             doc, tie = doc[new], tie[new]
-            of, token = x.tokens()
-            # one sort by line, rarity, token; equal tokens of a line fall together
-            key = (of.astype(np.uint64) << np.uint64(44)) | (seen[(token & np.uint64((1 << SKETCH) - 1)).astype(np.int64)] << np.uint64(32)) | (token >> np.uint64(32))
-            order = np.argsort(key)
-            of, token = of[order], token[order]
-            first = np.ones(len(of), bool)
-            first[1:] = (of[1:] != of[:-1]) | (token[1:] != token[:-1])
-            of, token = of[first], token[first]
-            n = np.bincount(of, minlength=len(x.hash))
-            start = np.cumsum(n) - n
-            spot = token >> np.uint64(56)
-            bit = np.uint64(1) << (spot & np.uint64(63))
-            sign = np.concatenate([np.bitwise_xor.reduceat(np.where(spot >> np.uint64(6) == k, bit, np.uint64(0)), start) for k in range(4)])
-            many = n - -(-4 * n // 5) + 1  # a match of n has at least ceil(0.8 n) of its tokens
-            pick = ranges(start, many)
-            yield pa.RecordBatch.from_arrays([pa.array([pack(v)], pa.binary()) for v in (token[pick], many.astype(np.int32), n.astype(np.int32), x.hash, sign, doc, tie, x.number)], [c.split()[0] for c in STORE.split(", ")])
-
-    return keyed(docs).mapInArrow(run, STORE)
+            for at in x.pieces():
+                of, token = x.tokens(at)
+                # one sort by line (in a piece, less than 2^18), rarity, token; equal tokens of a line fall together
+                key = (of.astype(np.uint64) << np.uint64(46)) | (seen[(token & np.uint64((1 << SKETCH) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(38)) | (token >> np.uint64(26))
+                order = np.argsort(key)
+                of, token = of[order], token[order]
+                first = np.ones(len(of), bool)
+                first[1:] = (of[1:] != of[:-1]) | (token[1:] != token[:-1])
+                of, token = of[first], token[first]
+                n = np.bincount(of, minlength=len(x.hash[at]))
+                start = np.cumsum(n) - n
+                spot = token >> np.uint64(56)
+                bit = np.uint64(1) << (spot & np.uint64(63))
+                sign = np.stack([np.bitwise_xor.reduceat(np.where(spot >> np.uint64(6) == k, bit, np.uint64(0)), start) for k in range(4)])
+                many = n - -(-4 * n // 5) + 1  # a match of n has at least ceil(0.8 n) of its tokens
+                pick = ranges(start, many)
+                ready.append((token[pick], many.astype(np.int32), n.astype(np.int32), x.hash[at], sign, doc[at], tie[at], x.number[at]))
+                if sum(len(r[0]) for r in ready) > 1 << 15:
+                    yield flush()
+        if ready:
+            yield flush()
+
+    return map_arrow(keyed(docs), run, STORE)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -222,230 +322,336 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield unpack(row["tokens"], np.uint64), row
 
 
-def _spot(x: np.ndarray) -> np.ndarray:
-    return (mix(x.view(np.uint64)) >> np.uint64(64 - FILTER)).astype(np.int64)
+def shared_tokens(store: DataFrame) -> DataFrame:
+    """token, n: those that prefixes of two different lines have, and how many rows have them.
 
+    Tasks send tokens with 32 bits of a hash of token and line: rows of equal lines, which copies of a text make, then
+    show as such, and are not dealt. Two different lines agree in these bits with a probability of 2^-32.
+    """
+    n = partitions(store.sparkSession)
 
-def spots(df: DataFrame) -> np.ndarray:
-    """Bits of a filter of 2^FILTER places, set for every number in df's columns."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for token, row in _unpacked(batches):
+            line = np.repeat(unpack(row["line"], np.uint64), unpack(row["many"], np.int32))
+            got.append({"to": _slice(mix(token), SLICES * n), "token": token, "mark": (mix(token ^ line) >> np.uint64(32)).astype(np.uint32)})
+            if _bytes(got) > DEALT:
+                yield from _dealt(got)
+                got = []
+        yield from _dealt(got)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER, bool)
-        for b in batches:
-            for c in b.columns:
-                bits[_spot(c.to_numpy(zero_copy_only=False))] = True
-        packed, block = np.packbits(bits), 1 << 12
-        for k in range(0, len(packed), block):
-            if packed[k : k + block].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // block], pa.int32()), pa.array([packed[k : k + block].tobytes()], pa.binary())], ["k", "v"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _slices(batches, {"token": np.uint64, "mark": np.uint32}):
+            order = np.argsort(rows["token"])
+            token, mark = rows["token"][order], rows["mark"][order]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            two = np.minimum.reduceat(mark, first) != np.maximum.reduceat(mark, first)
+            count = np.diff(np.append(first, len(token)))
+            yield pa.RecordBatch.from_arrays([pa.array(token[first[two]].view(np.int64)), pa.array(count[two])], ["token", "n"])
+
+    sent = map_arrow(store.select("tokens", "many", "line"), send, "slice int, token binary, mark binary")
+    return map_arrow(sent.repartition(n, "slice").sortWithinPartitions("slice"), add, "token long, n long")
+
+
+def _slice(x: np.ndarray, n: int) -> np.ndarray:
+    """A number below n for each hash, from its upper half."""
+    return (((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.uint16 if n <= 1 << 16 else np.int32)
+
+
+def _bytes(got: list[dict]) -> int:
+    return sum(v.nbytes for g in got for v in g.values())
+
+
+def _dealt(got: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Rows, by the slice they go to (column to), packed."""
+    if not got:
+        return
+    to = np.concatenate([g["to"] for g in got])
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    names = [k for k in got[0] if k != "to"]
+    columns = [np.concatenate([g[k] for g in got])[order] for k in names]
+    first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist() if len(to) else []
+    ends = [*first[1:], len(to)]
+    for k in range(0, len(first), 64):
+        rows = [pa.array([pack(v[s:e]) for s, e in zip(first[k : k + 64], ends[k : k + 64], strict=True)], pa.binary()) for v in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(to[first[k : k + 64]], pa.int32()), *rows], ["slice", *names])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], kinds: dict) -> Iterator[dict]:
+    """Arrays of each slice: rows come in the order of slices, so one slice at a time is held."""
+    now, got = None, []
+    for b in batches:
+        for row in b.to_pylist():
+            if row["slice"] != now and got:
+                yield {k: np.concatenate([g[k] for g in got]) for k in kinds}
+                got = []
+            now = row["slice"]
+            got.append({k: unpack(row[k], t) for k, t in kinds.items()})
+    if got:
+        yield {k: np.concatenate([g[k] for g in got]) for k in kinds}
 
-    def either(pdf):
-        import pandas as pd
 
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "v": [np.bitwise_or.reduce([np.frombuffer(v, np.uint8) for v in pdf["v"]]).tobytes()]})
+ROW = {"token": np.uint64, "block": np.int32, "line": np.int64, "doc": np.int64, "tie": np.int64, "number": np.int64, "size": np.int32, "place": np.int32, "s0": np.uint64, "s1": np.uint64, "s2": np.uint64, "s3": np.uint64, "open": np.uint8}
 
-    out = np.zeros((1 << FILTER) // 8, np.uint8)
-    for r in df.mapInArrow(run, "k int, v binary").groupBy("k").applyInPandas(either, "k int, v binary").collect():
-        out[r.k << 12 : (r.k + 1) << 12] = np.frombuffer(r.v, np.uint8)
-    return out
 
+def open_tokens(store: DataFrame, shared: np.ndarray | None, lines: np.ndarray | None) -> DataFrame:
+    """token: those that open lines share."""
+    sent = store.sparkSession.sparkContext.broadcast((shared, lines))  # filters of checked size
 
-def _set(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = _spot(x)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, still = sent.value
+        for row in (r for b in batches for r in b.to_pylist()):
+            line = unpack(row["line"], np.int64)
+            if not _set(still, line).any():
+                continue
+            line, token = np.repeat(line, unpack(row["many"], np.int32)), unpack(row["tokens"], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(token[_set(still, line) & _set(shared, token)]).view(np.int64))], ["token"])
 
+    out, _ = materialize(map_arrow(store.select("tokens", "many", "line"), run, "token long"), "open-tokens")
+    return out
 
-def shared_tokens(store: DataFrame) -> DataFrame:
-    """token: those that prefixes of two lines have. A task sends each token once, and says if it had it twice."""
-    parts = partitions(store.sparkSession)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [x[0] for x in _unpacked(batches)]
-        if not got:
-            return
-        token, n = np.unique(np.concatenate(got), return_counts=True)
-        del got
-        to = mix(token) % np.uint64(parts)
-        for p in range(parts):
-            here = to == p
-            if here.any():
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pack(token[here])], pa.binary()), pa.array([pack(np.minimum(n[here], 2).astype(np.uint8))], pa.binary())], ["part", "tokens", "n"])
+def deal(store: DataFrame, tokens: tuple, hot: dict[int, int], lines: np.ndarray | None) -> DataFrame:
+    """Rows of the tokens that all filters have, by slices. A hot token has blocks, dealt by line; an open line then goes to all of them.
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(unpack(r["tokens"], np.uint64), unpack(r["n"], np.uint8)) for b in batches for r in b.to_pylist()]
-        if rows:
-            token, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-            token, at = np.unique(token, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token[np.bincount(at, n) > 1].view(np.int64))], ["token"])
+    open: 0 a row that others may match, 1 one that also looks for matches, 2 a copy that only looks.
+    """
+    spark = store.sparkSession
+    n = partitions(spark)
+    sent = spark.sparkContext.broadcast((tokens, hot, lines))  # filters of checked size, and hot tokens: SLICES for each partition at most
 
-    return store.select("tokens").mapInArrow(send, "part int, tokens binary, n binary").repartition(parts, "part").mapInArrow(add, "token long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, hot, still = sent.value
+        hot_tokens = np.array(sorted(hot), np.uint64)
+        hot_blocks = np.array([hot[k] for k in sorted(hot)], np.int64)
+        got = []
+        for token, row in _unpacked(batches):
+            keep = np.flatnonzero(np.logical_and.reduce([_set(w, token) for w in wanted]))
+            if not len(keep):
+                continue
+            many = unpack(row["many"], np.int32).astype(np.int64)
+            of = np.repeat(np.arange(len(many)), many)[keep]
+            c = {k: unpack(row[k], t)[of] for k, t in (("line", np.int64), ("doc", np.int64), ("tie", np.int64), ("number", np.int64), ("size", np.int32))}
+            c |= {"token": token[keep], "place": (keep - (np.cumsum(many) - many)[of]).astype(np.int32), "block": np.zeros(len(keep), np.int32)}
+            c |= {f"s{k}": v for k, v in enumerate(unpack(row["sign"], np.uint64).reshape(4, -1)[:, of])}
+            c["open"] = np.ones(len(keep), np.uint8) if still is None else _set(still, c["line"]).astype(np.uint8)
+            if len(hot_tokens):
+                at = np.minimum(np.searchsorted(hot_tokens, c["token"]), len(hot_tokens) - 1)
+                blocks = np.where(hot_tokens[at] == c["token"], hot_blocks[at], 1)
+                c["block"] = (mix(c["line"].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int32)
+                if still is not None:  # copies of open rows for the other blocks
+                    more = np.where(c["open"] == 1, blocks - 1, 0)
+                    at = np.repeat(np.arange(len(keep)), more)
+                    copies = {k: v[at] for k, v in c.items()}
+                    copies["block"] = ((copies["block"] + 1 + ranges(np.zeros(len(more), np.int64), more)) % blocks[at]).astype(np.int32)
+                    copies["open"] = np.full(len(at), 2, np.uint8)
+                    c = {k: np.concatenate([v, copies[k]]) for k, v in c.items()}
+            to = _slice(mix(c["token"] + c["block"].astype(np.uint64) * np.uint64(_ODD[0])), SLICES * n)
+            got.append({"to": to} | {k: c[k].astype(t, copy=False) for k, t in ROW.items()})
+            if _bytes(got) > DEALT:
+                yield from _dealt(got)
+                got = []
+        yield from _dealt(got)
+
+    return map_arrow(store, run, "slice int, " + ", ".join(f"{k} binary" for k in ROW)).repartition(n, "slice").sortWithinPartitions("slice")
 
 
-BUCKET = "token long, line long, doc long, tie long, number int, size int, place int, s0 long, s1 long, s2 long, s3 long"
+def overlap_bound(a, b, sa, sb):
+    """Most tokens that sets of sizes a, b and parity sketches (256 bits) sa, sb can share: bits that differ are tokens that do."""
+    return (a + b - sum(np.bitwise_count(x ^ y).astype(np.int64) for x, y in zip(sa, sb, strict=True))) // 2
 
 
-def buckets(store: DataFrame, bits: np.ndarray) -> DataFrame:
-    wanted = store.sparkSession.sparkContext.broadcast(bits)  # 2^FILTER bits
+FOUND = "line long, other long, rank long, line_at long, other_at long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, row in _unpacked(batches):
-            keep = np.flatnonzero(_set(wanted.value, token))
-            if len(keep):
-                many = unpack(row["many"], np.int32).astype(np.int64)
-                of = np.repeat(np.arange(len(many)), many)[keep]
-                place = keep - (np.cumsum(many) - many)[of]
-                each = [unpack(row[k], t)[of] for k, t in (("line", np.int64), ("doc", np.int64), ("tie", np.int64), ("number", np.int64), ("size", np.int32))]
-                columns = [token[keep].view(np.int64), *each, place, *unpack(row["sign"], np.int64).reshape(4, -1)[:, of]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in (4, 5, 6) else pa.int64()) for k, v in enumerate(columns)], [c.split()[0] for c in BUCKET.split(", ")])
 
-    return store.mapInArrow(run, BUCKET)
+def _best(x, y, r, line, keep: int):
+    """Of pairs (x looks, y is before), the best `keep` of each line that looks, each other line once; and lines that had more."""
+    order = np.lexsort((y, -r, line[y], line[x]))
+    x, y, r = x[order], y[order], r[order]
+    once = np.concatenate([[True], (line[x][1:] != line[x][:-1]) | (line[y][1:] != line[y][:-1])]) if len(x) else np.zeros(0, bool)
+    x, y, r = x[once], y[once], r[once]
+    order = np.lexsort((line[y], -r, line[x]))
+    x, y, r = x[order], y[order], r[order]
+    first = np.flatnonzero(np.concatenate([[True], line[x][1:] != line[x][:-1]])) if len(x) else np.empty(0, np.int64)
+    place = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+    return x[place < keep], y[place < keep], r[place < keep], np.unique(line[x[place >= keep]])
 
 
-def overlap_bound(a, b, sa, sb):
-    """Most tokens that sets of sizes a, b and parity sketches (256 bits) sa, sb can share: bits that differ are tokens that do."""
-    return (a + b - sum(np.bitwise_count(x ^ y).astype(np.int64) for x, y in zip(sa, sb, strict=True))) // 2
+def candidates(keep: int, whole: bool, hot: frozenset):
+    """Of each bucket: FOUND, pairs that pass the filters, other before line; the best `keep` of each line in a slice.
 
+    A row without other says that the line may have more: it had more than `keep`, or was not held against all rows of a
+    bucket. Unless `whole`, a line that has found `keep` candidates looks no further.
+    """
 
-def _candidates(everything: bool):
-    """Of each bucket: (line, other, rank) pairs that pass the filters, other before line. Only the best of each line
-    and the number of the rest, unless everything is asked for."""
-
-    def pairs(n, size, place, sign):
-        """Tiles of index pairs j < i, i in a tile, that pass."""
-        for lo in range(0, n, TILE):
-            for lo2 in range(0, min(lo + TILE, n), TILE):
-                i, j = np.arange(lo, min(lo + TILE, n)), np.arange(lo2, min(lo2 + TILE, n))
-                a, b = size[i, None], size[None, j]
-                least = needed(a, b)
-                ok = (i[:, None] > j[None, :]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
-                ok &= 1 + np.minimum(a - place[i, None], b - place[None, j]) - 1 >= least - np.minimum(place[i, None], place[None, j])
-                bound = overlap_bound(a, b, [x[i, None] for x in sign], [x[None, j] for x in sign])
-                ok &= bound >= least
-                x, y = np.nonzero(ok)
-                yield i[x], j[y], (1000 * bound[x, y]) // (a[x, 0] + b[0, y])
+    def passes(a, b, place_a, place_b, sign_a, sign_b):
+        least = needed(a, b)
+        ok = (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (np.minimum(a - place_a, b - place_b) + np.minimum(place_a, place_b) >= least)
+        bound = overlap_bound(a, b, sign_a, sign_b)
+        return ok & (bound >= least), bound
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(11)] for b in batches]
-        if not parts:
-            return
-        token, line, doc, tie, number, size, place, *sign = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
+    def work(rows: dict) -> pa.RecordBatch:
         # equal lines of several tasks: only the first is the line's place
-        order = np.lexsort((number, tie, doc, line, token))
-        order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (line[order][1:] != line[order][:-1])])]
-        order = order[np.lexsort((number[order], tie[order], doc[order], token[order]))]
-        token, line, size, place, doc, tie, number, *sign = (v[order] for v in (token, line, size.astype(np.int64), place.astype(np.int64), doc, tie, number, *(x.view(np.uint64) for x in sign)))
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        order = np.lexsort((rows["open"], rows["number"], rows["tie"], rows["doc"], rows["line"], rows["block"], rows["token"]))
+        token, block, line = (rows[k][order] for k in ("token", "block", "line"))
+        order = order[np.concatenate([[True], (token[1:] != token[:-1]) | (block[1:] != block[:-1]) | (line[1:] != line[:-1])])]
+        order = order[np.lexsort((rows["number"][order], rows["tie"][order], rows["doc"][order], rows["block"][order], rows["token"][order]))]
+        c = {k: v[order] for k, v in rows.items()}
+        token, block, line, size, place = c["token"], c["block"], c["line"], c["size"].astype(np.int64), c["place"].astype(np.int64)
+        looks, home = c["open"] > 0, c["open"] < 2
+        sign = [c[f"s{k}"] for k in range(4)]
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (block[1:] != block[:-1])]))
         count = np.diff(np.append(first, len(token)))
-        best: dict[int, tuple] = {}
-        out = []
-
-        def note(x, y, r):
-            if everything:
-                out.append(np.stack([line[x], line[y], r]))
-                return
-            # the best, then the earliest, of each x
-            o = np.lexsort((y, -r, x))
-            lead = o[np.concatenate([[True], x[o][1:] != x[o][:-1]])] if len(o) else o
-            for h, other, rank in zip(line[x[lead]].tolist(), line[y[lead]].tolist(), r[lead].tolist(), strict=True):
-                if h not in best or rank > best[h][1]:
-                    best[h] = (other, rank)
-
+        out, more = [], []
+        if hot and not whole:  # other blocks have not been seen
+            more.append(line[np.isin(token, np.array(sorted(hot), np.uint64))])
         # buckets of up to 64: all at once, by distance in the bucket
         small = (count > 1) & (count <= 64)
-        rest = np.repeat(np.where(small, count, 0), count)
-        at_end = np.repeat(first + count, count)
+        at_end = np.repeat(np.where(small, first + count, 0), count)
         for d in range(1, int(count[small].max()) if small.any() else 0):
-            y = np.flatnonzero((rest > d) & (np.arange(len(token)) + d < at_end))
+            y = np.flatnonzero(np.arange(len(token)) + d < at_end)
             x = y + d
-            a, b = size[x], size[y]
-            least = needed(a, b)
-            ok = (line[x] != line[y]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (np.minimum(a - place[x], b - place[y]) + np.minimum(place[x], place[y]) >= least)
-            x, y = x[ok], y[ok]
-            bound = overlap_bound(size[x], size[y], [v[x] for v in sign], [v[y] for v in sign])
-            ok = bound >= least[ok]
+            ok = looks[x] & home[y]
             x, y = x[ok], y[ok]
-            note(x, y, (1000 * bound[ok]) // (size[x] + size[y]))
+            ok, bound = passes(size[x], size[y], place[x], place[y], [v[x] for v in sign], [v[y] for v in sign])
+            out.append((x[ok], y[ok], 1000 * bound[ok] // (size[x] + size[y])[ok]))
+        # others: tiles of lines that look, against tiles of those before, the earliest first
         for s, n in zip(first[count > 64].tolist(), count[count > 64].tolist(), strict=True):
-            for x, y, r in pairs(n, size[s : s + n], place[s : s + n], [v[s : s + n] for v in sign]):
-                keep = line[s + x] != line[s + y]
-                note(s + x[keep], s + y[keep], r[keep])
-        if not everything:
-            out = [np.array([(h, o, r) for h, (o, r) in best.items()], np.int64).T] if best else []
-        for part in out:
-            if part.shape[1]:
-                both = np.unique(part, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in both], ["line", "other", "rank"])
+            for lo in range(s, s + n, TILE):
+                i = np.arange(lo, min(lo + TILE, s + n))
+                i = i[looks[i]]
+                has, kept = np.zeros(len(i), np.int64), []
+                for lo2 in range(s, min(lo + TILE, s + n), TILE):
+                    if not whole and (full := has >= keep).any():
+                        more.append(line[i[full]])
+                        i, has = i[~full], has[~full]
+                    if not len(i):
+                        break
+                    j = np.arange(lo2, min(lo2 + TILE, s + n))
+                    j = j[home[j]]
+                    ok, bound = passes(size[i, None], size[None, j], place[i, None], place[None, j], [v[i, None] for v in sign], [v[None, j] for v in sign])
+                    x, y = np.nonzero(ok & (i[:, None] > j[None, :]) & (line[i, None] != line[None, j]))
+                    has += np.bincount(x, minlength=len(i))
+                    kept.append((i[x], j[y], 1000 * bound[x, y] // (size[i[x]] + size[j[y]])))
+                    if sum(len(k[0]) for k in kept) > 1 << 18:  # bounds what is held
+                        *best, rest = _best(*map(np.concatenate, zip(*kept, strict=True)), line, keep)
+                        kept = [tuple(best)]
+                        more.append(rest)
+                out += kept
+        x, y, r = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+        x, y, r, rest = _best(x, y, r, line, keep)
+        rest = np.unique(np.concatenate([rest, *more]))
+        at = at_row(c["doc"], c["tie"])
+        columns = [np.concatenate([line[x], rest]), np.concatenate([line[y], rest]), np.concatenate([r, np.full(len(rest), -1)]), np.concatenate([at[x], rest]), np.concatenate([at[y], rest])]
+        arrays = [pa.array(v, pa.int64()) for v in columns]
+        return pa.RecordBatch.from_arrays(arrays, [k.split()[0] for k in FOUND.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _slices(batches, ROW):
+            yield work(rows)
 
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (line, other) those that match: (line)."""
-    wanted = docs.sparkSession.sparkContext.broadcast(spots(pairs.select("line", "other")))  # 2^FILTER bits
+def token_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """h, tokens: the set of each line in pairs (line, other, and rows that have them)."""
+    bits = spots(pairs.select("line", "other"))
+    wanted = docs.sparkSession.sparkContext.broadcast((bits, spots(pairs.select("line_at", "other_at"))))  # two filters of checked size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, rows = wanted.value
         sent = set()
-        for _, x in _lines(batches, 0):
-            if len(x.hash):
-                x.pick(np.flatnonzero(_set(wanted.value, x.hash)))
-                _fresh(x, sent)
-            if len(x.hash):
-                of, token = x.tokens()
+
+        def some():
+            for b in batches:
+                keep = _set(rows, at_row(*(b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))))
+                if keep.any():
+                    yield b.filter(pa.array(keep))
+
+        for _, x in _lines(some(), 1):
+            x.pick(np.flatnonzero(_set(lines, x.hash)))
+            _fresh(x, sent)
+            for at in x.pieces():
+                of, token = x.tokens(at)
                 order = np.lexsort((token, of))
                 of, token = of[order], token[order]
                 first = np.ones(len(of), bool)
                 first[1:] = (of[1:] != of[:-1]) | (token[1:] != token[:-1])
-                ends = np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=len(x.hash)))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x.hash), pa.ListArray.from_arrays(pa.array(ends), pa.array(token[first].view(np.int64)))], ["h", "tokens"])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=len(x.hash[at])))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x.hash[at]), pa.ListArray.from_arrays(pa.array(ends), pa.array(token[first].view(np.int64)))], ["h", "tokens"])
 
-    lines = pairs.select(F.col("line").alias("h")).union(pairs.select(F.col("other").alias("h"))).distinct()
+    out = map_arrow(keyed(docs), sets, "h long, tokens array<long>")
+    if bits is None:
+        out = out.join(pairs.select(F.col("line").alias("h")).union(pairs.select(F.col("other").alias("h"))).distinct(), "h", "left_semi")
     # equal hashes are equal lines: any of a hash's rows will do
-    table = docs.select("text").mapInArrow(sets, "h long, tokens array<long>").join(lines, "h", "left_semi").dropDuplicates(["h"])
-    both = pairs.join(table.select(F.col("h").alias("line"), F.col("tokens").alias("a")), "line").join(table.select(F.col("h").alias("other"), F.col("tokens").alias("b")), "other")
+    return out.dropDuplicates(["h"])
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (line, other) those that match: (line)."""
+    both = pairs.join(sets.select(F.col("h").alias("line"), F.col("tokens").alias("a")), "line").join(sets.select(F.col("h").alias("other"), F.col("tokens").alias("b")), "other")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter(5 * shared >= 4 * (F.size("a") + F.size("b") - shared)).select("line").distinct()
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """line (hash): distinct lines that match another line whose first occurrence is before theirs."""
+def similar(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """line (hash): distinct lines that match another line whose first occurrence is before theirs.
+
+    Rounds: each line has its best KEEP candidates verified, then those that had more and failed have 16 times as many,
+    until no line is open. Each round is linear in the rows it deals, and the rounds end when all candidates are through.
+    """
     spark = docs.sparkSession
-    n = partitions(spark)
-    store, store_path = materialize(prefixes(docs, rarity(docs)), "prefixes")
-    rows = buckets(store, spots(shared_tokens(store)))
-    best, best_path = materialize(rows.repartition(n, "token").mapInArrow(_candidates(False), "line long, other long, rank long"), "candidates")
-    top = best.groupBy("line").agg(F.max_by("other", F.struct("rank", "other")).alias("other"))
-    hit, _ = materialize(verify(top, docs), "similar")
-    rest, rest_path = materialize(best.select("line").distinct().join(hit, "line", "left_anti"), "open")
-    if rest.isEmpty():
-        drop(spark, store_path, best_path, rest_path)
-        return hit
-    # buckets of the lines still open: their rows, and the rows they may match
-    near = buckets(store, spots(rows.join(rest, "line", "left_semi").select("token")))
-    more = near.repartition(n, "token").mapInArrow(_candidates(True), "line long, other long, rank long").join(rest, "line", "left_semi").select("line", "other").distinct()
-    more, more_path = materialize(more, "more")
-    late, _ = materialize(verify(more, docs), "similar-late")
-    drop(spark, store_path, best_path, rest_path, more_path)
-    return hit.union(late)
-
-
-DECIDED = "line long, doc long, tie long, number int"
+    store, store_path = materialize(prefixes(docs, counts), "prefixes")
+    shared, shared_path = materialize(shared_tokens(store), "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT, total // (SLICES * partitions(spark)))
+    hot = {r.token % (1 << 64): -(-r.n // most) for r in shared.filter(F.col("n") > most).collect()}  # SLICES for each partition at most
+    shared_bits = spots(shared.select("token"))
+    wanted, still, keep, hits = (shared_bits,), None, KEEP, []
+    while True:
+        found, found_path = materialize(map_arrow(deal(store, wanted, hot, still), candidates(keep, still is not None, frozenset(hot)), FOUND), "candidates")
+        real = found.filter("rank >= 0").groupBy("line", "other").agg(F.max("rank").alias("rank"), F.first("line_at").alias("line_at"), F.first("other_at").alias("other_at"))
+        # a line has `keep` others in each of its slices at most, and no more than its prefix has tokens
+        best = real.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("rank", "other", "line_at", "other_at")), asc=False).alias("c"))
+        top, top_path = materialize(best.select("line", F.posexplode(F.slice("c", 1, keep)).alias("place", "c"), (F.size("c") > keep).alias("more")).select("line", "place", "c.other", "c.line_at", "c.other_at", "more"), "top")
+        sets, sets_path = materialize(token_sets(top, docs), "sets")
+        hit, _ = materialize(verify(top.filter("place = 0"), sets), "similar")
+        again, _ = materialize(verify(top.filter("place > 0").join(hit, "line", "left_anti"), sets), "similar")
+        hit = hit.union(again)
+        hits.append(hit)
+        left = found.filter("rank < 0").select("line").union(top.filter("more").select("line")).distinct()
+        rest, rest_path = materialize(left.join(hit, "line", "left_anti"), "open")
+        done = rest.isEmpty()
+        if not done:
+            still, keep = spots(rest), 16 * keep
+            wanted = (shared_bits, spots(open_tokens(store, shared_bits, still)))
+        drop(spark, found_path, top_path, sets_path, rest_path)
+        if done:
+            break
+    drop(spark, store_path, shared_path)
+    out = hits[0]
+    for more in hits[1:]:
+        out = out.union(more)
+    return out.distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc, tie (which row), gone (array of line numbers): the lines to remove of each row that loses any."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, x in _lines(batches, 1):
-            doc, tie = _places(b, x)
-            yield pa.RecordBatch.from_arrays([pa.array(x.hash, pa.int64()), pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(x.number.astype(np.int32), pa.int32())], ["line", "doc", "tie", "number"])
-
-    places, _ = materialize(keyed(docs).mapInArrow(run, DECIDED), "places")
+    spark = docs.sparkSession
+    seen, _ = materialize(places(docs), "places")
+    counts = rarity(seen.filter("k is not null").select("k", "v"))
+    seen = seen.filter("line is not null").select("line", "doc", "tie", "number")
+    late = similar(docs, counts).withColumn("late", F.lit(True))
     # only lines that occur twice or have a match can lose anything
-    first = places.groupBy("line").agg(F.min(F.struct("doc", "tie", "number")).alias("first"), F.count("*").alias("n"))
-    late = similar(docs).withColumn("late", F.lit(True))
-    decided = first.join(late, "line", "left").filter("n > 1 or late").select("line", "first", F.coalesce("late", F.lit(False)).alias("late"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    gone = places.withColumn("salt", F.pmod(F.xxhash64("doc", "number"), F.lit(16)).cast("int")).join(decided, ["line", "salt"]).filter(F.col("late") | (F.struct("doc", "tie", "number") != F.col("first")))
+    first = seen.groupBy("line").agg(F.min(F.struct("doc", "tie", "number")).alias("first"), F.count("*").alias("n"))
+    decided, path = materialize(first.join(late, "line", "left").filter("n > 1 or late").select("line", "first", "n", F.coalesce("late", F.lit(False)).alias("late")), "decided")
+    # lines with more than a thousandth of all places: a thousand at most, broadcast; the rest meet by hash
+    many = (decided.agg(F.sum("n")).first()[0] or 0) // 1000
+    hot = F.broadcast(decided.filter(F.col("n") > many))
+    cold = decided.filter(F.col("n") <= many)
+    met = seen.join(hot, "line").union(seen.join(hot.select("line"), "line", "left_anti").join(cold, "line"))
+    gone = met.filter(F.col("late") | (F.struct("doc", "tie", "number") != F.col("first")))
     return gone.groupBy("doc", "tie").agg(F.collect_set("number").alias("gone"))
 
 
