@@ -25,6 +25,7 @@ from .common import LOWER, UPPER, drop, materialize, read
 WINDOW = 10
 SHINGLE = 3
 BROADCAST_WINDOWS = 200_000
+BROADCAST_ROWS = 100_000  # keys of contaminated rows; more meet the documents in a shuffle
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -141,7 +142,8 @@ def clean(docs: DataFrame, items: DataFrame, most: float = 0.0) -> DataFrame:
     if most > 0:
         size = docs.select(row.alias("row"), F.size(words(docs["text"])).alias("n_words")).distinct()
         per = per.join(size, F.col("hit_row").eqNullSafe(F.col("row"))).filter(F.col("n_hit") > most * F.col("n_words"))
-    bad = per.select(F.col("hit_row.doc_id").alias("d"), F.col("hit_row.h").alias("h"), F.col("hit_row.l").alias("l")).distinct().alias("bad")
+    bad, _ = materialize(per.select(F.col("hit_row.doc_id").alias("d"), F.col("hit_row.h").alias("h"), F.col("hit_row.l").alias("l")).distinct(), "bad")
+    bad = (F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad).alias("bad")
     # the row travels as one column, so that names of the input's columns are of no matter
     marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), row.alias("row")).alias("m")
     found = F.col("m.row.doc_id").eqNullSafe(F.col("bad.d")) & (F.col("m.row.h") == F.col("bad.h")) & F.col("m.row.l").eqNullSafe(F.col("bad.l"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, read
+from .common import bucket_of, map_arrow, read
 
 SAMPLE = 2400
 LEAST = 40  # rows of a rare language in the sample
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Model | None, held_out: Column) -> DataFram
                     best = np.where(letter, np.clip((1 + f[np.arange(len(f)), which]) / 2, 0, 1), 0).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(names, pa.string()), pa.array(best)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select("doc_id", held_out.alias("held_out"), "text"), run, SCHEMA)
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:

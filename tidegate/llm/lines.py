@@ -198,7 +198,7 @@ def spots(df: DataFrame) -> np.ndarray | None:
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "v": [np.bitwise_or.reduce([np.frombuffer(v, np.uint8) for v in pdf["v"]]).tobytes()]})
 
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in df.mapInArrow(run, "k int, v binary").groupBy("k").applyInPandas(either, "k int, v binary").collect():
+    for r in map_arrow(df, run, "k int, v binary").groupBy("k").applyInPandas(either, "k int, v binary").collect():
         out[r.k * block : (r.k + 1) * block] = np.frombuffer(r.v, np.uint8)
     return out
 

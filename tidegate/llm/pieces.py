@@ -2,12 +2,13 @@
 
 The normaliser walks the model's compiled character map (a double-array trie of byte strings) and, at each place, takes
 the longest matching prefix, else one character (a broken byte becomes U+FFFD), as the library does. It records, for
-every byte of the normalised text, the source bytes it came from. Segmentation is byte-pair merging of the normalised
-text; every piece is projected through the recorded alignment to a span of bytes of the original text.
+every byte of the normalised text, the source bytes it came from. The merges of the normalised text are the library's
+own, from a copy of the model that normalises nothing; every piece is projected through the recorded alignment to a span
+of bytes of the original text.
 
 No piece of the vocabulary has a space mark after another character (checked when a model is loaded), so merges never
-cross the place before a run of space marks. Nor do they cross a character that no piece has. Units between such places
-are segmented once per Python worker and kept; the table of units is emptied when it reaches UNITS entries.
+cross the place before a run of space marks. Long texts are cut at such places, every PART characters or so, which
+bounds the memory that merging takes; nothing is kept from text to text.
 
 Defined results: null text is taken as empty: no ids, empty decoded text. Empty text has no ids. Repeated rows give
 repeated rows. Extra columns of the input are ignored. Texts are processed whole, one at a time.
@@ -19,16 +20,15 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import read
+from .common import map_arrow, read
 
 SPACE = "▁"
-UNITS = 400_000
+PART = 1 << 16
 SCHEMA = "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string"
 
 
@@ -92,11 +92,7 @@ class Codec:
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = b"", False, False, False
         spec.name = "identity"
         self.merger = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        splits = not any(SPACE in p.lstrip(SPACE) for p in plain) and model.trainer_spec.model_type == 2
-        alone = "".join(c for c in "\n\t" if not any(c in p for p in plain))
-        word = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
-        self.unit = re.compile(word) if splits else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.splits = not any(SPACE in p.lstrip(SPACE) for p in plain) and SPACE in plain and model.trainer_spec.model_type == 2
 
     def normalize(self, data: bytes) -> tuple[str, np.ndarray, np.ndarray]:
         """Normalised text and, for each of its UTF-8 bytes, start and end of its source in data."""
@@ -138,10 +134,10 @@ class Codec:
                 chunks.pop()
             while chunks and not chunks[0][0].strip(b" "):
                 chunks.pop(0)
-        if chunks and self.dummy:
+        if chunks and self.dummy:  # stands for nothing, where the first kept character begins
             out.extend(mark)
-            starts.extend([0] * len(mark))
-            ends.extend([0] * len(mark))
+            starts.extend([chunks[0][1]] * len(mark))
+            ends.extend([chunks[0][1]] * len(mark))
         for piece, s, e in chunks:
             if self.squeeze and blank:
                 piece = piece.lstrip(b" ")
@@ -155,21 +151,18 @@ class Codec:
                 blank = self.squeeze and piece.endswith(b" ")
         return out.decode("utf-8", "replace"), np.array(starts, np.int64), np.array(ends, np.int64)
 
-    def segment(self, normalised: str) -> list[int]:
-        if not normalised:
-            return []
-        if self.unit is None:
-            return self.merger.encode(normalised)
-        units = self.unit.findall(normalised)
-        known = self.known
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, units)))
-        except KeyError:
-            if len(known) > UNITS:
-                known.clear()
-            new = [u for u in dict.fromkeys(units) if u not in known]
-            known.update(zip(new, map(tuple, self.merger.encode(new, num_threads=1)), strict=True))
-            return list(chain.from_iterable(map(known.__getitem__, units)))
+    def segment(self, normalised: str, part: int = PART) -> list[int]:
+        if not self.splits or len(normalised) <= part:
+            return self.merger.encode(normalised) if normalised else []
+        ids, s = [], 0
+        while s < len(normalised):
+            e = s + part
+            while 0 < (e := normalised.find(SPACE, e)) and normalised[e - 1] == SPACE:
+                e += 1
+            e = e if e > 0 else len(normalised)
+            ids += self.merger.encode(normalised[s:e])
+            s = e
+        return ids
 
     def encode(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
         """ids and, for each, the span of bytes of text (start, end) that it stands for."""
@@ -193,29 +186,33 @@ class Codec:
 _loaded: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str | None = None) -> Codec:
+    """The model at path, or the public one, wherever the machine that asks has it."""
+    path = path or public_model()
     if path not in _loaded:
         _loaded[path] = Codec(path)
     return _loaded[path]
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """SCHEMA for each row of docs: ids, their source spans in bytes, and the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            rows = [c.encode(t) for t in batch.column("text").to_pylist()]
-            as_lists = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (0, 1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *as_lists, pa.array([c.decode(r[0]) for r in rows], pa.string())], ["doc_id", "ids", "starts", "ends", "decoded"])
+            for at in range(0, batch.num_rows, 64):  # offsets take several times a text's size
+                part = batch.slice(at, 64)
+                rows = [c.encode(t.as_py()) for t in part.column("text")]
+                as_lists = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *as_lists, pa.array([c.decode(r[0]) for r in rows], pa.string())], ["doc_id", "ids", "starts", "ends", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select("doc_id", "text"), run, SCHEMA)
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long"
 
 
-def digests(docs: DataFrame, model: str) -> DataFrame:
+def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
     """The digest of encode() without shipping ids to the JVM: covered_bytes is the bytes of text under some piece's span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +228,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+    return map_arrow(docs.select("doc_id", "text"), run, DIGEST)
 
 
 def public_model() -> str:
@@ -241,4 +238,4 @@ def public_model() -> str:
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return digests(read(spark, sf_dir, "documents"), public_model())
+    return digests(read(spark, sf_dir, "documents"))

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, bucket_of, materialize, pack, partitions, read, unpack
+from .common import Vocabulary, bucket_of, map_arrow, materialize, pack, partitions, read, unpack
 
 CHUNK = 1_500_000
 CONTEXTS = 257
@@ -215,7 +215,7 @@ def _totals(state: DataFrame, n_words: int, past: list[dict]) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
 
     got = np.zeros(2 * CONTEXTS + 2, np.int64)
-    for r in state.mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for r in map_arrow(state, run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
         got[r.k] = r.v
     return {"customers": got[:CONTEXTS], "tables": got[CONTEXTS : 2 * CONTEXTS], "root": int(got[-2]), "root_tables": int(got[-1])}
 
@@ -300,17 +300,17 @@ def score(docs: DataFrame, held_out, chunk: int = CHUNK) -> DataFrame:
     """RESULT for each row of docs, learning from those for which the column held_out is false."""
     spark = docs.sparkSession
     n, parts = partitions(spark), 3 * partitions(spark)
-    table, _ = materialize(docs.select("doc_id", "text", held_out.alias("held")).mapInArrow(_chunks(parts, chunk), BLOBS).withColumn("own", F.col("part") < 0), "chunks", "own")
+    table, _ = materialize(map_arrow(docs.select("doc_id", "text", held_out.alias("held")), _chunks(parts, chunk), BLOBS).withColumn("own", F.col("part") < 0), "chunks", "own")
     asked, own = table.filter("not own").drop("own"), table.filter("own").drop("own")
-    state, _ = materialize(asked.repartition(n, "part").mapInArrow(_merge, BLOBS), "seats")
+    state, _ = materialize(map_arrow(asked.repartition(n, "part"), _merge, BLOBS), "seats")
     # V: each part tells the number of its words
     n_words = state.select(F.sum(F.col("e").cast("string").cast("long"))).first()[0] or 0
     past = [_totals(state, n_words, [])]
     for _ in range(SWEEPS):
         past.append(_totals(state, n_words, past))
     n_tokens = int(past[0]["customers"].sum())
-    answers = asked.union(state).repartition(n, "part").mapInArrow(_answers(n_words, past), BLOBS)
-    return answers.union(own).repartition(n, "chunk").mapInArrow(_scores(n_tokens, n_words), RESULT)
+    answers = map_arrow(asked.union(state).repartition(n, "part"), _answers(n_words, past), BLOBS)
+    return map_arrow(answers.union(own).repartition(n, "chunk"), _scores(n_tokens, n_words), RESULT)
 
 
 def op9_pitman_yor(spark, sf_dir: str) -> DataFrame:

@@ -193,16 +193,13 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with all their columns. Rows are found again by id, text hash and length."""
-    row = F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("h"), F.length(docs["text"]).alias("l"))
-    stats, _ = materialize(statistics(docs, row.alias("doc_id")), "quality")
+    """The rows of docs that pass, with all their columns: they travel with their statistics, as one column."""
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("doc_id")
+    stats, _ = materialize(statistics(docs, whole), "quality")
     rows, path = materialize(labelled(stats.select(F.col("doc_id.doc_id").alias("doc_id"), *FEATURES), labels), "quality-labelled")
     rules = learn(rows)
     drop(docs.sparkSession, path)
-    good = stats.filter(~base_failed() & (verdict(rules) == 0)).select(F.col("doc_id.doc_id").alias("d"), F.col("doc_id.h").alias("h"), F.col("doc_id.l").alias("l")).distinct().alias("good")
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), row.alias("row")).alias("m")
-    found = F.col("m.row.doc_id").eqNullSafe(F.col("good.d")) & (F.col("m.row.h") == F.col("good.h")) & F.col("m.row.l").eqNullSafe(F.col("good.l"))
-    return marked.join(good, found, "left_semi").select("whole.*")
+    return stats.filter(~base_failed() & (verdict(rules) == 0)).select("doc_id.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

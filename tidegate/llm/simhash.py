@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, materialize, partitions, read
+from .common import components, drop, map_arrow, materialize, partitions, read
 
 RADIUS = 3
 BLOCKS = ((0, 22), (22, 43), (43, 64))  # bit ranges
@@ -65,7 +65,7 @@ def with_fingerprints(docs: DataFrame, size: int = 3, name: str = "_fp") -> Data
             got = pa.array([fingerprint(t.as_py(), size) for t in batch.column(at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], [*names, name])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def variants() -> list[tuple[int, int]]:
@@ -122,8 +122,8 @@ def links(prints: DataFrame) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints (column _fp) as all pairs within RADIUS would."""
     spark = prints.sparkSession
     masks = ", ".join(f"struct({k}L as k, {f}L as f)" if k != -(1 << 63) else "" for k, f in variants()).replace(f"{-(1 << 63)}L", "shiftleft(1L, 63)")
-    emitted = prints.select("_fp").distinct().select(F.explode(F.expr(f"transform(array({masks}), m -> (_fp & m.k) ^ m.f)")).alias("v"), "_fp")
-    return emitted.repartition(partitions(spark), "v").mapInArrow(_links, "a long, b long")
+    emitted = prints.select("_fp").distinct().repartition(partitions(spark), "_fp").select(F.explode(F.expr(f"transform(array({masks}), m -> (_fp & m.k) ^ m.f)")).alias("v"), "_fp")
+    return map_arrow(emitted.repartition(partitions(spark), "v"), _links, "a long, b long")
 
 
 def groups(prints: DataFrame) -> DataFrame:

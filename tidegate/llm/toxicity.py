@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, bucket_of, drop, materialize, read
+from .common import Vocabulary, bucket_of, drop, map_arrow, materialize, read
 from .language import sample
 
 POSITIVES, UNLABELLED = 3000, 12000
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[bytes
             rows = [b" ".join(sorted(words_of(t.as_py()))) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("bad"), b.column("doc_id"), pa.array(rows, pa.binary())], ["bad", "doc_id", "words"])
 
-    rows, path = materialize(toxic.union(other).mapInArrow(run, "bad boolean, doc_id long, words binary"), "toxicity-sample")
+    rows, path = materialize(map_arrow(toxic.union(other), run, "bad boolean, doc_id long, words binary"), "toxicity-sample")
     words = Vocabulary()
     sets: dict[bool, list] = {True: [], False: []}
     # one partition at a time, each row at once turned into numbers
@@ -147,7 +147,7 @@ def detect(docs: DataFrame, model: tuple[dict[bytes, float], float] | None, held
                 score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(score), pa.array((score >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select("doc_id", held_out.alias("held_out"), "text"), run, SCHEMA)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

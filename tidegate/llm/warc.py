@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir
+from .common import map_arrow, read, shared_dir
 
 LEAST = 1000
 RECORDS = 2000
@@ -169,7 +169,7 @@ def to_arc(pages: DataFrame, size: int = 200) -> DataFrame:
                 k += 1
                 yield pa.RecordBatch.from_arrays([pa.array([arc_file(1 + k % 2, f"part-{k}.arc", records)], pa.binary())], ["arc"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "arc binary")
+    return map_arrow(pages.select("page_id", "url", "html"), run, "arc binary")
 
 
 RECORD = "page_id long, head string, block string, payload_bytes long, payload_digest string"
@@ -192,7 +192,7 @@ def from_arc(arcs: DataFrame) -> DataFrame:
                     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "head", "block", "payload_bytes", "payload_digest"])
 
-    return arcs.mapInArrow(run, RECORD)
+    return map_arrow(arcs, run, RECORD)
 
 
 def revisits(records: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def read_back(spark, path: str, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, READ)
+    return map_arrow(files, run, READ)
 
 
 def archive(pages: DataFrame) -> str:
