@@ -149,13 +149,57 @@ def token_of(text: str | None, name: str) -> str | None:
     return canonical(found[-1]) if found else None
 
 
-_CODE = re.compile(r'"code"\s*:\s*"([A-Z0-9_]{1,64})"')
+_CODE = re.compile("[A-Z0-9_]{1,64}")
+_BLANK = re.compile(r"[ \t\r\n]*")
+
+
+def _members(text: str, at: int):
+    """(name, place of the value) of an object's members, from its opening brace, as far as the text goes."""
+    from json.decoder import scanstring
+
+    decoder = json.JSONDecoder()
+    skip = lambda i: _BLANK.match(text, i).end()
+    at = skip(at + 1)
+    while text[at : at + 1] == '"':
+        name, at = scanstring(text, at + 1)
+        at = skip(at)
+        if text[at : at + 1] != ":":
+            return
+        at = skip(at + 1)
+        yield name, at
+        at = skip(decoder.raw_decode(text, at)[1])
+        if text[at : at + 1] != ",":
+            return
+        at = skip(at + 1)
 
 
 def error_code(body: str | None) -> str | None:
-    """Code of an error body of which only the first 4096 characters count, so that it may be cut off."""
-    m = _CODE.search((body or "")[:4096])
-    return m[1] if m else None
+    """Code of an error body: the string `code` of the top object, or of `error` one level down, whichever comes first.
+
+    Only the first 4096 bytes count, so a body may be cut off behind the code. One that is not well formed is none.
+    """
+    from json.decoder import scanstring
+
+    text = (body or "").encode("utf-8", "replace")[:4096].decode("utf-8", "ignore")
+
+    def string(at: int) -> str | None:
+        found = scanstring(text, at + 1)[0] if text[at : at + 1] == '"' else ""
+        return found if _CODE.fullmatch(found) else None
+
+    try:
+        start = _BLANK.match(text).end()
+        if text[start : start + 1] != "{":
+            return None
+        for name, at in _members(text, start):
+            if name == "code":
+                return string(at)
+            if name == "error" and text[at : at + 1] == "{":
+                for inner, place in _members(text, at):
+                    if inner == "code":
+                        return string(place)
+    except ValueError:
+        pass
+    return None
 
 
 def _udf(spark, f, kind: str = "string"):

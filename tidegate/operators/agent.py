@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .relational import operator
+from .runs import health
 
 # Hexadecimal groups of an id in file names.
 _ID = "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
@@ -46,9 +47,7 @@ SELECT event_id, (stamp IS NULL OR TRY_CAST(stamp AS TIMESTAMP) IS NOT NULL) AND
        (stamp IS NOT NULL OR cursor_id IS NOT NULL) AND (stamp IS NULL OR TRY_CAST(stamp AS TIMESTAMP) IS NOT NULL) AND (cursor_id IS NULL OR trim(cursor_id) <> '') AS valid_final FROM {probes}
 """)
 
-heartbeat = operator("""
-SELECT m.commands_pending, m.dead_letters, r.runs_blocked, r.last_success,
-       CASE WHEN m.dead_letters > 1000000 THEN 'storage_critical' WHEN r.runs_blocked > 0 THEN 'degraded' WHEN m.dead_letters > 0 THEN 'warning' ELSE 'ok' END AS state
-FROM (SELECT count_if(status IN ('queued', 'retry_waiting', 'unknown_result')) AS commands_pending, count_if(status = 'dead_letter') AS dead_letters FROM {commands}) m
-CROSS JOIN (SELECT count_if(status = 'blocked') AS runs_blocked, max(CASE WHEN status = 'succeeded' THEN finished_at END) AS last_success FROM {runs}) r
-""")
+def heartbeat(metrics: DataFrame, vitals: DataFrame, limits: dict) -> DataFrame:
+    """One row: the queue's numbers (queue.metrics), and the state that they and the vitals (one row) come to."""
+    state, reason = health(limits)
+    return metrics.crossJoin(vitals).select(*metrics.columns, state.alias("state"), reason.alias("reason"))  # one row each

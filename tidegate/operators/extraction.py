@@ -154,7 +154,18 @@ WHERE NOT e.enabled OR lower(e.sync_mode) = 'manual_only' OR c.entity_name IS NU
 """)
 balance = operator("SELECT l_partkey, l_suppkey, sum(CASE WHEN l_returnflag = 'R' THEN -CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END) AS quantity FROM {lines} GROUP BY l_partkey, l_suppkey")
 row_cursor = operator("SELECT event_id, TRY_CAST(stamp AS TIMESTAMP) IS NOT NULL AS dated, CAST(event_id AS STRING) AS cursor_id FROM {stamps}")
-oversized = operator("SELECT event_id, octet_length(encode(props, 'UTF-8')) > 9 AS too_long FROM {events}")
+
+
+def oversized(text: Column, most: int = 8 << 20) -> Column:
+    """Whether a row's UTF-8 text is beyond the limit."""
+    return F.octet_length(text) > most
+
+
+def upper_bound(now: dt.datetime, lag_seconds: int = 30) -> dt.datetime:
+    """The end of a window: some time before now, so that rows still being written are left to the next run."""
+    return now - dt.timedelta(seconds=lag_seconds)
+
+
 
 # Failure codes of reads by cause.
 failure_code = operator("""
@@ -163,13 +174,38 @@ SELECT event_id, CASE WHEN cause = 'timeout' THEN 'ODATA_TIMEOUT' WHEN cause = '
        cause = 'timeout' OR cause = 'transport' OR cause = 'io' OR (cause = 'http' AND http IN (408, 429, 500, 502, 503, 504)) AS transient
 FROM {failures}
 """)
-outcome_class = operator("""
-SELECT event_id, CASE WHEN http = 404 THEN 'not_found' WHEN http = 409 THEN 'conflict' WHEN http = 202 OR body = 'processing' THEN 'processing'
-       WHEN http = 200 AND body = 'succeeded' THEN 'succeeded' WHEN http IN (200, 400, 422) THEN 'business_error' ELSE 'technical' END AS outcome
-FROM {failures}
-""")
-mode_gate = operator("""
-SELECT event_id, mode, mode IN ('normal', 'read_only') AS may_extract, mode = 'normal' AS may_execute, mode IN ('normal', 'read_only', 'drain') AS may_deliver,
-       mode NOT IN ('disabled') AS may_report FROM {failures}
-""")
-file_name = operator("SELECT p_partkey, coalesce(nullif(trim(regexp_replace(p_name, '[^A-Za-z0-9._-]', '_', 'g')), ''), 'entity') AS file_name FROM {parts}")
+# What a status in a body means, and answers that count by their HTTP status alone.
+BODY_OUTCOMES = {
+    "succeeded": ("succeeded", "completed", "created"),
+    "processing": ("processing", "executing", "pending"),
+    "not_found": ("not_found",),
+    "business_error": ("business_failed", "failed", "rejected", "validation_error"),
+}
+HTTP_OUTCOMES = {"not_found": (404,), "conflict": (409,), "business_error": (400, 401, 403, 422), "processing": (202,)}
+
+
+def outcome_class(http: Column, body_status: Column) -> Column:
+    """Class of an answer: by HTTP status first, then, of a success with a body, by the body's status; else technical."""
+    said = F.lower(F.trim(body_status))
+    by_http = [F.when(http.isin(*codes), F.lit(kind)) for kind, codes in HTTP_OUTCOMES.items()]
+    by_body = [F.when(http.between(200, 299) & said.isin(*names), F.lit(kind)) for kind, names in BODY_OUTCOMES.items()]
+    return F.coalesce(*by_http, *by_body, F.lit("technical"))
+
+
+# Modes in which something stops.
+NO_LEASE = ("pause_commands", "drain", "maintenance", "disabled")
+NO_EXECUTION = ("pause_commands", "maintenance", "disabled")
+NO_EXTRACTION = ("pause_etl", "maintenance", "disabled")
+
+
+def mode_gate(states: DataFrame) -> DataFrame:
+    """states (ready, local_paused, mode, handshake_maintenance, rejected) and what is allowed. Delivery and looking up
+    what was sent need readiness only."""
+    free = F.col("ready") & ~F.col("handshake_maintenance") & ~F.col("rejected")
+    return states.select(
+        "*",
+        (free & ~F.col("mode").isin(*NO_LEASE)).alias("may_lease"),
+        (free & ~F.col("mode").isin(*NO_EXECUTION)).alias("may_execute"),
+        (free & ~F.col("local_paused") & ~F.col("mode").isin(*NO_EXTRACTION)).alias("may_extract"),
+        F.col("ready").alias("may_deliver"),
+    )

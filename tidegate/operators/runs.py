@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .relational import operator
@@ -136,7 +136,6 @@ SELECT batch_id, CASE WHEN count_if(outcome = 'acknowledged') > 0 THEN 'acknowle
        WHEN count_if(outcome = 'unsent') >= 3 THEN 'dead_letter' WHEN count_if(outcome = 'unsent') > 0 THEN 'retry' ELSE 'wait' END AS action
 FROM {attempts} GROUP BY batch_id
 """)
-fail_entity = operator("SELECT run_id, entity_name, 'failed' AS status, expected_batches AS frozen_batches, substring(trim(regexp_replace(coalesce(failure_code, 'READ'), '[^A-Z_]', '', 'g')), 1, 8) AS message FROM {entities} WHERE failure_code IS NOT NULL")
 complete_entity = operator("""
 SELECT e.run_id, e.entity_name FROM {entities} e JOIN (SELECT run_id, entity_name, count(*) AS n FROM {batches} GROUP BY run_id, entity_name) b
   ON b.run_id = e.run_id AND b.entity_name = e.entity_name WHERE b.n = e.expected_batches AND b.n >= 1 AND e.failure_code IS NULL
@@ -160,11 +159,37 @@ UNION ALL SELECT 'finished_after_start', count_if(finished_at < started_at) FROM
 UNION ALL SELECT 'failure_has_code', count_if(status = 'failed' AND failure_code IS NULL) FROM {runs}
 """)
 snapshot_clock = operator("SELECT run_id, entity_name, version, max(version - n) OVER (PARTITION BY entity_name ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + n AS snapshot_at FROM (SELECT run_id, entity_name, version, row_number() OVER (PARTITION BY entity_name ORDER BY run_id) AS n FROM {configs}) x")
-health = operator("""
-SELECT entity_name, CASE WHEN bool_or(chain > 3) THEN 'incompatible_version' WHEN count_if(status = 'blocked') > 1000000 THEN 'maintenance'
-       WHEN count_if(status = 'blocked') > 0 THEN 'degraded' WHEN count_if(status = 'failed') > 0 THEN 'warning' ELSE 'ok' END AS state FROM {runs} GROUP BY entity_name
-""")
+def health(limits: dict, source: str = "source") -> tuple[Column, Column]:
+    """(state, reason) of a row: rejected, mode, state_bytes, spool_bytes, disk_free, command_api, data_api, drift_ms,
+    runs_unresolved, entities_failing, lag_seconds. The first that applies counts. limits: state_bytes, spool_bytes,
+    reserve_bytes, drift_ms, lag_seconds (None: lag is not judged)."""
+    name = source.upper()
+    late = F.lit(False) if limits.get("lag_seconds") is None else F.coalesce(F.col("lag_seconds") > limits["lag_seconds"], F.lit(False))
+    # States and their order.
+    order = [
+        (F.col("rejected"), "incompatible_version", F.lit("COMPATIBILITY_REJECTED")),
+        (F.col("mode").isin("maintenance", "disabled"), "maintenance", F.concat(F.lit("MODE_"), F.upper("mode"))),
+        (F.col("state_bytes") >= limits["state_bytes"], "storage_critical", F.lit("STATE_LIMIT")),
+        (F.col("spool_bytes") >= limits["spool_bytes"], "storage_critical", F.lit("SPOOL_LIMIT")),
+        (F.col("disk_free") <= limits["reserve_bytes"], "storage_critical", F.lit("DISK_RESERVE")),
+        (~F.col("command_api") & ~F.col("data_api"), f"offline_{source}", F.lit(f"{name}_UNAVAILABLE")),
+        (~F.col("command_api"), "degraded", F.lit(f"{name}_COMMAND_API_UNAVAILABLE")),
+        (~F.col("data_api"), "degraded", F.lit(f"{name}_DATA_UNAVAILABLE")),
+        (F.abs("drift_ms") > limits["drift_ms"], "degraded", F.lit("CLOCK_DRIFT")),
+        (F.col("runs_unresolved") > 0, "degraded", F.lit("RUNS_UNRESOLVED")),
+        (F.col("entities_failing") > 0, "degraded", F.lit("ENTITIES_FAILING")),
+        (late, "degraded", F.lit("LAG")),
+    ]
+    state = F.coalesce(*[F.when(when, F.lit(s)) for when, s, _ in order], F.lit("healthy"))
+    reason = F.coalesce(*[F.when(when, r) for when, _, r in order], F.lit("OK"))
+    return state, reason
+
+
 # Days before expiry at which certificates are warned of.
-certificate = operator("""
-SELECT event_id, CASE WHEN days_left < 0 THEN 0 WHEN days_left <= 1 THEN 1 WHEN days_left <= 3 THEN 3 WHEN days_left <= 7 THEN 7 WHEN days_left <= 14 THEN 14 WHEN days_left <= 30 THEN 30 END AS warn_days FROM {failures}
-""")
+WARN_DAYS = (30, 14, 7, 3, 1)
+
+
+def certificate_warning(expiry: Column, now: Column) -> Column:
+    """The tightest of WARN_DAYS that the time left does not exceed; 0 from the expiry on, null while none is reached."""
+    left = F.unix_micros(expiry.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))
+    return F.when(left <= 0, 0).otherwise(F.array_min(F.filter(F.array(*map(F.lit, WARN_DAYS)), lambda d: left <= d.cast("long") * 86_400_000_000)))

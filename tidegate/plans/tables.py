@@ -21,23 +21,57 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "first_sent_at": "CASE WHEN event_id % 23 = 0 THEN ts + INTERVAL '1' HOUR END",
         "attempt_count": "CAST(event_id % 3 AS INT)",
         "post_attempt_count": "CAST(event_id % 2 AS INT)",
-        "exec_claim_owner_id": "CASE WHEN event_id % 17 = 0 THEN 'w1' END",
+        "exec_claim_owner_id": "CASE WHEN event_id % 34 = 0 THEN 'w1' WHEN event_id % 17 = 0 THEN 'w2' END",
+        "exec_claim_acquired_at": "CASE WHEN event_id % 51 = 0 THEN NULL WHEN event_id % 17 = 0 THEN ts + INTERVAL '1' HOUR END",
+        "old_sequence": "CASE WHEN event_id % 4 = 0 THEN event_id ELSE 0 END",
         "acknowledged_at": "CASE WHEN event_type = 'view' THEN ts + INTERVAL '1' DAY END",
         "result_status": "CASE WHEN event_id % 9 = 0 THEN 'dead_letter' WHEN event_id % 9 = 1 THEN NULL ELSE 'success' END",
         "payload": "CASE WHEN event_id % 97 = 0 THEN NULL ELSE props END",
         "payload_hash": "props",
     }),
-    "incoming": ("events", None, {"command_id": "CASE WHEN event_id % 8 = 0 THEN event_id ELSE event_id + 10000000 END", "payload": "CASE WHEN event_id % 12 = 0 THEN NULL ELSE props END", "payload_hash": "CASE WHEN event_id % 16 = 0 THEN props ELSE 'other' END"}),
-    "results": ("events", "event_type IN ('view', 'signup')", {"result_id": "event_id", "command_id": "event_id", "status": "CASE WHEN event_id % 8 = 0 THEN 'pending' ELSE 'acknowledged' END", "created_at": "ts"}),
+    "incoming": ("events", None, {"command_id": "CASE WHEN event_id % 8 = 0 THEN event_id ELSE event_id + 10000000 END", "payload": "CASE WHEN event_id % 12 = 0 THEN NULL ELSE props END", "payload_hash": "CASE WHEN event_id % 16 = 0 THEN props ELSE 'other' END", "received_at": "ts"}),
+    "envelopes": ("events", None, {
+        "command_id": "CASE event_id % 23 WHEN 0 THEN NULL WHEN 1 THEN '00000000-0000-0000-0000-000000000000' WHEN 2 THEN ' ' ELSE CAST(event_id AS STRING) END",
+        "command_type": "CASE WHEN event_id % 29 = 0 THEN NULL ELSE event_type END",
+        "payload_version": "CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 31 = 1 THEN 2 ELSE 1 END",
+        "payload": "CASE WHEN event_id % 7 = 0 THEN NULL ELSE props END",
+        "payload_hash": "CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 11 = 1 THEN 'other' ELSE props END",
+        "refused": "CASE WHEN event_id % 13 = 0 THEN 'PAYLOAD_DEPTH' END",
+        "computed_hash": "props",
+    }),
+    "states": ("events", None, {
+        "event_id": "event_id",
+        "ready": "event_id % 11 <> 0",
+        "local_paused": "event_id % 7 = 0",
+        "mode": "CASE event_id % 6 WHEN 0 THEN 'normal' WHEN 1 THEN 'pause_etl' WHEN 2 THEN 'pause_commands' WHEN 3 THEN 'drain' WHEN 4 THEN 'maintenance' ELSE 'disabled' END",
+        "handshake_maintenance": "event_id % 13 = 0",
+        "rejected": "event_id % 17 = 0",
+    }),
+    "vitals": ("events", None, {
+        "event_id": "event_id",
+        "rejected": "event_id % 17 = 0",
+        "mode": "CASE WHEN event_id % 13 = 0 THEN 'maintenance' WHEN event_id % 13 = 1 THEN 'disabled' WHEN event_id % 13 = 2 THEN 'drain' ELSE 'normal' END",
+        "state_bytes": "event_id % 100",
+        "spool_bytes": "user_id % 100",
+        "disk_free": "(event_id + user_id) % 100",
+        "command_api": "event_id % 5 <> 0",
+        "data_api": "event_id % 4 <> 0",
+        "drift_ms": "event_id % 41 - 20",
+        "runs_unresolved": "CASE WHEN event_id % 3 = 0 THEN event_id % 7 ELSE 0 END",
+        "entities_failing": "CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END",
+        "lag_seconds": "CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id % 90 END",
+    }),
+    "resolutions": ("orders", None, {"run_id": "CASE WHEN o_orderkey % 5 = 2 THEN o_orderkey ELSE -o_orderkey END"}),
+    "results": ("events", "event_type IN ('view', 'signup')", {"result_id": "event_id", "command_id": "event_id", "status": "CASE event_id % 16 WHEN 0 THEN 'pending' WHEN 8 THEN 'sending' WHEN 3 THEN 'dead_letter' WHEN 5 THEN 'retry_waiting' ELSE 'acknowledged' END", "created_at": "ts"}),
     "command_jobs": ("events", None, {"job_id": "event_id", "command_id": "CASE WHEN event_id % 7 = 0 THEN event_id ELSE -event_id END", "status": "CASE WHEN event_id % 3 = 0 THEN 'running' WHEN event_id % 3 = 1 THEN 'finished' ELSE 'cancelled' END"}),
     "command_attempts": ("events", "event_id % 3 = 0", {"command_id": "event_id % 5000", "attempt_no": "event_id", "started_at": "ts", "outcome": "CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END"}),
     "failures": ("events", None, {
         "event_id": "event_id",
         "cause": "CASE event_id % 7 WHEN 0 THEN 'timeout' WHEN 1 THEN 'http' WHEN 2 THEN 'transport' WHEN 3 THEN 'io' WHEN 4 THEN 'limit' WHEN 5 THEN 'json' ELSE 'other' END",
         "http": "CASE event_id % 9 WHEN 0 THEN 200 WHEN 1 THEN 202 WHEN 2 THEN 404 WHEN 3 THEN 409 WHEN 4 THEN 422 WHEN 5 THEN 500 WHEN 6 THEN 503 WHEN 7 THEN 429 ELSE 401 END",
-        "body": "CASE WHEN event_id % 4 = 0 THEN 'processing' WHEN event_id % 4 = 1 THEN 'succeeded' ELSE 'failed' END",
-        "mode": "CASE event_id % 6 WHEN 0 THEN 'normal' WHEN 1 THEN 'read_only' WHEN 2 THEN 'drain' WHEN 3 THEN 'maintenance' WHEN 4 THEN 'offline' ELSE 'disabled' END",
-        "days_left": "CAST(event_id % 45 AS INT) - 2",
+        "body": "CASE event_id % 14 WHEN 0 THEN 'processing' WHEN 1 THEN 'succeeded' WHEN 2 THEN 'failed' WHEN 3 THEN 'completed' WHEN 4 THEN ' Created ' WHEN 5 THEN 'executing' WHEN 6 THEN 'pending' WHEN 7 THEN 'not_found' WHEN 8 THEN 'business_failed' WHEN 9 THEN 'REJECTED' WHEN 10 THEN 'validation_error' WHEN 11 THEN 'odd' WHEN 12 THEN '' END",
+        "now": "ts",
+        "expiry": "CASE event_id % 4 WHEN 0 THEN ts + INTERVAL '12' HOUR WHEN 1 THEN ts + INTERVAL '7' DAY WHEN 2 THEN ts - INTERVAL '1' DAY * (event_id % 3) ELSE ts + INTERVAL '1' DAY * (event_id % 45) END",
     }),
     "stamps": ("events", None, {"event_id": "event_id", "stamp": "CASE WHEN event_id % 10 = 0 THEN 'no date' ELSE CAST(ts AS STRING) END"}),
     "probes": ("events", None, {
@@ -62,7 +96,7 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "name": "CASE WHEN event_id % 5 = 0 THEN 'other.bin' ELSE event_type || '-x-0000000a-000b-000c-000d-00000000000e-0000000a-000b-000c-000d-00000000000f.ndjson.gz' || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '.tmp.' || CAST(1700000000000 + event_id AS STRING) WHEN 2 THEN '.orphan' ELSE '.tmp.orphan.' || CAST(event_id AS STRING) END END",
         "written_ms": "event_id * 1000",
     }),
-    "error_bodies": ("events", None, {"event_id": "event_id", "body": "CASE event_id % 4 WHEN 0 THEN '{\"code\":\"ITEM_' || CAST(event_id AS STRING) || '\",\"x' WHEN 1 THEN '{\"error\":{\"code\": \"LOCKED\"}}' WHEN 2 THEN '{\"code\":\"lower\"}' ELSE 'gone' END"}),
+    "error_bodies": ("events", None, {"event_id": "event_id", "body": "CASE event_id % 7 WHEN 4 THEN '{\"x\":{\"code\":\"INNER\"},\"code\":\"OUTER\"}' WHEN 5 THEN '{\"error\":{\"a\":1},\"code\":\"LATER\"}' WHEN 6 THEN '[{\"code\":\"LIST\"}]' WHEN 0 THEN '{\"code\":\"ITEM_' || CAST(event_id AS STRING) || '\",\"x' WHEN 1 THEN '{\"error\":{\"code\": \"LOCKED\"}}' WHEN 2 THEN '{\"code\":\"lower\"}' ELSE 'gone' END"}),
     "runs": ("orders", None, {
         "run_id": "o_orderkey",
         "entity_name": "o_orderpriority",
