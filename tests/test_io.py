@@ -1,6 +1,7 @@
 import os
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidegate.operators import extraction as ex
@@ -52,6 +53,20 @@ def test_stream_upsert(spark, tmp_path):
     shutil.rmtree(out)
 
 
+def test_a_stop_before_the_pointer_loses_nothing(spark, tmp_path, monkeypatch):
+    t = runner.VersionedTable(spark, str(tmp_path / "table"))
+    rows = lambda *r: spark.createDataFrame(r, "k long, at long, v string")
+    t.publish(rows((1, 1, "a"), (2, 1, "b")), 0)
+    fresh = rows((3, 1, "c"))
+    with monkeypatch.context() as m:
+        m.setattr(t, "point", lambda version: (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError, match="stopped"):
+            t.publish(runner.merge(t.read(), fresh, ["k"], "at"), 1)
+    assert t.version() == 0 and sorted(r.k for r in t.read().collect()) == [1, 2]
+    t.publish(runner.merge(t.read(), fresh, ["k"], "at"), 1)  # the batch comes again
+    assert t.version() == 1 and sorted(r.k for r in t.read().collect()) == [1, 2, 3]
+
+
 def test_entry_works_without_the_text_operators(tmp_path):
     import subprocess
     import sys

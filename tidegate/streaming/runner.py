@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,20 +18,21 @@ def merge(current: DataFrame | None, fresh: DataFrame, keys: list[str], order: s
 
 
 class VersionedTable:
-    """A directory of versions and a pointer written last: readers see whole versions only, a replayed batch none twice."""
+    """A directory of versions, each with a pointer of its own that is renamed into place last.
+
+    Nothing is ever overwritten or deleted before its successor is there: the version is the largest that has a pointer, so
+    readers see whole versions only, and a batch that comes again after a crash finds the table as it was.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.fs_path = spark._jvm.org.apache.hadoop.fs.Path
-
-    def _fs(self, path: str):
-        return self.fs_path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.fs = self.fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def version(self) -> int:
-        at = f"{self.path}/_pointer"
-        if not self._fs(at).exists(self.fs_path(at)):
-            return -1
-        return json.loads(self.spark.read.text(at).first()[0])["version"]
+        at = self.fs_path(f"{self.path}/_pointers")
+        found = self.fs.listStatus(at) if self.fs.exists(at) else []
+        return max((int(x.getPath().getName()) for x in found if x.getPath().getName().isdigit()), default=-1)
 
     def read(self) -> DataFrame | None:
         v = self.version()
@@ -42,9 +41,15 @@ class VersionedTable:
     def publish(self, df: DataFrame, version: int) -> None:
         if version <= self.version():
             return
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        pointer = self.spark.range(1).select(F.lit(json.dumps({"version": version})).alias("value"))
-        pointer.coalesce(1).write.mode("overwrite").text(f"{self.path}/_pointer")
+        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")  # no pointer names it yet
+        self.point(version)
+
+    def point(self, version: int) -> None:
+        folder = f"{self.path}/_pointers"
+        self.fs.mkdirs(self.fs_path(folder))
+        new = self.fs_path(f"{folder}/_new-{version}")
+        self.fs.create(new, True).close()
+        self.fs.rename(new, self.fs_path(f"{folder}/{version}"))
 
 
 def upsert_stream(spark: SparkSession, source: str, schema: T.StructType, table: VersionedTable, keys: list[str], order: str, checkpoint: str, files_per_trigger: int = 16):
