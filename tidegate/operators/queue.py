@@ -144,10 +144,16 @@ def admission(envelopes: DataFrame, supported: list[str], version: int = 1) -> D
     return envelopes.select("command_id", F.coalesce(*[F.when(when, code) for when, code in checks]).alias("code"))
 
 
-conflicts = operator("""
-SELECT ordering_key, payload_hash, count(*) AS occurrences, min(received_at) AS first_seen, max(received_at) AS last_seen
-FROM {commands} WHERE ordering_key IS NOT NULL GROUP BY ordering_key, payload_hash HAVING count(*) > 1
-""")
+def conflict_occurrences(stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """Stored conflicts and newly seen ones (command_id, payload_hash, first_seen, last_seen, occurrences) as one table."""
+    both = stored.unionByName(seen)
+    return both.groupBy("command_id", "payload_hash").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("occurrences").alias("occurrences"))
+
+
+def newest_conflicts(conflicts: DataFrame, limit: int) -> DataFrame:
+    """A report of the last seen conflicts, newest first, then by id."""
+    return conflicts.orderBy(F.desc("last_seen"), "command_id", "payload_hash").limit(limit)
+
 
 def numbered(df: DataFrame, order: list[str], coarse: Column) -> DataFrame:
     """df and _n: the place of each row, from 1, in the order of the whole table.

@@ -26,6 +26,47 @@ def same_sets(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFr
     return each.groupBy(key).agg(F.bool_and((F.col("l") == 1) & (F.col("r") == 1)).alias("same"))
 
 
+def text_list(json_text: Column) -> Column:
+    """The strings of a JSON array of strings; null for anything else, blank or repeated entries included."""
+    parsed = F.try_parse_json(json_text)
+    each = F.try_variant_get(parsed, "$", "array<variant>")
+    strings = F.transform(each, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+    good = F.forall(strings, lambda x: x.isNotNull() & (F.trim(x) != "")) & (F.size(F.array_distinct(strings)) == F.size(strings))
+    return F.when(F.coalesce(good, F.lit(False)), strings)
+
+
+def owned_as_requested(requests: DataFrame, bindings: DataFrame, owners: DataFrame) -> DataFrame:
+    """run_id and holds: whether the entities that a run asks for (requested, JSON), those bound to it and those it
+    actively owns are the same, not none, and at the same positive epochs.
+
+    The three sets meet in one aggregation by (run, entity); no pairs are formed.
+    """
+    asked = requests.select("run_id", text_list(F.col("requested")).alias("names"))
+    null = F.lit(None).cast("long")
+    rows = (
+        asked.select("run_id", F.explode("names").alias("entity_name"), F.lit(1).alias("asked"), null.alias("bound"), null.alias("owned"))
+        .union(bindings.select("run_id", "entity_name", F.lit(0), F.col("expected_epoch").cast("long"), null))
+        .union(owners.filter("released_at is null").select("owner_run_id", "entity_name", F.lit(0), null, F.col("epoch").cast("long")))
+    )
+    each = rows.groupBy("run_id", "entity_name").agg(F.max("asked").alias("asked"), F.max("bound").alias("bound"), F.max("owned").alias("owned"))
+    fits = (F.col("asked") == 1) & F.coalesce((F.col("bound") > 0) & (F.col("bound") == F.col("owned")), F.lit(False))
+    whole = each.groupBy("run_id").agg(F.bool_and(fits).alias("fits"))
+    return asked.join(whole, "run_id", "left").select("run_id", (F.coalesce(F.size("names") > 0, F.lit(False)) & F.coalesce("fits", F.lit(False))).alias("holds"))
+
+
+def names_resolved(payload: Column, resolved: Column) -> Column:
+    """Whether a job's payload names the resolved entities: an object without `entities` or with an empty list stands for
+    all of them; otherwise a list of texts, none empty, that is the same set."""
+    parsed = F.try_parse_json(payload)
+    kind = F.coalesce(F.schema_of_variant(parsed), F.lit(""))
+    given = F.try_variant_get(parsed, "$.entities", "variant")
+    absent = given.isNull() | (F.schema_of_variant(given) == "VOID")
+    each = F.try_variant_get(given, "$", "array<variant>")
+    texts = F.transform(each, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+    same = F.forall(texts, lambda x: x.isNotNull() & (x != "")) & (F.size(F.array_except(texts, resolved)) == 0) & (F.size(F.array_except(resolved, texts)) == 0)
+    return kind.startswith("OBJECT") & F.coalesce(F.when(absent, F.lit(True)).when(F.size(each) == 0, F.lit(True)).otherwise(same), F.lit(False))
+
+
 def publish_cursors(current: DataFrame, captured: DataFrame) -> DataFrame:
     """Compare and swap, all or none: entity_name, outcome ('committed' with the next generation, or 'conflict').
 
@@ -96,11 +137,29 @@ FROM {definitions} d LEFT JOIN {owners} o ON o.entity_name = d.entity_name
 """)
 domain_reset = operator("SELECT c.entity_name, c.generation, c.cursor_at AS archived_at FROM {cursors} c SEMI JOIN {definitions} d ON d.entity_name = c.entity_name AND d.generation = c.generation")
 cursors_left = operator("SELECT c.entity_name FROM {cursors} c ANTI JOIN {definitions} d ON d.entity_name = c.entity_name AND d.generation = c.generation")
-terminate = operator("""
-SELECT 'run' AS kind, CAST(run_id AS STRING) AS id, 'terminated' AS status FROM {runs} WHERE status = 'blocked'
-UNION ALL SELECT 'job', CAST(j.job_id AS STRING), 'cancelled' FROM {jobs} j SEMI JOIN (SELECT run_id FROM {runs} WHERE status = 'blocked') r ON r.run_id = j.run_id
-UNION ALL SELECT 'batch', b.batch_id, 'dead_letter' FROM {batches} b SEMI JOIN (SELECT run_id FROM {runs} WHERE status = 'blocked') r ON r.run_id = b.run_id WHERE b.status = 'ready'
-""")
+# Statuses of what a terminated run leaves open.
+OPEN_BATCHES = ("creating", "ready", "retry_waiting", "uploading")
+CLOSED_JOBS = ("finished", "cancelled", "blocked")
+
+
+def terminate(ended: DataFrame, entities: DataFrame, batches: DataFrame, jobs: DataFrame, status: str, code: str) -> DataFrame:
+    """kind, id, status, error of every row that changes when the runs in `ended` (run_id) end with a status.
+
+    Entities still extracting fail, batches not yet sent go to the dead letters, open jobs are blocked: unresolved work
+    is never called finished. Ownership stays as it is.
+    """
+
+    def part(kind: str, rows: DataFrame, key: Column, to: str, error: str | None = code) -> DataFrame:
+        return rows.join(ended.select("run_id"), "run_id", "left_semi").select(F.lit(kind).alias("kind"), key.cast("string").alias("id"), F.lit(to).alias("status"), F.lit(error).cast("string").alias("error"))
+
+    return (
+        part("run", ended, F.col("run_id"), status)
+        .union(part("entity", entities.filter("status = 'extracting'"), F.concat_ws("/", F.col("run_id").cast("string"), F.col("entity_name")), "failed"))
+        .union(part("batch", batches.filter(F.col("status").isin(*OPEN_BATCHES)), F.col("batch_id"), "dead_letter"))
+        .union(part("job", jobs.filter(~F.col("status").isin(*CLOSED_JOBS)), F.col("job_id"), "blocked", None))
+    )
+
+
 startup_recovery = operator("""
 SELECT b.batch_id, CASE WHEN a.batch_id IS NOT NULL THEN 'dead_letter' ELSE b.status END AS status
 FROM {batches} b LEFT JOIN (SELECT DISTINCT batch_id FROM {attempts} WHERE outcome <> 'precheck') a ON a.batch_id = b.batch_id WHERE b.status = 'ready'
@@ -127,10 +186,23 @@ orphan_files = operator("SELECT f.batch_id FROM {files} f ANTI JOIN {batches} b
 spool_size = operator("SELECT coalesce(sum(bytes), 0) AS bytes, coalesce(sum(CASE WHEN quarantined THEN bytes ELSE 0 END), 0) AS quarantined FROM {files}")
 keep_newest = operator("SELECT entity_name, run_id FROM (SELECT entity_name, run_id, row_number() OVER (PARTITION BY entity_name ORDER BY version DESC, run_id DESC) AS n FROM {configs}) x WHERE n > 3")
 ack = operator("SELECT batch_id, min_by(hash, attempt_no) AS hash, min(attempt_no) AS attempt_no, count(DISTINCT hash) > 1 AS conflicting FROM {attempts} WHERE outcome = 'acknowledged' GROUP BY batch_id")
-ack_valid = operator("""
-SELECT b.batch_id, CASE WHEN a.batch_id IS NULL THEN 'not_stored' WHEN a.rows_accepted IS DISTINCT FROM b.row_count THEN 'ROW_COUNT' WHEN a.hash IS NULL THEN 'CHECKSUM' ELSE 'valid' END AS verdict
-FROM {batches} b LEFT JOIN (SELECT batch_id, min(rows_accepted) AS rows_accepted, min(hash) AS hash FROM {attempts} WHERE outcome = 'acknowledged' GROUP BY batch_id) a ON a.batch_id = b.batch_id
-""")
+def ack_valid(batches: DataFrame, acks: DataFrame) -> DataFrame:
+    """batch_id and verdict: 'not_stored' without an answer, 'valid' if all of it matches the batch, else what does not.
+
+    acks: batch_id (that was sent), ack_status, ack_batch_id, checksum_valid, rows_accepted.
+    """
+    a, b = acks.alias("a"), batches.select("batch_id", "row_count").alias("b")
+    wrong = F.concat_ws(
+        ", ",
+        F.when(~F.col("ack_status").eqNullSafe("acknowledged"), "status"),
+        F.when(~F.col("ack_batch_id").eqNullSafe(F.col("b.batch_id")), "batchId"),
+        F.when(~F.col("checksum_valid").eqNullSafe(True), "checksumValid"),
+        F.when(~F.col("rows_accepted").eqNullSafe(F.col("row_count")), "rowsAccepted"),
+    )
+    verdict = F.when(F.col("a.batch_id").isNull(), "not_stored").when(wrong == "", "valid").otherwise(wrong)
+    return b.join(a, F.col("a.batch_id") == F.col("b.batch_id"), "left").select("b.batch_id", verdict.alias("verdict"))
+
+
 send_outcome = operator("""
 SELECT batch_id, CASE WHEN count_if(outcome = 'acknowledged') > 0 THEN 'acknowledged' WHEN count_if(outcome IN ('unknown', 'refused')) > 0 THEN 'block'
        WHEN count_if(outcome = 'unsent') >= 3 THEN 'dead_letter' WHEN count_if(outcome = 'unsent') > 0 THEN 'retry' ELSE 'wait' END AS action

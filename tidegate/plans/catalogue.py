@@ -323,10 +323,10 @@ def health_state(spark, d):
 
 @query(
     "admission",
-    """WITH_ SELECT e.command_id, (SELECT arg_min(code, place) FROM (VALUES
+    """SELECT e.command_id, (SELECT arg_min(code, place) FROM (VALUES
         (1, e.command_id IS NULL OR trim(e.command_id) = '' OR e.command_id = '00000000-0000-0000-0000-000000000000', 'INVALID_COMMAND_ID'), (2, e.command_type IS NULL OR e.command_type NOT IN ('click', 'view', 'purchase', 'signup'), 'UNSUPPORTED_COMMAND_TYPE'),
         (3, e.payload_version IS DISTINCT FROM 1, 'UNSUPPORTED_PAYLOAD_VERSION'), (4, e.payload IS NULL, 'INVALID_PAYLOAD'), (5, trim(e.payload_hash) = '', 'PAYLOAD_HASH_MISMATCH'), (6, e.refused IS NOT NULL, e.refused),
-        (7, e.payload_hash <> e.computed_hash, 'PAYLOAD_HASH_MISMATCH')) t(place, bad, code) WHERE bad) AS code FROM envelopes e""".removeprefix("WITH_ "),
+        (7, e.payload_hash <> e.computed_hash, 'PAYLOAD_HASH_MISMATCH')) t(place, bad, code) WHERE bad) AS code FROM envelopes e""",
     "envelopes",
 )
 def admission(spark, d):
@@ -371,7 +371,6 @@ def retention_delete_set(spark, d):
 
 
 relational("intake_resolution", q.intake, incoming="incoming", commands="commands")
-relational("dedupe_conflict", q.conflicts, commands="commands")
 relational("first_sent_backfill", q.first_sent_backfill, commands="commands", attempts="command_attempts")
 relational("queue_recovery", q.queue_recovery, commands="commands")
 relational("reschedule", q.reschedule, commands="commands")
@@ -476,7 +475,6 @@ relational("begin_entity", r.begin_entity, definitions="definitions", cursors="c
 relational("ownership_acquire", r.acquire, definitions="priorities", owners="owners")
 relational("domain_reset", r.domain_reset, cursors="cursors", definitions="definitions")
 relational("cursors_after_reset", r.cursors_left, cursors="cursors", definitions="definitions")
-relational("terminate_cascade", r.terminate, runs="runs", jobs="jobs", batches="batches")
 relational("startup_recovery", r.startup_recovery, batches="batches", attempts="batch_attempts")
 relational("auto_recovery", r.auto_recovery, runs="runs")
 relational("manual_resolution", r.resolution, runs="runs", batches="batches", jobs="jobs")
@@ -487,7 +485,6 @@ relational("orphan_files", r.orphan_files, files="files", batches="batches")
 relational("spool_size", r.spool_size, files="files")
 relational("keep_newest", r.keep_newest, configs="configs")
 relational("ack_first_observation", r.ack, attempts="batch_attempts")
-relational("ack_validation", r.ack_valid, batches="batches", attempts="batch_attempts")
 relational("send_outcome", r.send_outcome, attempts="batch_attempts")
 relational("complete_entity", r.complete_entity, entities="entities", batches="batches")
 relational("completion_retry", r.completion_retry, runs="runs")
@@ -521,6 +518,72 @@ relational("constraint_report", r.constraints, runs="runs")
 relational("snapshot_clock", r.snapshot_clock, configs="configs")
 
 
+@query(
+    "terminate_cascade",
+    """, e AS (SELECT run_id FROM runs WHERE status = 'failed')
+    SELECT 'run' AS kind, run_id::VARCHAR AS id, 'failed' AS status, 'STOPPED' AS error FROM e
+    UNION ALL SELECT 'entity', x.run_id || '/' || x.entity_name, 'failed', 'STOPPED' FROM entities x WHERE x.status = 'extracting' AND EXISTS (SELECT 1 FROM e WHERE e.run_id = x.run_id)
+    UNION ALL SELECT 'batch', x.batch_id, 'dead_letter', 'STOPPED' FROM batches x WHERE x.status NOT IN ('acknowledged', 'dead_letter', 'deleted') AND x.run_id IN (SELECT run_id FROM e)
+    UNION ALL SELECT 'job', CAST(x.job_id AS VARCHAR), 'blocked', NULL FROM jobs x WHERE x.status = 'waiting' AND x.run_id IN (SELECT run_id FROM e)""",
+    "runs",
+    "entities",
+    "batches",
+    "jobs",
+)
+def terminate_cascade(spark, d):
+    ended = table(spark, d, "runs").filter("status = 'failed'").select("run_id")
+    return r.terminate(ended, *[table(spark, d, t) for t in ("entities", "batches", "jobs")], "failed", "STOPPED")
+
+
+@query(
+    "ack_validation",
+    """SELECT b.batch_id, CASE WHEN a.batch_id IS NULL THEN 'not_stored' WHEN coalesce(a.ack_status = 'acknowledged' AND a.ack_batch_id = b.batch_id AND a.checksum_valid AND a.rows_accepted = b.row_count, FALSE) THEN 'valid'
+      ELSE array_to_string(list_filter([CASE WHEN a.ack_status IS DISTINCT FROM 'acknowledged' THEN 'status' END, CASE WHEN a.ack_batch_id IS DISTINCT FROM b.batch_id THEN 'batchId' END,
+        CASE WHEN a.checksum_valid IS NOT TRUE THEN 'checksumValid' END, CASE WHEN a.rows_accepted IS DISTINCT FROM b.row_count THEN 'rowsAccepted' END], lambda x: x IS NOT NULL), ', ') END AS verdict
+    FROM batches b LEFT JOIN acks a USING (batch_id)""",
+    "batches",
+    "acks",
+)
+def ack_validation(spark, d):
+    return r.ack_valid(table(spark, d, "batches"), table(spark, d, "acks"))
+
+
+@query(
+    "owned_as_requested",
+    """SELECT q.run_id, coalesce(json_valid(requested) AND json_type(requested) = 'ARRAY' AND json_array_length(requested) > 0
+        AND len(list_filter(json_extract(requested, '$[*]'), lambda x: json_type(x) <> 'VARCHAR' OR trim(x ->> '$') = '')) = 0
+        AND list_sort(json_extract_string(requested, '$[*]')) = list_sort(list_distinct(json_extract_string(requested, '$[*]')))
+        AND list_sort(json_extract_string(requested, '$[*]')) = s.bound AND s.bound = o.owned AND s.held = len(s.bound), FALSE) AS holds
+    FROM (SELECT run_id, CASE WHEN json_valid(requested) THEN requested END AS requested FROM requests) q LEFT JOIN (SELECT b.run_id, list_sort(list(b.entity_name)) AS bound, count(*) FILTER (WHERE b.expected_epoch > 0 AND x.epoch = b.expected_epoch) AS held
+                               FROM bindings b LEFT JOIN owned x ON x.owner_run_id = b.run_id AND x.entity_name = b.entity_name AND x.released_at IS NULL GROUP BY b.run_id) s ON s.run_id = q.run_id
+    LEFT JOIN (SELECT owner_run_id, list_sort(list(entity_name)) AS owned FROM owned WHERE released_at IS NULL GROUP BY owner_run_id) o ON o.owner_run_id = q.run_id""",
+    "requests",
+    "bindings",
+    "owned",
+)
+def owned_as_requested(spark, d):
+    return r.owned_as_requested(table(spark, d, "requests"), table(spark, d, "bindings"), table(spark, d, "owned"))
+
+
+@query("names_resolved", "SELECT event_id, event_id % 12 < 5 AS fits FROM events")
+def names_resolved(spark, d):
+    return table(spark, d, "job_payloads").select("event_id", r.names_resolved(F.col("payload"), F.array(F.lit("A"), F.lit("B"))).alias("fits"))
+
+
+CONFLICTS = """SELECT command_id, payload_hash, min(first_seen) AS first_seen, max(last_seen) AS last_seen, CAST(sum(occurrences) AS BIGINT) AS occurrences
+    FROM (SELECT * FROM stored_conflicts UNION ALL SELECT * FROM conflicts) t GROUP BY ALL"""
+
+
+@query("dedupe_conflict", CONFLICTS, "conflicts", "stored_conflicts")
+def dedupe_conflict(spark, d):
+    return q.conflict_occurrences(table(spark, d, "stored_conflicts"), table(spark, d, "conflicts"))
+
+
+@query("newest_conflicts", f"SELECT * FROM ({CONFLICTS}) c QUALIFY row_number() OVER (ORDER BY last_seen DESC, command_id, payload_hash) <= 50", "conflicts", "stored_conflicts")
+def newest_conflicts(spark, d):
+    return q.newest_conflicts(dedupe_conflict(spark, d), 50)
+
+
 @query(
     "certificate_bucket",
     """SELECT event_id, CASE WHEN expiry <= now THEN 0 WHEN expiry <= now + INTERVAL 1 DAY THEN 1 WHEN expiry <= now + INTERVAL 3 DAY THEN 3 WHEN expiry <= now + INTERVAL 7 DAY THEN 7

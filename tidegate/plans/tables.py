@@ -61,6 +61,17 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "entities_failing": "CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END",
         "lag_seconds": "CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id % 90 END",
     }),
+    "acks": ("lineitem", "l_linestatus = 'F'", {
+        "batch_id": "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)",
+        "ack_status": "CASE WHEN l_partkey % 40 = 0 THEN NULL WHEN l_partkey % 40 = 1 THEN 'duplicate' ELSE 'acknowledged' END",
+        "ack_batch_id": "CASE WHEN l_suppkey % 30 = 0 THEN 'other' WHEN l_suppkey % 30 = 1 THEN NULL ELSE CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) END",
+        "checksum_valid": "CASE WHEN l_orderkey % 20 = 0 THEN NULL ELSE l_orderkey % 20 <> 1 END",
+        "rows_accepted": "CASE WHEN l_partkey % 30 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END",
+    }),
+    "requests": ("orders", None, {"run_id": "o_orderkey", "requested": "CASE o_orderkey % 11 WHEN 0 THEN 'none' WHEN 1 THEN '[]' WHEN 2 THEN '[\"' || o_orderpriority || '\",1]' WHEN 3 THEN '[\"' || o_orderpriority || '\",\" \"]' WHEN 4 THEN '[\"' || o_orderpriority || '\",\"' || o_orderpriority || '\"]' WHEN 5 THEN '{\"a\":1}' WHEN 6 THEN '[\"' || o_orderpriority || '\",\"more\"]' WHEN 7 THEN NULL ELSE '[\"' || o_orderpriority || '\"]' END"}),
+    "job_payloads": ("events", None, {"event_id": "event_id", "payload": "CASE event_id % 12 WHEN 0 THEN '{}' WHEN 1 THEN '{\"entities\":null}' WHEN 2 THEN '{\"entities\":[]}' WHEN 3 THEN '{\"entities\":[\"A\",\"B\"]}' WHEN 4 THEN '{\"entities\":[\"B\",\"A\",\"A\"]}' WHEN 5 THEN '{\"entities\":[\"A\"]}' WHEN 6 THEN '{\"entities\":[\"A\",\"B\",\"C\"]}' WHEN 7 THEN '{\"entities\":[\"A\",1]}' WHEN 8 THEN '{\"entities\":\"A\"}' WHEN 9 THEN '[]' WHEN 10 THEN '{\"entities\":[\"A\",\"\"]}' ELSE 'broken' END"}),
+    "conflicts": ("events", None, {"command_id": "user_id", "payload_hash": "event_type", "first_seen": "ts", "last_seen": "ts", "occurrences": "CAST(1 AS BIGINT)"}),
+    "stored_conflicts": ("events", "event_type <> 'signup'", {"command_id": "user_id + 1", "payload_hash": "event_type", "first_seen": "ts - INTERVAL '1' DAY", "last_seen": "ts - INTERVAL '2' HOUR", "occurrences": "CAST(event_id % 3 + 1 AS BIGINT)"}),
     "resolutions": ("orders", None, {"run_id": "CASE WHEN o_orderkey % 5 = 2 THEN o_orderkey ELSE -o_orderkey END"}),
     "results": ("events", "event_type IN ('view', 'signup')", {"result_id": "event_id", "command_id": "event_id", "status": "CASE event_id % 16 WHEN 0 THEN 'pending' WHEN 8 THEN 'sending' WHEN 3 THEN 'dead_letter' WHEN 5 THEN 'retry_waiting' ELSE 'acknowledged' END", "created_at": "ts"}),
     "command_jobs": ("events", None, {"job_id": "event_id", "command_id": "CASE WHEN event_id % 7 = 0 THEN event_id ELSE -event_id END", "status": "CASE WHEN event_id % 3 = 0 THEN 'running' WHEN event_id % 3 = 1 THEN 'finished' ELSE 'cancelled' END"}),
@@ -155,7 +166,7 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
 # Planned entities of a run: what its batches come to, bent for some runs so that checks have something to find.
 ENTITIES = """SELECT run_id, entity_name, CASE WHEN run_id % 50 = 0 THEN n + 1 ELSE n END AS expected_batches, CASE WHEN run_id % 70 = 0 THEN t + 5 ELSE t END AS expected_rows,
  CASE WHEN run_id % 12 = 0 AND entity_name <> 'N' THEN 'READ_FAILED' END AS failure_code, CASE WHEN run_id % 2 = 0 THEN 'incremental' WHEN run_id % 3 = 0 THEN 'entity_reload' ELSE 'bootstrap_full' END AS mode,
- entity_name = 'R' AS sensitive FROM (SELECT l_orderkey AS run_id, l_returnflag AS entity_name, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS t FROM {lineitem} GROUP BY l_orderkey, l_returnflag) x WHERE run_id % 90 <> 0"""
+ CASE WHEN run_id % 12 = 0 AND entity_name <> 'N' THEN 'failed' WHEN run_id % 4 = 1 THEN 'extracting' ELSE 'completed' END AS status, entity_name = 'R' AS sensitive FROM (SELECT l_orderkey AS run_id, l_returnflag AS entity_name, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS t FROM {lineitem} GROUP BY l_orderkey, l_returnflag) x WHERE run_id % 90 <> 0"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
