@@ -29,9 +29,9 @@ def completion_documents(items: DataFrame) -> DataFrame:
 identity = operator("""
 SELECT event_id, CASE WHEN bound IS NULL THEN 'BindingMissing' WHEN bound = '' THEN 'BindingInvalid' WHEN endpoint <> bound_endpoint THEN 'EndpointMismatch'
        WHEN fetched = 'unavailable' THEN 'Unavailable' WHEN fetched = 'not_ready' THEN 'NotReady' WHEN fetched = 'malformed' THEN 'Malformed'
-       WHEN scope <> 'whole-infobase' THEN 'ScopeUnsupported' WHEN database_id <> bound THEN 'DatabaseMismatch' WHEN epoch <> 3 THEN 'EpochMismatch'
-       WHEN environment <> 'prod' THEN 'EnvironmentMismatch' ELSE 'Match' END AS verdict FROM {probes}
-""")
+       WHEN scope <> 'whole-infobase' THEN 'ScopeUnsupported' WHEN database_id <> bound THEN 'DatabaseMismatch' WHEN epoch <> :epoch THEN 'EpochMismatch'
+       WHEN environment <> :environment THEN 'EnvironmentMismatch' ELSE 'Match' END AS verdict FROM {probes}
+""", epoch=3, environment='prod')
 
 # Clocks: the offset is taken at the middle of a round trip, half of which is its uncertainty. An expiry is judged by the
 # later clock, a not-before by the earlier one.

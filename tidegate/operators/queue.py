@@ -219,20 +219,20 @@ def release_claim(commands: DataFrame, owner: str) -> DataFrame:
 
 reschedule = operator("""
 SELECT command_id, CASE WHEN attempt_count > 1 THEN 'unknown_result' ELSE 'retry_waiting' END AS status,
-       coalesce(next_attempt_at, received_at + INTERVAL '2' SECOND) AS next_attempt_at
-FROM {commands} WHERE status IN ('retry_waiting', 'unknown_result') AND (exec_claim_owner_id IS NULL OR exec_claim_owner_id = 'w1')
-""")
+       coalesce(next_attempt_at, received_at + make_dt_interval(0, 0, 0, :seconds)) AS next_attempt_at
+FROM {commands} WHERE status IN ('retry_waiting', 'unknown_result') AND (exec_claim_owner_id IS NULL OR exec_claim_owner_id = :owner)
+""", owner='w1', seconds=2)
 
 finish = operator("""
 SELECT command_id, 'result_pending' AS status, CASE WHEN post_attempt_count = 0 AND priority = 0 THEN 'cancelled' ELSE 'success' END AS result_status
-FROM {commands} WHERE status IN ('queued', 'retry_waiting', 'unknown_result') AND (exec_claim_owner_id IS NULL OR exec_claim_owner_id = 'w1')
-""")
+FROM {commands} WHERE status IN ('queued', 'retry_waiting', 'unknown_result') AND (exec_claim_owner_id IS NULL OR exec_claim_owner_id = :owner)
+""", owner='w1')
 
 # The outbox: what is due, first in first out.
 outbox_due = operator("""
 SELECT o.result_id, o.command_id, c.result_status FROM {results} o JOIN {commands} c ON c.command_id = o.command_id
-WHERE o.status = 'pending' ORDER BY o.created_at, o.result_id LIMIT 50
-""")
+WHERE o.status = 'pending' ORDER BY o.created_at, o.result_id LIMIT :limit
+""", limit=50)
 
 outbox_merge = operator("""
 SELECT coalesce(n.command_id, o.command_id) AS command_id, CASE WHEN n.command_id IS NULL THEN o.status ELSE 'pending' END AS status

@@ -84,8 +84,8 @@ def publish_cursors(current: DataFrame, captured: DataFrame) -> DataFrame:
     )
 
 
-def dispatch(jobs: DataFrame, runs: DataFrame, owners: DataFrame, manifests: DataFrame, job_manifests: DataFrame) -> DataFrame:
-    """job_id, run_id of the first 100 waiting jobs that may start, by their runs' age.
+def dispatch(jobs: DataFrame, runs: DataFrame, owners: DataFrame, manifests: DataFrame, job_manifests: DataFrame, limit: int = 100) -> DataFrame:
+    """job_id, run_id of the first `limit` waiting jobs that may start, by their runs' age.
 
     A job's mode, version and entities must be its run's (manifests: run_id, entity_name); no older pending run may share
     an entity, and no entity may be owned. All of it is decided before the limit, so that a busy head hides no eligible job.
@@ -96,7 +96,7 @@ def dispatch(jobs: DataFrame, runs: DataFrame, owners: DataFrame, manifests: Dat
     same = same_sets(manifests, job_manifests, "run_id", "entity_name").filter("same")
     eligible = pending.join(overlapping(entities), "run_id", "left_semi").join(owned, "run_id", "left_anti").join(same, "run_id", "left_semi")
     own = jobs.filter("status = 'waiting'").join(eligible, ["run_id", "mode", "version"])
-    return own.orderBy("created_at", "run_id", "job_id").limit(100).select("job_id", "run_id")
+    return own.orderBy("created_at", "run_id", "job_id").limit(limit).select("job_id", "run_id")
 
 
 busy = operator("SELECT r.run_id FROM {runs} r ANTI JOIN (SELECT entity_name FROM {owners} WHERE released_at IS NULL) o ON o.entity_name = r.entity_name WHERE r.status = 'pending'")
@@ -113,9 +113,9 @@ due_uploads = operator("""
 SELECT b.batch_id FROM {batches} b SEMI JOIN (SELECT run_id FROM {runs} WHERE status IN ('pending', 'failed')) r ON r.run_id = b.run_id
 SEMI JOIN (SELECT entity_name, owner_run_id FROM {owners} WHERE released_at IS NULL) o ON o.owner_run_id = b.run_id AND o.entity_name = b.entity_name
 ANTI JOIN (SELECT batch_id FROM {attempts} WHERE outcome <> 'precheck') a ON a.batch_id = b.batch_id
-WHERE b.status = 'ready' ORDER BY b.created_at, b.batch_id LIMIT 200
-""")
-due_completions = operator("SELECT run_id FROM {runs} WHERE status = 'succeeded' ORDER BY coalesce(started_at, created_at), run_id LIMIT 50")
+WHERE b.status = 'ready' ORDER BY b.created_at, b.batch_id LIMIT :limit
+""", limit=200)
+due_completions = operator("SELECT run_id FROM {runs} WHERE status = 'succeeded' ORDER BY coalesce(started_at, created_at), run_id LIMIT :limit", limit=50)
 active_config = operator("SELECT entity_name, max_by(run_id, version) AS run_id, max(version) AS version FROM {configs} WHERE status = 'active' GROUP BY entity_name")
 latest_version = operator("SELECT e.entity_name, coalesce(max(c.version), 0) AS version FROM {entities} e LEFT JOIN {configs} c ON c.entity_name = e.entity_name AND c.status <> 'rejected' GROUP BY e.entity_name")
 supersede = operator("""
@@ -132,8 +132,9 @@ SELECT e.entity_name, CASE WHEN c.entity_name IS NULL THEN 'absent' WHEN c.finge
 FROM {definitions} e LEFT JOIN {cursors} c ON c.entity_name = e.entity_name
 """)
 acquire = operator("""
-SELECT d.entity_name, CASE WHEN max(CASE WHEN o.released_at IS NULL AND o.entity_name IS NOT NULL THEN 1 ELSE 0 END) OVER () = 1 THEN 'refused' ELSE 'acquired' END AS outcome, coalesce(o.epoch, 0) + 1 AS epoch
+SELECT d.entity_name, CASE WHEN t.held > 0 THEN 'refused' ELSE 'acquired' END AS outcome, coalesce(o.epoch, 0) + 1 AS epoch
 FROM {definitions} d LEFT JOIN {owners} o ON o.entity_name = d.entity_name
+CROSS JOIN (SELECT count(*) AS held FROM {owners} h SEMI JOIN {definitions} w ON w.entity_name = h.entity_name WHERE h.released_at IS NULL) t
 """)
 domain_reset = operator("SELECT c.entity_name, c.generation, c.cursor_at AS archived_at FROM {cursors} c SEMI JOIN {definitions} d ON d.entity_name = c.entity_name AND d.generation = c.generation")
 cursors_left = operator("SELECT c.entity_name FROM {cursors} c ANTI JOIN {definitions} d ON d.entity_name = c.entity_name AND d.generation = c.generation")
@@ -165,8 +166,8 @@ SELECT b.batch_id, CASE WHEN a.batch_id IS NOT NULL THEN 'dead_letter' ELSE b.st
 FROM {batches} b LEFT JOIN (SELECT DISTINCT batch_id FROM {attempts} WHERE outcome <> 'precheck') a ON a.batch_id = b.batch_id WHERE b.status = 'ready'
 """)
 auto_recovery = operator("""
-SELECT run_id, CASE WHEN chain >= 3 THEN 'give_up' ELSE 'requeue' END AS action, chain + 1 AS chain FROM {runs} WHERE status = 'failed'
-""")
+SELECT run_id, CASE WHEN chain >= :most THEN 'give_up' ELSE 'requeue' END AS action, chain + 1 AS chain FROM {runs} WHERE status = 'failed'
+""", most=3)
 resolution = operator("""
 SELECT r.run_id, CASE WHEN r.status NOT IN ('failed', 'blocked') THEN 'NOT_TERMINAL' WHEN b.n > 0 THEN 'BATCHES_OPEN' WHEN j.run_id IS NOT NULL THEN 'JOB_OPEN' ELSE 'RESOLVED' END AS outcome
 FROM {runs} r LEFT JOIN (SELECT run_id, count(*) AS n FROM {batches} WHERE status = 'ready' GROUP BY run_id) b ON b.run_id = r.run_id
@@ -174,17 +175,17 @@ LEFT JOIN (SELECT DISTINCT run_id FROM {jobs} WHERE status = 'waiting') j ON j.r
 """)
 batch_retention = operator("""
 SELECT b.batch_id FROM {batches} b SEMI JOIN (SELECT run_id FROM {runs} WHERE status = 'succeeded') r ON r.run_id = b.run_id
-WHERE b.status = 'acknowledged' AND b.acknowledged_at < CAST('1997-01-01 00:00:00' AS TIMESTAMP)
-""")
+WHERE b.status = 'acknowledged' AND b.acknowledged_at < CAST(:before AS TIMESTAMP_NTZ)
+""", before='1997-01-01 00:00:00')
 dead_letter_files = operator("""
 SELECT b.batch_id, b.entity_name FROM {batches} b JOIN {runs} r ON r.run_id = b.run_id
 JOIN {entities} e ON e.run_id = b.run_id AND e.entity_name = b.entity_name
-WHERE b.status = 'dead_letter' AND NOT e.sensitive AND r.status IN ('succeeded', 'failed') AND b.created_at < CAST('2000-01-01 00:00:00' AS TIMESTAMP)
-""")
+WHERE b.status = 'dead_letter' AND NOT e.sensitive AND r.status IN ('succeeded', 'failed') AND b.created_at < CAST(:before AS TIMESTAMP_NTZ)
+""", before='2000-01-01 00:00:00')
 missing_files = operator("SELECT DISTINCT b.run_id FROM {batches} b ANTI JOIN {files} f ON f.batch_id = b.batch_id WHERE b.status = 'ready'")
 orphan_files = operator("SELECT f.batch_id FROM {files} f ANTI JOIN {batches} b ON b.batch_id = f.batch_id")
 spool_size = operator("SELECT coalesce(sum(bytes), 0) AS bytes, coalesce(sum(CASE WHEN quarantined THEN bytes ELSE 0 END), 0) AS quarantined FROM {files}")
-keep_newest = operator("SELECT entity_name, run_id FROM (SELECT entity_name, run_id, row_number() OVER (PARTITION BY entity_name ORDER BY version DESC, run_id DESC) AS n FROM {configs}) x WHERE n > 3")
+keep_newest = operator("SELECT entity_name, run_id FROM (SELECT entity_name, run_id, row_number() OVER (PARTITION BY entity_name ORDER BY version DESC, run_id DESC) AS n FROM {configs}) x WHERE n > :keep", keep=3)
 ack = operator("SELECT batch_id, min_by(hash, attempt_no) AS hash, min(attempt_no) AS attempt_no, count(DISTINCT hash) > 1 AS conflicting FROM {attempts} WHERE outcome = 'acknowledged' GROUP BY batch_id")
 def ack_valid(batches: DataFrame, acks: DataFrame) -> DataFrame:
     """batch_id and verdict: 'not_stored' without an answer, 'valid' if all of it matches the batch, else what does not.
@@ -205,19 +206,19 @@ def ack_valid(batches: DataFrame, acks: DataFrame) -> DataFrame:
 
 send_outcome = operator("""
 SELECT batch_id, CASE WHEN count_if(outcome = 'acknowledged') > 0 THEN 'acknowledged' WHEN count_if(outcome IN ('unknown', 'refused')) > 0 THEN 'block'
-       WHEN count_if(outcome = 'unsent') >= 3 THEN 'dead_letter' WHEN count_if(outcome = 'unsent') > 0 THEN 'retry' ELSE 'wait' END AS action
+       WHEN count_if(outcome = 'unsent') >= :most THEN 'dead_letter' WHEN count_if(outcome = 'unsent') > 0 THEN 'retry' ELSE 'wait' END AS action
 FROM {attempts} GROUP BY batch_id
-""")
+""", most=5)
 complete_entity = operator("""
 SELECT e.run_id, e.entity_name FROM {entities} e JOIN (SELECT run_id, entity_name, count(*) AS n FROM {batches} GROUP BY run_id, entity_name) b
   ON b.run_id = e.run_id AND b.entity_name = e.entity_name WHERE b.n = e.expected_batches AND b.n >= 1 AND e.failure_code IS NULL
 """)
-completion_retry = operator("SELECT run_id, CASE WHEN chain + 1 >= 3 THEN 'blocked' ELSE 'retry' END AS action FROM {runs} WHERE status = 'succeeded'")
+completion_retry = operator("SELECT run_id, CASE WHEN chain + 1 >= :most THEN 'blocked' ELSE 'retry' END AS action FROM {runs} WHERE status = 'succeeded'", most=3)
 revoked = operator("SELECT DISTINCT r.run_id FROM {runs} r JOIN {entities} e ON e.run_id = r.run_id ANTI JOIN {definitions} d ON d.entity_name = e.entity_name WHERE e.sensitive AND r.status IN ('pending', 'failed')")
 fence_legacy = operator("SELECT r.run_id FROM {runs} r ANTI JOIN {bindings} b ON b.run_id = r.run_id WHERE r.status IN ('pending', 'blocked')")
 create_scheduled = operator("SELECT DISTINCT d.entity_name FROM {definitions} d ANTI JOIN (SELECT entity_name FROM {runs} WHERE status = 'pending') r ON r.entity_name = d.entity_name")
 notices = operator("SELECT e.run_id, e.entity_name, coalesce(e.failure_code, 'INTERRUPTED') AS code, sum(e.expected_rows) OVER (PARTITION BY e.run_id) AS rows_total FROM {entities} e JOIN {runs} r ON r.run_id = e.run_id WHERE r.status IN ('failed', 'blocked')")
-notice_queue = operator("SELECT run_id FROM {runs} WHERE status IN ('failed', 'blocked') ORDER BY created_at, run_id LIMIT 100")
+notice_queue = operator("SELECT run_id FROM {runs} WHERE status IN ('failed', 'blocked') ORDER BY created_at, run_id LIMIT :limit", limit=100)
 inert = operator("""
 SELECT r.run_id FROM {runs} r ANTI JOIN {batches} b ON b.run_id = r.run_id ANTI JOIN {entities} e ON e.run_id = r.run_id
 ANTI JOIN {bindings} g ON g.run_id = r.run_id ANTI JOIN {owners} o ON o.owner_run_id = r.run_id

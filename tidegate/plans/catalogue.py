@@ -14,6 +14,7 @@ from ..operators import extraction as ex
 from ..operators import queue as q
 from ..operators import runs as r
 from ..operators import verification as v
+from .oracles import SEPARATE
 from .tables import table, with_tables
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
@@ -21,8 +22,12 @@ ORACLES: dict[str, str] = {}
 
 
 def relational(name: str, op: Callable[..., DataFrame], **tables: str) -> None:
-    """A query of an operator that is SQL itself: the same text over the same derived tables is its oracle."""
+    """A query of an operator that is SQL itself. Its oracle is the one written apart; without one, the same text."""
     QUERIES[name] = lambda spark, d: op(**{k: table(spark, d, t) for k, t in tables.items()})
+    if name in SEPARATE:
+        sql, names = SEPARATE[name]
+        ORACLES[name] = with_tables(sql, *names.split())
+        return
     names = list(dict.fromkeys(tables.values()))
     ORACLES[name] = with_tables(f"SELECT * FROM ({op.sql.strip().format(**tables)}) result", *names)
 
