@@ -42,3 +42,35 @@ def test_archive(spark):
         assert r.payload == (None if want else data)
     empty = warc.archive(pages.limit(0))
     assert warc.read_back(spark, empty).count() == 0
+
+
+def test_archives_as_they_are(spark, tmp_path):
+    """Images, Latin-1, heads with bare LF, no head's end, gzip members: bytes go through whole."""
+    import gzip
+
+    png = b"\x89PNG\r\n\x1a\n\x00\xff\xfe" + bytes(range(256)) * 8
+    bodies = [
+        b"HTTP/1.0 200 OK\r\nX-Page-Id: 1\r\n\r\n" + png,
+        b"HTTP/1.0 200 OK\nX-Page-Id: 2\n\n" + "caf\xe9 \xfcber".encode("latin-1") + b"\r\n\r\n" + b"\xff" * 1200,
+        b"HTTP/1.0 200 OK\r\nX-Page-Id: 3\r\n\r\n" + png,
+        b"HTTP/1.0 304 Not Modified\r\nX-Page-Id: 4\r\n",
+    ]
+    whole = warc.arc_file(1, "x.arc", [(f"http://h/{i}", "19990102030405", "image/png", b) for i, b in enumerate(bodies)])
+    at = len(whole) // 2
+    packed = gzip.compress(whole[:at]) + gzip.compress(whole[at:])
+    assert list(warc.parse_arc(packed)) == list(warc.parse_arc(whole))
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parse_arc(packed[:-20]))
+    arcs = spark.createDataFrame([(bytearray(packed),)], "arc binary")
+    path = str(tmp_path / "warc")
+    warc.write(warc.revisits(warc.from_arc(arcs)), path, largest=warc.FILE_BYTES)  # one record a file
+    got = {r.page_id: r for r in warc.read_back(spark, path).collect()}
+    payloads = {1: png, 2: bodies[1].split(b"\n\n", 1)[1], 3: png, 4: b""}
+    assert {k: (r.payload_bytes, r.payload_digest) for k, r in got.items()} == {k: (len(v), hashlib.sha1(v).hexdigest()) for k, v in payloads.items()}
+    assert got[1].record_type == "revisit" and got[1].refers_to == 3 and got[1].payload is None
+    assert all(got[k].payload == payloads[k] for k in (2, 3, 4))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()
+    records = {r.headers["X-Page-Id"]: r for f in files for r in warc.parse_warc(warc.plain(bytes(f.content)))}
+    again = records["1"]
+    assert again.headers["WARC-Refers-To"] == records["3"].headers["WARC-Record-ID"]
+    assert again.headers["WARC-Block-Digest"] == warc.sha1(again.block) and again.block == bodies[0][: -len(png)]

@@ -11,8 +11,9 @@ a name-based UUID of URL, date and block digest; WARC-Date is the 14-digit date
 and the content (warcinfo for filedesc, response for HTTP, resource otherwise); block and payload digests are SHA-1.
 
 Archives are text that Spark writes with the end of a WARC record, CRLF CRLF, as line separator, gzipped, to any file
-system that Spark knows; the committer makes a lost task harmless. They are read back as whole files of at most
-RECORDS records, parsed by declared Content-Length.
+system that Spark knows; the committer makes a lost task harmless. A file is one gzip member. They are read back as whole
+files of at most
+RECORDS records and some FILE_BYTES, parsed by declared Content-Length. Blocks are bytes, whatever their encoding.
 
 Of records with equal payloads of at least LEAST bytes, that of the largest page_id is the response and others are
 revisits without payload. Hot payloads are counted before any shuffle and matched under a salt.
@@ -40,6 +41,7 @@ from .common import map_arrow, read, shared_dir
 
 LEAST = 1000
 RECORDS = 2000
+FILE_BYTES = 64 << 20
 SALTS = 64
 FIELDS = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "filename", "length")}
 DATE = "20260101000000"
@@ -67,9 +69,24 @@ def arc_file(version: int, name: str, records: list[tuple[str, str, str, bytes]]
     return bytes(out)
 
 
+def plain(data: bytes) -> bytes:
+    """data, or what its gzip members hold, one after the other."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data
+    out = []
+    while data.startswith(b"\x1f\x8b"):
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data) + member.flush())
+        if not member.eof:
+            raise ValueError("a gzip member is cut off")
+        data = member.unused_data.lstrip(b"\0")  # padding
+    return b"".join(out)
+
+
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file, the version block first. Raises ValueError where a header or length can't be right."""
+    """Records of an ARC file, gzipped or not, the version block first. Raises ValueError where a header or length can't be right."""
     at, version = 0, 0
+    data = plain(data)
     while at < len(data):
         end = data.find(b"\n", at)
         if end < 0:
@@ -104,10 +121,18 @@ class WarcRecord:
     headers: dict[str, str]
     block: bytes
 
+    @property
+    def head_bytes(self) -> int:
+        """Length of the HTTP head with the blank line that ends it, by CRLF or bare LF; a head without end is all of the block."""
+        if "msgtype" not in self.headers.get("Content-Type", ""):
+            return 0
+        ends = [at + len(mark) for mark in (b"\r\n\r\n", b"\n\n") if (at := self.block.find(mark)) >= 0]
+        return min(ends, default=len(self.block))
+
     @property
     def payload(self) -> bytes:
         """What follows the HTTP head; the block itself where there is none."""
-        return self.block.partition(b"\r\n\r\n")[2] if "msgtype" in self.headers.get("Content-Type", "") else self.block
+        return self.block[self.head_bytes :]
 
 
 def sha1(data: bytes) -> str:
@@ -152,33 +177,44 @@ def parse_warc(data: bytes) -> Iterator[WarcRecord]:
 
 
 # --- tables ------------------------------------------------------------------------------------------------------
-def to_arc(pages: DataFrame, size: int = 200) -> DataFrame:
-    """arc (binary): ARC files of up to `size` pages each, by turns of version 1 and 2. page_id travels in the HTTP head."""
+def to_arc(pages: DataFrame, size: int = 200, most: int = 16 << 20) -> DataFrame:
+    """arc (binary): ARC files of up to `size` pages and some `most` bytes each (or one page), by turns of version 1 and 2.
+    page_id travels in the HTTP head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = 0
+        k, records, held = 0, [], 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array([arc_file(1 + k % 2, f"part-{k}.arc", records)], pa.binary())], ["arc"])
+
         for b in batches:
-            for at in range(0, b.num_rows, size):
-                part = b.slice(at, size)
-                records = []
-                for page, url, html in zip(part.column(0), part.column(1), part.column(2), strict=True):
-                    body = (html.as_py() or "").encode("utf-8", "replace")
-                    id_line = "" if page.as_py() is None else f"X-Page-Id: {page.as_py()}\r\n"
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{id_line}\r\n"
-                    records.append((quote(url.as_py() or "urn:none", safe=":/?#[]@!$&'()*+,;=%~-._"), DATE, "text/html", head.encode() + body))
-                k += 1
-                yield pa.RecordBatch.from_arrays([pa.array([arc_file(1 + k % 2, f"part-{k}.arc", records)], pa.binary())], ["arc"])
+            for page, url, html in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                body = (html.as_py() or "").encode("utf-8", "replace")
+                id_line = "" if page.as_py() is None else f"X-Page-Id: {page.as_py()}\r\n"
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{id_line}\r\n"
+                if records and (len(records) >= size or held + len(body) > most):
+                    k += 1
+                    yield flush()
+                    records, held = [], 0
+                records.append((quote(url.as_py() or "urn:none", safe=":/?#[]@!$&'()*+,;=%~-._"), DATE, "text/html", head.encode() + body))
+                held += len(body)
+        if records:
+            k += 1
+            yield flush()
 
     return map_arrow(pages.select("page_id", "url", "html"), run, "arc binary")
 
 
-RECORD = "page_id long, head string, block string, payload_bytes long, payload_digest string"
+RECORD = "page_id long, head string, record_id string, block binary, head_bytes int, head_digest string, payload_bytes long, payload_digest string"
 
 
 def from_arc(arcs: DataFrame) -> DataFrame:
-    """RECORD for each page record in ARC files: head is the WARC headers of the converted record, without length."""
+    """RECORD for each record in ARC files but the version block: head is the WARC headers of the converted record, without
+    length; head_bytes and head_digest are those of the HTTP head alone, which is all that a revisit keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.string())
+        names = [x.split()[0] for x in RECORD.split(", ")]
         for b in batches:
             for data in b.column(0):
                 out = []
@@ -186,37 +222,44 @@ def from_arc(arcs: DataFrame) -> DataFrame:
                     r = convert(arc)
                     if r.headers["WARC-Type"] == "warcinfo":
                         continue
-                    page = [x[11:] for x in r.block.partition(b"\r\n\r\n")[0].decode("utf-8", "replace").split("\r\n") if x.startswith("X-Page-Id: ")]
-                    out.append((int(page[0]) if page else None, "".join(f"{k}: {v}\r\n" for k, v in r.headers.items()), r.block.decode(), len(r.payload), hashlib.sha1(r.payload).hexdigest()))
+                    http = r.block[: r.head_bytes]
+                    page = [x[11:] for x in http.decode("utf-8", "replace").splitlines() if x.startswith("X-Page-Id: ")]
+                    payload = r.payload
+                    out.append((int(page[0]) if page else None, "".join(f"{k}: {v}\r\n" for k, v in r.headers.items()), r.headers["WARC-Record-ID"], r.block, len(http), sha1(http), len(payload), hashlib.sha1(payload).hexdigest()))
                 if out:
-                    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "head", "block", "payload_bytes", "payload_digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return map_arrow(arcs, run, RECORD)
 
 
 def revisits(records: DataFrame) -> DataFrame:
-    """records and refers_to: the page_id of the response that a record revisits, null for responses."""
-    first = records.filter(f"payload_bytes >= {LEAST}").groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1 and response is not null")
-    first = first.select("payload_digest", "payload_bytes", "response", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    """records and refers_to, refers_to_id: page_id and record id of the response that a record revisits, null for responses."""
+    named = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id"))).alias("first")
+    first = records.filter(f"payload_bytes >= {LEAST}").groupBy("payload_digest", "payload_bytes").agg(named, F.count("*").alias("n")).filter("n > 1 and first is not null")
+    first = first.select("payload_digest", "payload_bytes", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = records.withColumn("salt", F.pmod(F.xxhash64("page_id", "head"), F.lit(SALTS)).cast("int"))
     joined = salted.join(first, ["payload_digest", "payload_bytes", "salt"], "left")
-    return joined.select(*records.columns, F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
+    again = ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    return joined.select(*records.columns, F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, F.col("first.record_id")).alias("refers_to_id"))
 
 
 def as_text(records: DataFrame) -> DataFrame:
-    """value (string): each record as WARC text."""
-    http = F.substring_index("block", "\r\n\r\n", 1)
-    block = F.when(F.col("refers_to").isNull(), F.col("block")).otherwise(F.concat(http, F.lit("\r\n\r\n")))
-    kind = F.when(F.col("refers_to").isNull(), F.col("head")).otherwise(F.regexp_replace("head", "^WARC-Type: [a-z]+\r\n", "WARC-Type: revisit\r\n"))
-    # the block of a revisit is its HTTP head alone: its digest is another
-    kind = F.when(F.col("refers_to").isNull(), kind).otherwise(F.regexp_replace(kind, "WARC-Block-Digest: [^\r]*\r\n", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\n"))
+    """value (string): the bytes of each record as WARC, whatever their encoding."""
+    again = F.col("refers_to").isNotNull()
+    # the block of a revisit is its HTTP head alone
+    block = F.when(again, F.expr("substring(block, 1, head_bytes)")).otherwise(F.col("block"))
+    kind = F.regexp_replace(F.regexp_replace("head", "^WARC-Type: [a-z]+\r\n", "WARC-Type: revisit\r\n"), "WARC-Block-Digest: [^\r]*", F.concat(F.lit("WARC-Block-Digest: "), "head_digest"))
+    profile = F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Refers-To: "), "refers_to_id", F.lit("\r\n"))
+    head = F.when(again, F.concat(kind, profile)).otherwise(F.col("head"))
     extra = F.concat_ws("", F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.concat(F.lit("X-Refers-To-Page-Id: "), F.col("refers_to").cast("string"), F.lit("\r\n")), F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n")))
-    return records.select(F.concat(F.lit("WARC/1.0\r\n"), kind, extra, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block).alias("value"))
+    text = F.concat(F.lit("WARC/1.0\r\n"), head, extra, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"))
+    return records.select(F.concat(text.cast("binary"), block).cast("string").alias("value"))
 
 
-def write(records: DataFrame, path: str) -> None:
-    as_text(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+def write(records: DataFrame, path: str, largest: int = 0) -> None:
+    """largest: bytes of the largest record, which bounds the records of a file: it is read whole."""
+    most = max(1, min(RECORDS, FILE_BYTES // max(1, largest)))
+    as_text(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 READ = "page_id long, record_type string, target_uri string, record_id string, warc_date string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -231,7 +274,7 @@ def read_back(spark, path: str, payloads: bool = True) -> DataFrame:
         for b in batches:
             for data in b.column(0):
                 out = []
-                for r in parse_warc(zlib.decompress(data.as_py(), 47)):
+                for r in parse_warc(plain(data.as_py())):
                     h = r.headers
                     hexed = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     whole = h["WARC-Type"] != "revisit"
@@ -249,7 +292,8 @@ def read_back(spark, path: str, payloads: bool = True) -> DataFrame:
 def archive(pages: DataFrame) -> str:
     """Write pages as WARC archives, by way of ARC, in the shared folder; returns the path."""
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    write(revisits(from_arc(to_arc(pages))), path)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    write(revisits(from_arc(to_arc(pages))), path, largest)
     return path
 
 
