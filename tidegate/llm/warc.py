@@ -12,8 +12,8 @@ and the content (warcinfo for filedesc, response for HTTP, resource otherwise);
 
 Archives are text that Spark writes with the end of a WARC record, CRLF CRLF, as line separator, gzipped, to any file
 system that Spark knows; the committer makes a lost task harmless. A file is one gzip member. They are read back as whole
-files of at most
-RECORDS records and some FILE_BYTES, parsed by declared Content-Length. Blocks are bytes, whatever their encoding.
+files of at most RECORDS records and some FILE_BYTES, parsed by declared Content-Length. Blocks are bytes, whatever their
+encoding.
 
 Of records with equal payloads of at least LEAST bytes, that of the largest page_id is the response and others are
 revisits without payload. Hot payloads are counted before any shuffle and matched under a salt.
