@@ -54,3 +54,28 @@ def five(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
+
+
+def test_edges_through_all_stages(spark, tmp_path):
+    """Empty tables; nulls, repeated rows, a very long text and extra columns with names that operators use themselves."""
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    names = ["_text", "row", "gone", "whole", "hit_row", "line", "_set"]
+    good = " ".join(f"w{i}" for i in range(40))
+    long = "\n".join(" ".join(f"v{i * 7 + k}" for k in range(7)) for i in range(9000))
+    rows = [(1, good), (1, good), (2, long), (3, None), (4, ""), (None, " ".join(f"u{i}" for i in range(40)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, t, None, None, None, *names) for i, t in rows], schema)
+    for start, want in ((docs, {1: 1, 2: 1, None: 1}), (docs.limit(0), {})):
+        now = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, d)
+            assert now.columns == docs.columns
+            path = f"{d}/{len(want)}-{stage.__name__}"
+            now.write.parquet(path)
+            now = spark.read.parquet(path)
+        left = now.collect()
+        assert {r.doc_id: sum(x.doc_id == r.doc_id for x in left) for r in left} == want
+        assert all(r[n] == n for r in left for n in names)
+        assert corpus_pipeline.STAGES[-1][1](spark, now, d).count() == len(left)
