@@ -41,20 +41,44 @@ def test_counts_base_and_probabilities(spark):
 
 
 def test_predictive_probabilities_sum_to_one():
-    words = np.arange(5, dtype=np.uint64)
-    row = {"part": 0, "a": pack(words), "b": pack(np.full(5, 2, np.uint16)), "c": pack(np.tile([3, START := 256], 5).astype(np.uint16)), "d": pack(np.array([9, 1, 4, 4, 1, 1, 2, 7, 30, 2]))}
-    p = py.Part(row, 5)
-    s = p.sums()
-    t = {"customers": s[:257], "tables": s[257:514], "root": int(s[-2]), "root_tables": int(s[-1])}
-    for i in range(3):
-        p.sweep(t, i)
-        s = p.sums()
-        t = {"customers": s[:257], "tables": s[257:514], "root": int(s[-2]), "root_tables": int(s[-1])}
-    root = p.root(t)
-    assert abs(root.sum() + py.unseen(t) / 6 - 1) < 1e-9  # V words and one unknown
-    for u in (3, START):
-        at = p.context == u
-        here = np.bincount(p.of[at], p.count[at] - py.DISCOUNT * p.tables[at], 5)
-        prob = (here + (py.STRENGTH + py.DISCOUNT * t["tables"][u]) * root) / (py.STRENGTH + t["customers"][u])
-        rest = (py.STRENGTH + py.DISCOUNT * t["tables"][u]) * py.unseen(t) / 6 / (py.STRENGTH + t["customers"][u])
-        assert abs(prob.sum() + rest - 1) < 1e-9
+    keys = np.array([700 << 9 | 97, 701 << 9 | 97, 702 << 9 | 98, py.START], np.uint64)
+    count = np.array([9, 1, 0, 4, 4, 1, 1, 2, 7, 30, 2, 60, 5, 5, 0, 1, 1, 1, 3, 2])
+    row = {"part": 0, "kind": py.STATE, "a": pack(np.full(5, 4)), "b": pack(np.tile(np.arange(4, dtype=np.int32), 5)), "c": pack(count), "d": pack(keys)}
+    p = py.Part(row, 5, 3)
+    customers = p.by_context(p.count)
+    assert customers.tolist() == count.reshape(5, 4).sum(0).tolist()
+    for i in range(4):
+        t, tables = py.totals_of(p.sums()), p.by_context(p.tables)
+        assert t["tokens"] == count.sum() and t["root"] == p.class_tables.sum() and t["customers"].sum() == p.tables.sum()
+        assert ((p.tables >= (p.count > 0)) & (p.tables <= p.count)).all() and (p.class_tables <= p.class_customers()).all()
+        # V words and one unknown, in every restaurant
+        assert abs(p.root(t).sum() + py.unseen(t) / 6 - 1) < 1e-9
+        rest = {}
+        for c in (97, 98, py.START):
+            rest[c] = (py.CLASS_STRENGTH + py.CLASS_DISCOUNT * t["tables"][c]) * py.unseen(t) / 6 / (py.CLASS_STRENGTH + t["customers"][c])
+            assert abs(p.classes(t)[p.class_ == c].sum() + rest[c] - 1) < 1e-9
+        for u, c in enumerate((97, 97, 98, py.START)):
+            unknown = (py.STRENGTH + py.DISCOUNT * tables[u]) * rest[c] / (py.STRENGTH + customers[u])
+            assert abs(p.words(t, customers, tables)[p.context == u].sum() + unknown - 1) < 1e-9
+        p.sweep(t, tables, i)
+
+
+def test_scores_of_the_model_without_draws(spark):
+    """Each word once: no seat is left to chance, and scores are those of a plain version of the three levels."""
+    train, held = "ab cd ef gb ij kf lm", ["cd ef gb", "zz ij kf lm", "kf zz cd ab", "", "ab cd ef gb ij kf lm"]
+    docs = spark.createDataFrame([(0, train, False)] + [(1 + i, t, True) for i, t in enumerate(held)], "doc_id long, text string, h boolean")
+    got = {r.doc_id: r.score for r in py.score(docs, docs.h, chunk=4).collect()}
+    follows = list(zip([b"", *tokens(train)], tokens(train), strict=False))
+    v = len(follows)
+    of = lambda u: u[-1] if u else py.START
+
+    def p(u, w):
+        root = ((1 - py.ROOT_DISCOUNT) * (w in tokens(train)) + (py.ROOT_STRENGTH + py.ROOT_DISCOUNT * v) / (v + 1)) / (py.ROOT_STRENGTH + v)
+        k = sum(of(x) == of(u) for x, _ in follows)
+        here = any(of(x) == of(u) and y == w for x, y in follows)
+        parent = ((1 - py.CLASS_DISCOUNT) * here + (py.CLASS_STRENGTH + py.CLASS_DISCOUNT * k) * root) / (py.CLASS_STRENGTH + k)
+        n = sum(x == u for x, _ in follows)
+        return ((1 - py.DISCOUNT) * ((u, w) in follows) + (py.STRENGTH + py.DISCOUNT * n) * parent) / (py.STRENGTH + n)
+
+    for i, t in enumerate([train, *held]):
+        assert abs(got[i] - sum(math.log10(p(u, w)) for u, w in zip([b"", *tokens(t)], tokens(t), strict=False))) < 1e-5

@@ -1,23 +1,25 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Restaurants: the root serves words over the uniform base distribution 1 / (V + 1); below it, sharing it as parent, one
-restaurant for each context, where a context is the class of the token before (its last byte; one more class for the
-start of a text). There are at most 257 contexts whatever the corpus, so all that couples the words - customers and
-tables of each restaurant - is 257 pairs of numbers, while everything about one word (its customers and tables in each
-context, and in the root) lies in one place. That makes a Gibbs sweep over the whole corpus local to a word: given the
-restaurants' totals of the sweep before, every word's customers are seated anew by the Chinese-restaurant rule, first
-in the contexts, then (a customer for each table of the contexts) in the root. The totals are then summed by Spark.
-Predictive probabilities are averaged over the sweeps after the burn-in.
+Restaurants, from the top: the root serves words over the uniform base distribution 1 / (V + 1); below it, sharing it as
+parent, one restaurant for each class of the token before (its last byte; one more class for the start of a text); below
+these, sharing their class as parent, one restaurant for each word that stands before another. The words' restaurants
+grow with the corpus. Gibbs sweeps seat customers anew by the Chinese-restaurant rule from the bottom up: a table of a
+restaurant is a customer of its parent. Predictive probabilities are averaged over the sweeps after the burn-in.
 
-Contexts of whole words would need a row for most tokens in two shuffles, several times the input; see README.
+What one word does in all restaurants (customers and tables by context, by class and in the root) lies in the part of its
+hash, so that a sweep is local to words but for the totals of restaurants: those of classes and root are 516 numbers, and
+those of words' restaurants are summed in the parts of the contexts' hashes, and come back to the words' parts, each sweep.
 
 Data flow, with counts gathered over all training texts:
   chunks   texts are numbered in tasks: a chunk of some `chunk` tokens keeps its tokens as indexes of its distinct
            (word, context) pairs; these pairs, with counts, go to the word's part
-  state    each part merges the counts of its words
-  sweeps   parts are seated; draws are replayed from a seed by part and sweep, so a lost executor changes nothing
+  state    each part merges its pairs; of a chunk's pairs it keeps their places among the merged ones
+  routes   each part of contexts numbers its contexts, and knows the places that each part of words asked for
+  sweeps   parts are seated, their tables summed by context; draws are replayed from a seed by part and sweep, so a lost
+           executor changes nothing
   answers  each part answers each chunk's pairs with probabilities and counts, which meet the chunk's tokens again
-Words are known by their 64-bit hash.
+Words are known by their 64-bit hash; as contexts, by 39 bits of it and their class: of 10^9 words in contexts, less than
+one in 10,000 would share its restaurant with another.
 
 Seating is drawn customer by customer up to STEP customers of a word in a restaurant; beyond, in blocks of a tenth of
 the customers already there, with a binomial number of new tables (the chance of a new table hardly changes within).
@@ -37,22 +39,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, bucket_of, map_arrow, materialize, pack, partitions, read, unpack
+from .common import Vocabulary, bucket_of, drop, map_arrow, materialize, pack, partitions, read, unpack
 
 CHUNK = 1_500_000
-CONTEXTS = 257
+CLASSES = 257
 START = 256
 STEP = 48
-DISCOUNT, STRENGTH = 0.2, 200.0  # of the contexts
+DISCOUNT, STRENGTH = 0.8, 20.0  # of words as contexts
+CLASS_DISCOUNT, CLASS_STRENGTH = 0.2, 200.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 20.0
 SWEEPS, BURN_IN = 4, 1
-BLOBS = "part int, chunk long, a binary, b binary, c binary, d binary, e binary"
+BLOBS = "part int, chunk long, a binary, b binary, c binary, d binary, e binary, kind int"
+#: Kinds of rows; those of sweep i are REPLY + i.
+OWN, ASKED, STATE, ROUTE, REPLY = 0, 1, 2, 3, 4
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "chunk", "a", "b", "c", "d", "e"])
+def _batch(rows: list[tuple], kind: int) -> pa.RecordBatch:
+    cols = [*zip(*rows, strict=True), [kind] * len(rows)]
+    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 5 + [pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "chunk", "a", "b", "c", "d", "e", "kind"])
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of each part of a partition. They stay packed until their part's turn."""
+    got: dict[int, list[dict]] = {}
+    for b in batches:
+        for row in b.to_pylist():
+            got.setdefault(row["part"], []).append(row)
+    for part in sorted(got):
+        yield part, got.pop(part)
+
+
+def context_part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(9)) % np.uint64(parts)).astype(np.int64)
+
+
+def slices(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of each run of a sorted array."""
+    edge = np.flatnonzero(np.diff(of, prepend=-1, append=-1)) if len(of) else of
+    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield int(of[s]), s, e
 
 
 class Chunk:
@@ -60,8 +86,7 @@ class Chunk:
 
     def __init__(self):
         self.words = Vocabulary()
-        self.words.encode([b""])  # the end token
-        self.last: list[int] = [START]  # class of each word as a context
+        self.words.encode([b""])  # the end token; as a context, the start
         self.tokens: list[np.ndarray] = []
         self.ids, self.held, self.size = [], [], []
         self.n = 0
@@ -74,38 +99,39 @@ class Chunk:
         self.size.append(len(w) + 1)
         self.n += len(w) + 1
 
-    def rows(self, number: int, parts: int) -> list[tuple]:
+    def rows(self, number: int, parts: int) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         known = np.array([xxh64_intdigest(w, 42) for w in self.words.words], np.uint64)
-        last = np.array([w[-1] if w else START for w in self.words.words], np.int64)
-        token = np.concatenate(self.tokens)
-        before = np.empty(len(token), np.int64)
-        before[1:] = last[token[:-1]]  # after an end comes a start
-        before[0] = START
-        trained = np.repeat(~np.array(self.held, bool), self.size)
-        # pairs in the order of (part, word, context)
+        last = np.array([w[-1] if w else START for w in self.words.words], np.uint64)
+        keys, context = np.unique(known >> np.uint64(25) << np.uint64(9) | last, return_inverse=True)
+        # pairs in the order of (part, word, part of the context, context)
+        order = np.lexsort((keys, context_part(keys, parts)))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        keys, context = keys[order], place[context]
         part = (known % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((known, part))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        pair, index = np.unique(place[token] * CONTEXTS + before, return_inverse=True)
+        token = np.concatenate(self.tokens)
+        before = np.empty(len(token), np.int64)
+        before[1:], before[0] = token[:-1], 0
+        trained = np.repeat(~np.array(self.held, bool), self.size)
+        pair, index = np.unique(place[token] * len(keys) + context[before], return_inverse=True)
         count = np.bincount(index[trained], minlength=len(pair))
-        word, context = order[pair // CONTEXTS], (pair % CONTEXTS).astype(np.uint16)
-        of = part[word]
+        word, context = order[pair // len(keys)], pair % len(keys)
         null = np.array([i is None for i in self.ids])
         ids = np.array([0 if i is None else i for i in self.ids], np.int64)
         # the order of a text's tokens counts no more: sorted, their differences are small
         size = np.array(self.size, np.int64)
         ordered = np.sort(np.repeat(np.arange(len(size)), size) * len(pair) + index)
         step = np.diff(ordered, prepend=0)
-        out = [(-1, number, pack(step), b"", pack(ids), np.stack([null, np.array(self.held, bool)]).astype(np.uint8).tobytes(), pack(size))]
-        edge = np.flatnonzero(np.diff(of, prepend=-1, append=parts + 1))
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield _batch([(-1 - number % parts, number, pack(step), b"", pack(ids), np.stack([null, np.array(self.held, bool)]).astype(np.uint8).tobytes(), pack(size))], OWN)
+        for of, s, e in slices(part[word]):
             w = known[word[s:e]]
             starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            out.append((int(of[s]), number, pack(w[starts]), pack(np.diff(np.append(starts, e - s)).astype(np.uint16)), pack(context[s:e]), pack(count[s:e].astype(np.int64)), b""))
-        return out
+            yield _batch([(of, number, pack(w[starts]), pack(np.diff(np.append(starts, e - s))), pack(keys[context[s:e]]), pack(count[s:e].astype(np.int64)), b"")], ASKED)
 
 
 def _chunks(parts: int, size: int):
@@ -115,33 +141,37 @@ def _chunks(parts: int, size: int):
             for i, t, h in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 now.add(i.as_py(), t.as_py(), h.as_py())
                 if now.n >= size:
-                    yield _batch(now.rows(base + k, parts))
+                    yield from now.rows(base + k, parts)
                     k, now = k + 1, Chunk()
         if now.n:
-            yield _batch(now.rows(base + k, parts))
+            yield from now.rows(base + k, parts)
 
     return run
 
 
-def _requests(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """word, context and count of each pair of a row."""
-    w = np.repeat(unpack(row["a"], np.uint64), unpack(row["b"], np.uint16))
-    return w, unpack(row["c"], np.uint16).astype(np.int64), unpack(row["d"], np.int64)
+def _merge(parts: int):
+    """State of each part: its words and contexts, the pairs of both, their training counts; and each chunk's places in it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _by_part(batches):
+            if part < 0:
+                yield from (_batch([(part, r["chunk"], r["a"], r["b"], r["c"], r["d"], r["e"])], OWN) for r in rows)
+                continue
+            words, w = np.unique(np.concatenate([np.repeat(unpack(r["a"], np.uint64), unpack(r["b"], np.int64)) for r in rows]), return_inverse=True)
+            got = [unpack(r["c"], np.uint64) for r in rows]
+            keys, u = np.unique(np.concatenate(got), return_inverse=True)
+            order = np.lexsort((keys, context_part(keys, parts)))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            pair, at = np.unique(w * len(keys) + place[u], return_inverse=True)
+            n = np.bincount(at, np.concatenate([unpack(r["d"], np.int64) for r in rows]), len(pair)).astype(np.int64)
+            known = len(np.unique((pair // len(keys))[n > 0]))
+            yield _batch([(part, known, pack(np.bincount(pair // len(keys), minlength=len(words)).astype(np.int64)), pack((pair % len(keys)).astype(np.int32)), pack(n), pack(keys[order]), b"")], STATE)
+            end = np.cumsum([len(x) for x in got])
+            for r, x, e in zip(rows, got, end.tolist(), strict=True):
+                yield _batch([(part, r["chunk"], pack(np.diff(at[e - len(x) : e], prepend=0)), b"", b"", b"", b"")], ASKED)
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """State of each part of a partition: its words, each word's contexts, and their training counts."""
-    got: dict[int, list] = {}
-    for b in batches:
-        for row in b.to_pylist():
-            w, c, n = _requests(row)
-            got.setdefault(row["part"], []).append((w[n > 0], c[n > 0], n[n > 0]))
-    for part, rows in sorted(got.items()):
-        w, c, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-        words, at = np.unique(w, return_inverse=True)
-        pair, at = np.unique(at * CONTEXTS + c, return_inverse=True)
-        n = np.bincount(at, n, len(pair)).astype(np.int64)
-        yield _batch([(part, -1, pack(words), pack(np.bincount(pair // CONTEXTS, minlength=len(words)).astype(np.uint16)), pack((pair % CONTEXTS).astype(np.uint16)), pack(n), str(len(words)).encode())])
+    return run
 
 
 def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -168,32 +198,58 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.rando
 class Part:
     """Words of a part, seated."""
 
-    def __init__(self, row: dict, n_words: int):
-        self.part = row["part"]
-        self.words = unpack(row["a"], np.uint64)
-        self.of = np.repeat(np.arange(len(self.words)), unpack(row["b"], np.uint16))
-        self.context = unpack(row["c"], np.uint16).astype(np.int64)
-        self.count = unpack(row["d"], np.int64)
+    def __init__(self, row: dict, n_words: int, parts: int):
+        self.part, self.parts = row["part"], parts
+        contexts = unpack(row["a"], np.int64)
+        self.n_here = len(contexts)
+        self.of = np.repeat(np.arange(self.n_here), contexts)
+        self.context = unpack(row["b"], np.int32).astype(np.int64)
+        self.count = unpack(row["c"], np.int64)
+        self.keys = unpack(row["d"], np.uint64)
         self.base = 1.0 / (n_words + 1)
+        # a word in a class
+        dish, self.dish = np.unique(self.of * CLASSES + (self.keys[self.context] & np.uint64(511)).astype(np.int64), return_inverse=True)
+        self.word, self.class_ = dish // CLASSES, dish % CLASSES
         # one table for each dish, to begin with
-        self.tables = np.ones(len(self.of), np.int64)
-        self.root_tables = np.ones(len(self.words), np.int64)
+        self.tables = (self.count > 0).astype(np.int64)
+        self.class_tables = (self.class_customers() > 0).astype(np.int64)
+        self.root_tables = (self.root_customers() > 0).astype(np.int64)
+
+    def class_customers(self) -> np.ndarray:
+        return np.bincount(self.dish, self.tables, len(self.word)).astype(np.int64)
+
+    def root_customers(self) -> np.ndarray:
+        return np.bincount(self.word, self.class_tables, self.n_here).astype(np.int64)
 
     def root(self, totals: dict) -> np.ndarray:
-        served = np.bincount(self.of, self.tables, len(self.words))
-        return (served - ROOT_DISCOUNT * self.root_tables) / (ROOT_STRENGTH + totals["root"]) + unseen(totals) * self.base
+        return (self.root_customers() - ROOT_DISCOUNT * self.root_tables) / (ROOT_STRENGTH + totals["root"]) + unseen(totals) * self.base
+
+    def classes(self, totals: dict) -> np.ndarray:
+        """Probability of each word in each class it occurs in."""
+        new = (CLASS_STRENGTH + CLASS_DISCOUNT * totals["tables"][self.class_]) * self.root(totals)[self.word]
+        return (self.class_customers() - CLASS_DISCOUNT * self.class_tables + new) / (CLASS_STRENGTH + totals["customers"][self.class_])
+
+    def words(self, totals: dict, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Probability of each pair; customers and tables are totals of the contexts."""
+        new = (STRENGTH + DISCOUNT * tables[self.context]) * self.classes(totals)[self.dish]
+        return (self.count - DISCOUNT * self.tables + new) / (STRENGTH + customers[self.context])
 
-    def sweep(self, totals: dict, number: int) -> None:
+    def sweep(self, totals: dict, tables: np.ndarray, number: int) -> None:
         rng = np.random.default_rng([number, self.part])
-        pull = (STRENGTH + DISCOUNT * totals["tables"][self.context]) * self.root(totals)[self.of]
+        pull = (STRENGTH + DISCOUNT * tables[self.context]) * self.classes(totals)[self.dish]
+        class_pull = (CLASS_STRENGTH + CLASS_DISCOUNT * totals["tables"][self.class_]) * self.root(totals)[self.word]
         self.tables = seat(self.count, pull, DISCOUNT, rng)
-        served = np.bincount(self.of, self.tables, len(self.words)).astype(np.int64)
+        self.class_tables = seat(self.class_customers(), class_pull, CLASS_DISCOUNT, rng)
         new = (ROOT_STRENGTH + ROOT_DISCOUNT * totals["root_tables"]) * self.base
-        self.root_tables = seat(served, np.full(len(served), new), ROOT_DISCOUNT, rng)
+        self.root_tables = seat(self.root_customers(), np.full(self.n_here, new), ROOT_DISCOUNT, rng)
 
     def sums(self) -> np.ndarray:
-        """By context: customers and tables; then the root's customers and tables."""
-        return np.concatenate([np.bincount(self.context, self.count, CONTEXTS), np.bincount(self.context, self.tables, CONTEXTS), [self.tables.sum(), self.root_tables.sum()]]).astype(np.int64)
+        """By class: customers and tables; then the root's customers and tables, and the tokens of all words."""
+        own = [self.class_tables.sum(), self.root_tables.sum(), self.count.sum()]
+        return np.concatenate([np.bincount(self.class_, self.class_customers(), CLASSES), np.bincount(self.class_, self.class_tables, CLASSES), own]).astype(np.int64)
+
+    def by_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, x, len(self.keys)).astype(np.int64)
 
 
 def unseen(totals: dict) -> float:
@@ -201,63 +257,96 @@ def unseen(totals: dict) -> float:
     return (ROOT_STRENGTH + ROOT_DISCOUNT * totals["root_tables"]) / (ROOT_STRENGTH + totals["root"])
 
 
-def _totals(state: DataFrame, n_words: int, past: list[dict]) -> dict:
-    """Totals after one more sweep than `past` has: a row for each number, summed by Spark."""
+def totals_of(sums: np.ndarray) -> dict:
+    return {"customers": sums[:CLASSES], "tables": sums[CLASSES : 2 * CLASSES], "root": int(sums[-3]), "root_tables": int(sums[-2]), "tokens": int(sums[-1])}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * CONTEXTS + 2, np.int64)
-        for b in batches:
-            for row in b.to_pylist():
-                p = Part(row, n_words)
-                for i, t in enumerate(past):
-                    p.sweep(t, i)
-                total += p.sums()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
 
-    got = np.zeros(2 * CONTEXTS + 2, np.int64)
-    for r in map_arrow(state, run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
-        got[r.k] = r.v
-    return {"customers": got[:CONTEXTS], "tables": got[CONTEXTS : 2 * CONTEXTS], "root": int(got[-2]), "root_tables": int(got[-1])}
+def _replies(rows: list[dict], number: int, column: str) -> np.ndarray:
+    """Totals of a part's contexts at a sweep: the parts of contexts answer in their order, which is that of the state's keys."""
+    got = sorted((r["chunk"], r[column]) for r in rows if r["kind"] == REPLY + number)
+    return np.concatenate([unpack(x, np.int64) for _, x in got]) if got else np.empty(0, np.int64)
+
 
+def _ask(parts: int):
+    """The contexts of each part of words, for the parts of contexts."""
 
-def _answers(n_words: int, past: list[dict]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, list] = {}
-        states: dict[int, dict] = {}
-        for b in batches:
-            for row in b.to_pylist():
-                if row["chunk"] < 0:
-                    states[row["part"]] = row
-                else:
-                    asked.setdefault(row["part"], []).append(row)
-        empty = {"a": b"", "b": b"", "c": b"", "d": b""}
-        for part, rows in sorted(asked.items()):
-            p = Part(states.get(part, empty | {"part": part}), n_words)
-            total = np.bincount(p.of, p.count, len(p.words)).astype(np.int64)
-            pair = p.of * CONTEXTS + p.context
-            drawn = []
-            for i, t in enumerate(past[:-1]):
-                p.sweep(t, i)
-                if i >= BURN_IN:
-                    drawn.append((p.tables, p.root(past[i + 1]), past[i + 1]))
+        for part, rows in _by_part(batches):
             for row in rows:
-                w, c, _ = _requests(row)
-                at = np.searchsorted(p.words, w)
-                hit = (at < len(p.words)) & (p.words[np.minimum(at, len(p.words) - 1)] == w) if len(p.words) else np.zeros(len(w), bool)
-                key = np.where(hit, at, -1) * CONTEXTS + c
-                where = np.searchsorted(pair, key)
-                seen = hit & (where < len(pair))
-                seen[seen] = pair[where[seen]] == key[seen]
-                mean = np.zeros(len(w))
-                for tables, root, t in drawn:
-                    parent = np.full(len(w), unseen(t) / (n_words + 1))
-                    parent[hit] = root[at[hit]]
-                    here = np.zeros(len(w))
-                    here[seen] = p.count[where[seen]] - DISCOUNT * tables[where[seen]]
-                    mean += (here + (STRENGTH + DISCOUNT * t["tables"][c]) * parent) / (STRENGTH + t["customers"][c])
-                count = np.zeros(len(w), np.int64)
-                count[hit] = total[at[hit]]
-                yield _batch([(part, row["chunk"], pack(np.log10(mean / len(drawn)).astype(np.float32)), pack(count), b"", b"", b"")])
+                keys = unpack(row["d"], np.uint64)
+                for of, s, e in slices(context_part(keys, parts)):
+                    yield _batch([(of, part, pack(keys[s:e]), b"", b"", b"", b"")], ROUTE)
+
+    return run
+
+
+def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of a part as numbers: for each part of words, those that it has."""
+    for part, rows in _by_part(batches):
+        got = [unpack(r["a"], np.uint64) for r in rows]
+        at = np.unique(np.concatenate(got), return_inverse=True)[1].astype(np.int32)
+        for r, x, e in zip(rows, got, np.cumsum([len(x) for x in got]).tolist(), strict=True):
+            yield _batch([(part, r["chunk"], pack(at[e - len(x) : e]), b"", b"", b"", b"")], ROUTE)
+
+
+def _seated(part: int, rows: list[dict], n_words: int, parts: int, past: list[dict]) -> Iterator[tuple[int, Part]]:
+    """A part after each of its sweeps, before the first included."""
+    p = Part(next(r for r in rows if r["kind"] == STATE), n_words, parts)
+    yield 0, p
+    for i, t in enumerate(past):
+        p.sweep(t, _replies(rows, i, "a"), i)
+        yield i + 1, p
+
+
+def _send(n_words: int, parts: int, past: list[dict]):
+    """Tables of each context after the sweeps past (before any, customers too), for the parts of contexts; sums as part -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, number = np.zeros(2 * CLASSES + 3, np.int64), REPLY + len(past)
+        for part, rows in _by_part(batches):
+            for _, p in _seated(part, rows, n_words, parts, past):  # noqa: B007
+                pass
+            total += p.sums()
+            tables, customers = p.by_context(p.tables), p.by_context(p.count)
+            for of, s, e in slices(context_part(p.keys, parts)):
+                yield _batch([(of, part, pack(tables[s:e]), b"" if past else pack(customers[s:e]), b"", b"", b"")], number)
+        yield _batch([(-1, -1, pack(total), b"", b"", b"", b"")], number)
+
+    return run
+
+
+def _reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals of contexts, for each part of words that has them."""
+    for part, rows in _by_part(batches):
+        if part < 0:
+            yield _batch([(-1, -1, pack(sum(unpack(r["a"], np.int64) for r in rows)), b"", b"", b"", b"")], rows[0]["kind"])
+            continue
+        at = {r["chunk"]: unpack(r["a"], np.int32) for r in rows if r["kind"] == ROUTE}
+        sent = [r for r in rows if r["kind"] != ROUTE]
+        n = 1 + max(int(x.max()) for x in at.values())
+        total = {}
+        for column in "ab"[: 2 if sent[0]["b"] else 1]:
+            total[column] = np.zeros(n, np.int64)
+            for r in sent:
+                total[column][at[r["chunk"]]] += unpack(r[column], np.int64)  # a part has a context once
+        for of, x in at.items():
+            yield _batch([(of, part, pack(total["a"][x]), pack(total["b"][x]) if "b" in total else b"", b"", b"", b"")], sent[0]["kind"])
+
+
+def _answers(n_words: int, parts: int, past: list[dict]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _by_part(batches):
+            customers = _replies(rows, 0, "b")
+            mean, drawn = 0.0, 0
+            for i, p in _seated(part, rows, n_words, parts, past[:-1]):
+                if i > BURN_IN:
+                    mean, drawn = mean + p.words(past[i], customers, _replies(rows, i, "a")), drawn + 1
+            log = np.log10(mean / drawn).astype(np.float32)
+            count = np.bincount(p.of, p.count, p.n_here).astype(np.int64)[p.of]
+            for r in rows:
+                if r["kind"] == ASKED:
+                    at = np.cumsum(unpack(r["a"], np.int64))
+                    yield _batch([(part, r["chunk"], pack(log[at]), pack(count[at]), b"", b"", b"")], ASKED)
 
     return run
 
@@ -270,7 +359,7 @@ def _scores(n_tokens: int, n_words: int):
         got: dict[int, dict[int, tuple]] = {}
         for b in batches:
             for row in b.to_pylist():
-                got.setdefault(row["chunk"], {})[row["part"]] = row
+                got.setdefault(row["chunk"], {})[-1 if row["kind"] == OWN else row["part"]] = row
         for rows in got.values():
             own = rows.pop(-1)
             log = np.concatenate([unpack(rows[p]["a"], np.float32) for p in sorted(rows)]).astype(np.float64)
@@ -300,17 +389,25 @@ def score(docs: DataFrame, held_out, chunk: int = CHUNK) -> DataFrame:
     """RESULT for each row of docs, learning from those for which the column held_out is false."""
     spark = docs.sparkSession
     n, parts = partitions(spark), 3 * partitions(spark)
-    table, _ = materialize(map_arrow(docs.select("doc_id", "text", held_out.alias("held")), _chunks(parts, chunk), BLOBS).withColumn("own", F.col("part") < 0), "chunks", "own")
-    asked, own = table.filter("not own").drop("own"), table.filter("own").drop("own")
-    state, _ = materialize(map_arrow(asked.repartition(n, "part"), _merge, BLOBS), "seats")
-    # V: each part tells the number of its words
-    n_words = state.select(F.sum(F.col("e").cast("string").cast("long"))).first()[0] or 0
-    past = [_totals(state, n_words, [])]
-    for _ in range(SWEEPS):
-        past.append(_totals(state, n_words, past))
-    n_tokens = int(past[0]["customers"].sum())
-    answers = map_arrow(asked.union(state).repartition(n, "part"), _answers(n_words, past), BLOBS)
-    return map_arrow(answers.union(own).repartition(n, "chunk"), _scores(n_tokens, n_words), RESULT)
+
+    def parted(df: DataFrame, run) -> DataFrame:
+        return map_arrow(df.repartition(n, "part"), run, BLOBS)
+
+    chunks = map_arrow(docs.select("doc_id", "text", held_out.alias("held")), _chunks(parts, chunk), BLOBS)
+    table, path = materialize(parted(chunks, _merge(parts)), "seats", "kind")
+    own, asked, state = (table.filter(F.col("kind") == k) for k in (OWN, ASKED, STATE))
+    n_words = state.select(F.sum("chunk")).first()[0] or 0  # each part tells the number of its words
+    routes, routes_path = materialize(parted(map_arrow(state, _ask(parts), BLOBS), _route), "routes")
+    past, seen, paths = [], state, []
+    for _ in range(SWEEPS + 1):
+        replies, at = materialize(parted(parted(seen, _send(n_words, parts, past)).unionByName(routes), _reply), "totals")
+        sums = replies.filter("part < 0").select("a").first()
+        past.append(totals_of(unpack(bytes(sums.a), np.int64) if sums else np.zeros(2 * CLASSES + 3, np.int64)))
+        seen = seen.unionByName(replies.filter("part >= 0"))
+        paths.append(at)
+    answers, _ = materialize(parted(seen.unionByName(asked), _answers(n_words, parts, past)), "answers")
+    drop(spark, routes_path, *paths, f"{path}/kind={ASKED}", f"{path}/kind={STATE}")
+    return map_arrow(answers.unionByName(own).repartition(n, "chunk"), _scores(past[0]["tokens"], n_words), RESULT)
 
 
 def op9_pitman_yor(spark, sf_dir: str) -> DataFrame:
