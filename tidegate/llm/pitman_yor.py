@@ -18,6 +18,7 @@ Data flow, with counts gathered over all training texts:
   sweeps   parts are seated, their tables summed by context; draws are replayed from a seed by part and sweep, so a lost
            executor changes nothing
   answers  each part answers each chunk's pairs with probabilities and counts, which meet the chunk's tokens again
+Parts are as many as the texts need, since each part of words exchanges a row with each part of contexts.
 Words are known by their 64-bit hash; as contexts, by 39 bits of it and their class: of 10^9 words in contexts, less than
 one in 10,000 would share its restaurant with another.
 
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 from .common import Vocabulary, bucket_of, drop, map_arrow, materialize, pack, partitions, read, unpack
 
 CHUNK = 1_500_000
+PART_BYTES = 4 << 20  # of text, for each part; there are three parts for each shuffle partition at most
 CLASSES = 257
 START = 256
 STEP = 48
@@ -388,10 +390,11 @@ def _scores(n_tokens: int, n_words: int):
 def score(docs: DataFrame, held_out, chunk: int = CHUNK) -> DataFrame:
     """RESULT for each row of docs, learning from those for which the column held_out is false."""
     spark = docs.sparkSession
-    n, parts = partitions(spark), 3 * partitions(spark)
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, min(3 * partitions(spark), size // PART_BYTES))
 
     def parted(df: DataFrame, run) -> DataFrame:
-        return map_arrow(df.repartition(n, "part"), run, BLOBS)
+        return map_arrow(df.repartition("part"), run, BLOBS)
 
     chunks = map_arrow(docs.select("doc_id", "text", held_out.alias("held")), _chunks(parts, chunk), BLOBS)
     table, path = materialize(parted(chunks, _merge(parts)), "seats", "kind")
@@ -407,7 +410,7 @@ def score(docs: DataFrame, held_out, chunk: int = CHUNK) -> DataFrame:
         paths.append(at)
     answers, _ = materialize(parted(seen.unionByName(asked), _answers(n_words, parts, past)), "answers")
     drop(spark, routes_path, *paths, f"{path}/kind={ASKED}", f"{path}/kind={STATE}")
-    return map_arrow(answers.unionByName(own).repartition(n, "chunk"), _scores(past[0]["tokens"], n_words), RESULT)
+    return map_arrow(answers.unionByName(own).repartition("chunk"), _scores(past[0]["tokens"], n_words), RESULT)
 
 
 def op9_pitman_yor(spark, sf_dir: str) -> DataFrame:
