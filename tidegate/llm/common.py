@@ -99,9 +99,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucket_of(col: str, modulus: int) -> Column:
+def bucket_of(col: str | Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo modulus; null ids count as the text ''."""
-    return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus
+    c = F.col(col) if isinstance(col, str) else col
+    return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 class Vocabulary(dict):
