@@ -69,36 +69,3 @@ def test_counts():
     assert [pages.count_of(x) for x in ("42", "﻿7\r\n", "0")] == [42, 7, 0]
     with pytest.raises(pages.PageError):
         pages.count_of("-1")
-
-
-def serve(bodies):
-    asked = []
-
-    def fetch(address):
-        asked.append(address)
-        return bodies.pop(0)
-
-    return fetch, asked
-
-
-def test_paging():
-    fetch, asked = serve([(200, '[{"a":1},{"a":2}]'), (503, ""), (200, '[{"a":3}]')])
-    assert list(pages.read_pages(fetch, "https://h/o/", "Set", 2, wait=lambda s: None)) == ['{"a":1}', '{"a":2}', '{"a":3}']
-    assert asked[-1].endswith("$skip=2") and len(asked) == 3
-    fetch, asked = serve([(200, '{"value":[{"a":1}],"@odata.nextLink":"Set?t=2"}'), (200, '{"value":[{"a":2}]}')])
-    assert len(list(pages.read_pages(fetch, "https://h/o/", "Set", 1, wait=lambda s: None))) == 2 and asked[1] == "https://h/o/Set?t=2"
-
-
-@pytest.mark.parametrize("link", ["https://other/o/Set", "https://h/elsewhere", "Set?t=1"])
-def test_links_are_guarded(link):
-    body = f'{{"value":[{{"a":1}}],"@odata.nextLink":"{link}"}}'
-    fetch, _ = serve([(200, body)] * 3)
-    with pytest.raises(pages.PageError):
-        list(pages.read_pages(fetch, "https://h/o/", "Set", 1, wait=lambda s: None))
-
-
-def test_client_errors_are_not_retried():
-    fetch, asked = serve([(404, "")])
-    with pytest.raises(pages.PageError) as e:
-        list(pages.read_pages(fetch, "https://h/o/", "Set", 1))
-    assert e.value.code == "ODATA_HTTP_404" and len(asked) == 1

@@ -113,37 +113,18 @@ def final_cursor(df: DataFrame, entity: Entity, by: str | None = None) -> DataFr
     return df.groupBy(by).agg(*last) if by else df.agg(*last)
 
 
-def greedy_batches(df: DataFrame, size: str, order: list[str], by: str, target: int) -> DataFrame:
+def greedy_batches(df: DataFrame, size: str, order: list[str], by: str, target: int, stream_rows: int = 2_000_000) -> DataFrame:
     """df and batch (from 1): rows fill a batch in order until its size reaches target, then the next one begins.
 
-    The rule is a fold over each group's rows in order. Groups are spread over the cluster and cut into batches as
-    sorted partitions stream by; no group is held in memory.
+    The rule is a fold over each group's rows in order. While no group has more than stream_rows rows, a group is one sorted
+    stream; beyond that, all of them are cut by a parallel scan over blocks of rows (filling.fill), to the same batches.
     """
-    import pyarrow as pa
+    from . import filling
 
-    from ..shipping import ship
-
-    spark = ship(df.sparkSession)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = df.select("*", F.lit(1).cast("long").alias("batch")).schema
-    names = df.columns
-    at_by, at_size = names.index(by), names.index(size)
-
-    def run(batches):
-        group, number, filled, fresh = object(), 0, 0, True
-        for b in batches:
-            out = []
-            for g, s in zip(b.column(at_by).to_pylist(), b.column(at_size).to_pylist(), strict=True):
-                if g != group:
-                    group, number, filled, fresh = g, 0, 0, True
-                if fresh:
-                    number, filled, fresh = number + 1, 0, False
-                filled += s
-                fresh = filled >= target
-                out.append(number)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*names, "batch"])
-
-    return df.repartition(n, by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
+    largest = df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    if largest > stream_rows:
+        return filling.fill(df, F.col(size), order, F.col(by), target)
+    return filling.stream(df, size, order, by, target)
 
 
 schedulable = operator("SELECT e.entity_name FROM {entities} e SEMI JOIN {cursors} c ON c.entity_name = e.entity_name WHERE e.enabled AND lower(e.sync_mode) <> 'manual_only'")
@@ -166,7 +147,6 @@ def upper_bound(now: dt.datetime, lag_seconds: int = 30) -> dt.datetime:
     return now - dt.timedelta(seconds=lag_seconds)
 
 
-
 # Failure codes of reads by cause.
 failure_code = operator("""
 SELECT event_id, CASE WHEN cause = 'timeout' THEN 'ODATA_TIMEOUT' WHEN cause = 'http' THEN 'ODATA_HTTP_' || CAST(http AS STRING)

@@ -197,12 +197,15 @@ def retention(commands: DataFrame, results: DataFrame, jobs: DataFrame, before)
     return done.join(open_results, "command_id", "left_anti").join(open_jobs, "command_id", "left_anti")
 
 
-# Crash recovery: what was running is of unknown result, claims go.
+# Crash recovery: what was running is of unknown result and due at once; claims on what may run go, others stay as evidence;
+# a result that was being sent is sent again.
 queue_recovery = operator("""
-SELECT command_id, CASE WHEN status = 'executing' THEN 'unknown_result' ELSE status END AS status, CAST(NULL AS STRING) AS exec_claim_owner_id
-FROM {commands} WHERE status = 'executing' OR exec_claim_owner_id IS NOT NULL
+SELECT 'command' AS kind, command_id AS id, status AS from_status, 'unknown_result' AS to_status, 'PROCESS_RESTART' AS code FROM {commands} WHERE status = 'executing'
+UNION ALL SELECT 'claim', command_id, status, status, NULL FROM {commands} WHERE status IN ('queued', 'retry_waiting', 'unknown_result') AND (exec_claim_owner_id IS NOT NULL OR exec_claim_acquired_at IS NOT NULL)
+UNION ALL SELECT 'result', command_id, status, 'pending', NULL FROM {results} WHERE status = 'sending'
 """)
 
+
 def claim(commands: DataFrame, owner: str, now: Column, not_before: Column, stale_before: Column) -> DataFrame:
     """What a claim by owner would take, as it then is: ready commands whose claim is free, or was left before stale_before.
 
@@ -217,22 +220,62 @@ def release_claim(commands: DataFrame, owner: str) -> DataFrame:
     return commands.filter("exec_claim_owner_id is not null").select("command_id", F.when(F.col("exec_claim_owner_id") != owner, F.col("exec_claim_owner_id")).alias("exec_claim_owner_id"))
 
 
-reschedule = operator("""
-SELECT command_id, CASE WHEN attempt_count > 1 THEN 'unknown_result' ELSE 'retry_waiting' END AS status,
-       coalesce(next_attempt_at, received_at + make_dt_interval(0, 0, 0, :seconds)) AS next_attempt_at
-FROM {commands} WHERE status IN ('retry_waiting', 'unknown_result') AND (exec_claim_owner_id IS NULL OR exec_claim_owner_id = :owner)
-""", owner='w1', seconds=2)
+# Statuses from which a command may be finished or put off, and of a result that is not yet delivered.
+OPEN_COMMANDS = (*RUNNABLE, "executing")
+OPEN_RESULTS = ("pending", "retry_waiting", "sending")
+
+
+def _owned(reporter: str) -> Column:
+    """Whether the claim is the reporter's; one that reports without a claim may touch unclaimed commands only."""
+    return F.col("exec_claim_owner_id").eqNullSafe(F.col(reporter))
+
+
+def reschedule(commands: DataFrame, reports: DataFrame, now: Column, seconds: int = 2) -> DataFrame:
+    """reports (command_id, to_status, owner, retry_at) and what they change: command_id, status, next_attempt_at; claims go."""
+    may = F.col("status").isin(*OPEN_COMMANDS) & _owned("owner")
+    at = F.coalesce("retry_at", now + F.make_dt_interval(secs=F.lit(seconds)))
+    return reports.join(commands, "command_id").filter(may).select("command_id", F.col("to_status").alias("status"), at.alias("next_attempt_at"))
 
-finish = operator("""
-SELECT command_id, 'result_pending' AS status, CASE WHEN post_attempt_count = 0 AND priority = 0 THEN 'cancelled' ELSE 'success' END AS result_status
-FROM {commands} WHERE status IN ('queued', 'retry_waiting', 'unknown_result') AND (exec_claim_owner_id IS NULL OR exec_claim_owner_id = :owner)
-""", owner='w1')
 
-# The outbox: what is due, first in first out.
+def finish(commands: DataFrame, results: DataFrame, endings: DataFrame) -> DataFrame:
+    """endings (command_id, local_status, owner) and what they come to: command_id, finished, status, result_status, outbox_status.
+
+    A command is cancelled only if it was never tried or sent. Its result is put out, unless one was acknowledged before.
+    """
+    never = F.col("status").isin("queued", "retry_waiting") & (F.col("attempt_count") == 0) & (F.col("post_attempt_count") == 0) & F.col("first_sent_at").isNull()
+    may = F.col("status").isin(*OPEN_COMMANDS) & _owned("owner") & ((F.col("local_status") != "cancelled") | never)
+    known = results.select("command_id", F.col("status").alias("out"))
+    out = F.when(F.col("out") == "acknowledged", F.col("out")).otherwise("pending")
+    return endings.join(commands, "command_id").join(known, "command_id", "left").select(
+        "command_id",
+        may.alias("finished"),
+        F.when(may, "result_pending").otherwise(F.col("status")).alias("status"),
+        F.when(may, F.col("local_status")).alias("result_status"),
+        F.when(may, out).otherwise(F.col("out")).alias("outbox_status"),
+    )
+
+
+# The outbox: what waits, also for another try, and is due; first in first out.
 outbox_due = operator("""
-SELECT o.result_id, o.command_id, c.result_status FROM {results} o JOIN {commands} c ON c.command_id = o.command_id
-WHERE o.status = 'pending' ORDER BY o.created_at, o.result_id LIMIT :limit
-""", limit=50)
+SELECT o.result_id, o.command_id, o.attempt_count, c.command_type FROM {results} o LEFT JOIN {commands} c ON c.command_id = o.command_id
+WHERE o.status IN ('pending', 'retry_waiting') AND (o.next_attempt_at IS NULL OR o.next_attempt_at <= CAST(:now AS TIMESTAMP_NTZ)) ORDER BY o.created_at, o.result_id LIMIT :limit
+""", now="2024-01-25 00:00:00", limit=50)
+
+
+def outbox_transitions(results: DataFrame, commands: DataFrame, answers: DataFrame) -> DataFrame:
+    """answers (command_id, answer: acknowledged, retry or conflict) to sent results, and what they change: command_id, applied,
+    outbox_status, command_status. Only an undelivered result moves; an acknowledgement or a retry needs its command to have the result."""
+    c = commands.select("command_id", F.col("status").alias("of_command"), (F.col("status").isin("result_pending", "completed") & F.col("result_status").isNotNull() & F.col("result_json").isNotNull()).alias("held"))
+    whole = answers.join(results.select("command_id", F.col("status").alias("out")), "command_id", "left").join(c, "command_id", "left")
+    applied = F.coalesce(F.col("out").isin(*OPEN_RESULTS) & ((F.col("answer") == "conflict") | F.coalesce("held", F.lit(False))), F.lit(False))
+    to = F.when(F.col("answer") == "conflict", "dead_letter").when(F.col("answer") == "retry", "retry_waiting").otherwise("acknowledged")
+    return whole.select(
+        "command_id",
+        applied.alias("applied"),
+        F.when(applied, to).otherwise(F.col("out")).alias("outbox_status"),
+        F.when(applied & (F.col("answer") == "acknowledged"), "completed").otherwise(F.col("of_command")).alias("command_status"),
+    )
+
 
 outbox_merge = operator("""
 SELECT coalesce(n.command_id, o.command_id) AS command_id, CASE WHEN n.command_id IS NULL THEN o.status ELSE 'pending' END AS status
@@ -241,11 +284,6 @@ FROM {results} o FULL OUTER JOIN (SELECT command_id FROM {commands} WHERE status
 
 insert_if_absent = operator("SELECT c.command_id, 'pending' AS status FROM {commands} c ANTI JOIN {results} o ON o.command_id = c.command_id WHERE c.status = 'completed'")
 
-outbox_transitions = operator("""
-SELECT o.result_id, CASE WHEN c.command_id IS NULL THEN 'orphan' WHEN c.result_status = 'dead_letter' THEN 'conflict' WHEN o.status = 'pending' THEN 'retry' ELSE 'acknowledged' END AS next_status
-FROM {results} o LEFT JOIN (SELECT command_id, result_status FROM {commands} WHERE status <> 'queued') c ON c.command_id = o.command_id
-""")
-
 close_attempt = operator("SELECT command_id, min_by(outcome, attempt_no) AS outcome, min(attempt_no) AS attempt_no FROM {attempts} WHERE outcome IS NOT NULL GROUP BY command_id")
 
 last_outcome = operator("""

@@ -115,7 +115,6 @@ SEMI JOIN (SELECT entity_name, owner_run_id FROM {owners} WHERE released_at IS N
 ANTI JOIN (SELECT batch_id FROM {attempts} WHERE outcome <> 'precheck') a ON a.batch_id = b.batch_id
 WHERE b.status = 'ready' ORDER BY b.created_at, b.batch_id LIMIT :limit
 """, limit=200)
-due_completions = operator("SELECT run_id FROM {runs} WHERE status = 'succeeded' ORDER BY coalesce(started_at, created_at), run_id LIMIT :limit", limit=50)
 active_config = operator("SELECT entity_name, max_by(run_id, version) AS run_id, max(version) AS version FROM {configs} WHERE status = 'active' GROUP BY entity_name")
 latest_version = operator("SELECT e.entity_name, coalesce(max(c.version), 0) AS version FROM {entities} e LEFT JOIN {configs} c ON c.entity_name = e.entity_name AND c.status <> 'rejected' GROUP BY e.entity_name")
 supersede = operator("""
@@ -161,18 +160,6 @@ def terminate(ended: DataFrame, entities: DataFrame, batches: DataFrame, jobs: D
     )
 
 
-startup_recovery = operator("""
-SELECT b.batch_id, CASE WHEN a.batch_id IS NOT NULL THEN 'dead_letter' ELSE b.status END AS status
-FROM {batches} b LEFT JOIN (SELECT DISTINCT batch_id FROM {attempts} WHERE outcome <> 'precheck') a ON a.batch_id = b.batch_id WHERE b.status = 'ready'
-""")
-auto_recovery = operator("""
-SELECT run_id, CASE WHEN chain >= :most THEN 'give_up' ELSE 'requeue' END AS action, chain + 1 AS chain FROM {runs} WHERE status = 'failed'
-""", most=3)
-resolution = operator("""
-SELECT r.run_id, CASE WHEN r.status NOT IN ('failed', 'blocked') THEN 'NOT_TERMINAL' WHEN b.n > 0 THEN 'BATCHES_OPEN' WHEN j.run_id IS NOT NULL THEN 'JOB_OPEN' ELSE 'RESOLVED' END AS outcome
-FROM {runs} r LEFT JOIN (SELECT run_id, count(*) AS n FROM {batches} WHERE status = 'ready' GROUP BY run_id) b ON b.run_id = r.run_id
-LEFT JOIN (SELECT DISTINCT run_id FROM {jobs} WHERE status = 'waiting') j ON j.run_id = r.run_id
-""")
 batch_retention = operator("""
 SELECT b.batch_id FROM {batches} b SEMI JOIN (SELECT run_id FROM {runs} WHERE status = 'succeeded') r ON r.run_id = b.run_id
 WHERE b.status = 'acknowledged' AND b.acknowledged_at < CAST(:before AS TIMESTAMP_NTZ)
@@ -213,12 +200,6 @@ complete_entity = operator("""
 SELECT e.run_id, e.entity_name FROM {entities} e JOIN (SELECT run_id, entity_name, count(*) AS n FROM {batches} GROUP BY run_id, entity_name) b
   ON b.run_id = e.run_id AND b.entity_name = e.entity_name WHERE b.n = e.expected_batches AND b.n >= 1 AND e.failure_code IS NULL
 """)
-completion_retry = operator("SELECT run_id, CASE WHEN chain + 1 >= :most THEN 'blocked' ELSE 'retry' END AS action FROM {runs} WHERE status = 'succeeded'", most=3)
-revoked = operator("SELECT DISTINCT r.run_id FROM {runs} r JOIN {entities} e ON e.run_id = r.run_id ANTI JOIN {definitions} d ON d.entity_name = e.entity_name WHERE e.sensitive AND r.status IN ('pending', 'failed')")
-fence_legacy = operator("SELECT r.run_id FROM {runs} r ANTI JOIN {bindings} b ON b.run_id = r.run_id WHERE r.status IN ('pending', 'blocked')")
-create_scheduled = operator("SELECT DISTINCT d.entity_name FROM {definitions} d ANTI JOIN (SELECT entity_name FROM {runs} WHERE status = 'pending') r ON r.entity_name = d.entity_name")
-notices = operator("SELECT e.run_id, e.entity_name, coalesce(e.failure_code, 'INTERRUPTED') AS code, sum(e.expected_rows) OVER (PARTITION BY e.run_id) AS rows_total FROM {entities} e JOIN {runs} r ON r.run_id = e.run_id WHERE r.status IN ('failed', 'blocked')")
-notice_queue = operator("SELECT run_id FROM {runs} WHERE status IN ('failed', 'blocked') ORDER BY created_at, run_id LIMIT :limit", limit=100)
 inert = operator("""
 SELECT r.run_id FROM {runs} r ANTI JOIN {batches} b ON b.run_id = r.run_id ANTI JOIN {entities} e ON e.run_id = r.run_id
 ANTI JOIN {bindings} g ON g.run_id = r.run_id ANTI JOIN {owners} o ON o.owner_run_id = r.run_id

@@ -377,13 +377,8 @@ def retention_delete_set(spark, d):
 
 relational("intake_resolution", q.intake, incoming="incoming", commands="commands")
 relational("first_sent_backfill", q.first_sent_backfill, commands="commands", attempts="command_attempts")
-relational("queue_recovery", q.queue_recovery, commands="commands")
-relational("reschedule", q.reschedule, commands="commands")
-relational("finish_commands", q.finish, commands="commands")
-relational("outbox_due", q.outbox_due, results="results", commands="commands")
 relational("outbox_merge", q.outbox_merge, results="results", commands="commands")
 relational("insert_if_absent", q.insert_if_absent, results="results", commands="commands")
-relational("outbox_transitions", q.outbox_transitions, results="results", commands="commands")
 relational("close_attempts", q.close_attempt, attempts="command_attempts")
 relational("last_outcome", q.last_outcome, commands="commands", attempts="command_attempts")
 
@@ -471,7 +466,6 @@ relational("sensitive_entities", r.sensitive_entities, entities="entities")
 relational("ownership_join", r.owned_batches, owners="owned", bindings="bindings")
 relational("last_run_of_cursor", r.last_run, cursors="cursors", runs="runs")
 relational("attempt_blockers", r.attempt_blockers, attempts="batch_attempts", batches="batches")
-relational("due_completions", r.due_completions, runs="runs")
 relational("active_config", r.active_config, configs="configs")
 relational("latest_version", r.latest_version, entities="priorities", configs="configs")
 relational("config_supersede", r.supersede, configs="configs")
@@ -480,9 +474,6 @@ relational("begin_entity", r.begin_entity, definitions="definitions", cursors="c
 relational("ownership_acquire", r.acquire, definitions="priorities", owners="owners")
 relational("domain_reset", r.domain_reset, cursors="cursors", definitions="definitions")
 relational("cursors_after_reset", r.cursors_left, cursors="cursors", definitions="definitions")
-relational("startup_recovery", r.startup_recovery, batches="batches", attempts="batch_attempts")
-relational("auto_recovery", r.auto_recovery, runs="runs")
-relational("manual_resolution", r.resolution, runs="runs", batches="batches", jobs="jobs")
 relational("batch_retention", r.batch_retention, batches="batches", runs="runs")
 relational("dead_letter_files", r.dead_letter_files, batches="batches", runs="runs", entities="entities")
 relational("missing_files", r.missing_files, batches="batches", files="files")
@@ -492,12 +483,6 @@ relational("keep_newest", r.keep_newest, configs="configs")
 relational("ack_first_observation", r.ack, attempts="batch_attempts")
 relational("send_outcome", r.send_outcome, attempts="batch_attempts")
 relational("complete_entity", r.complete_entity, entities="entities", batches="batches")
-relational("completion_retry", r.completion_retry, runs="runs")
-relational("revoked_entities", r.revoked, runs="runs", entities="entities", definitions="flags")
-relational("fence_legacy", r.fence_legacy, runs="runs", bindings="bindings")
-relational("create_scheduled", r.create_scheduled, definitions="priorities", runs="runs")
-relational("closing_notices", r.notices, entities="entities", runs="runs")
-relational("notice_queue", r.notice_queue, runs="runs")
 
 
 # The predicate row by row, as far as the tables have its columns.
@@ -654,3 +639,6 @@ def payload_policy(spark, d):
 def raw_token_digest(spark, d):
     df = table(spark, d, "events").withColumn("token", payload.raw_token(spark, "k")("props"))
     return v.key_digest(df, [F.col("token")], ["event_type"])
+
+
+from . import ledger  # noqa: E402, F401  # adds its queries to these

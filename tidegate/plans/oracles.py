@@ -44,25 +44,11 @@ SEPARATE: dict[str, tuple[str, str]] = {
         "incoming commands",
     ),
     "first_sent_backfill": ("SELECT command_id, coalesce(first_sent_at, (SELECT min(a.started_at) FROM command_attempts a WHERE a.command_id = c.command_id)) AS first_sent_at FROM commands c", "commands command_attempts"),
-    "queue_recovery": ("SELECT command_id, CASE status WHEN 'executing' THEN 'unknown_result' ELSE status END AS status, NULL::VARCHAR AS exec_claim_owner_id FROM commands WHERE NOT (status <> 'executing' AND exec_claim_owner_id IS NULL)", "commands"),
-    "reschedule": (
-        "SELECT command_id, if(attempt_count >= 2, 'unknown_result', 'retry_waiting') AS status, ifnull(next_attempt_at, received_at + to_seconds(2)) AS next_attempt_at FROM commands WHERE (status = 'retry_waiting' OR status = 'unknown_result') AND coalesce(exec_claim_owner_id, 'w1') = 'w1'",
-        "commands",
-    ),
-    "finish_commands": (
-        "SELECT command_id, 'result_pending' AS status, if(post_attempt_count + priority = 0, 'cancelled', 'success') AS result_status FROM commands WHERE list_contains(['queued', 'retry_waiting', 'unknown_result'], status) AND coalesce(exec_claim_owner_id, 'w1') = 'w1'",
-        "commands",
-    ),
-    "outbox_due": ("SELECT result_id, command_id, (SELECT c.result_status FROM commands c WHERE c.command_id = o.command_id) AS result_status FROM results o WHERE status = 'pending' AND command_id IN (SELECT command_id FROM commands) QUALIFY row_number() OVER (ORDER BY created_at, result_id) <= 50", "results commands"),
     "outbox_merge": (
         "SELECT command_id, 'pending' AS status FROM commands WHERE status = 'result_pending' UNION ALL SELECT command_id, status FROM results WHERE command_id NOT IN (SELECT command_id FROM commands WHERE status = 'result_pending')",
         "results commands",
     ),
     "insert_if_absent": ("SELECT command_id, 'pending' AS status FROM commands WHERE status = 'completed' AND command_id NOT IN (SELECT command_id FROM results)", "results commands"),
-    "outbox_transitions": (
-        "SELECT o.result_id, CASE WHEN o.command_id NOT IN (SELECT command_id FROM commands WHERE status <> 'queued') THEN 'orphan' WHEN o.command_id IN (SELECT command_id FROM commands WHERE status <> 'queued' AND result_status = 'dead_letter') THEN 'conflict' WHEN o.status = 'pending' THEN 'retry' ELSE 'acknowledged' END AS next_status FROM results o",
-        "results commands",
-    ),
     "close_attempts": ("SELECT command_id, outcome, attempt_no FROM command_attempts WHERE outcome IS NOT NULL QUALIFY row_number() OVER (PARTITION BY command_id ORDER BY attempt_no) = 1", "command_attempts"),
     "last_outcome": (
         "SELECT c.command_id, a.outcome, coalesce(n, 0) AS attempts FROM commands c LEFT JOIN (SELECT command_id, outcome, count(*) OVER (PARTITION BY command_id) AS n FROM command_attempts QUALIFY rank() OVER (PARTITION BY command_id ORDER BY attempt_no DESC) = 1) a ON a.command_id = c.command_id",
@@ -75,7 +61,6 @@ SEPARATE: dict[str, tuple[str, str]] = {
     "ownership_join": ("SELECT entity_name, owner_run_id, epoch FROM owned WHERE released_at IS NULL INTERSECT ALL SELECT entity_name, run_id, expected_epoch FROM bindings", "owned bindings"),
     "last_run_of_cursor": ("SELECT entity_name, cursor_at, (SELECT any_value(r.status) FROM runs r WHERE r.run_id = c.last_run_id) AS status FROM cursors c WHERE last_run_id IN (SELECT run_id FROM runs)", "cursors runs"),
     "attempt_blockers": ("SELECT * FROM (SELECT b.run_id, sum((SELECT count(*) FROM batch_attempts a WHERE a.batch_id = b.batch_id AND a.outcome <> 'precheck'))::BIGINT AS attempts FROM batches b GROUP BY b.run_id) t WHERE attempts > 0", "batch_attempts batches"),
-    "due_completions": ("SELECT run_id FROM runs WHERE status = 'succeeded' QUALIFY row_number() OVER (ORDER BY ifnull(started_at, created_at), run_id) <= 50", "runs"),
     "active_config": ("SELECT entity_name, run_id, version FROM configs WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY entity_name ORDER BY version DESC) = 1", "configs"),
     "latest_version": ("SELECT entity_name, ifnull((SELECT max(version) FROM configs c WHERE c.entity_name = p.entity_name AND c.status IN ('active', 'superseded')), 0) AS version FROM priorities p", "priorities configs"),
     "config_supersede": (
@@ -97,8 +82,6 @@ SEPARATE: dict[str, tuple[str, str]] = {
     ),
     "domain_reset": ("SELECT entity_name, generation, cursor_at AS archived_at FROM cursors WHERE (entity_name, generation) IN (SELECT (entity_name, generation) FROM definitions)", "cursors definitions"),
     "cursors_after_reset": ("SELECT entity_name FROM (SELECT entity_name, generation FROM cursors EXCEPT SELECT entity_name, generation FROM definitions) t", "cursors definitions"),
-    "startup_recovery": ("SELECT batch_id, if((SELECT count(*) FROM batch_attempts a WHERE a.batch_id = b.batch_id AND a.outcome <> 'precheck') = 0, 'ready', 'dead_letter') AS status FROM batches b WHERE status = 'ready'", "batches batch_attempts"),
-    "auto_recovery": ("SELECT run_id, CASE WHEN chain < 3 THEN 'requeue' ELSE 'give_up' END AS action, 1 + chain AS chain FROM runs WHERE status = 'failed'", "runs"),
     "batch_retention": ("SELECT b.batch_id FROM batches b, runs r WHERE r.run_id = b.run_id AND (r.status, b.status) = ('succeeded', 'acknowledged') AND b.acknowledged_at < TIMESTAMP '1997-01-01'", "batches runs"),
     "dead_letter_files": (
         "SELECT batch_id, entity_name FROM batches b WHERE status = 'dead_letter' AND created_at < DATE '2000-01-01' AND run_id IN (SELECT run_id FROM runs WHERE status = 'succeeded' OR status = 'failed') AND EXISTS (SELECT 1 FROM entities e WHERE e.run_id = b.run_id AND e.entity_name = b.entity_name AND NOT e.sensitive)",
@@ -117,15 +100,6 @@ SEPARATE: dict[str, tuple[str, str]] = {
         "batch_attempts",
     ),
     "complete_entity": ("SELECT run_id, entity_name FROM entities e WHERE failure_code IS NULL AND expected_batches > 0 AND expected_batches = (SELECT count(*) FROM batches b WHERE b.run_id = e.run_id AND b.entity_name = e.entity_name)", "entities batches"),
-    "completion_retry": ("SELECT run_id, if(chain < 2, 'retry', 'blocked') AS action FROM runs WHERE status = 'succeeded'", "runs"),
-    "revoked_entities": ("SELECT run_id FROM runs WHERE (status = 'pending' OR status = 'failed') INTERSECT SELECT run_id FROM entities WHERE sensitive AND entity_name NOT IN (SELECT entity_name FROM flags)", "runs entities flags"),
-    "fence_legacy": ("SELECT run_id FROM runs WHERE (status = 'pending' OR status = 'blocked') AND run_id NOT IN (SELECT run_id FROM bindings)", "runs bindings"),
-    "create_scheduled": ("SELECT entity_name FROM priorities EXCEPT SELECT entity_name FROM runs WHERE status = 'pending'", "priorities runs"),
-    "closing_notices": (
-        "SELECT run_id, entity_name, ifnull(failure_code, 'INTERRUPTED') AS code, (SELECT CAST(sum(o.expected_rows) AS BIGINT) FROM entities o WHERE o.run_id = e.run_id) AS rows_total FROM entities e WHERE run_id IN (SELECT run_id FROM runs WHERE status = 'failed' OR status = 'blocked')",
-        "entities runs",
-    ),
-    "notice_queue": ("SELECT run_id FROM runs WHERE status = 'failed' OR status = 'blocked' QUALIFY row_number() OVER (ORDER BY created_at, run_id) <= 100", "runs"),
     "duplicate_claims": ("SELECT DISTINCT entity_name, n FROM (SELECT entity_name, count(*) OVER (PARTITION BY entity_name) AS n FROM runs WHERE status = 'pending') t WHERE n >= 2", "runs"),
     "cursor_validity": (
         "SELECT event_id, d AND i AS valid, d AND i AND NOT (stamp IS NULL AND cursor_id IS NULL) AS valid_final FROM (SELECT *, ifnull(stamp, '2000-01-01') <> 'never' AS d, ifnull(trim(cursor_id), 'x') <> '' AS i FROM probes) t",
@@ -140,10 +114,6 @@ SEPARATE: dict[str, tuple[str, str]] = {
         "SELECT event_id, o AS offset_ms, u AS uncertainty_ms, greatest(o, -o) > 30000 + u AS drifts, remote_ms + u >= expires_ms AS expired, remote_ms - u >= not_before_ms AS may_start FROM (SELECT *, remote_ms - (sent_ms + u) AS o FROM (SELECT *, 0.5 * (received_ms - sent_ms) AS u FROM probes) p) t",
         "probes",
     ),
-    "manual_resolution": (
-        "SELECT run_id, CASE WHEN status IN ('pending', 'succeeded') THEN 'NOT_TERMINAL' WHEN run_id IN (SELECT run_id FROM batches WHERE status = 'ready') THEN 'BATCHES_OPEN' WHEN run_id IN (SELECT run_id FROM jobs WHERE status = 'waiting') THEN 'JOB_OPEN' ELSE 'RESOLVED' END AS outcome FROM runs",
-        "runs batches jobs",
-    ),
     "constraint_report": (
         "SELECT unnest(['status', 'finished_after_start', 'failure_has_code']) AS rule, unnest([count(*) - count(*) FILTER (WHERE status IN ('pending', 'succeeded', 'failed', 'blocked')), count(*) FILTER (WHERE started_at > finished_at), count(*) FILTER (WHERE status = 'failed') - count(failure_code) FILTER (WHERE status = 'failed')]) AS violations FROM runs",
         "runs",

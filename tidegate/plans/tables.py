@@ -28,6 +28,8 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "result_status": "CASE WHEN event_id % 9 = 0 THEN 'dead_letter' WHEN event_id % 9 = 1 THEN NULL ELSE 'success' END",
         "payload": "CASE WHEN event_id % 97 = 0 THEN NULL ELSE props END",
         "payload_hash": "props",
+        "result_json": "CASE WHEN event_id % 97 = 1 THEN NULL ELSE props END",
+        "command_type": "event_type",
     }),
     "incoming": ("events", None, {"command_id": "CASE WHEN event_id % 8 = 0 THEN event_id ELSE event_id + 10000000 END", "payload": "CASE WHEN event_id % 12 = 0 THEN NULL ELSE props END", "payload_hash": "CASE WHEN event_id % 16 = 0 THEN props ELSE 'other' END", "received_at": "ts"}),
     "envelopes": ("events", None, {
@@ -73,7 +75,7 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
     "conflicts": ("events", None, {"command_id": "user_id", "payload_hash": "event_type", "first_seen": "ts", "last_seen": "ts", "occurrences": "CAST(1 AS BIGINT)"}),
     "stored_conflicts": ("events", "event_type <> 'signup'", {"command_id": "user_id + 1", "payload_hash": "event_type", "first_seen": "ts - INTERVAL '1' DAY", "last_seen": "ts - INTERVAL '2' HOUR", "occurrences": "CAST(event_id % 3 + 1 AS BIGINT)"}),
     "resolutions": ("orders", None, {"run_id": "CASE WHEN o_orderkey % 5 = 2 THEN o_orderkey ELSE -o_orderkey END"}),
-    "results": ("events", "event_type IN ('view', 'signup')", {"result_id": "event_id", "command_id": "event_id", "status": "CASE event_id % 16 WHEN 0 THEN 'pending' WHEN 8 THEN 'sending' WHEN 3 THEN 'dead_letter' WHEN 5 THEN 'retry_waiting' ELSE 'acknowledged' END", "created_at": "ts"}),
+    "results": ("events", "event_type IN ('view', 'signup')", {"result_id": "event_id", "command_id": "event_id", "status": "CASE event_id % 16 WHEN 0 THEN 'pending' WHEN 8 THEN 'sending' WHEN 3 THEN 'dead_letter' WHEN 5 THEN 'retry_waiting' ELSE 'acknowledged' END", "created_at": "ts", "next_attempt_at": "CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL '9' DAY END", "attempt_count": "CAST(event_id % 4 AS INT)"}),
     "command_jobs": ("events", None, {"job_id": "event_id", "command_id": "CASE WHEN event_id % 7 = 0 THEN event_id ELSE -event_id END", "status": "CASE WHEN event_id % 3 = 0 THEN 'running' WHEN event_id % 3 = 1 THEN 'finished' ELSE 'cancelled' END"}),
     "command_attempts": ("events", "event_id % 3 = 0", {"command_id": "event_id % 5000", "attempt_no": "event_id", "started_at": "ts", "outcome": "CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END"}),
     "failures": ("events", None, {
@@ -168,10 +170,14 @@ ENTITIES = """SELECT run_id, entity_name, CASE WHEN run_id % 50 = 0 THEN n + 1 E
  CASE WHEN run_id % 12 = 0 AND entity_name <> 'N' THEN 'READ_FAILED' END AS failure_code, CASE WHEN run_id % 2 = 0 THEN 'incremental' WHEN run_id % 3 = 0 THEN 'entity_reload' ELSE 'bootstrap_full' END AS mode,
  CASE WHEN run_id % 12 = 0 AND entity_name <> 'N' THEN 'failed' WHEN run_id % 4 = 1 THEN 'extracting' ELSE 'completed' END AS status, entity_name = 'R' AS sensitive FROM (SELECT l_orderkey AS run_id, l_returnflag AS entity_name, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS t FROM {lineitem} GROUP BY l_orderkey, l_returnflag) x WHERE run_id % 90 <> 0"""
 
+# Derived tables that take more than a projection: name -> (SQL, the tables in its braces).
+VIEWS: dict[str, tuple[str, str]] = {"entities": (ENTITIES, "lineitem")}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if name == "entities":
-        return spark.sql(ENTITIES, lineitem=table(spark, sf_dir, "lineitem"))
+    if name in VIEWS:
+        sql, names = VIEWS[name]
+        return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names.split()})
     if name not in DERIVED:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     source, where, columns = DERIVED[name]
@@ -181,8 +187,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cte(name: str) -> str:
     """The same table as SQL, or nothing for a table of the driver's own."""
-    if name == "entities":
-        return f"entities AS ({ENTITIES.format(lineitem='lineitem')})"
+    if name in VIEWS:
+        sql, names = VIEWS[name]
+        return f"{name} AS ({sql.format(**{n: n for n in names.split()})})"
     if name not in DERIVED:
         return ""
     source, where, columns = DERIVED[name]
@@ -191,4 +198,4 @@ def cte(name: str) -> str:
 
 def with_tables(sql: str, *names: str) -> str:
     parts = [c for c in map(cte, names) if c]
-    return (f"WITH {', '.join(parts)} " if parts else "") + sql
+    return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + sql

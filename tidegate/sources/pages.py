@@ -1,11 +1,7 @@
-"""Pages of an OData service kept as JSON text: rows out of the shapes that services answer with, and a paging reader."""
+"""Pages of an OData service as JSON text: rows out of the shapes that services answer with."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
-from urllib.parse import urljoin, urlsplit
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,47 +80,3 @@ def count_of(body: str) -> int:
     if not text.isascii() or not text.isdigit() or len(text) > 20:
         raise PageError("COUNT_FAILED", "no count")
     return int(text)
-
-
-def read_pages(fetch: Callable[[str], tuple[int, str]], base: str, path: str, page_size: int, retries: int = 3, wait: Callable[[float], None] = time.sleep) -> Iterator[str]:
-    """Raw rows of all pages, in order. fetch gives (status, body) of an address.
-
-    Continuation links are followed once one was seen, and its absence then ends the scan; without any, pages are asked
-    for by $skip until one is short. A link must stay on the service, below its base path, and never come twice. A page
-    is parsed whole before its rows are given out, so a retry repeats none.
-    """
-    skip, linked, seen = 0, False, set()
-    address = urljoin(base, f"{path}?$top={page_size}&$skip=0")
-    while True:
-        for attempt in range(retries + 1):
-            status, body = fetch(address)
-            if status == 200:
-                break
-            if status not in TRANSIENT or attempt == retries:
-                raise PageError(f"ODATA_HTTP_{status}", address)
-            wait(min(60.0, 2.0**attempt))
-        got = raw_rows(body)
-        link = next_link(parse(body.removeprefix("﻿")))
-        yield from got
-        if link:
-            address, linked = urljoin(address, link), True
-            a, b = urlsplit(address), urlsplit(base)
-            if (a.scheme, a.netloc) != (b.scheme, b.netloc) or not a.path.startswith(b.path) or "/../" in a.path:
-                raise PageError("ODATA_READ", "a link leaves the service")
-            if address in seen:
-                raise PageError("ODATA_READ", "a link came twice")
-            seen.add(address)
-        elif linked or len(got) < page_size:
-            return
-        else:
-            skip += len(got)
-            address = urljoin(base, f"{path}?$top={page_size}&$skip={skip}")
-
-
-def select_uri(columns: list[str], keys: list[str], lower: str | None, upper: str | None, date: str | None, static: str | None, page_size: int) -> str:
-    """Query options of a scan: sorted columns, bounds and filter as conjuncts, the order of cursor and keys."""
-    conjuncts = [f"{date} ge {lower}" if date and lower else None, f"{date} le {upper}" if date and upper else None, f"({static})" if static else None]
-    options = {"$select": ",".join(sorted(columns)), "$filter": " and ".join(filter(None, conjuncts)), "$orderby": ",".join([*filter(None, [date]), *keys]), "$top": str(page_size)}
-    return "&".join(f"{k}={v}" for k, v in options.items() if v)
-
-
