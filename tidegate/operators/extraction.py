@@ -134,7 +134,8 @@ FROM {entities} e LEFT JOIN {cursors} c ON c.entity_name = e.entity_name
 WHERE NOT e.enabled OR lower(e.sync_mode) = 'manual_only' OR c.entity_name IS NULL
 """)
 balance = operator("SELECT l_partkey, l_suppkey, sum(CASE WHEN l_returnflag = 'R' THEN -CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END) AS quantity FROM {lines} GROUP BY l_partkey, l_suppkey")
-row_cursor = operator("SELECT event_id, TRY_CAST(stamp AS TIMESTAMP) IS NOT NULL AS dated, CAST(event_id AS STRING) AS cursor_id FROM {stamps}")
+# A row's cursor: its time, if it can be read, and its id.
+row_cursor = operator("SELECT event_id, TRY_CAST(stamp AS TIMESTAMP_NTZ) AS cursor_at, TRY_CAST(stamp AS TIMESTAMP_NTZ) IS NOT NULL AS dated, CAST(event_id AS STRING) AS cursor_id FROM {stamps}")
 
 
 def oversized(text: Column, most: int = 8 << 20) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shared import stored
 from .relational import operator
+from .runs import overlapping, same_sets
 
 ROUNDS = 40
 # Statuses and codes of the ledger.
@@ -56,6 +57,17 @@ WHERE e.sensitive AND r.status IN ('pending', 'running', 'paused', 'uploading',
 """)
 
 
+# Due batches whose file is gone: the batch goes, what else of its run was not sent yet is fenced, run and job are blocked.
+missing_file_blocks = operator("""
+WITH lost AS (SELECT b.batch_id, b.run_id FROM {batches} b ANTI JOIN {files} f ON f.batch_id = b.batch_id WHERE b.status IN ('ready', 'retry_waiting')),
+hit AS (SELECT DISTINCT run_id FROM lost)
+SELECT 'batch' AS kind, b.batch_id AS id, b.status AS from_status, 'dead_letter' AS to_status, CASE WHEN l.batch_id IS NOT NULL THEN 'SPOOL_FILE_MISSING' ELSE 'RUN_BLOCKED' END AS code
+  FROM {batches} b SEMI JOIN hit h ON h.run_id = b.run_id LEFT JOIN lost l ON l.batch_id = b.batch_id WHERE b.status IN ('creating', 'ready', 'retry_waiting')
+UNION ALL SELECT 'run', CAST(r.run_id AS STRING), r.status, 'blocked', 'SPOOL_FILE_MISSING' FROM {runs} r SEMI JOIN hit h ON h.run_id = r.run_id WHERE r.status IN ('running', 'uploading', 'completing')
+UNION ALL SELECT 'job', CAST(j.job_id AS STRING), j.status, 'blocked', NULL FROM {jobs} j SEMI JOIN hit h ON h.run_id = j.run_id WHERE j.status NOT IN ('finished', 'cancelled', 'blocked')
+""")
+
+
 def blocked(runs: DataFrame, entities: DataFrame, batches: DataFrame, jobs: DataFrame, causes: DataFrame) -> DataFrame:
     """The change set of blocking the runs in causes (run_id, code, batch_id or null, batch_code): the batch that caused it
     has its own code, the others that could still be sent are fenced, extraction and job end with the run."""
@@ -223,6 +235,39 @@ SELECT e.run_id, e.entity_name, CASE WHEN t.tied THEN NULL ELSE e.cursor_to END
 """)
 
 
+# --- dispatch -----------------------------------------------------------------------------------------------------
+def dispatch_outcomes(jobs: DataFrame, runs: DataFrame, requested: DataFrame, frozen: DataFrame, owners: DataFrame, now: Column) -> DataFrame:
+    """job_id, run_id, outcome of every job that may be claimed now: what a claim of it would come to.
+
+    jobs: job_id, run_id, status, available_at, mode, version. runs: run_id, status, created_at, mode, version, schedule_key,
+    manifest_valid, inert. requested and frozen: run_id, entity_name, the entities asked for and those that the job has frozen.
+
+    A job that is not as its run says is blocked. Otherwise an older pending run holds it back: any with an unreadable
+    manifest that may have had effects (the oldest of these holds all that are younger, so that one minimum decides), or one
+    that shares an entity. Then an entity that another run owns. No pair of runs is formed.
+    """
+    claimable = jobs.filter(F.col("status").isin("pending", "deferred") & (F.col("available_at").isNull() | (F.col("available_at") <= now)))
+    sets = same_sets(requested, frozen, "run_id", "entity_name")
+    r = runs.select("run_id", F.col("status").alias("run_status"), "created_at", F.col("mode").alias("run_mode"), F.col("version").alias("run_version"), "schedule_key", "manifest_valid")
+    pending = runs.filter("status = 'pending'")
+    hold = pending.filter("not manifest_valid and not inert").agg(F.min(F.struct("created_at", "run_id")).alias("hold"))  # one row
+    entities = pending.filter("manifest_valid").select("run_id", "created_at").join(requested, "run_id").groupBy("run_id", "created_at").agg(F.collect_set("entity_name").alias("entities"))
+    first = overlapping(entities).withColumn("first", F.lit(True))
+    busy = requested.join(owners.filter("released_at IS NULL").select("entity_name", "owner_run_id"), "entity_name").filter("owner_run_id <> run_id").select("run_id").distinct().withColumn("busy", F.lit(True))
+    whole = claimable.join(r, "run_id", "left").join(sets, "run_id", "left").join(first, "run_id", "left").join(busy, "run_id", "left").crossJoin(F.broadcast(hold))
+    sound = (F.col("run_status") == "pending") & F.col("schedule_key").isNull() & F.col("mode").eqNullSafe(F.col("run_mode")) & F.col("version").eqNullSafe(F.col("run_version")) & F.col("manifest_valid") & F.coalesce("same", F.lit(False))
+    held = F.col("hold").isNotNull() & (F.col("hold") < F.struct("created_at", "run_id"))
+    # Reasons and their order.
+    outcome = (
+        F.when(~F.coalesce(sound, F.lit(False)), "JOB_MANIFEST_INCONSISTENT")
+        .when(held, "elder_manifest_invalid")
+        .when(F.col("first").isNull(), "queued_overlap")
+        .when(F.col("busy").isNotNull(), "busy_entity")
+        .otherwise("claimable")
+    )
+    return whole.select("job_id", "run_id", outcome.alias("outcome"))
+
+
 # --- outcomes of sends --------------------------------------------------------------------------------------------
 def _let(value: Column, then) -> Column:
     """then(value), with the value worked out once."""

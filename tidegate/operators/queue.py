@@ -184,8 +184,10 @@ def sequence_allocation(commands: DataFrame, incoming: DataFrame) -> DataFrame:
     return places.crossJoin(F.broadcast(top)).select("command_id", (F.col("top") + F.col("_n")).alias("queue_sequence"))  # one row
 
 
+# What older rows lack: the first send, by the attempts, or for rows that have none by the start; sends, by the attempts counted.
 first_sent_backfill = operator("""
-SELECT c.command_id, coalesce(c.first_sent_at, a.started) AS first_sent_at
+SELECT c.command_id, coalesce(c.first_sent_at, a.started, CASE WHEN a.command_id IS NULL AND c.attempt_count > 0 THEN c.started_at END) AS first_sent_at,
+       CASE WHEN c.post_attempt_count = 0 AND c.attempt_count > 0 THEN c.attempt_count ELSE c.post_attempt_count END AS post_attempt_count
 FROM {commands} c LEFT JOIN (SELECT command_id, min(started_at) AS started FROM {attempts} GROUP BY command_id) a ON a.command_id = c.command_id
 """)
 

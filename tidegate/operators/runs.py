@@ -167,7 +167,7 @@ WHERE b.status = 'acknowledged' AND b.acknowledged_at < CAST(:before AS TIMESTAM
 dead_letter_files = operator("""
 SELECT b.batch_id, b.entity_name FROM {batches} b JOIN {runs} r ON r.run_id = b.run_id
 JOIN {entities} e ON e.run_id = b.run_id AND e.entity_name = b.entity_name
-WHERE b.status = 'dead_letter' AND NOT e.sensitive AND r.status IN ('succeeded', 'failed') AND b.created_at < CAST(:before AS TIMESTAMP_NTZ)
+WHERE b.status = 'dead_letter' AND NOT e.sensitive AND (r.resolved_at IS NOT NULL OR r.status IN ('failed', 'cancelled', 'succeeded', 'partial_success')) AND b.created_at < CAST(:before AS TIMESTAMP_NTZ)
 """, before='2000-01-01 00:00:00')
 missing_files = operator("SELECT DISTINCT b.run_id FROM {batches} b ANTI JOIN {files} f ON f.batch_id = b.batch_id WHERE b.status = 'ready'")
 orphan_files = operator("SELECT f.batch_id FROM {files} f ANTI JOIN {batches} b ON b.batch_id = f.batch_id")

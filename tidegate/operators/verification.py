@@ -45,6 +45,24 @@ def verdict(failure: Column, key_failure: Column, count_before: Column, count_af
     )
 
 
+def read_completeness(reads: DataFrame) -> DataFrame:
+    """reads and status, reason of each: 'verified', 'unverified' with the first reason, 'not_checked' for a full read that was
+    not to be verified, null for a delta, which has no completeness.
+
+    reads: scope, verify, count_before, count_failure, key_failure, count_after, count_after_failure (codes or null), rows, keys,
+    row_digest, key_digest. A count that failed before the read is told before all else, and nothing is read for it again.
+    """
+    reason = (
+        F.when(F.col("count_failure").isNotNull(), F.col("count_failure"))
+        .when(F.col("key_failure").isNotNull(), F.col("key_failure"))
+        .when(F.col("count_after_failure").isNotNull(), F.col("count_after_failure"))
+        .otherwise(verdict(F.lit(None), F.lit(None), F.col("count_before"), F.col("count_after"), F.col("rows"), F.col("keys"), F.col("row_digest"), F.col("key_digest")))
+    )
+    full, checked = F.col("scope") == "full", F.col("scope").eqNullSafe("full") & F.col("verify")
+    status = F.when(checked, F.when(reason == "verified", "verified").otherwise("unverified")).when(full, "not_checked")
+    return reads.select("*", status.alias("status"), F.when(checked & (reason != "verified"), reason).alias("reason"))
+
+
 batch_aggregate = operator("SELECT run_id, entity_name, count(*) AS batches, coalesce(sum(row_count), 0) AS row_total FROM {batches} GROUP BY run_id, entity_name")
 
 read_scope = operator("SELECT run_id, entity_name, CASE WHEN mode IN ('bootstrap_full', 'entity_reload') THEN 'full' ELSE 'delta' END AS read_scope FROM {entities}")
@@ -64,31 +82,48 @@ SELECT run_id, sum(expected_rows) AS rows_total, sum(expected_batches) AS batche
 FROM {entities} GROUP BY run_id
 """)
 
-# Owned: planned, bound and actively owned entities are the same, at the same positive epochs.
+# Sealing whole runs: the entities are those asked for, each adds up (the first by name that does not is told), not all
+# failed, and the run's own counters are the sums.
+seal_runs = operator("""
+WITH each AS (
+  SELECT run_id, entity_name, max(asked) AS asked, max(planned) AS planned, max(expected_batches) AS expected_batches, max(expected_rows) AS expected_rows, max(failure_code) AS failure_code, sum(n) AS n, sum(t) AS t FROM (
+    SELECT run_id, entity_name, 1 AS asked, 0 AS planned, CAST(NULL AS BIGINT) AS expected_batches, CAST(NULL AS BIGINT) AS expected_rows, CAST(NULL AS STRING) AS failure_code, 0L AS n, 0L AS t FROM {requested}
+    UNION ALL SELECT run_id, entity_name, 0, 1, expected_batches, expected_rows, failure_code, 0L, 0L FROM {entities}
+    UNION ALL SELECT run_id, entity_name, 0, 0, NULL, NULL, NULL, 1L, row_count FROM {batches}) x
+  GROUP BY run_id, entity_name),
+whole AS (
+  SELECT run_id, sum(planned) AS planned, bool_or(asked <> planned AND (asked = 1 OR planned = 1)) AS other_set, sum(n) AS n, sum(CASE WHEN planned = 1 THEN expected_batches END) AS batches, sum(CASE WHEN planned = 1 THEN expected_rows END) AS row_total, count_if(planned = 1 AND failure_code IS NOT NULL) AS failed,
+         min(CASE WHEN planned = 1 THEN struct(entity_name, CASE WHEN expected_batches < 1 AND failure_code IS NULL THEN 'BATCHES_MISSING' WHEN expected_batches <> n THEN 'BATCH_COUNT' WHEN expected_rows <> t THEN 'ROW_COUNT' END AS code) END) FILTER (WHERE (expected_batches < 1 AND failure_code IS NULL) OR expected_batches <> n OR expected_rows <> t) AS first
+  FROM each GROUP BY run_id)
+SELECT r.run_id, CASE WHEN r.status <> 'running' THEN 'NOT_RUNNING' WHEN w.planned IS NULL OR w.planned = 0 OR w.other_set THEN 'ENTITY_SET_MISMATCH' WHEN w.first IS NOT NULL THEN w.first.code WHEN w.failed = w.planned THEN 'ALL_ENTITIES_FAILED'
+       WHEN w.n <> w.batches OR r.batches_created <> w.batches OR r.rows_read <> w.row_total THEN 'EXPECTED_BATCH_COUNT' ELSE 'sealed' END AS outcome, w.first.entity_name AS entity
+FROM {runs} r LEFT JOIN whole w ON w.run_id = r.run_id
+""")
+
+# Owned: planned, bound and actively owned entities are the same, at the same positive epochs. All sources meet in one
+# aggregation by (run, entity), which is summed up by run.
 readiness = operator("""
+WITH each AS (
+  SELECT run_id, entity_name, max(m) AS m, max(expected_batches) AS expected_batches, max(expected_rows) AS expected_rows, max(failure_code) AS failure_code, max(bound) AS bound, max(owned) AS owned, sum(n) AS n, sum(t) AS t, sum(dead) AS dead, sum(open) AS open FROM (
+    SELECT run_id, entity_name, 1 AS m, expected_batches, expected_rows, failure_code, CAST(NULL AS BIGINT) AS bound, CAST(NULL AS BIGINT) AS owned, 0L AS n, CAST(NULL AS BIGINT) AS t, 0L AS dead, 0L AS open FROM {entities}
+    UNION ALL SELECT run_id, entity_name, 0, NULL, NULL, NULL, expected_epoch, NULL, 0L, NULL, 0L, 0L FROM {bindings}
+    UNION ALL SELECT owner_run_id, entity_name, 0, NULL, NULL, NULL, NULL, epoch, 0L, NULL, 0L, 0L FROM {owners} WHERE released_at IS NULL
+    UNION ALL SELECT run_id, entity_name, 0, NULL, NULL, NULL, NULL, NULL, 1L, row_count, CAST(status IN ('dead_letter', 'deleted') AS BIGINT), CAST(status <> 'acknowledged' AS BIGINT) FROM {batches}) x
+  GROUP BY run_id, entity_name),
+whole AS (
+  SELECT run_id, sum(m) AS planned, sum(CASE WHEN m = 1 THEN expected_batches END) AS batches, count_if(m = 1 AND failure_code IS NOT NULL) AS failed,
+         count_if(m = 1 AND (expected_batches IS NULL OR expected_batches < CASE WHEN failure_code IS NULL THEN 1 ELSE 0 END OR expected_batches <> n OR expected_rows IS DISTINCT FROM coalesce(t, 0))) AS wrong,
+         bool_and((m = 1 AND coalesce(bound > 0 AND bound = owned, FALSE)) OR (m = 0 AND bound IS NULL AND owned IS NULL)) AS holds, sum(n) AS n, sum(dead) AS dead, sum(open) AS open
+  FROM each GROUP BY run_id)
 SELECT r.run_id,
-       CASE WHEN e.n IS NULL THEN 'legacy' WHEN e.wrong > 0 OR e.failed >= e.n THEN 'violated' WHEN NOT o.holds THEN 'ownership'
-            WHEN b.dead > 0 THEN 'violated' WHEN b.open > 0 THEN 'transient' WHEN coalesce(b.n, 0) <> e.batches THEN 'violated' ELSE 'ready' END AS readiness
-FROM {runs} r
-LEFT JOIN (
-  SELECT p.run_id, count(*) AS n, sum(p.expected_batches) AS batches, count_if(p.failure_code IS NOT NULL) AS failed,
-         count_if(p.expected_batches IS NULL OR p.expected_batches < CASE WHEN p.failure_code IS NULL THEN 1 ELSE 0 END OR p.expected_batches <> coalesce(a.n, 0) OR p.expected_rows IS DISTINCT FROM coalesce(a.t, 0)) AS wrong
-  FROM {entities} p LEFT JOIN (SELECT run_id, entity_name, count(*) AS n, sum(row_count) AS t FROM {batches} GROUP BY run_id, entity_name) a ON a.run_id = p.run_id AND a.entity_name = p.entity_name
-  GROUP BY p.run_id) e ON e.run_id = r.run_id
-LEFT JOIN (
-  SELECT run_id, bool_and(m = 1 AND coalesce(bound > 0 AND bound = owned, FALSE)) AS holds FROM (
-    SELECT run_id, entity_name, max(m) AS m, max(bound) AS bound, max(owned) AS owned FROM (
-      SELECT run_id, entity_name, 1 AS m, CAST(NULL AS BIGINT) AS bound, CAST(NULL AS BIGINT) AS owned FROM {entities}
-      UNION ALL SELECT run_id, entity_name, 0, expected_epoch, NULL FROM {bindings}
-      UNION ALL SELECT owner_run_id, entity_name, 0, NULL, epoch FROM {owners} WHERE released_at IS NULL) x
-    GROUP BY run_id, entity_name) y
-  GROUP BY run_id) o ON o.run_id = r.run_id
-LEFT JOIN (SELECT run_id, count(*) AS n, count_if(status IN ('dead_letter', 'deleted')) AS dead, count_if(status <> 'acknowledged') AS open FROM {batches} GROUP BY run_id) b ON b.run_id = r.run_id
+       CASE WHEN coalesce(w.planned, 0) = 0 THEN 'legacy' WHEN w.wrong > 0 OR w.failed >= w.planned THEN 'violated' WHEN NOT w.holds THEN 'ownership'
+            WHEN w.dead > 0 THEN 'violated' WHEN w.open > 0 THEN 'transient' WHEN w.n <> w.batches THEN 'violated' ELSE 'ready' END AS readiness
+FROM {runs} r LEFT JOIN whole w ON w.run_id = r.run_id
 """)
 
 latest_failed = operator("""
 SELECT entity_name, run_id, failure_code FROM (
-  SELECT entity_name, run_id, failure_code, row_number() OVER (PARTITION BY entity_name ORDER BY finished_at DESC, run_id DESC) AS n FROM {runs}) x
+  SELECT entity_name, run_id, failure_code, row_number() OVER (PARTITION BY entity_name ORDER BY finished_at DESC, run_id DESC) AS n FROM {runs} WHERE status = 'succeeded') x
 WHERE n = 1
 """)
 

@@ -475,7 +475,6 @@ relational("ownership_acquire", r.acquire, definitions="priorities", owners="own
 relational("domain_reset", r.domain_reset, cursors="cursors", definitions="definitions")
 relational("cursors_after_reset", r.cursors_left, cursors="cursors", definitions="definitions")
 relational("batch_retention", r.batch_retention, batches="batches", runs="runs")
-relational("dead_letter_files", r.dead_letter_files, batches="batches", runs="runs", entities="entities")
 relational("missing_files", r.missing_files, batches="batches", files="files")
 relational("orphan_files", r.orphan_files, files="files", batches="batches")
 relational("spool_size", r.spool_size, files="files")
@@ -555,7 +554,13 @@ def owned_as_requested(spark, d):
     return r.owned_as_requested(table(spark, d, "requests"), table(spark, d, "bindings"), table(spark, d, "owned"))
 
 
-@query("names_resolved", "SELECT event_id, event_id % 12 < 5 AS fits FROM events")
+@query(
+    "names_resolved",
+    """SELECT event_id, ifnull(json_type(j) = 'OBJECT' AND (coalesce(json_type(j, '$.entities'), 'NULL') = 'NULL' OR (json_type(j, '$.entities') = 'ARRAY' AND (json_array_length(j, '$.entities') = 0
+      OR (len(list_filter(json_extract(j, '$.entities[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0 AND list_sort(list_distinct(json_extract_string(j, '$.entities[*]'))) = ['A', 'B'])))), FALSE) AS fits
+    FROM (SELECT event_id, CASE WHEN json_valid(payload) THEN payload END AS j FROM job_payloads) t""",
+    "job_payloads",
+)
 def names_resolved(spark, d):
     return table(spark, d, "job_payloads").select("event_id", r.names_resolved(F.col("payload"), F.array(F.lit("A"), F.lit("B"))).alias("fits"))
 
@@ -607,7 +612,8 @@ def quarantine_names(spark, d):
 
 @query(
     "error_codes",
-    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'ITEM_' || event_id WHEN 1 THEN 'LOCKED' WHEN 4 THEN 'OUTER' WHEN 5 THEN 'LATER' END AS code FROM events""",
+    r"""SELECT event_id, coalesce(nullif(regexp_extract(body, '^\{"error":\s*\{[^{}]*"code":\s*"([A-Z0-9_]{1,64})"', 1), ''), nullif(regexp_extract(regexp_replace(body, '"[^"]*":\{[^{}]*\},?', '', 'g'), '^\{"code":\s*"([A-Z0-9_]{1,64})"', 1), '')) AS code FROM error_bodies""",
+    "error_bodies",
 )
 def error_codes(spark, d):
     return table(spark, d, "error_bodies").select("event_id", payload.error_codes(spark)("body").alias("code"))
@@ -641,4 +647,4 @@ def raw_token_digest(spark, d):
     return v.key_digest(df, [F.col("token")], ["event_type"])
 
 
-from . import ledger  # noqa: E402, F401  # adds its queries to these
+from . import identity, ledger  # noqa: E402, F401  # they add their queries to these

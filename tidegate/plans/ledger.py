@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..operators import completion, filling
 from ..operators import ledger as lg
 from ..operators import queue as q
-from .catalogue import query
+from ..operators import runs as r
+from ..operators import verification as v
+from .catalogue import query, relational
 from .tables import DERIVED, VIEWS, table
 
 BATCH_ID = "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)"
@@ -30,6 +32,25 @@ DERIVED |= {
         "completion_bound": "CASE WHEN o_orderkey % 4 <> 0 THEN CAST(5 + o_orderkey % 10 AS INT) END",
         "schedule_key": "CASE WHEN o_orderkey % 3 <> 0 THEN 'key-' || CAST(o_custkey AS STRING) END",
     }),
+    "dispatch_runs": ("orders", None, {
+        "run_id": "o_orderkey",
+        "status": "CASE WHEN o_orderstatus = 'O' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'succeeded' ELSE 'running' END",
+        "created_at": "o_orderdate",
+        "mode": "CASE WHEN o_orderkey % 7 = 0 THEN 'bootstrap_full' ELSE 'entity_reload' END",
+        "version": "o_custkey % 6",
+        "schedule_key": "CASE WHEN o_orderkey % 43 = 0 THEN 'key' END",
+        "manifest_valid": "o_orderkey % 211 <> 5",
+        "inert": "o_orderkey % 1055 <> 5 OR o_orderdate < TIMESTAMP '1998-05-01'",
+    }),
+    "dispatch_jobs": ("orders", "o_orderkey % 5 <> 0", {
+        "job_id": "o_orderkey + 1000000",
+        "run_id": "CASE WHEN o_orderkey % 89 = 0 THEN -o_orderkey ELSE o_orderkey END",
+        "status": "CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'deferred' WHEN 2 THEN 'running' ELSE 'pending' END",
+        "available_at": "CASE o_orderkey % 3 WHEN 0 THEN o_orderdate + INTERVAL '900' DAY WHEN 1 THEN o_orderdate END",
+        "mode": "CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 37 <> 0 THEN 'bootstrap_full' ELSE 'entity_reload' END",
+        "version": "CASE WHEN o_orderkey % 53 = 0 THEN NULL WHEN o_orderkey % 59 = 0 THEN o_custkey % 6 + 1 ELSE o_custkey % 6 END",
+    }),
+    "dispatch_owners": ("part", None, {"entity_name": "CAST(p_partkey AS STRING)", "owner_run_id": "p_partkey", "released_at": "CASE WHEN p_partkey % 12 <> 0 THEN 1 END"}),
     "keys": ("customer", None, {"schedule_key": "'key-' || CAST(c_custkey AS STRING)"}),
     "ledger_batches": ("lineitem", None, {
         "batch_id": BATCH_ID,
@@ -88,6 +109,20 @@ DERIVED |= {
         "owner": "CASE WHEN event_id % 34 = 0 THEN 'w1' WHEN event_id % 6 = 1 THEN 'w2' END",
         "retry_at": "CASE WHEN event_id % 4 <> 0 THEN ts + INTERVAL '3' HOUR END",
     }),
+    "full_reads": ("events", None, {
+        "event_id": "event_id",
+        "scope": "CASE WHEN event_id % 7 = 0 THEN 'delta' ELSE 'full' END",
+        "verify": "event_id % 11 <> 0",
+        "count_failure": "CASE event_id % 31 WHEN 0 THEN 'COUNT_UNSUPPORTED' WHEN 1 THEN 'COUNT_FAILED' END",
+        "key_failure": "CASE event_id % 29 WHEN 0 THEN 'KEY_PASS_UNSUPPORTED' WHEN 1 THEN 'KEY_PASS_FAILED' END",
+        "count_after_failure": "CASE event_id % 23 WHEN 0 THEN 'COUNT_FAILED' END",
+        "count_before": "user_id",
+        "count_after": "CASE event_id % 19 WHEN 0 THEN user_id + 1 WHEN 1 THEN NULL ELSE user_id END",
+        "rows": "CASE WHEN event_id % 17 = 0 THEN user_id - 1 ELSE user_id END",
+        "keys": "CASE WHEN event_id % 13 = 0 THEN user_id + 2 ELSE user_id END",
+        "row_digest": "event_type",
+        "key_digest": "CASE WHEN event_id % 5 = 0 THEN 'other' ELSE event_type END",
+    }),
     "answers": ("events", None, {"command_id": "event_id", "answer": "CASE event_id % 3 WHEN 0 THEN 'acknowledged' WHEN 1 THEN 'retry' ELSE 'conflict' END"}),
 }
 VIEWS |= {
@@ -95,6 +130,7 @@ VIEWS |= {
     "ledger_owners": ("SELECT DISTINCT l_returnflag AS entity_name, l_orderkey AS owner_run_id, CAST(CASE WHEN l_orderkey % 26 = 0 THEN l_orderkey % 3 + 2 ELSE l_orderkey % 3 + 1 END AS BIGINT) AS epoch, CASE WHEN l_orderkey % 20 = 3 THEN 1 END AS released_at FROM {lineitem}", "lineitem"),
     "frozen": ("SELECT DISTINCT l_orderkey AS run_id, l_returnflag AS entity_name FROM {lineitem} UNION ALL SELECT DISTINCT l_orderkey, 'Z' FROM {lineitem} WHERE l_orderkey % 9 = 0", "lineitem"),
     "older_runs": ("SELECT l_orderkey AS run_id, CASE WHEN l_orderkey % 13 = 0 THEN 'running' ELSE 'uploading' END AS status, count(*) + CASE WHEN l_orderkey % 23 = 0 THEN 1 ELSE 0 END AS batches_created, count(*) + CASE WHEN l_orderkey % 29 = 0 THEN 1 ELSE 0 END AS batches_acknowledged FROM {lineitem} GROUP BY l_orderkey", "lineitem"),
+    "seal_counters": ("SELECT l_orderkey AS run_id, CASE WHEN l_orderkey % 13 = 0 THEN 'uploading' ELSE 'running' END AS status, count(*) + CASE WHEN l_orderkey % 23 = 0 THEN 1 ELSE 0 END AS batches_created, sum(CAST(l_quantity AS BIGINT)) + CASE WHEN l_orderkey % 27 = 0 THEN 1 ELSE 0 END AS rows_read FROM {lineitem} GROUP BY l_orderkey", "lineitem"),
     # Six moments of each batch: claims, and what the receiver, the network, the worker or an older writer says in between.
     "send_events": (f"""SELECT run_id, batch_id, CAST(slot AS STRING) || '-' || batch_id AS place, kind, CAST(attempt AS INT) AS attempt, CASE WHEN kind = 'ack' THEN CASE WHEN (x + slot) % 5 = 0 THEN 'h2' ELSE 'h1' END END AS hash, kind = 'ack' AND x % 97 <> 3 AS valid FROM (
       SELECT run_id, batch_id, x, slot, attempt, CASE slot WHEN 1 THEN 'claim' WHEN 3 THEN CASE WHEN x % 3 = 0 THEN 'ack' ELSE 'claim' END WHEN 5 THEN CASE WHEN x % 29 = 4 THEN 'unsent' ELSE 'claim' END
@@ -241,6 +277,29 @@ def fence_legacy(spark, d):
     return lg.fence_legacy(runs=runs, batches=batches, bindings=bindings)
 
 
+@query(
+    "dispatch_outcomes",
+    """, p AS (SELECT * FROM dispatch_runs WHERE status = 'pending'), wanted AS (SELECT DISTINCT run_id, entity_name FROM manifests),
+    hold AS (SELECT created_at, run_id FROM p WHERE NOT manifest_valid AND NOT inert ORDER BY created_at, run_id LIMIT 1),
+    elder AS (SELECT DISTINCT a.run_id FROM p a JOIN wanted x ON x.run_id = a.run_id JOIN wanted y ON y.entity_name = x.entity_name JOIN p b ON b.run_id = y.run_id WHERE b.manifest_valid AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.run_id < a.run_id)))
+    SELECT j.job_id, j.run_id, CASE WHEN p.run_id IS NULL OR NOT p.manifest_valid OR p.schedule_key IS NOT NULL OR j.mode <> p.mode OR j.version IS DISTINCT FROM p.version OR p.run_id NOT IN (SELECT run_id FROM wanted)
+        OR EXISTS (SELECT 1 FROM wanted m WHERE m.run_id = j.run_id AND NOT EXISTS (SELECT 1 FROM job_manifests f WHERE f.run_id = m.run_id AND f.entity_name = m.entity_name)) OR EXISTS (SELECT 1 FROM job_manifests f WHERE f.run_id = j.run_id AND NOT EXISTS (SELECT 1 FROM wanted m WHERE m.run_id = f.run_id AND f.entity_name = m.entity_name)) THEN 'JOB_MANIFEST_INCONSISTENT'
+      WHEN EXISTS (SELECT 1 FROM hold h WHERE h.created_at < p.created_at OR (h.created_at = p.created_at AND h.run_id < p.run_id)) THEN 'elder_manifest_invalid' WHEN p.run_id IN (SELECT run_id FROM elder) THEN 'queued_overlap'
+      WHEN EXISTS (SELECT 1 FROM wanted m JOIN dispatch_owners o ON o.entity_name = m.entity_name WHERE m.run_id = p.run_id AND o.released_at IS NULL AND o.owner_run_id <> p.run_id) THEN 'busy_entity' ELSE 'claimable' END AS outcome
+    FROM dispatch_jobs j LEFT JOIN p ON p.run_id = j.run_id WHERE j.status IN ('pending', 'deferred') AND coalesce(j.available_at <= TIMESTAMP '1999-01-01', TRUE)""",
+    "dispatch_runs",
+    "dispatch_jobs",
+    "dispatch_owners",
+    "manifests",
+    "job_manifests",
+)
+def dispatch_outcomes(spark, d):
+    return lg.dispatch_outcomes(*_tables(spark, d, "dispatch_jobs", "dispatch_runs", "manifests", "job_manifests", "dispatch_owners"), F.lit(dt.datetime(1999, 1, 1)).cast("timestamp_ntz"))
+
+
+relational("dead_letter_files", r.dead_letter_files, batches="batches", runs="ledger_runs", entities="entities")
+
+
 REVOKED_SQL = "SELECT run_id, entity_name FROM entities WHERE sensitive AND entity_name NOT IN (SELECT entity_name FROM flags) AND run_id IN (SELECT run_id FROM ledger_runs WHERE status NOT IN ('succeeded', 'failed', 'blocked', 'cancelled'))"
 
 
@@ -398,6 +457,51 @@ def older_readiness(spark, d):
     return lg.older_readiness(runs=table(spark, d, "older_runs"), batches=table(spark, d, "older_batches"), requested=table(spark, d, "older_requested"))
 
 
+@query(
+    "missing_file_blocks",
+    """, lost AS (SELECT batch_id, run_id FROM ledger_batches WHERE status IN ('ready', 'retry_waiting') AND batch_id NOT IN (SELECT batch_id FROM files))
+    SELECT 'batch' AS kind, batch_id AS id, status AS from_status, 'dead_letter' AS to_status, if(batch_id IN (SELECT batch_id FROM lost), 'SPOOL_FILE_MISSING', 'RUN_BLOCKED') AS code FROM ledger_batches WHERE status IN ('creating', 'ready', 'retry_waiting') AND run_id IN (SELECT run_id FROM lost)
+    UNION ALL SELECT 'run', run_id::VARCHAR, status, 'blocked', 'SPOOL_FILE_MISSING' FROM ledger_runs WHERE status IN ('running', 'uploading', 'completing') AND run_id IN (SELECT run_id FROM lost)
+    UNION ALL SELECT 'job', job_id::VARCHAR, status, 'blocked', NULL FROM ledger_jobs WHERE status IN ('pending', 'deferred', 'running') AND run_id IN (SELECT run_id FROM lost)""",
+    "ledger_runs",
+    "ledger_batches",
+    "ledger_jobs",
+    "files",
+)
+def missing_file_blocks(spark, d):
+    runs, batches, jobs, files = _tables(spark, d, "ledger_runs", "ledger_batches", "ledger_jobs", "files")
+    return lg.missing_file_blocks(runs=runs, batches=batches, jobs=jobs, files=files)
+
+
+@query(
+    "seal_runs",
+    """, sums AS (SELECT e.*, (SELECT count(*) FROM batches b WHERE b.run_id = e.run_id AND b.entity_name = e.entity_name) AS n, (SELECT coalesce(sum(row_count), 0) FROM batches b WHERE b.run_id = e.run_id AND b.entity_name = e.entity_name) AS t FROM entities e),
+    t AS (SELECT r.*, (SELECT list_sort(list(DISTINCT entity_name)) FROM older_requested m WHERE m.run_id = r.run_id) AS asked, (SELECT list_sort(list(entity_name)) FROM entities e WHERE e.run_id = r.run_id) AS planned,
+        (SELECT arg_min(CASE WHEN expected_batches < 1 AND failure_code IS NULL THEN 'BATCHES_MISSING' WHEN expected_batches <> n THEN 'BATCH_COUNT' ELSE 'ROW_COUNT' END, entity_name) FROM sums s WHERE s.run_id = r.run_id AND ((expected_batches < 1 AND failure_code IS NULL) OR expected_batches <> n OR expected_rows <> t)) AS code,
+        (SELECT min(entity_name) FROM sums s WHERE s.run_id = r.run_id AND ((expected_batches < 1 AND failure_code IS NULL) OR expected_batches <> n OR expected_rows <> t)) AS entity,
+        (SELECT sum(expected_batches) FROM sums s WHERE s.run_id = r.run_id) AS eb, (SELECT sum(expected_rows) FROM sums s WHERE s.run_id = r.run_id) AS er, (SELECT count(*) - count(failure_code) FROM sums s WHERE s.run_id = r.run_id) AS fine, (SELECT count(*) FROM batches b WHERE b.run_id = r.run_id) AS n
+      FROM seal_counters r)
+    SELECT run_id, CASE WHEN status <> 'running' THEN 'NOT_RUNNING' WHEN planned IS NULL OR planned IS DISTINCT FROM asked THEN 'ENTITY_SET_MISMATCH' WHEN code IS NOT NULL THEN code WHEN fine = 0 THEN 'ALL_ENTITIES_FAILED' WHEN eb <> n OR eb <> batches_created OR er <> rows_read THEN 'EXPECTED_BATCH_COUNT' ELSE 'sealed' END AS outcome, entity FROM t""",
+    "seal_counters",
+    "older_requested",
+    "entities",
+    "batches",
+)
+def seal_runs(spark, d):
+    runs, requested, entities, batches = _tables(spark, d, "seal_counters", "older_requested", "entities", "batches")
+    return v.seal_runs(runs=runs, requested=requested, entities=entities, batches=batches)
+
+
+@query(
+    "read_completeness",
+    """SELECT event_id, CASE WHEN scope = 'delta' THEN NULL WHEN NOT verify THEN 'not_checked' WHEN why IS NULL THEN 'verified' ELSE 'unverified' END AS status, CASE WHEN scope = 'full' AND verify THEN why END AS reason FROM (
+      SELECT *, list_filter([count_failure, key_failure, count_after_failure, if(count_after IS NULL, 'COUNT_FAILED', NULL), if(count_before IS DISTINCT FROM count_after, 'COUNT_CHANGED', NULL), if(rows <> count_before, 'ROWS_NOT_EQUAL_COUNT', NULL), if(keys <> count_before, 'KEY_PASS_COUNT_MISMATCH', NULL), if(row_digest <> key_digest, 'KEY_SET_MISMATCH', NULL)], lambda x: x IS NOT NULL)[1] AS why FROM full_reads) t""",
+    "full_reads",
+)
+def read_completeness(spark, d):
+    return v.read_completeness(table(spark, d, "full_reads")).select("event_id", "status", "reason")
+
+
 # Replayed one event of a run after the other: the state of all its batches is carried along.
 REPLAY = """, ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY place) AS i FROM send_events),
 start AS (SELECT run_id, map_from_entries(list({'k': batch_id, 'v': {'status': 'ready', 'live': 0, 'n': 0, 'tried': MAP {}::MAP(INTEGER, VARCHAR), 'seen': MAP {}::MAP(INTEGER, VARCHAR)}})) AS m FROM (SELECT DISTINCT run_id, batch_id FROM send_events) x GROUP BY run_id),

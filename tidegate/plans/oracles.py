@@ -11,9 +11,9 @@ SEPARATE: dict[str, tuple[str, str]] = {
         "definitions cursors",
     ),
     "balance": ("SELECT l_partkey, l_suppkey, CAST(coalesce(sum(q) FILTER (WHERE l_returnflag <> 'R'), 0) - coalesce(sum(q) FILTER (WHERE l_returnflag = 'R'), 0) AS BIGINT) AS quantity FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q FROM lineitem) t GROUP BY ALL", ""),
-    "row_cursor": ("SELECT event_id, event_id % 10 <> 0 AS dated, event_id::VARCHAR AS cursor_id FROM events", ""),
+    "row_cursor": ("SELECT event_id, TRY_CAST(stamp AS TIMESTAMP) AS cursor_at, TRY_CAST(stamp AS TIMESTAMP) IS NOT NULL AS dated, event_id::VARCHAR AS cursor_id FROM stamps", "stamps"),
     "failure_code": (
-        "SELECT event_id, coalesce(code, 'ODATA_HTTP_' || http) AS code, event_id % 7 IN (0, 2, 3) OR (event_id % 7 = 1 AND event_id % 9 IN (5, 6, 7)) AS transient "
+        "SELECT event_id, coalesce(code, 'ODATA_HTTP_' || http) AS code, cause IN ('timeout', 'transport', 'io') OR (cause = 'http' AND list_contains([408, 429, 500, 502, 503, 504], http)) AS transient "
         "FROM failures JOIN (VALUES ('timeout', 'ODATA_TIMEOUT'), ('http', NULL), ('transport', 'ODATA_TRANSPORT'), ('io', 'ODATA_TRANSPORT'), ('limit', 'ODATA_LIMIT'), ('json', 'ODATA_JSON'), ('other', 'ODATA_READ')) c(cause, code) USING (cause)",
         "failures",
     ),
@@ -30,7 +30,7 @@ SEPARATE: dict[str, tuple[str, str]] = {
         "SELECT run_id, CAST(sum(expected_rows) AS BIGINT) AS rows_total, CAST(sum(expected_batches) AS BIGINT) AS batches_total, count(failure_code) AS failed, CASE count(*) - count(failure_code) WHEN count(*) THEN 'complete' WHEN 0 THEN 'failed' ELSE 'partial' END AS outcome FROM entities GROUP BY run_id",
         "entities",
     ),
-    "latest_run_per_entity": ("SELECT r.entity_name, r.run_id, r.failure_code FROM runs r JOIN (SELECT entity_name, max(struct_pack(f := finished_at, i := run_id)) AS top FROM runs GROUP BY entity_name) t ON t.entity_name = r.entity_name AND t.top.i = r.run_id", "runs"),
+    "latest_run_per_entity": ("SELECT r.entity_name, r.run_id, r.failure_code FROM runs r JOIN (SELECT entity_name, max(struct_pack(f := finished_at, i := run_id)) AS top FROM runs WHERE status = 'succeeded' GROUP BY entity_name) t ON t.entity_name = r.entity_name AND t.top.i = r.run_id", "runs"),
     "completion_items": (
         "SELECT run_id, entity_name, 1 + (SELECT count(*) FROM entities o WHERE o.run_id = e.run_id AND o.entity_name < e.entity_name) AS place, ifnull(failure_code, 'OK') AS code, expected_rows AS row_count, expected_batches AS batch_count, if(mode = 'incremental', 'delta', 'full') AS read_scope FROM entities e WHERE run_id IN (SELECT run_id FROM runs WHERE status = 'succeeded')",
         "entities runs",
@@ -43,7 +43,10 @@ SEPARATE: dict[str, tuple[str, str]] = {
         "SELECT command_id, CASE WHEN payload IS NULL THEN 'rejected' WHEN command_id NOT IN (SELECT command_id FROM commands) THEN 'stored' WHEN (command_id, payload_hash) IN (SELECT (command_id, payload_hash) FROM commands) THEN 'duplicate' ELSE 'payload_conflict' END AS outcome FROM incoming",
         "incoming commands",
     ),
-    "first_sent_backfill": ("SELECT command_id, coalesce(first_sent_at, (SELECT min(a.started_at) FROM command_attempts a WHERE a.command_id = c.command_id)) AS first_sent_at FROM commands c", "commands command_attempts"),
+    "first_sent_backfill": (
+        "SELECT command_id, coalesce(first_sent_at, (SELECT min(a.started_at) FROM command_attempts a WHERE a.command_id = c.command_id), CASE WHEN attempt_count > 0 AND command_id NOT IN (SELECT command_id FROM command_attempts) THEN started_at END) AS first_sent_at, if(post_attempt_count = 0, attempt_count, post_attempt_count) AS post_attempt_count FROM commands c",
+        "commands command_attempts",
+    ),
     "outbox_merge": (
         "SELECT command_id, 'pending' AS status FROM commands WHERE status = 'result_pending' UNION ALL SELECT command_id, status FROM results WHERE command_id NOT IN (SELECT command_id FROM commands WHERE status = 'result_pending')",
         "results commands",
@@ -84,8 +87,8 @@ SEPARATE: dict[str, tuple[str, str]] = {
     "cursors_after_reset": ("SELECT entity_name FROM (SELECT entity_name, generation FROM cursors EXCEPT SELECT entity_name, generation FROM definitions) t", "cursors definitions"),
     "batch_retention": ("SELECT b.batch_id FROM batches b, runs r WHERE r.run_id = b.run_id AND (r.status, b.status) = ('succeeded', 'acknowledged') AND b.acknowledged_at < TIMESTAMP '1997-01-01'", "batches runs"),
     "dead_letter_files": (
-        "SELECT batch_id, entity_name FROM batches b WHERE status = 'dead_letter' AND created_at < DATE '2000-01-01' AND run_id IN (SELECT run_id FROM runs WHERE status = 'succeeded' OR status = 'failed') AND EXISTS (SELECT 1 FROM entities e WHERE e.run_id = b.run_id AND e.entity_name = b.entity_name AND NOT e.sensitive)",
-        "batches runs entities",
+        "SELECT batch_id, entity_name FROM batches b WHERE status = 'dead_letter' AND created_at < DATE '2000-01-01' AND run_id NOT IN (SELECT run_id FROM ledger_runs WHERE resolved_at IS NULL AND status IN ('pending', 'running', 'paused', 'uploading', 'completing', 'blocked')) AND EXISTS (SELECT 1 FROM entities e WHERE e.run_id = b.run_id AND e.entity_name = b.entity_name AND NOT e.sensitive)",
+        "batches ledger_runs entities",
     ),
     "missing_files": ("SELECT run_id FROM batches WHERE status = 'ready' AND batch_id NOT IN (SELECT batch_id FROM files) GROUP BY run_id", "batches files"),
     "orphan_files": ("SELECT batch_id FROM files WHERE batch_id NOT IN (SELECT batch_id FROM batches)", "files batches"),

@@ -30,6 +30,7 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "payload_hash": "props",
         "result_json": "CASE WHEN event_id % 97 = 1 THEN NULL ELSE props END",
         "command_type": "event_type",
+        "started_at": "CASE WHEN event_id % 6 <> 0 THEN ts + INTERVAL '2' HOUR END",
     }),
     "incoming": ("events", None, {"command_id": "CASE WHEN event_id % 8 = 0 THEN event_id ELSE event_id + 10000000 END", "payload": "CASE WHEN event_id % 12 = 0 THEN NULL ELSE props END", "payload_hash": "CASE WHEN event_id % 16 = 0 THEN props ELSE 'other' END", "received_at": "ts"}),
     "envelopes": ("events", None, {
