@@ -78,3 +78,26 @@ def test_a_text_of_more_than_a_million_lines(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, long), (3, "17\n" + " ".join(words))], "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, len(r.text)) for r in lines.dedup(docs).collect()}
     assert got == {1: (0, len(docs.first().text)), 2: (1, len(long) - len(" ".join(near)) - 1), 3: (2, 0)}
+
+
+def thue_morse(n, a, b):
+    return [a if i.bit_count() % 2 == 0 else b for i in range(n)]
+
+
+def test_words_and_lines_that_sums_of_powers_confuse(spark):
+    """Words of 1,024 letters, and lines of 1,024 words, whose polynomials mod 2^64 are equal for any odd base."""
+    words = ["".join(thue_morse(1024, *x)) for x in ("ab", "ba")]
+    texts = [" ".join(thue_morse(2048, *x)) for x in (("one", "two"), ("two", "one"))]
+    twins = [f"{words[0]} {i}" for i in range(3)]
+    rows = [(1, words[0]), (2, words[1]), (3, texts[0]), (4, texts[1]), (5, "\n".join(twins)), (6, f"{words[1]} 1"), (7, words[0])]
+    got = {r.doc_id: r.n_removed for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # shingles of texts 3 and 4 are the same ten sets of words, so that Jaccard is 1: compare with the model
+    want = {d: (dict(rows)[d].count("\n") + 1 if not t else dict(rows)[d].count("\n") - t.count("\n")) for d, t in slow(rows)}
+    assert got == want and got[2] == 0 and got[6] == 0 and got[7] == 1
+
+
+def test_a_text_of_equal_lines(spark):
+    """All but the first of 400,000 go, in time that is linear in their number."""
+    rows = [(1, "\n".join(["the very same line"] * 400_000)), (2, "\n".join(["x y z", "the very same line", "last", ""]))]
+    got = {r.doc_id: (r.n_removed, r.text) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (399_999, "the very same line"), 2: (1, "x y z\nlast\n")}

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ HOT = 20_000  # rows of a token that are one block
 DEALT = 16 << 20  # bytes that a task holds before it sends them
 SENT = 100_000  # lines that a task remembers having sent
 NO_ID = -(1 << 63)
+LONG = 16  # letters of a word, words of a line, from which on XXH64 hashes it
 
 
 def needed(a, b):
@@ -82,6 +84,14 @@ def spans(values: np.ndarray, base: int):
     return lambda start, end: mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def settle(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """hashes, with those of long spans by XXH64: sums of powers mod 2^64 are alike for some fixed pairs of a thousand values,
+    whatever the base."""
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        hashes[i] = xxhash.xxh64_intdigest(values[start[i] : end[i]].tobytes())
+    return hashes
+
+
 class Lines:
     """Lines with words of some texts: row, number in the row's text, and hash of each. All by array operations."""
 
@@ -93,7 +103,7 @@ class Lines:
         blank[1:-1] = _SPACE[raw]
         edge = np.flatnonzero(blank[1:] != blank[:-1])
         start, end = edge[::2], edge[1::2]
-        word = spans(raw.astype(np.uint64) + np.uint64(1), _ODD[0])(start, end)
+        word = settle(spans(raw.astype(np.uint64) + np.uint64(1), _ODD[0])(start, end), start, end, raw)
         breaks = np.flatnonzero(raw == 10)
         bound = np.concatenate([[0], np.searchsorted(start, breaks), [len(start)]])  # words before each line
         line = np.flatnonzero(bound[1:] > bound[:-1])
@@ -103,7 +113,8 @@ class Lines:
         first = np.searchsorted(breaks, np.cumsum(length) - length)  # line in which each text begins
         self.row = np.searchsorted(first, line, side="right") - 1
         self.number = line - first[self.row] + base
-        self.hash = self.span(self.start, self.start + self.size).view(np.int64)
+        last = self.start + self.size
+        self.hash = settle(self.span(self.start, last), self.start, last, word).view(np.int64)
 
     def pick(self, index: np.ndarray) -> None:
         self.start, self.size, self.row, self.number, self.hash = (x[index] for x in (self.start, self.size, self.row, self.number, self.hash))
@@ -661,7 +672,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(docs["text"]).alias("tie"))
     joined = named.join(gone, ["doc", "tie"], "left")
     before = F.col("row.text")
-    kept = F.array_join(F.filter(F.transform(F.split(before, "\n"), lambda x, i: F.when(~F.array_contains(F.col("gone"), i), x)), lambda x: x.isNotNull()), "\n")
+    # the lines between those that go, a slice each: linear in the text, however many go
+    one = F.array(F.struct(F.split(before, "\n").alias("l"), F.sort_array("gone").alias("g")))
+
+    def between(s, i):
+        first = F.when(i == 0, 0).otherwise(F.get(s["g"], i - 1) + 1)
+        return F.slice(s["l"], first + 1, F.coalesce(F.get(s["g"], i), F.size(s["l"])) - first)
+
+    kept = F.transform(one, lambda s: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(s["g"])), lambda i: between(s, i))), "\n"))[0]
     text = F.when(F.col("gone").isNull(), before).otherwise(kept)
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns], F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
