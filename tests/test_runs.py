@@ -23,18 +23,6 @@ def test_due_uploads_needs_owner_and_clean_attempts(spark):
     assert [x.batch_id for x in r.due_uploads(batches=batches, runs=runs, owners=owners, attempts=attempts).collect()] == ["b0", "b1"]
 
 
-def test_inert_runs_have_no_trace(spark):
-    columns = "run_id long, status string, started_at int, finished_at int, failure_code string, chain int"
-    plain = {i: ["pending", None, None, None, 0] for i in range(12)}
-    for i, (at, value) in {2: (1, 5), 3: (2, 5), 4: (3, "X"), 5: (4, 1), 6: (0, "blocked")}.items():
-        plain[i][at] = value
-    runs = spark.createDataFrame([(i, *x) for i, x in plain.items()], columns)
-    one = lambda i, name="run_id": spark.createDataFrame([(i,)], f"{name} long")
-    jobs = spark.createDataFrame([(1, "waiting"), (7, "finished")], "run_id long, status string")
-    got = r.inert(runs=runs, batches=one(8), entities=one(9), bindings=one(10), owners=one(11, "owner_run_id"), jobs=jobs)
-    assert sorted(x.run_id for x in got.collect()) == [0, 1]
-
-
 def test_readiness(spark):
     runs = spark.createDataFrame([(i,) for i in range(13)], "run_id long")
     state = {3: "dead_letter", 4: "ready"}

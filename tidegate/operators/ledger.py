@@ -57,6 +57,17 @@ WHERE e.sensitive AND r.status IN ('pending', 'running', 'paused', 'uploading',
 """)
 
 
+# What an agent that knows a version of its configuration is told: the active one, or that there is no other.
+config_answers = operator("""
+SELECT k.agent, CASE WHEN a.version IS NULL THEN 'absent' WHEN a.version = k.version THEN 'unchanged' ELSE 'new' END AS answer, CASE WHEN a.version <> coalesce(k.version, a.version - 1) THEN a.version END AS version
+FROM {known} k LEFT JOIN (SELECT entity_name, max(version) AS version FROM {configs} WHERE status = 'active' GROUP BY entity_name) a ON a.entity_name = k.entity_name
+""")
+# Files to be set aside: finished ones that no batch refers to but deleted ones, and what a writer left half done.
+set_aside = operator("""
+SELECT f.path, CASE WHEN f.path LIKE '%.tmp' THEN 'temporary' ELSE 'orphan' END AS kind FROM {files} f
+ANTI JOIN (SELECT lower(file_path) AS path FROM {batches} WHERE status <> 'deleted') b ON b.path = lower(f.path) AND f.path NOT LIKE '%.tmp'
+WHERE f.path NOT LIKE '%.orphan%'
+""")
 # Due batches whose file is gone: the batch goes, what else of its run was not sent yet is fenced, run and job are blocked.
 missing_file_blocks = operator("""
 WITH lost AS (SELECT b.batch_id, b.run_id FROM {batches} b ANTI JOIN {files} f ON f.batch_id = b.batch_id WHERE b.status IN ('ready', 'retry_waiting')),
@@ -235,6 +246,24 @@ SELECT e.run_id, e.entity_name, CASE WHEN t.tied THEN NULL ELSE e.cursor_to END
 """)
 
 
+# --- evidence -----------------------------------------------------------------------------------------------------
+# What a run and its job show once anything was done with them.
+NEVER_SET = ("started_at", "extraction_claim", "completion_claim", "completion_bound", "next_completion_at", "completion_acknowledged_at", "sealed_at", "sealed_entities", "sealed_batches", "complete_payload", "finished_at", "resolved_at", "last_error", "conflict_code")
+NEVER_COUNTED = ("completion_attempts", "error_count", "rows_read", "batches_created", "batches_acknowledged")
+JOB_NEVER_SET = ("dispatch_owner", "dispatch_claimed_at", "deferral_code", "deferral_message", "available_at")
+
+
+def inert(runs: DataFrame, batches: DataFrame, entities: DataFrame, bindings: DataFrame, owners: DataFrame, jobs: DataFrame) -> DataFrame:
+    """run_id of runs that provably never did anything: no column of theirs is set, no counter moved, nothing refers to them
+    but a pending job that was never claimed, deferred or put off. Traces of all kinds meet the runs in one anti join."""
+    clean = runs.filter(F.forall(F.array(*[F.col(c).isNull() for c in NEVER_SET], *[F.coalesce(F.col(c), F.lit(1)) == 0 for c in NEVER_COUNTED]), lambda x: x)).select("run_id")
+    touched = (F.col("status") != "pending") | (F.coalesce("claim_attempts", F.lit(1)) > 0)
+    for c in JOB_NEVER_SET:
+        touched |= F.col(c).isNotNull()
+    traces = batches.select("run_id").union(entities.select("run_id")).union(bindings.select("run_id")).union(owners.select("owner_run_id")).union(jobs.filter(touched).select("run_id"))
+    return clean.join(traces, "run_id", "left_anti")
+
+
 # --- dispatch -----------------------------------------------------------------------------------------------------
 def dispatch_outcomes(jobs: DataFrame, runs: DataFrame, requested: DataFrame, frozen: DataFrame, owners: DataFrame, now: Column) -> DataFrame:
     """job_id, run_id, outcome of every job that may be claimed now: what a claim of it would come to.

@@ -200,12 +200,6 @@ complete_entity = operator("""
 SELECT e.run_id, e.entity_name FROM {entities} e JOIN (SELECT run_id, entity_name, count(*) AS n FROM {batches} GROUP BY run_id, entity_name) b
   ON b.run_id = e.run_id AND b.entity_name = e.entity_name WHERE b.n = e.expected_batches AND b.n >= 1 AND e.failure_code IS NULL
 """)
-inert = operator("""
-SELECT r.run_id FROM {runs} r ANTI JOIN {batches} b ON b.run_id = r.run_id ANTI JOIN {entities} e ON e.run_id = r.run_id
-ANTI JOIN {bindings} g ON g.run_id = r.run_id ANTI JOIN {owners} o ON o.owner_run_id = r.run_id
-ANTI JOIN (SELECT run_id FROM {jobs} WHERE status <> 'waiting') j ON j.run_id = r.run_id
-WHERE r.status = 'pending' AND r.started_at IS NULL AND r.finished_at IS NULL AND r.failure_code IS NULL AND r.chain = 0
-""")
 duplicate_claims = operator("SELECT entity_name, count(*) AS n FROM {runs} WHERE status = 'pending' GROUP BY entity_name HAVING count(*) > 1")
 constraints = operator("""
 SELECT 'status' AS rule, count_if(status NOT IN ('pending', 'succeeded', 'failed', 'blocked')) AS violations FROM {runs}

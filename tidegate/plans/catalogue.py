@@ -484,24 +484,6 @@ relational("send_outcome", r.send_outcome, attempts="batch_attempts")
 relational("complete_entity", r.complete_entity, entities="entities", batches="batches")
 
 
-# The predicate row by row, as far as the tables have its columns.
-@query(
-    "inert_runs",
-    """SELECT r.run_id FROM runs r WHERE r.status = 'pending' AND r.started_at IS NULL AND r.finished_at IS NULL AND r.failure_code IS NULL AND r.chain = 0
-      AND NOT EXISTS (SELECT 1 FROM batches b WHERE b.run_id = r.run_id) AND NOT EXISTS (SELECT 1 FROM entities e WHERE e.run_id = r.run_id)
-      AND NOT EXISTS (SELECT 1 FROM bindings g WHERE g.run_id = r.run_id) AND NOT EXISTS (SELECT 1 FROM owned o WHERE o.owner_run_id = r.run_id)
-      AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.run_id = r.run_id AND j.status <> 'waiting')""",
-    "runs",
-    "batches",
-    "entities",
-    "bindings",
-    "owned",
-    "jobs",
-)
-def inert_runs(spark, d):
-    return r.inert(runs=table(spark, d, "runs"), batches=table(spark, d, "batches"), entities=table(spark, d, "entities"), bindings=table(spark, d, "bindings"), owners=table(spark, d, "owned"), jobs=table(spark, d, "jobs"))
-
-
 relational("duplicate_claims", r.duplicate_claims, runs="runs")
 relational("constraint_report", r.constraints, runs="runs")
 relational("snapshot_clock", r.snapshot_clock, configs="configs")

@@ -32,6 +32,15 @@ DERIVED |= {
         "completion_bound": "CASE WHEN o_orderkey % 4 <> 0 THEN CAST(5 + o_orderkey % 10 AS INT) END",
         "schedule_key": "CASE WHEN o_orderkey % 3 <> 0 THEN 'key-' || CAST(o_custkey AS STRING) END",
     }),
+    "trace_runs": ("orders", None, {"run_id": "o_orderkey", "status": "CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'succeeded' END", "started_at": "CASE WHEN o_orderkey % 31 = 0 THEN 1 END", "extraction_claim": "CASE WHEN o_orderkey % 37 = 0 THEN 1 END", "completion_claim": "CASE WHEN o_orderkey % 41 = 0 THEN 1 END", "completion_bound": "CASE WHEN o_orderkey % 43 = 0 THEN 1 END", "next_completion_at": "CASE WHEN o_orderkey % 47 = 0 THEN 1 END", "completion_acknowledged_at": "CASE WHEN o_orderkey % 53 = 0 THEN 1 END", "sealed_at": "CASE WHEN o_orderkey % 59 = 0 THEN 1 END", "sealed_entities": "CASE WHEN o_orderkey % 61 = 0 THEN 1 END", "sealed_batches": "CASE WHEN o_orderkey % 67 = 0 THEN 1 END", "complete_payload": "CASE WHEN o_orderkey % 71 = 0 THEN 1 END", "finished_at": "CASE WHEN o_orderkey % 73 = 0 THEN 1 END", "resolved_at": "CASE WHEN o_orderkey % 79 = 0 THEN 1 END", "last_error": "CASE WHEN o_orderkey % 83 = 0 THEN 1 END", "conflict_code": "CASE WHEN o_orderkey % 89 = 0 THEN 1 END", "completion_attempts": "CASE WHEN o_orderkey % 31 = 1 THEN 1 ELSE 0 END", "error_count": "CASE WHEN o_orderkey % 37 = 1 THEN 1 ELSE 0 END", "rows_read": "CASE WHEN o_orderkey % 41 = 1 THEN 1 ELSE 0 END", "batches_created": "CASE WHEN o_orderkey % 43 = 1 THEN 1 ELSE 0 END", "batches_acknowledged": "CASE WHEN o_orderkey % 47 = 1 THEN 1 ELSE 0 END"}),
+    "trace_jobs": ("orders", "o_orderkey % 3 <> 0", {"run_id": "o_orderkey", "status": "CASE WHEN o_orderkey % 13 = 0 THEN 'deferred' ELSE 'pending' END", "claim_attempts": "CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END", "dispatch_owner": "CASE WHEN o_orderkey % 31 = 2 THEN 1 END", "dispatch_claimed_at": "CASE WHEN o_orderkey % 37 = 2 THEN 1 END", "deferral_code": "CASE WHEN o_orderkey % 41 = 2 THEN 1 END", "deferral_message": "CASE WHEN o_orderkey % 43 = 2 THEN 1 END", "available_at": "CASE WHEN o_orderkey % 47 = 2 THEN 1 END"}),
+    "trace_batches": ("lineitem", "l_orderkey % 7 = 0", {"run_id": "l_orderkey"}),
+    "trace_entities": ("lineitem", "l_orderkey % 11 = 0", {"run_id": "l_orderkey"}),
+    "trace_bindings": ("lineitem", "l_orderkey % 17 = 0", {"run_id": "l_orderkey"}),
+    "trace_owners": ("lineitem", "l_orderkey % 19 = 0", {"owner_run_id": "l_orderkey"}),
+    "known_versions": ("customer", None, {"agent": "c_custkey", "entity_name": "CASE c_custkey % 7 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN 'other' ELSE '5-LOW' END", "version": "CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 20000 + c_custkey END"}),
+    "spool_files": ("lineitem", None, {"path": "CASE l_partkey % 9 WHEN 0 THEN 'Spool/' ELSE 'spool/' END || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || CASE l_partkey % 23 WHEN 0 THEN '.tmp' WHEN 1 THEN '.orphan' WHEN 2 THEN '.ndjson.gz.old' ELSE '.ndjson.gz' END"}),
+    "spool_batches": ("lineitem", "l_suppkey % 13 <> 0", {"file_path": "'spool/' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '.NDJSON.gz'", "status": "CASE WHEN l_partkey % 10 = 0 THEN 'deleted' ELSE 'acknowledged' END"}),
     "dispatch_runs": ("orders", None, {
         "run_id": "o_orderkey",
         "status": "CASE WHEN o_orderstatus = 'O' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'succeeded' ELSE 'running' END",
@@ -300,6 +309,46 @@ def dispatch_outcomes(spark, d):
 relational("dead_letter_files", r.dead_letter_files, batches="batches", runs="ledger_runs", entities="entities")
 
 
+# The predicate, column by column.
+@query(
+    "inert_runs",
+    f"""SELECT run_id FROM trace_runs r WHERE status = 'pending' AND coalesce({", ".join(lg.NEVER_SET)}) IS NULL AND {" + ".join(lg.NEVER_COUNTED)} = 0
+      AND NOT EXISTS (SELECT 1 FROM trace_batches b WHERE b.run_id = r.run_id) AND NOT EXISTS (SELECT 1 FROM trace_entities e WHERE e.run_id = r.run_id) AND NOT EXISTS (SELECT 1 FROM trace_bindings g WHERE g.run_id = r.run_id)
+      AND NOT EXISTS (SELECT 1 FROM trace_owners o WHERE o.owner_run_id = r.run_id) AND NOT EXISTS (SELECT 1 FROM trace_jobs j WHERE j.run_id = r.run_id AND NOT (j.status = 'pending' AND j.claim_attempts = 0 AND coalesce({", ".join(lg.JOB_NEVER_SET)}) IS NULL))""",
+    "trace_runs",
+    "trace_batches",
+    "trace_entities",
+    "trace_bindings",
+    "trace_owners",
+    "trace_jobs",
+)
+def inert_runs(spark, d):
+    runs, *rest = _tables(spark, d, "trace_runs", "trace_batches", "trace_entities", "trace_bindings", "trace_owners", "trace_jobs")
+    return lg.inert(runs.filter("status = 'pending'"), *rest)
+
+
+@query(
+    "config_answers",
+    """, top AS (SELECT entity_name, version FROM configs WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY entity_name ORDER BY version DESC) = 1)
+    SELECT agent, CASE WHEN entity_name NOT IN (SELECT entity_name FROM top) THEN 'absent' WHEN (entity_name, version) IN (SELECT (entity_name, version) FROM top) THEN 'unchanged' ELSE 'new' END AS answer,
+      (SELECT any_value(t.version) FROM top t WHERE t.entity_name = k.entity_name AND t.version IS DISTINCT FROM k.version) AS version FROM known_versions k""",
+    "known_versions",
+    "configs",
+)
+def config_answers(spark, d):
+    return lg.config_answers(known=table(spark, d, "known_versions"), configs=table(spark, d, "configs"))
+
+
+@query(
+    "set_aside_files",
+    "SELECT path, if(right(path, 4) = '.tmp', 'temporary', 'orphan') AS kind FROM spool_files WHERE NOT contains(path, '.orphan') AND (path LIKE '%.tmp' OR lower(path) NOT IN (SELECT lower(file_path) FROM spool_batches WHERE status <> 'deleted'))",
+    "spool_files",
+    "spool_batches",
+)
+def set_aside_files(spark, d):
+    return lg.set_aside(files=table(spark, d, "spool_files"), batches=table(spark, d, "spool_batches"))
+
+
 REVOKED_SQL = "SELECT run_id, entity_name FROM entities WHERE sensitive AND entity_name NOT IN (SELECT entity_name FROM flags) AND run_id IN (SELECT run_id FROM ledger_runs WHERE status NOT IN ('succeeded', 'failed', 'blocked', 'cancelled'))"
 
 
