@@ -3,8 +3,10 @@
 Restaurants, from the top: the root serves words over the uniform base distribution 1 / (V + 1); below it, sharing it as
 parent, one restaurant for each class of the token before (its last byte; one more class for the start of a text); below
 these, sharing their class as parent, one restaurant for each word that stands before another. The words' restaurants
-grow with the corpus. Gibbs sweeps seat customers anew by the Chinese-restaurant rule from the bottom up: a table of a
-restaurant is a customer of its parent. Predictive probabilities are averaged over the sweeps after the burn-in.
+grow with the corpus. Gibbs sweeps take the customers of a word out of a restaurant, with their tables and what these are
+in its parents, and seat them again, given all others, by the Chinese-restaurant rule, from the bottom up: a table of a
+restaurant is a customer of its parent. Seats are kept from sweep to sweep. Predictive probabilities are averaged over the
+sweeps after the burn-in. All words of a sweep are seated given the totals of the sweep before, so that they are in no order.
 
 What one word does in all restaurants (customers and tables by context, by class and in the root) lies in the part of its
 hash, so that a sweep is local to words but for the totals of restaurants: those of classes and root are 516 numbers, and
@@ -15,15 +17,16 @@ Data flow, with counts gathered over all training texts:
            (word, context) pairs; these pairs, with counts, go to the word's part
   state    each part merges its pairs; of a chunk's pairs it keeps their places among the merged ones
   routes   each part of contexts numbers its contexts, and knows the places that each part of words asked for
-  sweeps   parts are seated, their tables summed by context; draws are replayed from a seed by part and sweep, so a lost
-           executor changes nothing
+  sweeps   parts are seated from where the last sweep left them, their tables summed by context; a draw is a hash of word,
+           context, sweep and customer, so that neither a lost executor nor the number of parts changes anything
   answers  each part answers each chunk's pairs with probabilities and counts, which meet the chunk's tokens again
 Parts are as many as the texts need, since each part of words exchanges a row with each part of contexts.
 Words are known by their 64-bit hash; as contexts, by 39 bits of it and their class: of 10^9 words in contexts, less than
 one in 10,000 would share its restaurant with another.
 
 Seating is drawn customer by customer up to STEP customers of a word in a restaurant; beyond, in blocks of a tenth of
-the customers already there, with a binomial number of new tables (the chance of a new table hardly changes within).
+the customers already there, with a binomial number of new tables (the chance of a new table hardly changes within), by
+inversion up to a mean of 30 and from a normal distribution beyond.
 
 Defined results: null text counts as empty; an empty text is the one token end. Null doc_id is hashed as the empty text.
 Repeated rows are scored, and learned from, once each. Without training rows N and V are 0 and every probability is
@@ -41,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Vocabulary, bucket_of, drop, map_arrow, materialize, pack, partitions, read, unpack
+from .lines import mix
 
 CHUNK = 1_500_000
 PART_BYTES = 4 << 20  # of text, for each part; there are three parts for each shuffle partition at most
@@ -52,8 +56,8 @@ CLASS_DISCOUNT, CLASS_STRENGTH = 0.2, 200.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 20.0
 SWEEPS, BURN_IN = 4, 1
 BLOBS = "part int, chunk long, a binary, b binary, c binary, d binary, e binary, kind int"
-#: Kinds of rows; those of sweep i are REPLY + i.
-OWN, ASKED, STATE, ROUTE, REPLY = 0, 1, 2, 3, 4
+#: Kinds of rows; those of sweep i are REPLY + i, and SEATS + i.
+OWN, ASKED, STATE, ROUTE, REPLY, SEATS = 0, 1, 2, 3, 4, 100
 
 
 def _batch(rows: list[tuple], kind: int) -> pa.RecordBatch:
@@ -168,7 +172,7 @@ def _merge(parts: int):
             pair, at = np.unique(w * len(keys) + place[u], return_inverse=True)
             n = np.bincount(at, np.concatenate([unpack(r["d"], np.int64) for r in rows]), len(pair)).astype(np.int64)
             known = len(np.unique((pair // len(keys))[n > 0]))
-            yield _batch([(part, known, pack(np.bincount(pair // len(keys), minlength=len(words)).astype(np.int64)), pack((pair % len(keys)).astype(np.int32)), pack(n), pack(keys[order]), b"")], STATE)
+            yield _batch([(part, known, pack(np.bincount(pair // len(keys), minlength=len(words)).astype(np.int64)), pack((pair % len(keys)).astype(np.int32)), pack(n), pack(keys[order]), pack(words))], STATE)
             end = np.cumsum([len(x) for x in got])
             for r, x, e in zip(rows, got, end.tolist(), strict=True):
                 yield _batch([(part, r["chunk"], pack(np.diff(at[e - len(x) : e], prepend=0)), b"", b"", b"", b"")], ASKED)
@@ -176,23 +180,54 @@ def _merge(parts: int):
     return run
 
 
-def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables drawn for each dish: the customer after k, at t tables, opens one with pull / (pull + k - discount t)."""
+def uniform(keys: np.ndarray, *at: int) -> np.ndarray:
+    """A number from 0 to 1 for each key, and place in the course of draws."""
+    for n in at:
+        keys = mix(keys + np.uint64((n * 0x9E3779B97F4A7C15 + 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF))
+    return (keys >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def binomial(n: np.ndarray, p: np.ndarray, keys: np.ndarray, *at: int) -> np.ndarray:
+    u, mean = uniform(keys, *at, 1), n * p
+    out = np.zeros(len(n), np.int64)
+    wide = mean > 30
+    if wide.any():
+        z = np.sqrt(-2 * np.log(1 - u[wide])) * np.cos(2 * np.pi * uniform(keys[wide], *at, 2))
+        out[wide] = np.clip(np.rint(mean[wide] + z * np.sqrt(mean[wide] * (1 - p[wide]))), 0, n[wide])
+    live = np.flatnonzero(~wide)
+    chance = (1 - p[live]) ** n[live]
+    below, x = chance.copy(), 0
+    while len(live):
+        more = (u[live] > below) & (x < n[live])
+        live, chance, below = live[more], chance[more], below[more]
+        chance *= (n[live] - x) / (x + 1) * p[live] / (1 - p[live])
+        x += 1
+        out[live] = x
+        below = below + chance
+        if x > 200:  # what is left of u is rounding
+            break
+    return out
+
+
+def seat(customers: np.ndarray, pull: np.ndarray, own: np.ndarray, discount: float, keys: np.ndarray, number: int) -> np.ndarray:
+    """Tables drawn for each dish: the customer after k, at t tables, opens one with a / (a + k - discount t), a = pull + own t.
+
+    pull is what others' tables do for a new one, own what each of the dish's own adds to it."""
     tables = (customers > 0).astype(np.int64)
     live = np.flatnonzero(customers > 1)
-    k = 1.0
-    for _ in range(STEP - 1):
-        if not len(live):
-            return tables
-        a = pull[live]
-        tables[live] += rng.random(len(live)) * (a + k - discount * tables[live]) < a
+    k = 1
+    while len(live) and k < STEP:
+        t = tables[live]
+        a = pull[live] + own[live] * t
+        tables[live] = t + (uniform(keys[live], number, k) * (a + k - discount * t) < a)
         k += 1
         live = live[customers[live] > k]
     while len(live):
-        block = np.minimum(max(1.0, k // 10), customers[live] - k).astype(np.int64)
-        a, middle = pull[live], k + block / 2
-        tables[live] += rng.binomial(block, a / (a + middle - discount * tables[live]))
-        k += max(1.0, k // 10)
+        block = np.minimum(max(1, k // 10), customers[live] - k)
+        t, middle = tables[live], k + block / 2
+        a = pull[live] + own[live] * t
+        tables[live] = t + binomial(block, a / (a + middle - discount * t), keys[live], number, k)
+        k += max(1, k // 10)
         live = live[customers[live] > k]
     return tables
 
@@ -208,10 +243,15 @@ class Part:
         self.context = unpack(row["b"], np.int32).astype(np.int64)
         self.count = unpack(row["c"], np.int64)
         self.keys = unpack(row["d"], np.uint64)
+        words = unpack(row["e"], np.uint64)
         self.base = 1.0 / (n_words + 1)
         # a word in a class
         dish, self.dish = np.unique(self.of * CLASSES + (self.keys[self.context] & np.uint64(511)).astype(np.int64), return_inverse=True)
         self.word, self.class_ = dish // CLASSES, dish % CLASSES
+        # what draws are made of: the same whatever part a word is in
+        self.root_key = mix(words)
+        self.class_key = mix(self.root_key[self.word] + self.class_.astype(np.uint64))
+        self.pair_key = mix(self.root_key[self.of] ^ mix(self.keys)[self.context])
         # one table for each dish, to begin with
         self.tables = (self.count > 0).astype(np.int64)
         self.class_tables = (self.class_customers() > 0).astype(np.int64)
@@ -237,13 +277,31 @@ class Part:
         return (self.count - DISCOUNT * self.tables + new) / (STRENGTH + customers[self.context])
 
     def sweep(self, totals: dict, tables: np.ndarray, number: int) -> None:
-        rng = np.random.default_rng([number, self.part])
-        pull = (STRENGTH + DISCOUNT * tables[self.context]) * self.classes(totals)[self.dish]
-        class_pull = (CLASS_STRENGTH + CLASS_DISCOUNT * totals["tables"][self.class_]) * self.root(totals)[self.word]
-        self.tables = seat(self.count, pull, DISCOUNT, rng)
-        self.class_tables = seat(self.class_customers(), class_pull, CLASS_DISCOUNT, rng)
-        new = (ROOT_STRENGTH + ROOT_DISCOUNT * totals["root_tables"]) * self.base
-        self.root_tables = seat(self.root_customers(), np.full(self.n_here, new), ROOT_DISCOUNT, rng)
+        """Seat every dish anew, given all others: its own tables, and what they are in the parents, are taken out of the totals."""
+        # a word in a context, its class without what the word's tables in the context are there
+        served = self.class_customers()[self.dish] - self.tables
+        own_root = self.root(totals)[self.word][self.dish]
+        parent = served - CLASS_DISCOUNT * np.minimum(self.class_tables[self.dish], served) + (CLASS_STRENGTH + CLASS_DISCOUNT * totals["tables"][self.class_[self.dish]]) * own_root
+        parent = parent / (CLASS_STRENGTH + totals["customers"][self.class_[self.dish]] - self.tables)
+        seats = seat(self.count, (STRENGTH + DISCOUNT * (tables[self.context] - self.tables)) * parent, DISCOUNT * parent, DISCOUNT, self.pair_key, 3 * number)
+        # a word in a class, the root without what the word's tables in the class are there
+        served = self.root_customers()[self.word] - self.class_tables
+        parent = served - ROOT_DISCOUNT * np.minimum(self.root_tables[self.word], served) + (ROOT_STRENGTH + ROOT_DISCOUNT * totals["root_tables"]) * self.base
+        parent = parent / (ROOT_STRENGTH + totals["root"] - self.class_tables)
+        self.tables = seats
+        class_seats = seat(self.class_customers(), (CLASS_STRENGTH + CLASS_DISCOUNT * (totals["tables"][self.class_] - self.class_tables)) * parent, CLASS_DISCOUNT * parent, CLASS_DISCOUNT, self.class_key, 3 * number + 1)
+        self.class_tables = class_seats
+        # a word in the root
+        others = (ROOT_STRENGTH + ROOT_DISCOUNT * (totals["root_tables"] - self.root_tables)) * self.base
+        self.root_tables = seat(self.root_customers(), others, np.full(self.n_here, ROOT_DISCOUNT * self.base), ROOT_DISCOUNT, self.root_key, 3 * number + 2)
+
+    def seats(self) -> tuple[bytes, bytes, bytes]:
+        return tuple(pack(x.astype(np.int32)) for x in (self.tables, self.class_tables, self.root_tables))
+
+    def sit(self, rows: list[dict], number: int) -> None:
+        """The seats that a sweep left."""
+        row = next(r for r in rows if r["kind"] == SEATS + number)
+        self.tables, self.class_tables, self.root_tables = (unpack(row[c], np.int32).astype(np.int64) for c in "abc")
 
     def sums(self) -> np.ndarray:
         """By class: customers and tables; then the root's customers and tables, and the tokens of all words."""
@@ -291,40 +349,40 @@ def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch([(part, r["chunk"], pack(at[e - len(x) : e]), b"", b"", b"", b"")], ROUTE)
 
 
-def _seated(part: int, rows: list[dict], n_words: int, parts: int, past: list[dict]) -> Iterator[tuple[int, Part]]:
-    """A part after each of its sweeps, before the first included."""
-    p = Part(next(r for r in rows if r["kind"] == STATE), n_words, parts)
-    yield 0, p
-    for i, t in enumerate(past):
-        p.sweep(t, _replies(rows, i, "a"), i)
-        yield i + 1, p
-
-
 def _send(n_words: int, parts: int, past: list[dict]):
-    """Tables of each context after the sweeps past (before any, customers too), for the parts of contexts; sums as part -1."""
+    """One sweep more: seats, and tables of each context (before any sweep, customers too) for the parts of contexts; sums as part -1."""
+    now = len(past)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, number = np.zeros(2 * CLASSES + 3, np.int64), REPLY + len(past)
+        total = np.zeros(2 * CLASSES + 3, np.int64)
         for part, rows in _by_part(batches):
-            for _, p in _seated(part, rows, n_words, parts, past):  # noqa: B007
-                pass
+            p = Part(next(r for r in rows if r["kind"] == STATE), n_words, parts)
+            if past:
+                p.sit(rows, now - 1)
+                p.sweep(past[-1], _replies(rows, now - 1, "a"), now - 1)
             total += p.sums()
+            yield _batch([(part, -1, *p.seats(), b"", b"")], SEATS + now)
             tables, customers = p.by_context(p.tables), p.by_context(p.count)
             for of, s, e in slices(context_part(p.keys, parts)):
-                yield _batch([(of, part, pack(tables[s:e]), b"" if past else pack(customers[s:e]), b"", b"", b"")], number)
-        yield _batch([(-1, -1, pack(total), b"", b"", b"", b"")], number)
+                yield _batch([(of, part, pack(tables[s:e]), b"" if past else pack(customers[s:e]), b"", b"", b"")], REPLY + now)
+        yield _batch([(-1, -1, pack(total), b"", b"", b"", b"")], REPLY + now)
 
     return run
 
 
 def _reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of contexts, for each part of words that has them."""
+    """Totals of contexts, for each part of words that has them. Seats pass through."""
     for part, rows in _by_part(batches):
         if part < 0:
             yield _batch([(-1, -1, pack(sum(unpack(r["a"], np.int64) for r in rows)), b"", b"", b"", b"")], rows[0]["kind"])
             continue
+        for r in rows:
+            if r["kind"] >= SEATS:
+                yield _batch([(part, -1, r["a"], r["b"], r["c"], b"", b"")], r["kind"])
         at = {r["chunk"]: unpack(r["a"], np.int32) for r in rows if r["kind"] == ROUTE}
-        sent = [r for r in rows if r["kind"] != ROUTE]
+        sent = [r for r in rows if REPLY <= r["kind"] < SEATS]
+        if not sent:
+            continue
         n = 1 + max(int(x.max()) for x in at.values())
         total = {}
         for column in "ab"[: 2 if sent[0]["b"] else 1]:
@@ -339,11 +397,12 @@ def _answers(n_words: int, parts: int, past: list[dict]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches):
             customers = _replies(rows, 0, "b")
-            mean, drawn = 0.0, 0
-            for i, p in _seated(part, rows, n_words, parts, past[:-1]):
-                if i > BURN_IN:
-                    mean, drawn = mean + p.words(past[i], customers, _replies(rows, i, "a")), drawn + 1
-            log = np.log10(mean / drawn).astype(np.float32)
+            p = Part(next(r for r in rows if r["kind"] == STATE), n_words, parts)
+            mean = 0.0
+            for i in range(BURN_IN + 1, len(past)):
+                p.sit(rows, i)
+                mean = mean + p.words(past[i], customers, _replies(rows, i, "a"))
+            log = np.log10(mean / (len(past) - BURN_IN - 1)).astype(np.float32)
             count = np.bincount(p.of, p.count, p.n_here).astype(np.int64)[p.of]
             for r in rows:
                 if r["kind"] == ASKED:
@@ -401,14 +460,17 @@ def score(docs: DataFrame, held_out, chunk: int = CHUNK) -> DataFrame:
     own, asked, state = (table.filter(F.col("kind") == k) for k in (OWN, ASKED, STATE))
     n_words = state.select(F.sum("chunk")).first()[0] or 0  # each part tells the number of its words
     routes, routes_path = materialize(parted(map_arrow(state, _ask(parts), BLOBS), _route), "routes")
-    past, seen, paths = [], state, []
-    for _ in range(SWEEPS + 1):
-        replies, at = materialize(parted(parted(seen, _send(n_words, parts, past)).unionByName(routes), _reply), "totals")
+    past, before, after, paths = [], state, state, []
+    for i in range(SWEEPS + 1):
+        replies, at = materialize(parted(parted(before, _send(n_words, parts, past)).unionByName(routes), _reply), "totals")
         sums = replies.filter("part < 0").select("a").first()
         past.append(totals_of(unpack(bytes(sums.a), np.int64) if sums else np.zeros(2 * CLASSES + 3, np.int64)))
-        seen = seen.unionByName(replies.filter("part >= 0"))
+        given = replies.filter("part >= 0")
+        before = state.unionByName(given)
+        if i > BURN_IN or not i:
+            after = after.unionByName(given)
         paths.append(at)
-    answers, _ = materialize(parted(seen.unionByName(asked), _answers(n_words, parts, past)), "answers")
+    answers, _ = materialize(parted(after.unionByName(asked), _answers(n_words, parts, past)), "answers")
     drop(spark, routes_path, *paths, f"{path}/kind={ASKED}", f"{path}/kind={STATE}")
     return map_arrow(answers.unionByName(own).repartition("chunk"), _scores(past[0]["tokens"], n_words), RESULT)
 
