@@ -19,7 +19,7 @@ def column(spark, values, f, kind="string"):
 def test_endpoints_have_one_form(spark):
     given = {
         "HTTP://Host:80/A/": "http://host/A", "https://h:443": "https://h", "https://h:8443/": "https://h:8443", "http://h:443/x": "http://h:443/x", " https://h/a/b ": "https://h/a/b", "http://h:080/": "http://h",
-        "ftp://h/x": None, "https://u@h/x": None, "https://u:p@h/x": None, "https://h/x?a": None, "https://h/x#a": None, "h/x": None, "": None, "https://": None,
+        "ftp://h/x": None, "https://u@h/x": None, "https://u:p@h/x": None, "https://h/x?a": None, "https://h/x#a": None, "h/x": None, "https://h/x\n": "https://h/x", "https://h/\nx": None, "": None, "https://": None,
     }
     assert column(spark, list(given), identity.endpoint) == list(given.values())
     assert column(spark, [None], identity.endpoint) == [None]
@@ -34,7 +34,7 @@ def test_publications(spark):
 
 def test_namespaces_are_parsed_strictly(spark):
     good = f"1c-identity:v1:{A}:{A}:test"
-    bad = [good + " ", good.replace(A, B, 1), good.replace("test", "Test"), good.replace(A, identity.NO_ID, 1), good + ":x", "1c-identity:v2:" + good[15:], "", None]
+    bad = [good + " ", good + "\n", good.replace(A, B, 1), good.replace("test", "Test"), good.replace(A, identity.NO_ID, 1), good + ":x", "1c-identity:v2:" + good[15:], "", None]
     got = column(spark, [good, *bad], identity.parse_namespace)
     assert tuple(got[0]) == (A, A, "test") and got[1:] == [None] * len(bad)
     assert column(spark, ["RunModeMismatch", "A", "claimLost", "aBC", ""], identity.upper_snake) == ["RUN_MODE_MISMATCH", "A", "CLAIM_LOST", "A_B_C", ""]

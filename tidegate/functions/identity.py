@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Ends of texts are \z, as $ also stands before a last line end.
 # The form of an id, of a namespace and of a service's address; environments; longest token.
 ID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 NO_ID = "00000000-0000-0000-0000-000000000000"
 PREFIX = "1c-identity:v1:"
 ENVIRONMENTS = ("test", "production")
-ADDRESS = r"^(?i:(https?))://([^/?#@:\[\]\s]+)(?::([0-9]{1,5}))?(/[^?#\s]*)?$"
-TOKEN = "^[!-~]{1,128}$"
+ADDRESS = r"^(?i:(https?))://([^/?#@:\[\]\s]+)(?::([0-9]{1,5}))?(/[^?#\s]*)?\z"
+TOKEN = r"^[!-~]{1,128}\z"
 MARKERS = ("/odata/", "/hs/")
 
 
 def endpoint(url: Column) -> Column:
     """An address in one form: scheme and host in lower case, no default port, no slash at the end; null for one with
     credentials, query or fragment, or of another scheme."""
-    text = F.trim(url)
+    text = F.trim(url, F.lit(" \t\n\r\f\v"))
     part = lambda i: F.regexp_extract(text, ADDRESS, i)
     scheme, port = F.lower(part(1)), part(3)
     number = port.try_cast("int")
@@ -45,7 +46,7 @@ def namespace(database_id: Column, epoch: Column, environment: Column) -> Column
 
 def parse_namespace(value: Column) -> Column:
     """struct(database_id, epoch, environment) of exactly what namespace() makes; null for anything else."""
-    form = f"^{PREFIX}({ID}):({ID}):({'|'.join(ENVIRONMENTS)})$"
+    form = f"^{PREFIX}({ID}):({ID}):({'|'.join(ENVIRONMENTS)})\\z"
     part = lambda i: F.regexp_extract(value, form, i)
     good = value.rlike(form) & (part(1) != NO_ID) & (part(2) != NO_ID)
     return F.when(good, F.struct(part(1).alias("database_id"), part(2).alias("epoch"), part(3).alias("environment")))
@@ -53,7 +54,7 @@ def parse_namespace(value: Column) -> Column:
 
 def binding_valid(database_id: Column, epoch: Column, environment: Column, url: Column) -> Column:
     """Whether a configured binding may be used: two ids (of any case) that are not empty, a known environment, an address."""
-    real = lambda c: c.rlike(f"^(?i:{ID})$") & (c != NO_ID)
+    real = lambda c: c.rlike(f"^(?i:{ID})\\z") & (c != NO_ID)
     return F.coalesce(real(database_id) & real(epoch) & environment.isin(*ENVIRONMENTS) & endpoint(url).isNotNull(), F.lit(False))
 
 
