@@ -58,3 +58,11 @@ def test_a_run_without_identity_or_entities(spark):
     entities = spark.createDataFrame([], "run_id long, entity_name string, row_total long, batches long, failure_code string, failure_message string, read_scope string, completeness string, completeness_reason string, snapshot_at string")
     bodies = spark.createDataFrame([(1, body), (2, body.replace('"1"', '"2"').replace("entity_reload", "other"))], "run_id long, body string")
     assert {r.run_id: r.valid for r in completion.stored_valid(bodies, runs, entities).collect()} == {1: True, 2: False}
+
+
+def test_a_body_is_read_once(spark):
+    """Values are taken in one typed read, kinds by schema: no reads name by name, for each of which a body is searched again."""
+    runs = spark.createDataFrame([(1, "incremental")], "run_id long, mode string").selectExpr("*", "0L as rows_read", "0L as batches_created", "0L as batches_acknowledged", *[f"cast(null as string) as {c}" for c in ("database_id", "export_epoch", "environment", "generation")])
+    entities = spark.createDataFrame([], "run_id long, entity_name string, row_total long, batches long, failure_code string, failure_message string, read_scope string, completeness string, completeness_reason string, snapshot_at string")
+    plan = completion.stored_valid(spark.createDataFrame([(1, "{}")], "run_id long, body string"), runs, entities)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_variant_get") <= 4 and plan.count("json_object_keys") == 0

@@ -8,35 +8,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Names of a body, of its entities and of a source's identity; modes that a run may have.
-BODY = ("runId", "status", "mode", "rowsRead", "batchesCreated", "batchesAcknowledged", "completedAtUtc", "entitiesFailed", "entities")
-ENTITY = ("entity", "status", "readScope", "rowsRead", "batchesCreated", "errorCode", "errorMessage")
-IDENTITY = ("databaseId", "exportEpoch", "environment")
+# What a body, its entities and a source's identity hold, names in order; modes that a run may have.
+IDENTITY = "databaseId string, environment string, exportEpoch string"
+ENTITY = "batchesCreated bigint, completeness string, completenessReason string, entity string, errorCode string, errorMessage string, readScope string, rowsRead bigint, snapshotAtUtc string, status string"
+BODY = (
+    f"batchesAcknowledged bigint, batchesCreated bigint, completedAtUtc string, entities array<struct<{ENTITY}>>, entitiesFailed bigint, "
+    f"mode string, rowsRead bigint, runId string, sourceGeneration string, sourceIdentity struct<{IDENTITY}>, status string"
+)
 MODES = ("incremental", "bootstrap_full", "entity_reload")
 
 
-def _of(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, f"$.{path}", "variant")
+def _text(value: Column) -> Column:
+    """The kind of a JSON text, or of the JSON null that stands where none is expected."""
+    return F.when(value.isNull(), "VOID").otherwise("STRING")
 
 
-def _kind(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v), F.lit("absent"))
-
-
-def same_text(v: Column, expected: Column) -> Column:
-    """A JSON text that is the expected one, or a JSON null where none is expected."""
-    return F.when(expected.isNull(), _kind(v) == "VOID").otherwise((_kind(v) == "STRING") & F.coalesce(F.try_variant_get(v, "$", "string") == expected, F.lit(False)))
-
-
-def same_number(v: Column, expected: Column) -> Column:
-    """A whole JSON number, written as such, that is the expected one."""
-    return (_kind(v) == "BIGINT") & F.coalesce(F.try_variant_get(v, "$", "bigint") == expected, F.lit(False))
-
-
-def _names(json_object: Column, always: tuple[str, ...], sometimes: list[tuple[Column, tuple[str, ...]]]) -> Column:
-    """Whether an object, as text, has exactly these names."""
-    wanted = F.concat(F.array(*map(F.lit, always)), *[F.when(when, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>")) for when, names in sometimes])
-    return F.coalesce(F.array_sort(F.json_object_keys(json_object)) == F.array_sort(wanted), F.lit(False))
+def _object(*fields: tuple[str, str | Column, Column | None]) -> Column:
+    """The kind of an object, as schema_of_variant writes it, of (name, kind, condition or null) in the order of names."""
+    parts = []
+    for name, kind, when in fields:
+        part = F.concat(F.lit(f"{name}: "), F.lit(kind) if isinstance(kind, str) else kind)
+        parts.append(part if when is None else F.when(when, part))
+    return F.concat(F.lit("OBJECT<"), F.concat_ws(", ", *parts), F.lit(">"))
 
 
 def stored_valid(bodies: DataFrame, runs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -46,55 +39,46 @@ def stored_valid(bodies: DataFrame, runs: DataFrame, entities: DataFrame) -> Dat
     (the last four null where the run has none). entities: run_id, entity_name, row_total, batches, failure_code,
     failure_message, read_scope, completeness, completeness_reason, snapshot_at. A run's entities are its bounded manifest.
     """
-    expected = entities.groupBy("run_id").agg(
-        F.sort_array(F.collect_list(F.struct("entity_name", "row_total", "batches", "failure_code", "failure_message", "read_scope", "completeness", "completeness_reason", "snapshot_at"))).alias("expected"),
-        F.count("failure_code").alias("failed"),
-    )
+    checked = F.col("completeness").isNotNull()
+    item = {
+        "entity": F.col("entity_name"), "batchesCreated": F.col("batches").cast("long"), "completeness": F.col("completeness"), "completenessReason": F.when(checked, F.col("completeness_reason")), "errorCode": F.col("failure_code"), "errorMessage": F.col("failure_message"),
+        "readScope": F.col("read_scope"), "rowsRead": F.col("row_total").cast("long"), "snapshotAtUtc": F.col("snapshot_at"), "status": F.when(F.col("failure_code").isNotNull(), "failed").otherwise("done"),
+    }
+    expected = entities.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct(*[value.alias(name) for name, value in item.items()]))).alias("expected"), F.count("failure_code").alias("failed"))
     whole = bodies.join(runs, "run_id").join(expected, "run_id", "left").withColumn("v", F.try_parse_json("body"))
-    v, none = F.col("v"), F.array().cast("array<variant>")
+    whole = whole.withColumn("got", F.try_variant_get("v", "$", f"struct<{BODY}>")).withColumn("listed", F.try_variant_get("v", "$.entities", "variant"))
     identity, generation = F.col("database_id").isNotNull(), F.col("generation").isNotNull()
-    who = _of(v, "sourceIdentity")
-    items = F.coalesce(F.try_variant_get(v, "$.entities", "array<variant>"), none)
 
-    def fits(pair: Column) -> Column:
-        x, e = pair["item"], pair["e"]
-        checked, dated = e["completeness"].isNotNull(), e["snapshot_at"].isNotNull()
-        return (
-            _kind(x).startswith("OBJECT")
-            & _names(F.to_json(x), ENTITY, [(checked, ("completeness", "completenessReason")), (dated, ("snapshotAtUtc",))])
-            & same_text(_of(x, "entity"), e["entity_name"])
-            & same_text(_of(x, "status"), F.when(e["failure_code"].isNotNull(), "failed").otherwise("done"))
-            & same_text(_of(x, "readScope"), e["read_scope"])
-            & same_number(_of(x, "rowsRead"), e["row_total"])
-            & same_number(_of(x, "batchesCreated"), e["batches"])
-            & same_text(_of(x, "errorCode"), e["failure_code"])
-            & same_text(_of(x, "errorMessage"), e["failure_message"])
-            & (~checked | (same_text(_of(x, "completeness"), e["completeness"]) & same_text(_of(x, "completenessReason"), e["completeness_reason"])))
-            & (~dated | same_text(_of(x, "snapshotAtUtc"), e["snapshot_at"]))
-        )
+    def kind(e: Column) -> Column:
+        checked, dated = e["completeness"].isNotNull(), e["snapshotAtUtc"].isNotNull()
+        return _object(
+            ("batchesCreated", "BIGINT", None), ("completeness", "STRING", checked), ("completenessReason", _text(e["completenessReason"]), checked), ("entity", _text(e["entity"]), None), ("errorCode", _text(e["errorCode"]), None), ("errorMessage", _text(e["errorMessage"]), None),
+            ("readScope", _text(e["readScope"]), None), ("rowsRead", "BIGINT", None), ("snapshotAtUtc", "STRING", dated), ("status", "STRING", None),
+        )
 
-    size = F.coalesce(F.size("expected"), F.lit(0))
-    pairs = F.transform(items, lambda x, i: F.struct(x.alias("item"), F.get(F.col("expected"), i).alias("e")))
-    at = F.try_variant_get(_of(v, "completedAtUtc"), "$", "string")
+    planned = F.coalesce("expected", F.array().cast(expected.schema["expected"].dataType))
     failed = F.coalesce("failed", F.lit(0))
+    who = _object(("databaseId", "STRING", None), ("environment", _text(F.col("environment")), None), ("exportEpoch", _text(F.col("export_epoch")), None))
+    shape = _object(
+        ("batchesAcknowledged", "BIGINT", None), ("batchesCreated", "BIGINT", None), ("completedAtUtc", "STRING", None), ("entities", F.schema_of_variant("listed"), None), ("entitiesFailed", "BIGINT", None), ("mode", "STRING", None), ("rowsRead", "BIGINT", None),
+        ("runId", "STRING", None), ("sourceGeneration", "STRING", generation), ("sourceIdentity", who, identity), ("status", "STRING", None),
+    )
+    got = lambda name: F.col(f"got.{name}")
     valid = (
         F.col("mode").isin(*MODES)
-        & _kind(v).startswith("OBJECT")
-        & _names(F.col("body"), BODY, [(identity, ("sourceIdentity",)), (generation, ("sourceGeneration",))])
-        & same_text(_of(v, "runId"), F.col("run_id").cast("string"))
-        & same_text(_of(v, "status"), F.when(failed == 0, "succeeded").otherwise("partial_success"))
-        & same_text(_of(v, "mode"), F.col("mode"))
-        & same_number(_of(v, "rowsRead"), F.col("rows_read"))
-        & same_number(_of(v, "batchesCreated"), F.col("batches_created"))
-        & same_number(_of(v, "batchesAcknowledged"), F.col("batches_acknowledged"))
-        & same_number(_of(v, "entitiesFailed"), failed)
-        & (_kind(_of(v, "completedAtUtc")) == "STRING")
-        & at.rlike(r"^\d{4}-\d\d-\d\dT")
-        & at.try_cast("timestamp").isNotNull()
-        & (~identity | (_names(F.to_json(who), IDENTITY, []) & same_text(_of(who, "databaseId"), F.col("database_id")) & same_text(_of(who, "exportEpoch"), F.col("export_epoch")) & same_text(_of(who, "environment"), F.col("environment"))))
-        & (~generation | same_text(_of(v, "sourceGeneration"), F.col("generation")))
-        & _kind(_of(v, "entities")).startswith("ARRAY")
-        & (F.size(items) == size)
-        & F.forall(pairs, fits)
+        & (got("runId") == F.col("run_id").cast("string"))
+        & (got("status") == F.when(failed == 0, "succeeded").otherwise("partial_success"))
+        & (got("mode") == F.col("mode"))
+        & (got("rowsRead") == F.col("rows_read"))
+        & (got("batchesCreated") == F.col("batches_created"))
+        & (got("batchesAcknowledged") == F.col("batches_acknowledged"))
+        & (got("entitiesFailed") == failed)
+        & got("completedAtUtc").rlike(r"^\d{4}-\d\d-\d\dT")
+        & got("completedAtUtc").try_cast("timestamp").isNotNull()
+        & (~identity | ((got("sourceIdentity.databaseId") == F.col("database_id")) & got("sourceIdentity.exportEpoch").eqNullSafe(F.col("export_epoch")) & got("sourceIdentity.environment").eqNullSafe(F.col("environment"))))
+        & got("sourceGeneration").eqNullSafe(F.col("generation"))
+        & (F.transform(got("entities"), lambda x: F.struct(*[x[name].alias(name) for name in item])) == planned)
+        & (F.schema_of_variant("v") == shape)
+        & (F.transform(F.try_variant_get("listed", "$", "array<variant>"), F.schema_of_variant) == F.transform(planned, kind))
     )
     return whole.select("run_id", F.coalesce(valid, F.lit(False)).alias("valid"))
