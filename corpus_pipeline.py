@@ -29,7 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest id. Jaccard similarity of 0.8 or more, shingles of five words."""
+    """One document of each group of near copies stays: that of the smallest id. SimHash fingerprints link as in op3, and
+    so do sets at a Jaccard similarity of 0.8 or more; shingles of five words."""
     return near.keep_first(docs)
 
 

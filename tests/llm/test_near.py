@@ -2,7 +2,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from tidegate.llm import near
+from tidegate.llm import near, simhash
 
 
 def five(text):
@@ -54,3 +54,14 @@ def test_rows_without_id(spark):
     rows = [(None, t), (7, t), (None, t + " x"), (None, u), (None, u), (None, u + " x"), (None, v), (8, "else")]
     got = [(r.doc_id, r.text[0]) for r in near.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted((i or 0, k) for i, k in got) == [(0, "u"), (0, "v"), (7, "t"), (8, "e")]
+
+
+def test_fingerprints_link_by_op3(spark):
+    """A passage many times over and few other words: the sets are far from 0.8, the fingerprints within 3 bits."""
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    spam = " ".join([words("s", 30)] * 200)
+    rows = [(1, f"{spam} {words('a', 40)}"), (2, f"{spam} {words('b', 40)}"), (3, words("c", 80))]
+    assert not any(5 * len(five(a) & five(b)) >= 4 * len(five(a) | five(b)) for (_, a), (_, b) in itertools.combinations(rows, 2))
+    assert (simhash.fingerprint(rows[0][1], 5) ^ simhash.fingerprint(rows[1][1], 5)).bit_count() <= simhash.RADIUS
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]

@@ -1,7 +1,10 @@
-"""Near copies of documents: Jaccard similarity of word shingles of 0.8 or more, candidates by MinHash, verified exactly.
+"""Near copies of documents: SimHash fingerprints within op3's radius, and Jaccard similarity of word shingles of 0.8 or more.
 
 A document is the set of its shingles of five words, lower-cased A-Z (one of fewer words is one shingle); documents
-without words have the empty set and equal each other. Two documents link if the sets' similarity is at least 0.8.
+without words have the empty set and equal each other. Two documents link if their fingerprints, of all shingles with
+repeats, differ in 3 bits or fewer, as op3 links them (balls of half the radius, verified on all 64 bits), or if the sets'
+similarity is at least 0.8: such pairs differ in 7 to 10 bits on average, which no ball that can be emitted reaches, so
+that they are found beside the fingerprints, by MinHash, and verified exactly:
 
 1. Documents of the same set count as one from here on.
 2. Each set makes 32 keys of four minima each. A pair at similarity 0.8 shares no key with a probability of
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, drop, map_arrow, materialize, partitions
 from .lines import _set, mix, needed, spots
 
@@ -29,8 +33,8 @@ BANDS, ROWS = 32, 4
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The set of shingles: distinct XXH64, ascending."""
+def hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of all shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "replace").lower().split()
@@ -41,7 +45,12 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
         return np.array([xxh64_intdigest(joined, 42)], np.uint64)
     stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     start = np.concatenate([[0], stop[:-1]])
-    return np.unique(np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(start[: len(words) - size + 1].tolist(), (stop[size - 1 :] - 1).tolist(), strict=True)], np.uint64))
+    return np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(start[: len(words) - size + 1].tolist(), (stop[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The set of shingles: distinct XXH64, ascending."""
+    return np.unique(hashes(text))
 
 
 def digest(s: np.ndarray) -> int:
@@ -65,9 +74,25 @@ def bands(s: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingles(t.as_py()) for t in b.column(1)]
-        columns = [b.column(0), b.column(2), pa.array([digest(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_text", "_set", "_bands"])
+        prints, names, keys = [], [], []
+        for t in b.column(1):
+            raw = hashes(t.as_py())
+            distinct = np.unique(raw)
+            prints.append(simhash.majority(raw))
+            names.append(digest(distinct))
+            keys.append(bands(distinct))
+        columns = [b.column(0), b.column(2), pa.array(prints, pa.int64()), pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_text", "_fp", "_set", "_bands"])
+
+
+def alike(prints: DataFrame) -> DataFrame:
+    """(a, b): links of sets whose documents' fingerprints lie in one of op3's components: each set to the least there, or
+    to the least of its fingerprint where that links to no other."""
+    of = prints.select("_fp", "_set").distinct()
+    roots = components(simhash.links(prints), "near-simhash").select(F.col("node").alias("_fp"), "root")
+    whole = of.join(roots, "_fp", "left").select("_set", F.coalesce("root", "_fp").alias("root"))
+    first = whole.groupBy("root").agg(F.min("_set").alias("a"), F.max("_set").alias("most")).filter("a <> most")
+    return whole.join(first, "root").filter("_set <> a").select("a", F.col("_set").alias("b")).distinct()
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,15 +182,16 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component: that of the smallest doc_id, or one without doc_id where no row has one."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints, path = materialize(map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), _signed, f"doc_id {kind}, _text long, _set long, _bands array<long>"), "near")
+    prints, path = materialize(map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), _signed, f"doc_id {kind}, _text long, _fp long, _set long, _bands array<long>"), "near")
     found, links_path = links(docs, prints)
-    roots = components(found, "near")
+    same, alike_path = materialize(alike(prints), "near-alike")
+    roots = components(found.union(same), "near")
     whole = prints.select("doc_id", "_text", "_set").join(roots.select(F.col("node").alias("_set"), "root"), "_set", "left").withColumn("root", F.coalesce("root", "_set"))
     best = whole.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "_text")).alias("best"))
     keep, _ = materialize(best.select("best.doc_id", "best._text"), "near-keep")
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l._text") == F.col("r._text"))
     again = not prints.alias("l").join(keep.alias("r"), same, "left_semi").groupBy("doc_id", "_text").count().filter("count > 1").isEmpty()
-    drop(spark, path, links_path)
+    drop(spark, path, links_path, alike_path)
     mark = "_text"
     while mark.lower() in map(str.lower, docs.columns):  # a column of the input may have any name
         mark += "_"

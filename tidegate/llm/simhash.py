@@ -47,7 +47,11 @@ def fingerprint(text: str | None, size: int = 3) -> int:
         stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         start = np.concatenate([[0], stop[:-1]])
         hashes = [xxh64_intdigest(joined[s:e], 42) for s, e in zip(start[: len(words) - size + 1].tolist(), (stop[size - 1 :] - 1).tolist(), strict=True)]
-    raw = np.array(hashes, np.uint64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(raw: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed integer."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(raw), 4096):  # bounds the unpacked bits
         ones += np.unpackbits(raw[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
