@@ -372,7 +372,8 @@ def revoked_entities(spark, d):
 )
 def revoked_cascade(spark, d):
     null = F.lit(None).cast("string")
-    causes = revoked_entities(spark, d).select("run_id", F.lit("ENTITY_REVOKED").alias("code"), null.alias("batch_id"), null.alias("batch_code"))
+    revoking = lg.revoking(runs=table(spark, d, "ledger_runs"), entities=table(spark, d, "entities"), definitions=table(spark, d, "flags"))
+    causes = revoking.select("run_id", F.lit("ENTITY_REVOKED").alias("code"), null.alias("batch_id"), null.alias("batch_code"))
     return lg.blocked(*_tables(spark, d, "ledger_runs", "entities", "ledger_batches", "ledger_jobs"), causes)
 
 
